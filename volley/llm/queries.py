@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volley.llm import bpe, exact_dedup, langid, warc
+from volley.llm import bpe, exact_dedup, langid, minhash, mixing, pii, warc
 from volley.llm.shared import fold, scratch_root, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,23 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def domains_of(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", mixing.label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return mixing.mix(docs, domains_of(labels), mixing.TARGETS, least=1.0).drop("key", "m")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
@@ -51,6 +68,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
+    "op4_minhash": op4_minhash,
     "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
