@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volley.llm import bpe, exact_dedup, langid, minhash, mixing, pii, warc
+from volley.llm import bpe, exact_dedup, langid, minhash, mixing, pii, suffix_tree, toxicity, warc, webp
 from volley.llm.shared import fold, scratch_root, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +48,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary_path(), with_ids=False).drop("text")
 
 
+def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return webp.store_texts(docs, with_media=False).drop("text")
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_tree.score_documents(docs, fold(F.col("doc_id"), 7) != 2)
+    return out.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -67,14 +78,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return toxicity.score_texts(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op4_minhash": op4_minhash,
     "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
+    "op6_webp": op6_webp,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
