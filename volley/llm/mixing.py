@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +80,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
     return scored.select("doc_id", "key", "n_tokens", "m", *[F.exp(log_p(tau)[d]).alias(f"p_{d}") for d in domains])
 
 
-def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0, total: float | None = None, steps: int = 64, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0, total: float | None = None, steps: int = 48, tolerance: float = 1e-4) -> DataFrame:
     """state (n_tokens, m, p_<domain>) with `rate` >= least, so that sum(rate * n_tokens * p_d) is near weight_d * total.
 
-    Minimises sum_d (total_d - goal_d)^2 / (2 D_d), D_d being the totals at rate 1, by gradient steps in the metric of
-    the token counts, each projected onto rate >= least; a step is one aggregate of as many numbers as domains. total
-    None: the smallest total for which no domain must shrink. Domains that no document belongs to are left out and
-    the other shares scaled up. An empty state stays empty.
+    Minimises the squared distance of totals and goals, in the metric of M = sum(m * n_tokens * p p') inverted, by
+    gradient steps in the metric of the token counts, each projected onto rate >= least. In these metrics the problem
+    is well conditioned: without the bound one step ends it. A step is one aggregate of as many numbers as domains.
+    total None: the tokens there are or, with a least rate over 0, a quarter more than the smallest total for which
+    no domain must shrink. Domains that no document belongs to are left out and the other shares scaled up. An empty
+    state stays empty.
     """
     names = [d for d in targets]
     p = [F.col(f"p_{d}") for d in names]
@@ -98,15 +101,22 @@ def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0
     used = [k for k, x in enumerate(base) if x > 1e-9 and targets[names[k]] > 0]
     whole = sum(targets[names[k]] for k in used) or 1.0
     if total is None:
-        total = max((base[k] * whole / targets[names[k]] for k in used), default=0.0)
+        total = 1.25 * least * max((base[k] * whole / targets[names[k]] for k in used), default=0.0) if least > 0 else sum(base)
     goal = [targets[names[k]] / whole * total if k in used else 0.0 for k in range(len(names))]
-    state, now = state.withColumn("rate", F.greatest(F.lit(float(least)), F.lit(1.0))), None
+    pairs = [(a, b) for a in range(len(p)) for b in range(a + 1)]
+    flat = [x or 0.0 for x in state.agg(*[F.sum(mass * p[a] * p[b]) for a, b in pairs]).first()]
+    gram = np.zeros((len(p), len(p)))
+    for (a, b), x in zip(pairs, flat):
+        gram[a, b] = gram[b, a] = x
+    inverse = np.linalg.pinv(gram + 1e-9 * (np.trace(gram) + 1) * np.eye(len(p)), hermitian=True)
+    state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.lit(1.0)))
     for step in range(steps):
         now = totals(state, F.col("rate"))
-        off = [(a - g) / b if b > 1e-9 else 0.0 for a, g, b in zip(now, goal, base)]
-        if max(map(abs, off)) <= tolerance:
+        off = np.subtract(now, goal)
+        if np.abs(off).max() <= tolerance * max(total, 1e-9):
             break
-        state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - 1.5 * _dot(p, [F.lit(x) for x in off])))
+        move = _dot(p, [F.lit(float(x)) for x in 1.5 * inverse @ off])
+        state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - move))
         if step % 8 == 7:
             state = materialize(state, "rates")
     return state

@@ -26,7 +26,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    return mixing.mix(docs, domains_of(labels), mixing.TARGETS, least=1.0).drop("key", "m")
+    return mixing.mix(docs, domains_of(labels), mixing.TARGETS).drop("key", "m")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_documents(docs, vocabulary_path(), with_ids=False).drop("text")
+    return bpe.encode_documents(docs, vocabulary_path(), with_ids=False, with_text=False).drop("text")
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
