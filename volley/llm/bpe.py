@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import materialize
+from volley.llm.shared import materialize, text_buffer, text_groups
 
 #: White space as the tokenizer's own pattern has it (Unicode White_Space).
 _S = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 LEXICON_WORDS = 100_000
-_FLUSH = 300_000
+_FLUSH = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -166,7 +166,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """The compiled automaton, memory-mapped from a file without a name."""
+    """The compiled automaton, memory-mapped from a file without a name; walked for many words at once."""
 
     def __init__(self, block: bytes):
         with tempfile.TemporaryFile() as f:
@@ -174,23 +174,38 @@ class Lexicon:
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         n = int.from_bytes(self.map[:8], "little")
-        view = memoryview(self.map)
-        self.at = json.loads(self.map[8 : 8 + n])
-        part = {k: view[8 + n + a : 8 + n + a + size].cast(kind) for k, (a, size, kind) in self.at.items()}
-        self.first, self.target, self.skip, self.final = part["first"], part["target"], part["skip"], part["final"]
-        self.place, self.ids, self.root = part["place"], part["ids"], part["root"][0]
-        self.labels = 8 + n + self.at["label"][0]
+        part = {k: np.frombuffer(self.map, kind, size // np.dtype(kind).itemsize, 8 + n + a) for k, (a, size, kind) in json.loads(self.map[8 : 8 + n]).items()}
+        self.target, self.skip, self.final, self.place, self.ids = (part[k] for k in ("target", "skip", "final", "place", "ids"))
+        self.root = int(part["root"][0])
+        state = np.repeat(np.arange(len(part["first"]) - 1), np.diff(part["first"]))
+        self.arcs = state << 8 | part["label"]  # ascending: states in order, labels in order within a state
+
+    def numbers(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each word, given by its bytes' place and count in flat; -1 if it isn't in the lexicon."""
+        state, number = np.full(len(start), self.root), np.zeros(len(start), np.int64)
+        live, k = np.arange(len(start)), 0
+        while True:
+            on = live[size[live] > k]
+            done = live[size[live] == k]
+            number[done[self.final[state[done]] == 0]] = -1
+            if not len(on):
+                return number
+            key = state[on] << 8 | flat[start[on] + k]
+            arc = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(on), bool)
+            number[on[~hit]] = -1
+            live, arc = on[hit], arc[hit]
+            number[live] += self.skip[arc]
+            state[live] = self.target[arc]
+            k += 1
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit numbers; None if it isn't in the lexicon."""
-        s, number, find, base, first = self.root, 0, self.map.find, self.labels, self.first
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], base + first[s], base + first[s + 1])
-            if arc < 0:
-                return None
-            number += self.skip[arc - base]
-            s = self.target[arc - base]
-        return bytes(self.ids[self.place[number] : self.place[number + 1]]) if self.final[s] else None
+        n = int(self.numbers(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]))[0])
+        return None if n < 0 else self.ids[self.place[n] : self.place[n + 1]].tobytes()
+
+
+_NONE = 1 << 30
 
 
 class Encoder:
@@ -202,28 +217,93 @@ class Encoder:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.length = np.array([len(p) for p in pieces], np.int64)
         self.start = np.cumsum(self.length) - self.length
+        self.byte_ids = np.array(vocab.byte_ids, np.int64)
+        keys = np.array([a << 32 | b for a, b in vocab.pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.ranks = np.array([r for r, _ in vocab.pairs.values()], np.int64)[order]
+        self.merged = np.zeros(int(self.ranks.max(initial=0)) + 1, np.int64)
+        for r, new in vocab.pairs.values():
+            self.merged[r] = new
         self.known: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> bytes:
-        known, words = self.known, WORDS.findall(text)
-        for w in {*words}.difference(known):
-            raw = w.encode()
-            got = self.lexicon.get(raw)
-            known[w] = np.array(self.vocab.merge(raw), "<u4").tobytes() if got is None else got
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > _FLUSH:
-            known.clear()
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+
+    def _merge(self, ids: np.ndarray) -> list[bytes]:
+        """Exact merges of words of one length, one merge of every word a turn: lowest rank first, leftmost of equals."""
+        out: list[bytes] = [b""] * len(ids)
+        row, rank = np.arange(len(ids)), self._rank(ids[:, :-1], ids[:, 1:])
+        while True:
+            at = rank.argmin(1) if rank.shape[1] else np.zeros(len(row), np.int64)
+            best = rank[np.arange(len(row)), at] if rank.shape[1] else np.full(len(row), _NONE)
+            for k, r in zip(np.flatnonzero(best == _NONE).tolist(), ids[best == _NONE].astype("<u4")):
+                out[row[k]] = r.tobytes()
+            on = best < _NONE
+            if not on.any():
+                return out
+            row, ids, rank, at, best = row[on], ids[on], rank[on], at[on], best[on]
+            n, m = np.arange(len(row)), ids.shape[1]
+            take = np.arange(m - 1) + (np.arange(m - 1) > at[:, None])
+            ids[n, at] = self.merged[best]
+            ids = np.take_along_axis(ids, take, 1)
+            if m == 2:
+                rank = np.zeros((len(row), 0), np.int64)
+                continue
+            rank = np.take_along_axis(rank, np.arange(m - 2) + (np.arange(m - 2) >= at[:, None]), 1)
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self._rank(ids[left, at[left] - 1], ids[left, at[left]])
+            right = np.flatnonzero(at < m - 2)
+            rank[right, at[right]] = self._rank(ids[right, at[right]], ids[right, at[right] + 1])
+
+    def learn(self, words: list[str]) -> None:
+        """Puts the ids of the words into `known`: from the lexicon, else by merging."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw], np.int64)
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+        number = self.lexicon.numbers(flat, start, size)
+        ids, place = self.lexicon.ids, self.lexicon.place.tolist()
+        block = ids.tobytes()
+        for k in np.flatnonzero(number >= 0).tolist():
+            self.known[words[k]] = block[4 * place[number[k]] : 4 * place[number[k] + 1]]
+        rest = np.flatnonzero(number < 0)
+        for n in np.unique(size[rest]).tolist():
+            these = rest[size[rest] == n]
+            if n > 48:
+                for k in these.tolist():
+                    self.known[words[k]] = np.array(self.vocab.merge(raw[k]), "<u4").tobytes()
+                continue
+            for lo in range(0, len(these), 20_000):
+                part = these[lo : lo + 20_000]
+                for k, got in zip(part.tolist(), self._merge(self.byte_ids[flat[start[part][:, None] + np.arange(n)]])):
+                    self.known[words[k]] = got
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit numbers; the new words of all texts are encoded together."""
+        cut = []
+        for text in texts:
+            if self.special is None or not self.special.search(text):
+                cut.append([(WORDS.findall(text), None)])
+                continue
+            parts, at = [], 0
+            for m in self.special.finditer(text):
+                parts.append((WORDS.findall(text[at : m.start()]), self.vocab.special[m[0]].to_bytes(4, "little")))
+                at = m.end()
+            cut.append([*parts, (WORDS.findall(text[at:]), None)])
+        new = set()
+        for parts in cut:
+            for words, _ in parts:
+                new.update(words)
+        self.learn(list(new.difference(self.known)))
+        out = [b"".join([x for words, end in parts for x in (*map(self.known.__getitem__, words), end or b"")]) for parts in cut]
+        if len(self.known) > _FLUSH:
+            self.known.clear()
         return out
 
     def encode(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit numbers."""
-        if self.special is None or not self.special.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.vocab.special[m[0]].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         i = np.frombuffer(ids, "<u4")
@@ -233,14 +313,14 @@ class Encoder:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts: counted within each task, then summed."""
+    """(word, n) over all texts, words being what single spaces separate: counted within each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    counts.update(WORDS.findall(text.as_py()))
+                    counts.update(text.as_py().split(" "))
                 if len(counts) > _FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
                     counts.clear()
@@ -250,19 +330,23 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocab: Vocabulary, words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the `words` most frequent words of the corpus (ties by the word). Only those reach the driver."""
+    """The automaton of the `words` most frequent words of the corpus (ties by the word), each with a space before it,
+    cut up as the tokenizer does. Only those reach the driver."""
     top = materialize(count_words(docs).orderBy(F.desc("n"), "word").limit(words), "lexicon")
-    return compile_lexicon({w: vocab.merge(w) for w in (r.word.encode() for r in top.select("word").toLocalIterator()) if w})
+    cut = {w for r in top.select("word").toLocalIterator() for w in WORDS.findall(" " + r.word)}
+    return compile_lexicon({w: vocab.merge(w) for w in map(str.encode, cut)})
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORDS, with_ids: bool = True) -> DataFrame:
-    """docs with n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids (array<int>) and the decoded text.
+def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORDS, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """docs with n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids (array<int>) and, with_text, the decoded text.
 
     Null text counts as empty: no tokens, the digests of nothing. Special strings in a text become their special ids.
     Columns of these names in docs are replaced. Any text length; memory follows the longest text.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    docs = docs.drop(*new)
+    new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    new |= {"ids": T.ArrayType(T.IntegerType())} if with_ids else {}
+    new |= {"decoded": T.StringType()} if with_text else {}
+    docs = docs.drop("ids", "decoded", *new)
     vocab = Vocabulary(vocab_path)
     sent = docs.sparkSession.sparkContext.broadcast((vocab, build_lexicon(docs, vocab, words)))
     names, at = docs.columns, docs.columns.index("text")
@@ -270,20 +354,25 @@ def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(*sent.value)
         for batch in batches:
-            n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for value in batch.column(at):
-                got = enc.encode(value.as_py() or "")
-                back = enc.decode(got)
-                n.append(len(got) // 4)
-                ids_sha.append(hashlib.sha256(got).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+            off = text_buffer(batch.column(at))[1]
+            for a, b in text_groups(off):
+                part = batch.slice(a, b - a)
+                n, ids_sha, text_sha, ids, texts = [], [], [], [], []
+                for got in enc.encode_all([t or "" for t in part.column(at).to_pylist()]):
+                    back = enc.decode(got)
+                    n.append(len(got) // 4)
+                    ids_sha.append(hashlib.sha256(got).hexdigest())
+                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                    if with_ids:
+                        ids.append(got)
+                    if with_text:
+                        texts.append(back)
+                arrays = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    ids.append(np.frombuffer(got, "<i4"))
-                    texts.append(back)
-            arrays = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, *new])
-
-    kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.StringType()]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(new, kinds))]))
+                    ends = np.cumsum([0, *n]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                if with_text:
+                    arrays.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*names, *new])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in new.items())]))
