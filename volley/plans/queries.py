@@ -1,6 +1,657 @@
-"""The registered queries of the recording and spike-train operators and their SQL."""
+"""The registered queries of the recording and spike-train operators and their SQL. Floats are rounded on both sides."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from volley.operators import config as C
+from volley.operators import duplicates as G
+from volley.operators import signal as D
+from volley.operators import trains as E
+from volley.plans.fixtures import FS, ctes, load
+from volley.streaming import edits as L
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+HALF = 8
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = re.sub(r"\bround\(", "0 + round(", sql)  # no negative zeros
+        return f
+
+    return put
+
+
+def r6(c: str | Column, name: str | None = None) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+
+
+def ev(s, d):
+    return load(s, d, "spikes_ev")
+
+
+def emb(s, d):
+    return load(s, d, "samples_emb")
+
+
+def sources(s, d):
+    """Each channel as the source of a unit, its spikes the maxima above 0.1."""
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    sq = D.clean_square(src)
+    spikes = D.local_maxima(src).filter("s > 0.1").select("port", "unit_id", "sample_idx", (F.col("s") * F.col("s")).alias("height"))
+    return sq, spikes
+
+
+_ISI = ctes("spikes_ev") + ", isi as (select *, sample_idx - lag(sample_idx) over (partition by port, unit_id order by sample_idx) as isi from spikes_ev)"
+_STATS = _ISI + f", stats as (select port, unit_id, count(*) as n_spikes, {FS} / avg(isi) as discharge_rate, 100 * stddev_pop(isi) / avg(isi) as cov_isi, min(isi) * 1000.0 / {FS} as min_isi_ms, min(sample_idx) as first from isi group by 1, 2)"
+_SRC = "with src as (select 'P0' as port, cast(u.i - 1 as bigint) as unit_id, vec_id as sample_idx, cast(embedding[u.i] as double) as s from embeddings, unnest(range(1, 65)) as u(i)), nb as (select *, lag(s) over w as l, lead(s) over w as r from src window w as (partition by unit_id order by sample_idx)), peaks as (select port, unit_id, sample_idx, s from nb where s > l and s > r), spk as (select port, unit_id, sample_idx, s * s as height from peaks where s > 0.1)"
+
+
+@query(_STATS + " select port, unit_id, n_spikes, round(discharge_rate, 6) as discharge_rate, round(cov_isi, 6) as cov_isi, round(min_isi_ms, 6) as min_isi_ms from stats")
+def unit_firing_stats(s, d):
+    return E.firing_stats(ev(s, d), FS).select("port", "unit_id", "n_spikes", r6("discharge_rate"), r6("cov_isi"), r6("min_isi_ms"))
+
+
+@query(_ISI + " select * from isi")
+def isi(s, d):
+    return E.with_isi(ev(s, d))
+
+
+@query(ctes("spikes_ev") + " select distinct port, unit_id, sample_idx from spikes_ev where sample_idx >= 0 and sample_idx < 1000000")
+def clip_spikes(s, d):
+    return E.clip_spikes(ev(s, d), 1_000_000).drop("height")
+
+
+def _props(s, d):
+    """Firing statistics with a stand-in for SIL and PNR from the statistics themselves."""
+    st = E.firing_stats(ev(s, d), FS)
+    return st.withColumns({"sil": F.when(F.col("n_spikes") % 7 != 0, 1 - F.col("cov_isi") / 1000), "pnr_db": F.when(F.col("n_spikes") % 5 != 0, F.col("n_spikes") * 0.6)})
+
+
+_PROPS = _STATS + ", props as (select *, case when n_spikes % 7 <> 0 then 1 - cov_isi / 1000 end as sil, case when n_spikes % 5 <> 0 then n_spikes * 0.6 end as pnr_db from stats)"
+_FLAGS = _PROPS + ", flags as (select port, unit_id, coalesce(sil >= 0.8 and pnr_db >= 32, false) as is_reliable, coalesce(sil >= 0.9, false) as sil_ok, coalesce(pnr_db >= 30, false) as pnr_ok, coalesce(cov_isi <= 40, false) as cov_ok, coalesce(discharge_rate between 3 and 40, false) as rate_ok, n_spikes >= 10 as count_ok from props)"
+
+
+@query(_FLAGS + " select * from flags")
+def quality_flags(s, d):
+    return E.quality_flags(_props(s, d)).select("port", "unit_id", "is_reliable", "sil_ok", "pnr_ok", "cov_ok", "rate_ok", "count_ok")
+
+
+@query(_FLAGS + " select port, count(*) as total, count(*) filter (is_reliable) as reliable, count(*) filter (not is_reliable) as not_reliable from flags group by rollup(port)")
+def reliability_summary(s, d):
+    return E.reliability_summary(E.quality_flags(_props(s, d)))
+
+
+@query(_ISI + f" select port, unit_id, round((sample_idx - isi / 2.0) / {FS}, 6) as t, round(case when isi / {FS} > 0.01 then 1 / (isi / {FS}) else 0 end, 6) as rate from isi where isi is not null")
+def ifr_trace(s, d):
+    return E.ifr_trace(ev(s, d), FS).select("port", "unit_id", r6("t"), r6("rate"))
+
+
+@query(ctes("spikes_ev") + ", a as (select * from spikes_ev where sample_idx % 3 <> 0), b as (select * from spikes_ev where sample_idx % 5 <> 0) select port, unit_id, sample_idx, 'added' as change from b where not exists (select 1 from a where a.port = b.port and a.unit_id = b.unit_id and a.sample_idx = b.sample_idx) union all select port, unit_id, sample_idx, 'removed' from a where not exists (select 1 from b where a.port = b.port and a.unit_id = b.unit_id and a.sample_idx = b.sample_idx)")
+def train_difference(s, d):
+    x = ev(s, d)
+    return E.train_difference(x.filter("sample_idx % 3 <> 0"), x.filter("sample_idx % 5 <> 0"))
+
+
+@query(ctes("spikes_ev") + " select distinct port, unit_id, sample_idx from spikes_ev where sample_idx % 3 <> 0")
+def remove_spikes(s, d):
+    x = ev(s, d)
+    return E.remove_spikes(x, x.filter("sample_idx % 3 = 0")).drop("height")
+
+
+@query(ctes("spikes_ev") + " select port, unit_id, sample_idx from spikes_ev where sample_idx % 2 = 0 union select port, unit_id, sample_idx from spikes_ev where sample_idx % 3 = 0")
+def merge_spikes(s, d):
+    x = ev(s, d)
+    return E.merge_spikes(x.filter("sample_idx % 2 = 0"), x.filter("sample_idx % 3 = 0"))
+
+
+_R1 = _SRC + ", h as (select *, avg(height) over (partition by unit_id) as m, row_number() over w as rn, (sum(height) over (w rows between 2 preceding and 2 following) - height) / nullif(count(*) over (w rows between 2 preceding and 2 following) - 1, 0) as nbm from spk window w as (partition by unit_id order by sample_idx)), c as (select *, height < 0.339 * m as g, height < least(0.331 * coalesce(nbm, height), 0.339 * m) as c from h), p as (select *, rn - coalesce(max(case when not c then rn end) over (partition by unit_id order by rn), 0) as place from c), q as (select *, lag(place, 1, 0) over (partition by unit_id order by rn) as run from p)"
+
+
+@query(_R1 + " select port, unit_id, sample_idx from q where not c and not (g and run % 2 = 1)")
+def rule1_low_height(s, d):
+    return E.rule1_low_height(sources(s, d)[1]).select("port", "unit_id", "sample_idx")
+
+
+def _parity(bad: str, frm: str) -> str:
+    """Drops the lower spike of bad pairs, pairs that touch a dropped one being passed over."""
+    return f", b as (select *, coalesce({bad}, false) as bad, coalesce(nh < height, false) as hi from {frm}), m as (select *, bad and hi as m, row_number() over (partition by port, unit_id order by sample_idx) as rn2 from b), pl as (select *, m and (rn2 - coalesce(max(case when not m then rn2 end) over (partition by port, unit_id order by rn2), 0)) % 2 = 1 as r from m), fin as (select *, coalesce(lag(r) over (partition by port, unit_id order by rn2), false) as before from pl) select port, unit_id, sample_idx from fin where not before and not (bad and not hi and not before)"
+
+
+_PAIR = ", pr as (select *, lead(height) over w as nh, {fs} / (lead(sample_idx) over w - sample_idx) as rate from {t} window w as (partition by port, unit_id order by sample_idx))"
+_LOCAL = ", lo as (select *, case when count(rate) over w < 2 then rate else avg(rate) over w end as fm, case when count(rate) over w < 2 then 0 else stddev_pop(rate) over w end as fsd, avg(height) over (partition by port, unit_id) as hm, stddev_pop(height) over (partition by port, unit_id) as hs from pr window w as (partition by port, unit_id order by sample_idx rows between 5 preceding and 4 following))"
+
+
+@query(ctes("spikes_ev") + _PAIR.format(fs=FS, t="spikes_ev") + _LOCAL + _parity("rate > 50 or rate > 2 * fm or (rate > fm + 2 * fsd and greatest(height, nh) - least(height, nh) > 0.5 * least(height, nh) and least(height, nh) < greatest(hm - 2 * hs, 0))", "lo"))
+def rule2_high_rate(s, d):
+    return E.rule2_high_rate(ev(s, d), FS).select("port", "unit_id", "sample_idx")
+
+
+@query(ctes("spikes_ev") + _PAIR.format(fs=FS, t="spikes_ev") + ", qs as (select port, unit_id, case when count(*) >= 3 and count(rate) >= 4 then greatest(2.5 * quantile_cont(rate, 0.75) - 1.5 * quantile_cont(rate, 0.25), 2 * quantile_cont(rate, 0.5)) end as lim from pr group by 1, 2), j as (select pr.*, lim from pr join qs using (port, unit_id))" + _parity("rate > lim", "j"))
+def remove_ifr_outliers(s, d):
+    return E.remove_ifr_outliers(ev(s, d), FS).select("port", "unit_id", "sample_idx")
+
+
+@query()
+def rule3_add_peaks(s, d):
+    sq, spikes = sources(s, d)
+    return E.rule3_add_peaks(spikes, sq, 100.0).select("port", "unit_id", "sample_idx", r6("height"))
+
+
+@query()
+def rule4_fill_gaps(s, d):
+    sq, spikes = sources(s, d)
+    return E.rule4_fill_gaps(spikes, sq, 100.0).select("port", "unit_id", "sample_idx", r6("height"))
+
+
+@query()
+def auto_edit(s, d):
+    sq, spikes = sources(s, d)
+    return E.auto_edit(spikes, sq, 100.0).select("port", "unit_id", "sample_idx", r6("height"))
+
+
+@query(_SRC + " select port, unit_id, sample_idx from spk where not ((sample_idx >= unit_id * 3 and sample_idx < unit_id * 3 + 100) and height between 0.01 and 0.05)")
+def box_delete(s, d):
+    spikes = sources(s, d)[1]
+    boxes = spikes.select("port", "unit_id").distinct().select("port", "unit_id", (F.col("unit_id") * 3).alias("s0"), (F.col("unit_id") * 3 + 100).alias("s1"), F.lit(0.01).alias("y0"), F.lit(0.05).alias("y1"))
+    return E.box_delete(spikes, boxes).select("port", "unit_id", "sample_idx")
+
+
+@query(_SRC + " select port, unit_id, sample_idx from spk union select port, unit_id, sample_idx from peaks where sample_idx >= unit_id * 3 and sample_idx < unit_id * 3 + 100 and s * s between 0.001 and 0.02")
+def box_add(s, d):
+    sq, spikes = sources(s, d)
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    peaks = D.local_maxima(src).withColumn("height", F.col("s") * F.col("s"))
+    boxes = spikes.select("port", "unit_id").distinct().select("port", "unit_id", (F.col("unit_id") * 3).alias("s0"), (F.col("unit_id") * 3 + 100).alias("s1"), F.lit(0.001).alias("y0"), F.lit(0.02).alias("y1"))
+    return E.box_add(spikes, peaks, boxes)
+
+
+def _clicks(x):
+    return x.select("port", "unit_id").distinct().withColumn("at", F.explode(F.array(F.lit(20), F.lit(150), F.lit(333))))
+
+
+@query(_SRC + ", ck as (select distinct port, unit_id, ck_at from spk, (values (20), (150), (333)) v(ck_at)), hit as (select port, unit_id, sample_idx from (select spk.port, spk.unit_id, spk.sample_idx, row_number() over (partition by spk.unit_id, ck_at order by abs(sample_idx - ck_at), sample_idx) as k from spk join ck on spk.unit_id = ck.unit_id) where k = 1) select port, unit_id, sample_idx from spk where not exists (select 1 from hit where hit.unit_id = spk.unit_id and hit.sample_idx = spk.sample_idx)")
+def delete_at(s, d):
+    spikes = sources(s, d)[1]
+    return E.delete_at(spikes, _clicks(spikes)).select("port", "unit_id", "sample_idx")
+
+
+@query(_SRC + ", ck as (select distinct port, unit_id, ck_at from spk, (values (20), (150), (333)) v(ck_at)), hit as (select port, unit_id, sample_idx from (select peaks.port, peaks.unit_id, peaks.sample_idx, row_number() over (partition by peaks.unit_id, ck_at order by abs(sample_idx - ck_at), sample_idx) as k from peaks join ck on peaks.unit_id = ck.unit_id where abs(sample_idx - ck_at) <= 5) where k = 1) select port, unit_id, sample_idx from spk union select * from hit")
+def add_at(s, d):
+    spikes = sources(s, d)[1]
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    return E.add_at(spikes, D.local_maxima(src), _clicks(spikes), 5)
+
+
+@query("select 'P' || cast(user_id % 3 as varchar) as port, user_id as unit_id, count(*) % 2 = 1 as flagged from events where event_type = 'error' group by 1, 2")
+def toggle_flags(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'")
+    return E.toggle_flags(e.select(F.concat(F.lit("P"), (F.col("user_id") % 3).cast("string")).alias("port"), F.col("user_id").alias("unit_id")))
+
+
+_UNITS = _PROPS + ", units as (select port, unit_id, sil, pnr_db, n_spikes, n_spikes % 4 = 0 as flagged, n_spikes % 3 <> 0 as has_properties from props), fu as (select port, unit_id, flagged or (has_properties and (sil is null or sil < 0.9)) as flagged from units), kept as (select port, unit_id, row_number() over (partition by port order by unit_id) - 1 as new_id from fu where not flagged)"
+
+
+def _units(s, d):
+    return _props(s, d).withColumns({"flagged": F.col("n_spikes") % 4 == 0, "has_properties": F.col("n_spikes") % 3 != 0})
+
+
+@query(_UNITS + " select * from fu")
+def flag_unreliable(s, d):
+    return E.flag_unreliable(_units(s, d)).select("port", "unit_id", "flagged")
+
+
+@query(_UNITS + " select * from kept")
+def delete_flagged(s, d):
+    return E.delete_flagged(E.flag_unreliable(_units(s, d))).select("port", "unit_id", "new_id")
+
+
+_STEPS = ", steps as (select port, row_number() over (partition by port order by sample_idx, unit_id) as step, case when sample_idx % 4 = 0 then null else unit_id end as unit_id from spikes_ev)"
+
+
+@query(_UNITS + _STEPS + " select s.port, row_number() over (partition by s.port order by step) as step, k.new_id as unit_id from steps s left join kept k on s.port = k.port and s.unit_id = k.unit_id where s.unit_id is null or k.new_id is not null")
+def remap_peel_sequence(s, d):
+    from pyspark.sql import Window
+
+    steps = ev(s, d).select("port", F.row_number().over(Window.partitionBy("port").orderBy("sample_idx", "unit_id")).alias("step"), F.when(F.col("sample_idx") % 4 != 0, F.col("unit_id")).alias("unit_id"))
+    return E.remap_peel_sequence(steps, E.delete_flagged(E.flag_unreliable(_units(s, d))))
+
+
+@query(_STATS + ", u as (select distinct port, unit_id from spikes_ev) select port, unit_id, row_number() over (order by first nulls last, port, unit_id) - 1 as rank from u left join stats using (port, unit_id)")
+def order_units(s, d):
+    x = ev(s, d)
+    return E.order_units(x, x.select("port", "unit_id").distinct(), FS)
+
+
+@query(_STATS + f", u as (select port, unit_id, row_number() over (order by unit_id, port) - 1 as rank from stats) select rank, round(sample_idx / {FS}, 6) as t from u join spikes_ev using (port, unit_id)")
+def raster(s, d):
+    x = ev(s, d)
+    return E.raster(x, E.order_units(x, x.select("port", "unit_id").distinct(), FS, "id"), FS).select("rank", r6("t"))
+
+
+@query(ctes("spikes_ev") + " select distinct port, unit_id, cast(round_even(sample_idx / 250.0, 0) as bigint) as sample_idx from spikes_ev")
+def rebin_spikes(s, d):
+    return E.rebin_spikes(ev(s, d), FS)
+
+
+_RATE = ctes("spikes_ev") + ", bins as (select distinct port, unit_id, cast(round_even(sample_idx / 2500.0, 0) as bigint) as b from spikes_ev), rates as (select port, unit_id, b + o as bin, sum(100 * 2.0 / 100 * pow(cos(3.141592653589793 * o / 100), 2)) as rate from bins, range(-50, 50) as r(o) group by 1, 2, 3)"
+
+
+@query(_RATE + " select port, unit_id, bin, round(rate, 6) as rate from rates")
+def inst_discharge_rate(s, d):
+    return E.inst_discharge_rate(E.rebin_spikes(ev(s, d), FS, 100.0), 100).select("port", "unit_id", "bin", r6("rate"))
+
+
+@query(_RATE + " select bin, round(sum(rate), 6) as cst from rates group by 1")
+def cumulative_spike_train(s, d):
+    return E.cumulative_spike_train(E.inst_discharge_rate(E.rebin_spikes(ev(s, d), FS, 100.0), 100)).select("bin", r6("cst"))
+
+
+_GAIN = ctes("spikes_ev", "force_hr") + f", sp as (select port, unit_id, sample_idx // 3600 as sample_idx from spikes_ev), i as (select *, sample_idx - lag(sample_idx) over (partition by port, unit_id order by sample_idx) as isi from sp), g as (select port, unit_id, min(sample_idx) as first, 1 / avg(greatest(isi / 100.0, 0.01)) as mean_rate from i group by 1, 2 having count(*) >= 2), e as (select min(sample_idx) as lo, max(sample_idx) as hi from force_hr), gain as (select port, unit_id, x as force, mean_rate from g, e, force_hr f where f.sample_idx = least(greatest(first, lo), hi))"
+
+
+def _gain(s, d):
+    return E.recruitment_gain(ev(s, d).withColumn("sample_idx", F.floor(F.col("sample_idx") / 3600)), load(s, d, "force_hr"), 100.0)
+
+
+@query(_GAIN + " select port, unit_id, round(force, 6) as force, round(mean_rate, 6) as mean_rate from gain")
+def recruitment_gain(s, d):
+    return _gain(s, d).select("port", "unit_id", r6("force"), r6("mean_rate"))
+
+
+@query(_GAIN + " select count(*) as n, round(case when count(*) >= 3 then regr_slope(mean_rate, force) end, 6) as slope, round(case when count(*) >= 3 then regr_intercept(mean_rate, force) end, 6) as intercept from gain")
+def gain_regression(s, d):
+    return E.gain_regression(_gain(s, d)).select("n", r6("slope"), r6("intercept"))
+
+
+_FORCE = ctes("force_hr") + ", b as (select channel, quantile_cont(x, 0.02) as base, max(x) as top from force_hr group by 1), pct as (select f.*, (x - base) / greatest(top - base, 1e-9) * 100 as percent, base, top from force_hr f join b using (channel))"
+
+
+@query(_FORCE + " select channel, sample_idx, round(x, 6) as x, round(percent, 6) as percent from pct")
+def normalise_force(s, d):
+    return D.normalise_force(load(s, d, "force_hr")).select("channel", "sample_idx", r6("x"), r6("percent"))
+
+
+@query(_FORCE + " select channel, round(top, 6) as peak, round(base, 6) as baseline, round(top - base, 6) as net from b")
+def force_report(s, d):
+    return D.force_report(load(s, d, "force_hr")).select("channel", r6("peak"), r6("baseline"), r6("net"))
+
+
+@query(_FORCE + " select round(max(p), 6) as force_peak from (select channel, quantile_cont(greatest(percent, 0), 0.99) as p from pct group by 1)")
+def force_peak(s, d):
+    return D.force_peak(D.normalise_force(load(s, d, "force_hr"))).select(r6("force_peak"))
+
+
+TOL = 3600
+_ROA = ctes("spikes_ev") + f", n as (select port, unit_id, count(distinct sample_idx) as n from spikes_ev group by 1, 2), m as (select a.port as port_a, a.unit_id as unit_a, b.port as port_b, b.unit_id as unit_b, count(distinct a.sample_idx) as matched from spikes_ev a join spikes_ev b on b.sample_idx between a.sample_idx - {TOL} and a.sample_idx + {TOL} where not (a.port = b.port and a.unit_id = b.unit_id) group by 1, 2, 3, 4), roa as (select m.*, matched / (x.n + y.n - matched) as roa from m join n x on x.port = port_a and x.unit_id = unit_a join n y on y.port = port_b and y.unit_id = unit_b), within as (select port_a as port, least(unit_a, unit_b) as unit_a, greatest(unit_a, unit_b) as unit_b, max(roa) as score from roa where port_a = port_b group by 1, 2, 3 having max(roa) >= 0.03), both_ as (select port, unit_a as unit_id, unit_b as other from within union all select port, unit_b, unit_a from within)"
+
+
+def _roa(s, d):
+    return G.rate_of_agreement(ev(s, d), TOL)
+
+
+@query(_ROA + " select port_a, unit_a, port_b, unit_b, matched, round(roa, 6) as roa from roa")
+def rate_of_agreement(s, d):
+    return _roa(s, d).select("port_a", "unit_a", "port_b", "unit_b", "matched", r6("roa"))
+
+
+@query(_ROA + " select port, unit_a, unit_b, round(score, 6) as score from within")
+def within_port_duplicates(s, d):
+    return G.within_port_duplicates(_roa(s, d), 0.03).select("port", "unit_a", "unit_b", r6("score"))
+
+
+@query(_ROA + " select port_a, unit_a, port_b, unit_b, round(roa, 6) as score from roa where port_a < port_b and roa >= 0.03")
+def cross_port_duplicates(s, d):
+    return G.cross_port_duplicates(_roa(s, d), 0.03).select("port_a", "unit_a", "port_b", "unit_b", r6("score"))
+
+
+_ROLES = _ROA + _PROPS[len("with ") + _PROPS[len("with ") :].index(", isi as") :] + ", kq as (select port, unit_id, row_number() over (partition by port order by coalesce(sil, -1e300), coalesce(pnr_db, -1e300), n_spikes, -unit_id) as q from props), best as (select b.port, b.unit_id, max(o.q) as best from both_ b join kq o on o.port = b.port and o.unit_id = b.other group by 1, 2), roles as (select b.port, b.unit_id, case when q >= best then 'keep' else 'delete' end as role from best b join kq using (port, unit_id))"
+
+
+def _roles(s, d):
+    return G.assign_roles(_props(s, d), G.within_port_duplicates(_roa(s, d), 0.03))
+
+
+@query(_ROLES + " select * from roles")
+def assign_roles(s, d):
+    return _roles(s, d)
+
+
+@query(_ROLES + " select port, string_agg(cast(unit_id as varchar), ',' order by unit_id) as deleted from roles where role = 'delete' group by 1")
+def duplicate_report(s, d):
+    return G.duplicate_report(_roles(s, d))
+
+
+@query("select user_id as unit_id, event_id % 2 = 0 and not (event_id % 3 = 0 and not event_id % 5 = 0) as flagged, event_id from events")
+def clear_roles(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("unit_id"), "event_id", (F.col("event_id") % 2 == 0).alias("flagged"), F.when(F.col("event_id") % 3 == 0, "delete").alias("within_role"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("keep").alias("cross_role"))
+    return G.clear_roles(e, "within").select("unit_id", "flagged", "event_id")
+
+
+_EMB = ctes("samples_emb")
+
+
+@query(_EMB + " select channel, sample_idx, round(x - lag(x) over (partition by channel order by sample_idx), 6) as dx from samples_emb")
+def time_differentiate(s, d):
+    return D.time_differentiate(emb(s, d), 128).select("channel", "sample_idx", r6("dx"))
+
+
+@query(_EMB + " select cast(channel + k * 64 as int) as channel, sample_idx + k as sample_idx, round(x, 6) as x from samples_emb, range(0, 4) r(k) where sample_idx + k <= (select max(sample_idx) from samples_emb)")
+def extend_channels(s, d):
+    return D.extend(emb(s, d), 4, 64).select("channel", "sample_idx", r6("x"))
+
+
+@query(_EMB + " select a.channel as i, b.channel as j, round(covar_samp(a.x, b.x), 6) as cov from samples_emb a join samples_emb b using (sample_idx) where a.channel <= b.channel group by 1, 2")
+def channel_covariance(s, d):
+    return D.channel_covariance(emb(s, d)).select("i", "j", r6("cov"))
+
+
+@query()
+def whiten(s, d):
+    x = emb(s, d)
+    return D.apply_matrix(x, D.whitening_matrix(D.channel_covariance(x))).select("channel", "sample_idx", r6("x"))
+
+
+_FILT = _EMB + ", f as (select cast(k as bigint) as unit_id, cast(c as int) as channel, sin(k * 7 + c) as w from range(0, 5) a(k), range(0, 64) b(c))"
+
+
+def _filters(s):
+    return s.range(5).select(F.col("id").alias("unit_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("channel")).withColumn("w", F.sin(F.col("unit_id") * 7 + F.col("channel")))
+
+
+@query(_FILT + ", raw as (select unit_id, sample_idx, sum(w * x) as s from samples_emb join f using (channel) group by 1, 2), n as (select unit_id, avg(s) as m, greatest(stddev_samp(s), 1e-8) as sd from raw where sample_idx >= 50 and sample_idx < 400 group by 1) select unit_id, sample_idx, round((s - m) / sd, 5) as s from raw join n using (unit_id)")
+def apply_unit_filter(s, d):
+    return D.apply_unit_filter(emb(s, d), _filters(s), 50, 400).select("unit_id", "sample_idx", F.round("s", 5).alias("s"))
+
+
+@query(_FILT + " select a.unit_id as sample_idx, cast((a.channel % 8) as bigint) as channel, round(sum(a.w * sin(a.channel % 8 + b.c)), 5) as x from f a, range(0, 1) b(c) group by 1, 2")
+def dewhiten_filters(s, d):
+    f = _filters(s).select(F.col("unit_id").alias("sample_idx"), "channel", F.col("w").alias("x"))
+    m = s.range(64).select((F.col("id") % 8).alias("i"), F.col("id").alias("j"), F.sin((F.col("id") % 8).cast("double")).alias("v"))
+    return D.apply_matrix(f, m).select("sample_idx", "channel", F.round("x", 5).alias("x"))
+
+
+@query(_EMB + ", r as (select sample_idx, sqrt(avg(x * x)) as r from samples_emb group by 1) select sample_idx, round(sum(r) over (order by sample_idx rows between 10 preceding and 9 following) / 20, 6) as envelope from r")
+def rms_envelope(s, d):
+    return D.rms_envelope(emb(s, d), 20).select("sample_idx", r6("envelope"))
+
+
+@query(_EMB + ", v as (select sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) as sd from samples_emb) select round(sd, 6) as std, round(case when sd > 0 then 15 * sd else 1 end, 6) as separation from v")
+def pooled_std(s, d):
+    return D.pooled_std(emb(s, d)).select(r6("std"), r6("separation"))
+
+
+@query(_SRC + " select port, unit_id, sample_idx, round(s, 6) as s from peaks")
+def local_maxima(s, d):
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    return D.local_maxima(src).select("port", "unit_id", "sample_idx", r6("s"))
+
+
+@query()
+def find_peaks(s, d):
+    return D.find_peaks(sources(s, d)[0], 12).select("port", "unit_id", "sample_idx", r6("s"))
+
+
+@query()
+def source_to_timestamps(s, d):
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    return D.source_to_timestamps(src, 12).select("port", "unit_id", "sample_idx", r6("height"))
+
+
+@query(_SRC + ", pk as (select *, s > 0.1 as is_spike, s * s as q from peaks), c as (select port, unit_id, avg(q) filter (is_spike) as a, avg(q) filter (not is_spike) as b from pk group by 1, 2) select port, unit_id, round(a, 6) as spike_centroid, round(b, 6) as noise_centroid, round(max((bb - ww) / greatest(bb, ww)), 6) as sil from (select c.*, sum(pow(q - a, 2)) filter (is_spike) as ww, sum(pow(q - b, 2)) filter (is_spike) as bb from c join pk using (port, unit_id) group by c.port, c.unit_id, a, b) group by 1, 2, a, b")
+def centroids(s, d):
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    pk = D.local_maxima(src).select("port", "unit_id", (F.col("s") > 0.1).alias("is_spike"), (F.col("s") * F.col("s")).alias("s"))
+    return D.centroids(pk).select("port", "unit_id", r6("spike_centroid"), r6("noise_centroid"), r6("sil"))
+
+
+@query(_SRC + " select src.port, src.unit_id, round(10 * log10(avg(src.s * src.s) filter (spk.sample_idx is not null) / avg(src.s * src.s) filter (spk.sample_idx is null)), 6) as pnr_db from src left join spk on src.unit_id = spk.unit_id and src.sample_idx = spk.sample_idx group by 1, 2")
+def pnr_db(s, d):
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    return D.pnr_db(src, sources(s, d)[1]).select("port", "unit_id", r6("pnr_db"))
+
+
+_STA = ctes("samples_emb", "spikes_lab") + f", e as (select min(sample_idx) as lo, max(sample_idx) as hi from samples_emb), sta as (select unit_id, channel, off, avg(x) as v from (select unit_id, o as off, sample_idx + o as t from spikes_lab, e, range(-{HALF}, {HALF + 1}) r(o) where sample_idx - {HALF} >= lo and sample_idx + {HALF} <= hi) w join samples_emb on samples_emb.sample_idx = t group by 1, 2, 3)"
+
+
+def _sta(s, d):
+    return D.spike_triggered_average(emb(s, d), load(s, d, "spikes_lab"), HALF)
+
+
+@query(_STA + " select unit_id, channel, cast(off as int) as off, round(v, 6) as v from sta")
+def spike_triggered_average(s, d):
+    return _sta(s, d).select("unit_id", "channel", "off", r6("v"))
+
+
+@query(_STA + ", p as (select channel, s.sample_idx + off as sample_idx, sum(v) as v from spikes_lab s join sta using (unit_id) group by 1, 2) select a.channel, a.sample_idx, round(x - coalesce(v, 0), 6) as x from samples_emb a left join p on a.channel = p.channel and a.sample_idx = p.sample_idx")
+def peel_off(s, d):
+    return D.peel_off(emb(s, d), load(s, d, "spikes_lab"), HALF).select("channel", "sample_idx", r6("x"))
+
+
+@query()
+def recalculate_filter(s, d):
+    return D.recalculate_filter(emb(s, d), load(s, d, "spikes_lab"), 0, 400).select("unit_id", "sample_idx", r6("s"))
+
+
+@query(_STA + ", a as (select unit_id, channel, max(v) - min(v) as p, sum(v * v) as e, sum(d) as l from (select *, abs(v - lag(v) over (partition by unit_id, channel order by off)) as d from sta) group by 1, 2) select unit_id, round(max(p), 6) as muap_ptp, round(max(e), 6) as muap_energy, round(max(l), 6) as muap_waveform_length from a group by 1")
+def muap_features(s, d):
+    return D.muap_features(_sta(s, d)).select("unit_id", r6("muap_ptp"), r6("muap_energy"), r6("muap_waveform_length"))
+
+
+@query()
+def center_muap(s, d):
+    return D.center_muap(_sta(s, d)).select("unit_id", "channel", "off", r6("v"))
+
+
+@query()
+def muap_spectrum(s, d):
+    return D.muap_spectrum(_sta(s, d), 2048.0).select("unit_id", r6("muap_peak_freq"), r6("muap_median_freq"), r6("muap_mean_freq"))
+
+
+@query(_EMB + ", n as (select channel, greatest(1, count(*) // 100) as k from samples_emb group by 1) select channel, sample_idx, round(x, 6) as x from samples_emb join n using (channel) where sample_idx % k = 0")
+def decimate(s, d):
+    return D.decimate(emb(s, d), 100).select("channel", "sample_idx", r6("x"))
+
+
+@query()
+def bandpass_notch(s, d):
+    return D.bandpass_notch(emb(s, d), 2048.0, 20.0, 500.0, 50.0).select("channel", "sample_idx", r6("x"))
+
+
+@query()
+def replace_bad_channels(s, d):
+    bad = emb(s, d).select("channel").distinct().filter("channel % 9 = 0")
+    return D.replace_bad_channels(emb(s, d), bad).select("channel", "sample_idx", r6("x"))
+
+
+@query(_EMB + " select channel, sample_idx, (sample_idx between 20 and 40 or sample_idx = 102) as inside from samples_emb where (sample_idx between 20 and 40 or sample_idx = 102)")
+def replace_time_masks(s, d):
+    m = s.createDataFrame([(2.0, 4.1), (10.2, 10.2)], "t0_s double, t1_s double")
+    x = emb(s, d)
+    changed = D.replace_time_masks(x, m, 10.0).withColumnRenamed("x", "y").join(x, ["channel", "sample_idx"]).filter("x <> y")
+    return changed.select("channel", "sample_idx", F.lit(True).alias("inside"))
+
+
+@query(_EMB + " select cast(channel - 8 as int) as channel, sample_idx, round(x, 6) as x from samples_emb where channel >= 8 and channel < 24")
+def select_channels(s, d):
+    return C.select_channels(emb(s, d), [8, 24]).select("channel", "sample_idx", r6("x"))
+
+
+@query(_EMB + f", t as (select max(sample_idx) as j, max(channel) as i from samples_emb) select cast(case when j >= i then channel else sample_idx end as bigint) as channel, cast(case when j >= i then sample_idx else channel end as bigint) as sample_idx, round(x / 2048.0, 6) as x from samples_emb, t")
+def orient_and_time(s, d):
+    x = C.orient(emb(s, d).select(F.col("channel").cast("long").alias("j"), F.col("sample_idx").alias("i"), "x"))
+    return C.time_axis(x, 2048.0).select("channel", "sample_idx", r6(F.col("x") / 2048.0, "x"))
+
+
+@query("select '0' as port, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag = 'R') - 1 as int) as channel, l_orderkey as file_id, l_returnflag = 'R' as rejected from lineitem")
+def parse_rejections(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.to_json(F.create_map(F.lit("0"), F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("r")))), lambda v: v["r"]))).alias("doc"))
+    return C.parse_rejections(x.select(F.col("l_orderkey").alias("file"), "doc")).select("port", "channel", F.col("file").alias("file_id"), "rejected")
+
+
+@query(ctes("masks") + " select port, channel, bool_or(rejected) as rejected from masks group by 1, 2")
+def or_masks(s, d):
+    return C.or_masks(load(s, d, "masks"))
+
+
+@query(ctes("masks") + ", t as (select port, channel, sum(rejected::int) as n from masks group by 1, 2) select file_id, port, channel, n - rejected::int > 0 as rejected from masks join t using (port, channel)")
+def inherited_masks(s, d):
+    return C.inherited_masks(load(s, d, "masks"))
+
+
+@query(ctes("masks") + " select port, string_agg(cast(channel as varchar), ',' order by channel) as channels from (select distinct port, channel from masks where rejected) group by 1")
+def mask_union_report(s, d):
+    return C.mask_union_report(load(s, d, "masks"))
+
+
+@query(ctes("masks") + ", f as (select port, channel, arg_min(rejected, file_id) as rejected from masks group by 1, 2) select file_id, port, channel, f.rejected from masks join f using (port, channel)")
+def shared_masks(s, d):
+    return C.shared_masks(load(s, d, "masks"))
+
+
+_OFF = ctes("file_len") + ', o as (select *, coalesce(sum(n_samples) over (partition by grp order by file_id rows between unbounded preceding and 1 preceding), 0) as "offset" from file_len)'
+
+
+@query(_OFF + ' select grp, file_id, n_samples, cast("offset" as bigint) as start_offset from o')
+def file_offsets(s, d):
+    return C.file_offsets(load(s, d, "file_len")).withColumnsRenamed({"group": "grp", "offset": "start_offset"})
+
+
+@query(_OFF + ' select o.grp, cast(l_linenumber % 3 as int) as channel, cast(l_orderkey + o."offset" as bigint) as sample_idx, round(cast(l_quantity as double), 6) as x from lineitem join o on o.file_id = l_suppkey')
+def concat_recordings(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("file_id"), (F.col("l_linenumber") % 3).cast("int").alias("channel"), F.col("l_orderkey").alias("sample_idx"), F.col("l_quantity").cast("double").alias("x"))
+    return C.concat_recordings(x, C.file_offsets(load(s, d, "file_len"))).withColumnRenamed("group", "grp").select("grp", "channel", "sample_idx", r6("x"))
+
+
+@query(_OFF + ' select grp, file_id, round(1.5 + "offset" / 100.0, 6) as t0_s, round(2.5 + "offset" / 100.0, 6) as t1_s from o')
+def offset_time_masks(s, d):
+    o = C.file_offsets(load(s, d, "file_len"))
+    m = o.select("file_id", F.lit(1.5).alias("t0_s"), F.lit(2.5).alias("t1_s"))
+    return C.offset_time_masks(m, o, 100.0).withColumnRenamed("group", "grp").select("grp", "file_id", r6("t0_s"), r6("t1_s"))
+
+
+_GRID = "with g as (select s_suppkey as idx, case when s_nationkey % 4 <> 0 then s_nationkey * 8 end as n_channels, s_nationkey % 3 = 0 as is_hd from supplier), a as (select *, cast(coalesce(sum(coalesce(n_channels, 64) + case when is_hd then 6 else 0 end) over (order by idx rows between unbounded preceding and 1 preceding), 0) as bigint) as s0 from g)"
+
+
+def _grids(s, d):
+    return s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey") * 8).alias("n_channels"), (F.col("s_nationkey") % 3 == 0).alias("is_hd"))
+
+
+@query(_GRID + " select idx, s0 as start_chan, cast(s0 + coalesce(n_channels, 64) as bigint) as end_chan from a")
+def allocate_channels(s, d):
+    return C.allocate_channels(_grids(s, d)).select("idx", F.col("start").alias("start_chan"), F.col("end").alias("end_chan"))
+
+
+@query("with g as (select s_suppkey as idx, s_suppkey * 7 % 100 as a, s_suppkey * 7 % 100 + s_nationkey as z from supplier) select idx, 'beyond' as problem from g where z > 100 union all select idx, 'empty' from g where a >= z union all select distinct x.idx, 'overlap' from g x join g y on x.a < y.z and y.a < x.z and x.idx > y.idx")
+def validate_ranges(s, d):
+    g = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), (F.col("s_suppkey") * 7 % 100).alias("start")).join(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), "s_nationkey"), "idx")
+    return C.validate_ranges(g.select("idx", "start", (F.col("start") + F.col("s_nationkey")).alias("end")), 100)
+
+
+@query("with c as (select l_suppkey as port, l_orderkey * 8 + l_linenumber as local_idx, l_returnflag = 'R' as rejected from lineitem) select port, local_idx, rejected, cast(local_idx // 8 as int) as row, cast(local_idx % 8 as bigint) as col, cast(case when not rejected then sum(case when rejected then 0 else 1 end) over (partition by port order by local_idx) - 1 end as bigint) as dense_idx from c")
+def grid_layout(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("port"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("local_idx"), (F.col("l_returnflag") == "R").alias("rejected"))
+    return C.grid_layout(x, 8)
+
+
+@query(_OFF + " select file_id as recording_id, cast(least(greatest(round_even(1.25 * 10, 0), 0), n_samples - 1) as bigint) as start_, cast(greatest(least(round_even(4.55 * 10, 0), n_samples), least(greatest(round_even(1.25 * 10, 0), 0), n_samples - 1) + 1) as bigint) as stop_ from o")
+def crop_window(s, d):
+    i = load(s, d, "file_len").select(F.col("file_id").alias("recording_id"), "n_samples")
+    return C.crop_window(i, 4.55, 1.25, 10.0).select("recording_id", F.col("start").alias("start_"), F.col("stop").alias("stop_"))
+
+
+@query("select l_suppkey as recording_id, max(l_orderkey) + 1 as n_samples, count(distinct l_linenumber) as n_channels, round((max(l_orderkey) + 1) / 100.0, 6) as seconds, round(max(cast(l_quantity as double)), 6) as mvc from lineitem group by 1")
+def recording_info(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").alias("channel"), F.col("l_orderkey").alias("sample_idx"), F.col("l_quantity").cast("double").alias("x"))
+    return C.recording_info(x, 100.0).select("recording_id", "n_samples", "n_channels", r6("seconds"), r6("mvc"))
+
+
+@query(ctes("spikes_ev") + " select port, unit_id, sample_idx - 500000 as sample_idx from spikes_ev where sample_idx >= 500000 and sample_idx < 1500000 and unit_id % 4 <> 0")
+def active_plateau_spikes(s, d):
+    x = ev(s, d)
+    return C.to_local(C.active_units(x, x.filter("unit_id % 4 = 0").select("port", "unit_id").distinct()), 500_000, 1_500_000).drop("height")
+
+
+@query(_EMB + " select 'A' || cast(k as varchar) as name, channel, sample_idx, round(x, 6) as x from samples_emb join (select k, k * 10 as a, k * 10 + k as z from range(0, 5) r(k)) on channel >= a and channel < z")
+def extract_aux(s, d):
+    aux = s.range(5).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("name"), (F.col("id") * 10).cast("int").alias("start_chan"), (F.col("id") * 11).cast("int").alias("end_chan"))
+    return C.extract_aux(emb(s, d), aux).select("name", "channel", "sample_idx", r6("x"))
+
+
+@query("with p as (select 'G' || cast(c % 4 as varchar) as port, cast(c as int) as channel from range(0, 70) r(c)), s as (select distinct cast(u.i - 1 as int) as channel from embeddings, unnest(range(1, 65)) as u(i)) select port, channel, channel in (select channel from s) as present from p")
+def port_channels(s, d):
+    x = emb(s, d)
+    ports = s.range(70).select(F.concat(F.lit("G"), (F.col("id") % 4).cast("string")).alias("port"), F.col("id").cast("int").alias("channel"))
+    have = C.port_channels(x, ports).select("port", "channel").distinct().withColumn("present", F.lit(True))
+    return have.unionByName(C.missing_channels(x, ports).select("port", "channel", F.lit(False).alias("present")))
+
+
+@query("with f as (select o_custkey as grp, row_number() over (partition by o_custkey order by o_orderkey) - 1 as place, cast(cast(o_orderdate as date) as varchar) as file from orders), u as (select file, min((grp, place)) as at_ from f group by 1) select cast(file as varchar) as file, row_number() over (order by at_) as nr from u where cast(file as varchar) not like '%-01'")
+def manifest_files(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    m = o.groupBy(F.col("o_custkey").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderdate"))), lambda v: v["o_orderdate"].cast("date").cast("string")).alias("files")).withColumn("subject", F.lit("sub-01"))
+    rows = C.expand_manifest(m)
+    return C.distinct_files(C.skip_inspected(rows, rows.filter("file like '%-01'").select("file").distinct()))
+
+
+_NAMES = "select 'sub-01_day-01_task-trap_mvc-' || cast(l_linenumber as varchar) || case when l_returnflag = 'R' then 'ext' else 'flex' end || '_fing-' || case l_linestatus when 'O' then 'IM' else 'T' end || '_' || cast(l_orderkey as varchar) as name, case when l_returnflag = 'R' then 'ext' else 'flex' end as target, l_linestatus from lineitem"
+
+
+def _names(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet")
+    return x.select(F.concat(F.lit("sub-01_day-01_task-trap_mvc-"), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "R", "ext").otherwise("flex"), F.lit("_fing-"), F.when(F.col("l_linestatus") == "O", "IM").otherwise("T"), F.lit("_"), F.col("l_orderkey").cast("string")).alias("name"))
+
+
+@query(f"with n as ({_NAMES}) select name, target, finger from n, (values ('O', 'index'), ('O', 'middle'), ('F', 'thumb')) v(k, finger) where (l_linestatus = 'O') = (k = 'O')")
+def parse_task(s, d):
+    return C.parse_task(_names(s, d))
+
+
+@query(f"with n as ({_NAMES}), t as (select name as file, finger || ' ' || target as unit from n, (values ('O', 'index'), ('O', 'middle'), ('F', 'thumb')) v(k, finger) where (l_linestatus = 'O') = (k = 'O')), a as (select name as file, unit from n, (values ('index ext'), ('thumb flex')) u(unit)), h as (select a.*, exists (select 1 from t where t.file = a.file and t.unit = a.unit) as hit from a) select distinct file, unit from (select *, bool_or(hit) over (partition by file) as anyhit from h) where hit or not anyhit")
+def select_aux_for_task(s, d):
+    n = _names(s, d)
+    aux = n.select(F.col("name").alias("file"), F.explode(F.array(F.lit("index ext"), F.lit("thumb flex"))).alias("unit"))
+    return C.select_aux_for_task(aux, C.parse_task(n)).distinct().select("file", "unit")
+
+
+@query("with a as (select c_name as name, c_mktsegment as unit, case when c_custkey % 3 = 0 then null when c_custkey % 3 = 1 then 0.25 else c_custkey * 1.0 end as mvc, c_custkey from customer), cn as (select c_name as name, c_custkey * 2.0 as m from customer where c_custkey % 2 = 0), cu as (select c_mktsegment as unit, max(c_custkey * 2.0) as m from customer where c_custkey % 2 = 0 group by 1) select name, unit, round(cast(case when v > 0 and v < 1 then v * 1000 else v end as double), 6) as mvc from (select a.name, a.unit, coalesce(a.mvc, cn.m, cu.m) as v from a left join cn using (name) left join cu on cu.unit = a.unit)")
+def normalise_aux(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet")
+    k = F.col("c_custkey")
+    a = c.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("unit"), F.when(k % 3 == 0, None).when(k % 3 == 1, 0.25).otherwise(k * 1.0).alias("mvc"))
+    conf = c.filter(k % 2 == 0).select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("unit"), (k * 2.0).alias("mvc"))
+    return C.normalise_aux(a, conf).select("name", "unit", r6("mvc"))
+
+
+@query(ctes("spikes_ev") + ", u as (select distinct port, unit_id from spikes_ev) select port, unit_id, unit_id % 5 = 0 and unit_id % 2 = 0 as flagged, case when unit_id % 5 = 0 then 'note ' || cast(unit_id as varchar) else '' end as notes from u")
+def restore_notes(s, d):
+    u = ev(s, d).select("port", "unit_id").distinct()
+    return C.restore_notes(u, u.filter("unit_id % 5 = 0").select("port", "unit_id", (F.col("unit_id") % 2 == 0).alias("flagged"), F.concat(F.lit("note "), F.col("unit_id").cast("string")).alias("notes")))
+
+
+@query()
+def fold_edit_log(s, d):
+    return L.fold_edit_log(load(s, d, "edit_log"))
+
+
+def _stream_dir(s, d):
+    s.conf.set("spark.sql.streaming.schemaInference", "true")
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("unit_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("select user_id as unit_id, date_trunc('hour', ts)::timestamp as start_, count(*) as n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / nullif(count(*) - 1, 0), 6) as mean_isi_s from events group by 1, 2")
+def firing_windows(s, d):
+    return L.stream_firing_metrics(_stream_dir(s, d)).select("unit_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n", r6("mean_isi_s"))
+
+
+@query("with g as (select user_id as unit_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as new_ from events window w as (partition by user_id order by ts)), b as (select *, sum(new_) over (partition by unit_id order by ts rows between unbounded preceding and current row) as k from g) select unit_id, min(ts) as start_, count(*) as n from b group by unit_id, k")
+def burst_counts(s, d):
+    return L.burst_counts(_stream_dir(s, d)).select("unit_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n")
