@@ -39,10 +39,11 @@ _table: list[np.ndarray] = []
 
 
 def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points (letters lower-cased, others 0, one 0 after each text) and the n + 1 offsets of the texts."""
+    """Code points (letters lower-cased, others 0, a 0 before and after each text) and the n + 1 offsets of the texts,
+    each from the 0 before it, so that a text's n-grams don't depend on its neighbours."""
     if not _table:
         _table.append(_letters())
-    cps = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
+    cps = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
     off = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=off[1:])
     return _table[0][np.minimum(cps, 0x2FFFF)], off
