@@ -83,7 +83,7 @@ def read_recordings(spark: SparkSession, path: str, fmt: str, **options) -> Data
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A5: rows are samples, columns channels; the order of rows is that of the file (one task a file)."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("recording_id"), F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("sample_idx", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("recording_id"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("sample_idx", "line"))
     cells = lines.select("recording_id", F.col("sample_idx").cast("long"), F.posexplode(F.split("line", ",")).alias("channel", "v"))
     return cells.select("recording_id", F.lit("emg").alias("kind"), "channel", "sample_idx", F.expr("try_cast(v as double)").alias("x"))
 
