@@ -3,9 +3,10 @@
 A text's set is its distinct 5-word shingles (as 64-bit hashes). One permutation gives K bins; empty bins are filled by
 optimal densification (each tries bins in its own pseudo-random order until one has a value). Bands of the bins are
 buckets. In a bucket only edges to a centre are candidates, so a bucket of m sets gives m - 1 of them; each is
-confirmed on the full sets. Buckets that hold several components afterwards get further centres, round by round,
-until each is one component or each of its sets has been a centre: no link inside a bucket is lost, and no bucket is
-ever expanded into all its pairs at once.
+confirmed on the full sets. In a bucket that then holds several components, the sets outside its largest one become
+centres, CENTRES at most in a round, until all of them have been: every pair across components has such an end, so no
+link inside a bucket is lost, and no bucket is ever expanded into all its pairs. There a bound from BITS flags of each
+set, which no linked pair exceeds, is tested within the join, before full sets are fetched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from volley.llm.shared import join_small, materialize, mix64, text_buffer, text_groups, word_hashes
 
 WORDS = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 48, 8
+CENTRES, BITS = 64, 768
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +108,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS
 
 
 def full_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(node, shingles) of each text."""
+    """(node, shingles, bits) of each text; bits: BITS flags, number h modulo BITS is set for each hash h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +116,13 @@ def full_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
             for a, b in text_groups(off):
                 sets, at = shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], k)
                 node = [hashlib.blake2b(sets[x:y].view(np.uint8), digest_size=16).digest() for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["node", "shingles"])
+                flags = np.zeros((b - a, BITS), bool)
+                flags[np.repeat(np.arange(b - a), np.diff(at)), (sets % np.uint64(BITS)).astype(np.int64)] = True
+                words = np.packbits(flags, axis=1).view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (BITS // 64)), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))), bits], ["node", "shingles", "bits"])
 
-    return docs.select("text").mapInArrow(run, "node binary, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, shingles array<long>, bits array<long>")
 
 
 def components(edges: DataFrame, name: str = "comp") -> DataFrame:
@@ -148,12 +154,15 @@ def near_dedup(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int
     rows_ = materialize(sketch(docs, bands, rows, k), "sketch")
     nodes = rows_.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
     nodes = materialize(nodes, "nodes")
-    spread = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    spread = nodes.select("node", "n", "doc_id", F.explode("buckets").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     members = materialize(spread.join(shared.hint("merge"), "bucket"), "members")  # of buckets with two sets or more
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id").hint("merge"), "node").select("doc_id")
-    texts = join_small(docs.select("doc_id", "text"), materialize(wanted, "wanted"), "doc_id", "left_semi")
+    wanted = materialize(members.select("doc_id").distinct(), "wanted")
+    texts = join_small(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi")
     sets = materialize(full_sets(texts, k).dropDuplicates(["node"]), "sets")
+    # a set that shares large buckets is near many others (the original of many copies): it is the better centre
+    density = members.groupBy("node").agg(F.sum("m").alias("dense"))
+    members = materialize(members.select("bucket", "node", "n").join(density.hint("merge"), "node"), "members")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -164,32 +173,48 @@ def near_dedup(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int
     def fits(x: str, y: str) -> F.Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    sizes = members.select("node", "n").distinct()
-    start = members.filter("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).withColumnRenamed("node", "b")
-    start = start.join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b").join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").filter(fits("na", "nb"))
+    best = members.groupBy("bucket").agg(F.max(F.struct("dense", "node", "n")).alias("c"))
+    def may_link() -> F.Column:
+        """Exact bound: each flag of one set only is an element of that set only, so the sets share at most n - flags."""
+        both = sum((F.bit_count(F.col(f"fa{k}").bitwiseAND(F.col(f"fb{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("fa0").bitwiseAND(F.col("fb0"))))
+        most = F.least(F.col("na") - F.col("fa") + both, F.col("nb") - F.col("fb") + both)
+        return most * 100 >= (F.col("na") + F.col("nb") - most) * percent
+
+    def flags(end: str) -> DataFrame:
+        one = [F.get("bits", F.lit(k)) for k in range(BITS // 64)]
+        return sets.select(F.col("node").alias(end), sum(map(F.bit_count, one[1:]), F.bit_count(one[0])).alias(f"f{end}"), *[x.alias(f"f{end}{k}") for k, x in enumerate(one)])
+
+    start = members.join(best.hint("merge"), "bucket").filter(F.col("node") != F.col("c.node")).groupBy("node", "n").agg(F.max("c").alias("c"))
+    start = start.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c.node").alias("a"), F.col("c.n").alias("na")).filter(fits("na", "nb"))
     tested = materialize(confirm(start.select("a", "b")), "tested")
-    links, used, centres, comp = tested.filter("linked"), None, 1, None
+    comp, used = components(tested.filter("linked").select("a", "b")), None
     while True:
-        comp = components(links.select("a", "b"))
-        live = members.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").drop("lo", "hi")
-        if used is not None:  # all pairs of a bucket have been seen once all but one of its sets were centres
-            open_ = open_.join(used.groupBy("bucket").agg(F.count("*").alias("u")), "bucket", "left").filter("m - coalesce(u, 0) >= 2")
-        live = materialize(live.join(open_.select("bucket").hint("merge"), "bucket"), "live")
-        if live.isEmpty():
+        # any pair across components has an end outside the bucket's largest component: those ends become centres
+        live = materialize(members.join(comp.hint("merge"), "node", "left").select("bucket", "node", "n", "dense", F.coalesce("comp", "node").alias("comp")), "live")
+        parts = live.groupBy("bucket", "comp").agg(F.count("*").alias("s")).groupBy("bucket").agg(F.max(F.struct("s", "comp"))["comp"].alias("big"), F.count("*").alias("parts"))
+        live = materialize(live.join(parts.filter("parts > 1").drop("parts").hint("merge"), "bucket"), "live")
+        small = live.filter("comp <> big")
+        if used is not None:
+            small = small.join(used.hint("merge"), ["bucket", "node"], "left_anti")
+        part = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+        chosen = small.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("dense", "node", "n", "comp")).alias("c"))
+        chosen = materialize(chosen.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca")), "chosen")
+        if chosen.isEmpty():
             break
-        free = live if used is None else live.join(used, ["bucket", "node"], "left_anti")
-        # `centres` new centres a bucket at most: the smallest of each of as many parts, dealt by the digest
-        part = F.pmod(F.xxhash64("node"), F.lit(centres))
-        chosen = free.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "n", "comp")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca"))
-        chosen = materialize(chosen, "chosen")
-        pairs = live.withColumnsRenamed({"node": "b", "n": "nb", "comp": "cb"}).join(chosen.hint("merge"), "bucket").filter((F.col("ca") != F.col("cb")) & fits("na", "nb"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        new = materialize(confirm(pairs), "tested")
+        one = chosen.join(flags("a").hint("merge"), "a")
+        two = live.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(flags("b").hint("merge"), "b")
+        pairs = two.join(one.hint("merge"), (two["bucket"] == one["bucket"]) & (F.col("ca") != F.col("cb")) & fits("na", "nb") & may_link())
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+        pairs = materialize(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        new = materialize(confirm(pairs.select("a", "b")), "tested")
         now = chosen.select("bucket", F.col("a").alias("node"))
         used = now if used is None else used.union(now)
-        tested, links = tested.union(new), links.union(new.filter("linked"))
-        centres = min(64, centres * 4)
+        tested = tested.union(new)
+        links = materialize(pairs.join(new.filter("linked").hint("merge"), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        if not links.isEmpty():  # the components that meet become one
+            joined = components(links).withColumnsRenamed({"node": "old", "comp": "new"})
+            whole = members.select("node").distinct().join(comp.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("old"))
+            comp = materialize(whole.join(joined.hint("merge"), "old", "left").select("node", F.coalesce("new", "old").alias("comp")), "comp")
     classes = nodes.select("node", "doc_id").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = materialize(classes.join(least.hint("merge"), "comp").select("node", "component_id"), "classes")
