@@ -15,10 +15,10 @@ from volley.llm.shared import ascii_lower, fold, join_small, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are null, empty or without letters, and those with no n-gram of any learned language."""
+    """Drops texts whose language is undetermined: null, empty or without letters (all of them if none was learned)."""
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
     found = langid.detect(docs, model)
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
