@@ -23,7 +23,7 @@ from volley.llm.shared import join_small, materialize, mix64, text_buffer, text_
 
 WORDS = 5
 BANDS, ROWS = 48, 8
-CENTRES, BITS = 64, 768
+CENTRES, BITS = 4096, 768
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +191,12 @@ def near_dedup(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int
     while True:
         # any pair across components has an end outside the bucket's largest component: those ends become centres
         live = materialize(members.join(comp.hint("merge"), "node", "left").select("bucket", "node", "n", "dense", F.coalesce("comp", "node").alias("comp")), "live")
-        parts = live.groupBy("bucket", "comp").agg(F.count("*").alias("s")).groupBy("bucket").agg(F.max(F.struct("s", "comp"))["comp"].alias("big"), F.count("*").alias("parts"))
+        parts = live.groupBy("bucket", "comp").agg(F.count("*").alias("s")).groupBy("bucket").agg(F.max(F.struct("s", "comp"))["comp"].alias("big"), F.count("*").alias("parts"), (F.sum("s") - F.max("s")).alias("few"))
         live = materialize(live.join(parts.filter("parts > 1").drop("parts").hint("merge"), "bucket"), "live")
         small = live.filter("comp <> big")
         if used is not None:
             small = small.join(used.hint("merge"), ["bucket", "node"], "left_anti")
-        part = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+        part = F.when(F.col("few") <= CENTRES, F.hex("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(CENTRES)).cast("string"))
         chosen = small.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("dense", "node", "n", "comp")).alias("c"))
         chosen = materialize(chosen.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca")), "chosen")
         if chosen.isEmpty():
