@@ -196,12 +196,14 @@ def rule4_fill_gaps(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFra
 
 
 def auto_edit(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFrame:
-    """rules 1 and 2, 3 and 4, 1 and 2 again for units of at least four spikes; others stay as they are."""
+    """rules 1 and 2, 3 and 4, 1 and 2 again for units of at least four spikes; others stay as they are. The train
+    after each pair of rules is used several times and is persisted (spikes only; Spark drops it as memory needs)."""
     spikes = spikes.select(*UNIT, "sample_idx", "height")
     n = F.count("*").over(Window.partitionBy(*UNIT))
     able, few = spikes.withColumn("_n", n).filter(F.col("_n") >= MIN_SPIKES).drop("_n"), spikes.withColumn("_n", n).filter(F.col("_n") < MIN_SPIKES).drop("_n")
-    first = rule2_high_rate(rule1_low_height(able), fs)
-    added = rule4_fill_gaps(rule3_add_peaks(first, sources, fs), sources, fs)
+    first = rule2_high_rate(rule1_low_height(able), fs).persist()
+    more = rule3_add_peaks(first, sources, fs).persist()
+    added = rule4_fill_gaps(more, sources, fs).persist()
     counted = added.withColumn("_n", n)
     again = rule2_high_rate(rule1_low_height(counted.filter(F.col("_n") >= MIN_SPIKES).drop("_n")), fs)
     return again.unionByName(counted.filter(F.col("_n") < MIN_SPIKES).drop("_n")).unionByName(few)
