@@ -64,3 +64,43 @@ def test_longest_suffix_state_decides(spark):
                     break
         raw = np.frombuffer(t.encode(), np.uint8)
         assert tree.score(raw, np.array([0, len(raw)]), tree.transitions())[0] == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("states, hot", [(20_000, 60_000), (6, 60_000), (20_000, 3), (6, 3)])
+def test_every_state_counts_whatever_is_broadcast(spark, states, hot):
+    """Against literal counting: no state is dropped by number or depth."""
+    g = np.random.default_rng(4)
+    # the letter after k letters of the word is the k-th: each further letter seen tells more
+    text = ["".join("zyxwvuts"[8 - k :] + "ABCDEFGH"[k - 1] for k in g.integers(1, 9, 25)) for _ in range(40)]
+    rows = [*enumerate(text), (90, ""), (91, "yxwvutsgzyxwvutsb?"), (92, "zzz")]
+    got = {r.doc_id: r.score for r in S.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 90, states=states, hot=hot).collect()}
+    classes = S._classes(Counter(b for t in text for b in t.translate(LOWER).encode()))
+    odd = {b: 1.0 for b in range(256) if classes[b] == S.OTHER}
+
+    def places(t):
+        seq = (0,) * S.DEPTH + tuple(int(classes[b]) for b in t.translate(LOWER).encode()) + (0,)
+        return [(seq[:p], seq[p]) for p in range(S.DEPTH, len(seq))]
+
+    table, d = {}, 0
+    root = Counter(s for t in text for _, s in places(t))
+    count = {(): root}
+    n0 = sum(root.values())
+    table[()] = [(root[s] + 0.5) / (n0 + 0.5 * S.CLASSES) for s in range(S.CLASSES)]
+    while d < S.DEPTH or any(len(c) == d for c in table):
+        d += 1
+        new = {}
+        for t in text:
+            for before, s in places(t):
+                if len(before) >= d and (d <= S.DEPTH or before[len(before) - d + 1 :] in table):
+                    new.setdefault(before[len(before) - d :], Counter())[s] += 1
+        count |= new
+        for c, n in new.items():
+            total, up = sum(n.values()), count[c[1:]]
+            if total >= S.MIN_COUNT and sum(k * math.log(k / total * sum(up.values()) / up[s]) for s, k in n.items()) >= S.MIN_DIVERGENCE:
+                q = next(table[c[e:]] for e in range(1, d + 1) if c[e:] in table)
+                table[c] = [(n[s] + S.MASS * q[s]) / (total + S.MASS) for s in range(S.CLASSES)]
+    assert max(map(len, table)) > S.DEPTH and len(table) > 12
+    for i, t in rows:
+        want = sum(math.log10(next(table[b[e:]] for e in range(len(b) + 1) if b[e:] in table)[s]) for b, s in places(t))
+        want += sum(math.log10(odd[b] / sum(odd.values())) for b in t.translate(LOWER).encode() if classes[b] == S.OTHER)
+        assert got[i] == pytest.approx(want, rel=1e-4), i

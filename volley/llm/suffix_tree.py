@@ -1,9 +1,11 @@
 """LM scoring with a probabilistic suffix tree over the bytes of the text, and a word unigram base.
 
 Bytes (A-Z lower-cased) are put into 64 classes: the end of a text, the 62 most frequent bytes, all others. Contexts of
-one to four classes are states if their next-symbol distribution diverges enough from that of their suffix; a state's
-distribution is smoothed towards its suffix's. A text is scored by the longest suffix state at each place. All counts
-are Spark aggregates over all training texts; only the retained states reach the driver.
+one to four classes are states if their next-symbol distribution diverges enough from that of their suffix; a longer
+context is tested if its suffix is a state, without a greatest depth. A state's distribution is smoothed towards that
+of its longest suffix state. A text is scored by the longest suffix state at each place. All counts are Spark
+aggregates over all training texts. All states stay in written tables; a bounded number of them is broadcast, the
+others are looked up by a join.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import LOWER_BYTES, materialize, text_buffer, text_groups, word_hashes
+from volley.llm.shared import _P, _P_INV, LOWER_BYTES, _powers, materialize, mix64, text_buffer, text_groups, word_hashes
 
 DEPTH, CLASSES = 4, 64
 END, OTHER = 0, 63
-#: States at most, by divergence; the least divergence (nats, times the count) and count of a state; smoothing mass.
+#: States of at most DEPTH classes in the broadcast tree; the least divergence (nats, times the count) and count of a
+#: state; smoothing mass.
 STATES, MIN_DIVERGENCE, MIN_COUNT, MASS = 20_000, 10.0, 20, 8.0
+#: Broadcast states beside the tree's (others are joined); size of the bitmap that spares most places a look-up.
+HOT_STATES, BITS = 60_000, 1 << 24
 COMMON_WORDS = 300_000
 END_WORD = np.uint64(0x5BD1E9955BD1E995)
 
@@ -58,6 +63,78 @@ def keys(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+class Contexts:
+    """Keys of the contexts of d classes before the symbols at `at`: exact up to DEPTH, beyond by a 64-bit hash."""
+
+    def __init__(self, seq: np.ndarray):
+        self.seq = seq
+        self.sums = np.zeros(len(seq) + 1, np.uint64)
+        np.cumsum((seq.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(seq)), out=self.sums[1:])
+        self.inverse = _powers(_P_INV, len(seq) + 1)
+
+    def __call__(self, at: np.ndarray, d: int) -> np.ndarray:
+        if d <= DEPTH:
+            out = np.zeros(len(at), np.int64)
+            for k in range(d, 0, -1):
+                out = out << 6 | self.seq[at - k]
+            return out | d << 6 * DEPTH
+        h = (self.sums[at] - self.sums[at - d]) * self.inverse[at - d]
+        return mix64(h ^ (np.uint64(d) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)
+
+
+def _room(at: np.ndarray, row: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The number of classes of its own text (with DEPTH ENDs) before each place."""
+    return at - off[row] - row * (DEPTH + 1)
+
+
+def _bitmap(states: DataFrame) -> np.ndarray:
+    """Packed bits of the states' keys; a set bit may be another key's, so what passes is looked up again."""
+    bits = np.zeros(BITS, bool)
+    bits[states.select(F.col("key").bitwiseAND(BITS - 1).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+    return np.packbits(bits)
+
+
+@dataclass
+class DeepStates:
+    """Broadcast states outside the tree: by depth the sorted keys and rows of delta, log10 of p over the suffix's p."""
+
+    keys: dict[int, tuple[np.ndarray, np.ndarray]]
+    delta: np.ndarray
+    depths: list[int]  # of all states outside the tree
+    packed: np.ndarray
+    whole: bool  # no state is left to the join
+
+    def add(self, tree: SuffixTree, bits: np.ndarray, raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the broadcast states add to each text's score; and (row, key, symbol) of the places left to the join."""
+        n, left = len(off) - 1, []
+        total = np.zeros(n)
+        seq, at, row = sequence(raw, off, tree.classes)
+        if self.depths and self.depths[0] > DEPTH:  # then all states of DEPTH are in the tree
+            on = table[keys(seq, at) >> 6] >= 1 + sum(map(len, tree.states[:-1]))
+            at, row = at[on], row[on]
+        room, context = _room(at, row, off), Contexts(seq)
+        for d in self.depths:
+            on = room >= d
+            at, row, room = at[on], row[on], room[on]
+            k = context(at, d)
+            hit = np.flatnonzero(bits[k & (BITS - 1)])
+            k = k[hit]
+            known, which = self.keys.get(d, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            i = np.minimum(np.searchsorted(known, k), max(len(known) - 1, 0))
+            found = known[i] == k if len(known) else np.zeros(len(k), bool)
+            place = hit[found]
+            total += np.bincount(row[place], self.delta[which[i[found]], seq[at[place]]], n)
+            if not self.whole:
+                cold = hit[~found]
+                left.append((row[cold], k[~found], seq[at[cold]].astype(np.int64)))
+                place = hit
+            if d > DEPTH:
+                at, row, room = at[place], row[place], room[place]
+        if not left:
+            left = [(np.zeros(0, np.int64),) * 3]
+        return total, *(np.concatenate(x) for x in zip(*left))
+
+
 @dataclass
 class SuffixTree:
     classes: np.ndarray
@@ -102,8 +179,8 @@ def _count(kind: str, docs: DataFrame, classes: np.ndarray | None = None) -> Dat
     return materialize(docs.select("text").mapInArrow(run, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")), kind)
 
 
-def _tree(docs: DataFrame, byte_counts: dict[int, int], states: int) -> SuffixTree:
-    classes = _classes(byte_counts)
+def _shallow(docs: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(d, ctx, sym, n) of all contexts of at most DEPTH classes; and (d, ctx, gain) of those that are states."""
     full = _count("contexts", docs, classes)
     depth = F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])).alias("d")
     grams = full.select("key", "n", depth).select("d", F.col("key").bitwiseAND(F.expr("shiftleft(1L, 6 * (d + 1)) - 1")).alias("key"), "n").groupBy("d", "key").agg(F.sum("n").alias("n"))
@@ -113,8 +190,22 @@ def _tree(docs: DataFrame, byte_counts: dict[int, int], states: int) -> SuffixTr
     above = rated.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("suffix"), "sym", F.col("p").alias("q"))
     child = rated.filter(f"d > 0 and all >= {MIN_COUNT}").withColumn("suffix", F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 6 * (d - 1)) - 1")))
     gain = child.join(above.hint("merge"), ["d", "suffix", "sym"]).groupBy("d", "ctx").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
-    kept = materialize(gain.filter(F.col("gain") >= MIN_DIVERGENCE).orderBy(F.desc("gain"), "d", "ctx").limit(states).select("d", "ctx"), "states")
-    rows = grams.join(F.broadcast(kept), ["d", "ctx"], "left_semi").unionByName(grams.filter("d = 0")).toPandas()  # of `states` contexts
+    return grams, materialize(gain.filter(F.col("gain") >= MIN_DIVERGENCE), "states")
+
+
+def _first(kept: DataFrame, states: int) -> DataFrame:
+    """The tree's states, shorter ones first: so each suffix state of one of them is in the tree too."""
+    return materialize(kept.orderBy("d", F.desc("gain"), "ctx").limit(states).select("d", "ctx"), "first")
+
+
+def _tree(docs: DataFrame, byte_counts: dict[int, int], states: int) -> SuffixTree:
+    grams, kept = _shallow(docs, _classes(byte_counts))
+    return _build(grams, _first(kept, states), byte_counts)
+
+
+def _build(grams: DataFrame, first_states: DataFrame, byte_counts: dict[int, int]) -> SuffixTree:
+    classes = _classes(byte_counts)
+    rows = grams.join(F.broadcast(first_states), ["d", "ctx"], "left_semi").unionByName(grams.filter("d = 0")).toArrow().to_pandas()  # of a bounded number of contexts
 
     order = [np.unique(rows.ctx[rows.d == d].to_numpy()) for d in range(1, DEPTH + 1)]
     first = np.cumsum([1, *map(len, order)])
@@ -136,26 +227,141 @@ def _tree(docs: DataFrame, byte_counts: dict[int, int], states: int) -> SuffixTr
     return SuffixTree(classes, order, np.log10(p).astype(np.float32), np.log10(np.maximum(odd / max(odd.sum(), 1), 1e-300)))
 
 
-def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common: int = COMMON_WORDS) -> DataFrame:
+def _smoothed(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """State rows (d, key, total, n: symbol to count, p: symbol to probability, delta: symbol to log10 of p over the
+    suffix state's p, unseen: the same of a symbol not met) of rows (d, key, up, total, seen: (sym, n))."""
+    q = above.select(F.col("key").alias("up"), F.col("p").alias("q"))
+    out = rows.join(q.hint("merge"), "up")
+    p = F.transform("seen", lambda x: (x["n"] + MASS * F.try_element_at("q", x["sym"])) / (F.col("total") + MASS))
+    out = out.withColumns({"syms": F.transform("seen", lambda x: x["sym"]), "ps": p})
+    delta = F.zip_with("seen", "ps", lambda x, y: F.log10(y / F.try_element_at("q", x["sym"])))
+    n = F.map_from_arrays("syms", F.transform("seen", lambda x: x["n"]))
+    return out.select("d", "key", "total", n.alias("n"), F.map_from_arrays("syms", "ps").alias("p"), F.map_from_arrays("syms", delta).alias("delta"), F.log10(MASS / (F.col("total") + MASS)).alias("unseen"))
+
+
+def _seen(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, total, seen) of rows (by, sym, n), one for each context: at most CLASSES symbols."""
+    return rows.groupBy(*by).agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("seen"))
+
+
+def _shallow_states(grams: DataFrame, kept: DataFrame) -> list[DataFrame]:
+    """State rows by depth 0 to DEPTH, of all states of `kept`."""
+    key = (F.col("d").cast("long") * F.lit(1 << 6 * DEPTH)).bitwiseOR(F.col("ctx"))
+    root = _seen(grams.filter("d = 0"), "d")
+    every = F.sequence(F.lit(0), F.lit(CLASSES - 1))
+    n = F.map_from_entries("seen")
+    root = root.select(F.col("d").cast("int").alias("d"), F.lit(0).cast("long").alias("key"), "total", n.alias("n"), F.map_from_arrays(every.cast("array<long>"), F.transform(every, lambda s: (F.coalesce(F.try_element_at(n, s.cast("long")), F.lit(0)) + 0.5) / (F.col("total") + 0.5 * CLASSES))).alias("p"))
+    root = root.withColumns({"delta": F.col("p"), "unseen": F.lit(0.0)})
+    out = [materialize(root, "depth-0")]
+    seen = materialize(_seen(grams.join(kept.select("d", "ctx").hint("merge"), ["d", "ctx"], "left_semi"), "d", "ctx").withColumn("key", key), "seen")
+    suffix = F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("e")
+    low = seen.select("key", "ctx", "d", suffix).withColumn("up", F.when(F.col("e") == 0, 0).otherwise((F.col("e").cast("long") * F.lit(1 << 6 * DEPTH)).bitwiseOR(F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 6 * e) - 1")))))
+    known = seen.select(F.col("key").alias("up")).unionByName(out[0].select(F.col("key").alias("up")))
+    up = low.join(known.hint("merge"), "up", "left_semi").groupBy("key").agg(F.max_by("up", "e").alias("up"))
+    seen = materialize(seen.join(up.hint("merge"), "key"), "seen")
+    above = out[0]
+    for d in range(1, DEPTH + 1):
+        rows = seen.filter(F.col("d") == d).withColumn("d", F.col("d").cast("int"))
+        out.append(materialize(_smoothed(rows, above).select(*out[0].columns), f"depth-{d}"))
+        above = above.unionByName(out[-1])
+    return out
+
+
+def _deeper(docs: DataFrame, classes: np.ndarray, above: DataFrame, d: int) -> DataFrame:
+    """State rows of depth d over the states `above` of depth d - 1."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(above))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).view(bool)
+        for batch in batches:
+            raw, off = text_buffer(batch.column(0))
+            for a, b in text_groups(off, 8_000_000):
+                part, places = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+                seq, at, row = sequence(part, places, classes)
+                context = Contexts(seq)
+                at = at[_room(at, row, places) >= d]
+                up = context(at, d - 1)
+                on = bits[up & (BITS - 1)]
+                at, up = at[on], up[on]
+                key, sym = context(at, d), seq[at]
+                _, one, n = np.unique(key ^ mix64(sym.astype(np.uint64) + np.uint64(1)).view(np.int64), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(up[one]), pa.array(sym[one].astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "up", "sym", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "key long, up long, sym long, n long").repartition(F.col("key"))
+    rows = _seen(rows.groupBy("key", "up", "sym").agg(F.sum("n").alias("n")), "key", "up").filter(F.col("total") >= MIN_COUNT)
+    suffix = above.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("all"))
+    rows = rows.join(suffix.hint("merge"), "up")
+    gain = F.aggregate("seen", F.lit(0.0), lambda s, x: s + x["n"] * F.log(x["n"] / F.col("total") * F.col("all") / F.try_element_at("m", x["sym"])))
+    rows = rows.filter(gain >= MIN_DIVERGENCE).drop("m", "all").withColumn("d", F.lit(d))
+    return materialize(_smoothed(rows, above).select(*above.columns), f"depth-{d}")
+
+
+def _deep_states(docs: DataFrame, classes: np.ndarray, grams: DataFrame, kept: DataFrame, first: DataFrame) -> tuple[DataFrame, list[int]]:
+    """State rows of all states outside the tree, and their depths."""
+    by_depth = _shallow_states(grams, kept)
+    outside = []
+    for d in range(1, DEPTH + 1):
+        inside = first.filter(F.col("d") == d).select((F.lit(d << 6 * DEPTH).cast("long").bitwiseOR(F.col("ctx"))).alias("key"))
+        outside.append((d, by_depth[d].join(F.broadcast(inside), "key", "left_anti").select(*by_depth[0].columns)))
+    outside = [(d, x) for d, x in outside if not x.isEmpty()]
+    above, d = by_depth[DEPTH], DEPTH
+    while not above.isEmpty():
+        d += 1
+        above = _deeper(docs, classes, above, d)
+        outside.append((d, above))
+    if d > DEPTH and len(outside) > 1:
+        outside.pop()  # the empty one
+    out = by_depth[0].limit(0)
+    for _, x in outside:
+        out = out.unionByName(x)
+    return out, [d for d, _ in outside]
+
+
+def _split(outside: DataFrame, depths: list[int], hot: int) -> tuple[DeepStates, DataFrame]:
+    """The `hot` states met most often, to broadcast; and all the others."""
+    count = outside.count()
+    if not count:
+        return DeepStates({}, np.zeros((0, CLASSES), np.float32), [], np.zeros(BITS // 8, np.uint8), True), outside
+    rank = [F.desc("total"), F.col("key")]
+    top = outside if count <= hot else materialize(outside.orderBy(*rank).limit(hot), "hot")
+    rows = top.select("d", "key", "unseen", F.map_keys("delta").alias("syms"), F.map_values("delta").alias("values")).toArrow().combine_chunks()
+    d, key, unseen = (rows[c].to_numpy() for c in ("d", "key", "unseen"))
+    delta = np.repeat(unseen.astype(np.float32)[:, None], CLASSES, 1)
+    size = rows["syms"].combine_chunks().value_lengths().to_numpy()
+    delta[np.repeat(np.arange(len(key)), size), rows["syms"].combine_chunks().flatten().to_numpy()] = rows["values"].combine_chunks().flatten().to_numpy()
+    order = np.argsort(key)
+    found = {int(k): (key[at], at) for k in np.unique(d) for at in [order[d[order] == k]]}
+    cold = outside if count <= hot else outside.join(F.broadcast(top.select("key")), "key", "left_anti")
+    return DeepStates(found, delta, depths, _bitmap(outside), count <= hot), cold
+
+
+def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common: int = COMMON_WORDS, hot: int = HOT_STATES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     The tree and the word counts are learned from the rows for which `learn` holds (a null text counts as empty; with
-    none, base counts are 0 and the tree is uniform). Tokens are runs without ASCII white space, and one end. Word
+    none, base counts are 0 and the tree is uniform). `states` and `hot` only say how many states are broadcast; those
+    beyond are joined by their key. Tokens are runs without ASCII white space, and one end. Word
     counts of the `common` most frequent words are broadcast (the documented bound); the others are joined by their
     64-bit hash. Repeated rows and null ids are scored like any other.
     """
     words = _count("words", docs.filter(learn))
     counts = words.filter("what = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = _tree(docs.filter(learn), {r.key: r.n for r in words.filter("what = 1").collect()}, states)
-    top = counts.orderBy(F.desc("c"), "h").limit(common).toPandas()
+    byte_counts = {r.key: r.n for r in words.filter("what = 1").collect()}
+    grams, kept = _shallow(docs.filter(learn), _classes(byte_counts))
+    first = _first(kept, states)
+    tree = _build(grams, first, byte_counts)
+    outside, depths = _deep_states(docs.filter(learn), tree.classes, grams, kept, first)
+    deep, cold = _split(outside, depths, hot)
+    top = counts.orderBy(F.desc("c"), "h").limit(common).toArrow().to_pandas()
     top_h, top_c = top.h.to_numpy(np.int64), top.c.to_numpy(np.int64)
     order = np.argsort(top_h)
-    sent = docs.sparkSession.sparkContext.broadcast((tree, top_h[order], top_c[order]))
+    sent = docs.sparkSession.sparkContext.broadcast((tree, deep, top_h[order], top_c[order]))
     scale, whole = float(np.log10(total + distinct + 1)), distinct <= common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hs, cs = sent.value
+        tree, deep, hs, cs = sent.value
+        bits = np.unpackbits(deep.packed).view(bool)
         table, log_c = tree.transitions(), np.log10(cs + 1.0)
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
@@ -171,9 +377,13 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
                 rare_at = rare_at[np.argsort(row[rare_at], kind="stable")]
                 ends = np.searchsorted(row[rare_at], np.arange(m + 1))
                 rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[back[rare_at]]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, hit[back], m).astype(np.int64)), pa.array(np.bincount(row, value[back], m)), pa.array(tree.score(part, places, table)), rare], ["doc_id", "n_tokens", "known", "logs", "score", "rare"])
+                more, far, key, sym = deep.add(tree, bits, part, places, table)
+                far_at = np.argsort(far, kind="stable")
+                ends = pa.array(np.searchsorted(far[far_at], np.arange(m + 1)).astype(np.int32))
+                far_keys, far_syms = (pa.ListArray.from_arrays(ends, pa.array(x[far_at])) for x in (key, sym))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, hit[back], m).astype(np.int64)), pa.array(np.bincount(row, value[back], m)), pa.array(tree.score(part, places, table) + more), rare, far_keys, far_syms], ["doc_id", "n_tokens", "known", "logs", "score", "rare", "far", "syms"])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("logs", "score")], T.StructField("rare", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("logs", "score")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "far", "syms")]])
     rows = materialize(docs.select("doc_id", "text").mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "scored")
     if whole:
         out = rows.withColumns({"k2": F.lit(0).cast("long"), "l2": F.lit(0.0)})
@@ -181,5 +391,12 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
         rare = rows.select("rid", F.explode("rare").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("tf")).join(counts.hint("merge"), "h")
         rare = rare.groupBy("rid").agg(F.sum("tf").alias("k2"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("l2"))
         out = rows.join(rare.hint("merge"), "rid", "left")
+    if deep.whole:
+        out = out.withColumn("s2", F.lit(0.0))
+    else:
+        far = rows.select("rid", F.explode(F.arrays_zip("far", "syms")).alias("x")).select("rid", F.col("x.far").alias("key"), F.col("x.syms").alias("sym"))
+        far = far.groupBy("rid", "key", "sym").agg(F.count("*").alias("tf")).join(cold.select("key", "delta", "unseen").hint("merge"), "key")
+        far = far.groupBy("rid").agg(F.sum(F.col("tf") * F.coalesce(F.try_element_at("delta", F.col("sym")), "unseen")).alias("s2"))
+        out = out.join(far.hint("merge"), "rid", "left")
     n = F.col("n_tokens")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("l2", F.lit(0.0)) - n * scale).alias("base_score"), "score")
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("l2", F.lit(0.0)) - n * scale).alias("base_score"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
