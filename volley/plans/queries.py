@@ -379,6 +379,14 @@ def dewhiten_filters(s, d):
     return D.apply_matrix(f, m).select("sample_idx", "channel", F.round("x", 5).alias("x"))
 
 
+@query()
+def dewhiten_spike_filters(s, d):
+    """The filters that the spikes give, through the whitening matrix of the same samples."""
+    x = emb(s, d)
+    f = D.filter_from_spikes(x, load(s, d, "spikes_lab")).select(F.col("unit_id").alias("sample_idx"), "channel", F.col("w").alias("x"))
+    return D.apply_matrix(f, D.whitening_matrix(D.channel_covariance(x))).select(F.col("sample_idx").alias("unit_id"), "channel", r6("x", "w"))
+
+
 @query(_EMB + ", r as (select sample_idx, sqrt(avg(x * x)) as r from samples_emb group by 1) select sample_idx, round(sum(r) over (order by sample_idx rows between 10 preceding and 9 following) / 20, 6) as envelope from r")
 def rms_envelope(s, d):
     return D.rms_envelope(emb(s, d), 20).select("sample_idx", r6("envelope"))
@@ -480,6 +488,16 @@ def replace_time_masks(s, d):
     return changed.select("channel", "sample_idx", F.lit(True).alias("inside"))
 
 
+@query(ctes("samples_emb", "spikes_lab") + ", m as (select min(sample_idx) as a, min(sample_idx) + unit_id % 5 as z from spikes_lab group by unit_id), hit as (select distinct sample_idx from samples_emb join m on sample_idx >= a and sample_idx < greatest(z, a + 1)) select channel, sample_idx, h.sample_idx is not null as inside, case when h.sample_idx is null then round(x, 6) end as x, h.sample_idx is not null as noise from samples_emb left join hit h using (sample_idx)")
+def replace_time_masks_all(s, d):
+    """Every sample, a mask at each unit's first spike: x if it is untouched, else whether it is within 9 deviations."""
+    x = emb(s, d)
+    m = load(s, d, "spikes_lab").groupBy("unit_id").agg(F.min("sample_idx").alias("a")).select((F.col("a") / 10.0).alias("t0_s"), ((F.col("a") + F.col("unit_id") % 5) / 10.0).alias("t1_s"))
+    y = D.replace_time_masks(x, m, 10.0).withColumnRenamed("x", "y").join(x, ["channel", "sample_idx"]).join(F.broadcast(x.agg(F.stddev_samp("x").alias("sd"))))
+    inside = F.col("x") != F.col("y")
+    return y.select("channel", "sample_idx", inside.alias("inside"), F.when(~inside, F.round("y", 6)).alias("x"), (inside & (F.abs("y") <= 9 * F.col("sd"))).alias("noise"))
+
+
 @query(_EMB + " select cast(channel - 8 as int) as channel, sample_idx, round(x, 6) as x from samples_emb where channel >= 8 and channel < 24")
 def select_channels(s, d):
     return C.select_channels(emb(s, d), [8, 24]).select("channel", "sample_idx", r6("x"))
