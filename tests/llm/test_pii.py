@@ -50,3 +50,20 @@ def test_contexts_find_unseen_identifiers(spark):
     got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100].spans == "email:16:22" and got[100].added == 1 and got[100].n_email == 0
     assert got[101].spans == "" and got[102].spans == ""
+
+
+def test_slots_find_identifiers_without_digits_and_with_spaces(spark):
+    seeds = [(k, f"please write to user{k}@host{k}.org for all else") for k in range(30)]
+    seeds += [(50 + k, f"or just call +1 269 555 32{k:02} after lunch") for k in range(30)]
+    asked = {
+        200: ("please write to jane.doe(at)example.org for all else", "jane.doe(at)example.org", "email"),
+        201: ("é please  write to name[at]host for all else", "name[at]host", "email"),
+        202: ("please write to jane at host dot com for all else", "jane at host dot com", "email"),
+        203: ("or just call (555) 123-4567 after lunch", "555) 123-4567", "phone"),
+    }
+    rows = [*seeds, *((k, v[0]) for k, v in asked.items()), (300, "please write to nobody for all else"), (301, "to err is human, he said")]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, hit, kind) in asked.items():
+        at = text.index(hit)
+        assert (got[k].spans, got[k].added) == (f"{kind}:{at}:{at + len(hit)}", 1)
+    assert got[300].spans == got[301].spans == ""

@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Four exact patterns give the seed spans of a text. The words around the seeds make lexical patterns; a graph of
-patterns and instances (seeds, and other tokens with digits) is scored in turns, and tokens met in high-confidence
-patterns are added as spans. Offsets are code points, ends exclusive.
+patterns and instances (seeds, other tokens with digits, and whatever stands in the slot of a pattern of seeds: a token,
+or the tokens up to the pattern's next word) is scored in turns, and instances met in high-confidence patterns are added
+as spans. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volley.llm.shared import materialize
+from volley.llm.shared import join_small, materialize
 
 #: Fixed patterns, leftmost and non-overlapping within a kind. The possessive ++ and the look-behinds don't change
 #: what matches, they only keep the search linear in the text.
@@ -25,6 +26,9 @@ _OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 CONTEXT = 48
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
+#: Tokens at most between the two words of a slot.
+RUN = 8
+LEAD, TRAIL = r"^[\"'(\[<{]+", r"[\"')\]>}.,;:!?]+$"
 
 
 def _digits(m: Column) -> Column:
@@ -72,12 +76,10 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _tokens(text: Column) -> Column:
     """As base_spans: tokens with a digit, without the punctuation around them."""
-    lead, trail = r"^[\"'(\[<{]+", r"[\"')\]>}.,;:!?]+$"
-
     def trimmed(x: Column) -> Column:
-        bare = F.regexp_replace(x["hit"], lead, "")
+        bare = F.regexp_replace(x["hit"], LEAD, "")
         start = x["start"] + F.length(x["hit"]) - F.length(bare)
-        bare = F.regexp_replace(bare, trail, "")
+        bare = F.regexp_replace(bare, TRAIL, "")
         return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("hit"), x["before"].alias("before"), F.substring(text, start + F.length(bare) + 1, F.lit(CONTEXT)).alias("after"))
 
     return F.when(text.rlike("[0-9]"), F.transform(_matches(text, TOKEN), trimmed))
@@ -87,6 +89,50 @@ def _shape(hit: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), r"\p{L}+", "a")
 
 
+def _slots(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """(doc_id, key, first, last, hit, pattern): what stands in the slots of the patterns `able`, by numbers of the
+    pieces between white space. A slot after two words is one token, a slot between two words all tokens up to the next
+    such word. Rows stay where they are read: nothing is shuffled."""
+    part = F.split("pattern", " ", -1)
+    lefts = materialize(able.select(F.when(F.col("pattern").startswith("LL"), F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("one")).distinct(), "lefts")
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.filter(F.transform(F.split(text, r"[\x20\x09-\x0D]", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] != "")
+    edge = lambda c: F.array(F.struct(F.lit(c).alias("x"), F.lit(-1).alias("i")))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.concat(edge("^"), edge("^"), pieces, edge("$")).alias("p"))
+    slot = lambda i: F.struct(F.lower(F.right(F.get("p", i)["x"], F.lit(32))).alias("two"), F.lower(F.right(F.get("p", i + 1)["x"], F.lit(32))).alias("one"), F.slice("p", i + 3, F.lit(RUN + 1)).alias("run"))
+    rows = rows.filter(F.size("p") > 3).select("doc_id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 4), slot)).alias("s")).select("doc_id", "key", "s.*")
+    rows = join_small(rows, lefts, "one", "left_semi")
+    after = F.transform(F.sequence(F.lit(1), F.size("run") - 1), lambda n: F.struct(n.alias("n"), F.concat_ws(" ", F.lit("LR"), "one", F.lower(F.left(F.get("run", n)["x"], F.lit(32)))).alias("pattern")))
+    nearest = F.filter(after, lambda c: c["n"] == F.array_position(F.transform(after, lambda x: x["pattern"]), c["pattern"]))
+    before = F.array(F.struct(F.lit(1).alias("n"), F.concat_ws(" ", F.lit("LL"), "two", "one").alias("pattern")))
+    rows = rows.select("doc_id", "key", "run", F.explode(F.concat(before, nearest)).alias("c")).select("doc_id", "key", "run", "c.*")
+    rows = join_small(rows, able, "pattern", "left_semi")
+    hit = F.lower(F.regexp_replace(F.regexp_replace(F.array_join(F.transform(F.slice("run", 1, F.col("n")), lambda x: x["x"]), " "), LEAD, ""), TRAIL, ""))
+    return rows.select("doc_id", "key", F.get("run", F.lit(0))["i"].alias("first"), F.get("run", F.col("n") - 1)["i"].alias("last"), "pattern", hit.alias("hit")).filter("hit <> ''")
+
+
+def _instances(rows: DataFrame) -> DataFrame:
+    """rows without those that hold a base span; `open` is false for plain words (letters only), which count against a
+    pattern but are not added."""
+    def met(kind: str) -> Column:
+        return F.exists(F.regexp_extract_all("hit", F.lit(PATTERNS[kind]), 0), lambda m: _valid(kind, m))
+
+    return rows.filter(~(met("email") | met("ip") | met("card") | met("phone"))).withColumn("open", F.col("hit").rlike(r"[^\p{L}]"))
+
+
+def _placed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found with start and end in place of first and last."""
+    text = F.coalesce("text", F.lit(""))
+    need = materialize(found.select("key").distinct(), "need")
+    texts = join_small(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), need, "key", "left_semi").dropDuplicates(["key"])
+    size = lambda n: F.aggregate(F.slice(F.split("text", r"[\x20\x09-\x0D]", -1), F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    rows = found.join(texts.hint("merge"), "key").withColumns({"start": size(F.col("first")), "end": size(F.col("last") + 1) - 1})
+    whole = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    bare = F.regexp_replace(whole, LEAD, "")
+    start = F.col("start") + F.length(whole) - F.length(bare)
+    return rows.select("doc_id", "key", "kind", "confidence", start.alias("start"), (start + F.length(F.regexp_replace(bare, TRAIL, ""))).alias("end"))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added) for each row of docs.
 
@@ -97,7 +143,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     A pattern is a pair of words around an instance, or the word before it with the instance's shape. Its confidence
     for a kind is the sum of its instances' scores over their number + 1, if MIN_SEEDS different ones are seeds;
     seeds score 1, another token the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After
-    ROUNDS turns, tokens in patterns of at least MIN_CONFIDENCE that overlap no base span are added.
+    ROUNDS turns, tokens in patterns of at least MIN_CONFIDENCE that overlap no base span are added. What stands in a
+    slot of seeds, with or without digits, is scored in patterns of its own (see _slots) and added in the same way; of
+    overlapping added spans the longest stays. Single words of letters only are never added.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), *[base_spans(text, k).alias(k) for k in KINDS], _tokens(text).alias("token"))
@@ -121,7 +169,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     seen = seen.select("doc_id", "key", "kind", "start", "end", F.lower("hit").alias("hit"), F.array(F.concat_ws(" ", F.lit("LL"), two, one), F.concat_ws(" ", F.lit("LR"), one, after), F.concat_ws(" ", F.lit("LS"), one, _shape(F.col("hit")))).alias("patterns"))
     seen = materialize(seen, "seen")
 
-    edges = materialize(seen.select(F.explode("patterns").alias("pattern"), "hit", "kind").groupBy("pattern", "hit").agg(F.max("kind").alias("kind")), "graph")
+    edges = materialize(seen.select(F.explode("patterns").alias("pattern"), "hit", "kind").groupBy("pattern", "hit").agg(F.max("kind").alias("kind")).withColumn("open", F.lit(True)), "graph")
+    slot_seeds = seen.filter("kind is not null").select(F.explode(F.slice("patterns", 1, 2)).alias("pattern"), "hit", "kind").groupBy("pattern", "hit").agg(F.max("kind").alias("kind"))
+    slot_seeds = materialize(slot_seeds, "slot-seeds")
+    in_reach = materialize(slot_seeds.groupBy("pattern").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_SEEDS).select("pattern"), "able")
+    slot_seeds = slot_seeds.join(in_reach.hint("merge"), "pattern")
+    wide = _instances(_slots(docs, in_reach).select("pattern", "hit").distinct()).select("pattern", "hit", F.lit(None).cast("string").alias("kind"), "open").unionByName(slot_seeds.withColumn("open", F.lit(True)))
+    wide = wide.groupBy(F.concat(F.lit("W"), "pattern").alias("pattern"), "hit").agg(F.max("kind").alias("kind"), F.max("open").alias("open"))
+    edges = edges.unionByName(wide)
     able = edges.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.count("*").alias("n")).filter(F.col("seeds") >= MIN_SEEDS)
     edges = materialize(edges.join(able.hint("merge"), "pattern"), "graph")  # only patterns that can become confident
     scores = edges.filter("kind is not null").select("hit", "kind", F.lit(1.0).alias("score")).distinct()
@@ -130,11 +185,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
         sums = edges.select("pattern", "n", "hit").join(scores.hint("merge"), "hit").groupBy("pattern", "n", "kind").agg((F.sum("score")).alias("s"))
         confidence = sums.select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence"))
         confident = materialize(confidence, "confidence")
-        tokens = edges.filter("kind is null").select("pattern", "hit").join(confident.hint("merge"), "pattern").groupBy("hit", "kind").agg(F.max("confidence").alias("c"))
+        tokens = edges.filter("kind is null and open").select("pattern", "hit").join(confident.hint("merge"), "pattern").groupBy("hit", "kind").agg(F.max("confidence").alias("c"))
         tokens = tokens.select("hit", "kind", F.when(F.col("c") >= MIN_CONFIDENCE, 1.0).otherwise(F.col("c")).alias("score"))
         seeds = edges.filter("kind is not null").select("hit", "kind", F.lit(1.0).alias("score"))
         scores = materialize(seeds.union(tokens).groupBy("hit", "kind").agg(F.max("score").alias("score")), "scores")
-    found = seen.filter("kind is null").drop("kind").withColumn("pattern", F.explode("patterns")).join(confident.filter(F.col("confidence") >= MIN_CONFIDENCE).hint("merge"), "pattern")
+    sure = materialize(confident.filter(F.col("confidence") >= MIN_CONFIDENCE), "sure")
+    found = seen.filter("kind is null").drop("kind").withColumn("pattern", F.explode("patterns")).join(sure.hint("merge"), "pattern").select("doc_id", "key", "kind", "confidence", "start", "end")
+    sure_slots = materialize(sure.filter(F.col("pattern").startswith("W")).withColumn("pattern", F.substring("pattern", 2, 1 << 20)), "sure-slots")
+    in_slots = join_small(_instances(_slots(docs, sure_slots.select("pattern").distinct())).filter("open"), sure_slots, "pattern", "inner")
+    found = found.unionByName(_placed(docs, materialize(in_slots.select("doc_id", "key", "kind", "confidence", "first", "last"), "in-slots")).select(*found.columns))
     found = found.groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     rank = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
     added = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct(rank[F.col("kind")].alias("k"), "start", "end")).alias("more"))  # of one text
@@ -150,5 +209,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(label, x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
+    out = out.withColumn("more", F.filter("more", lambda t: ~F.exists(every, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    ranked = F.array_sort(F.transform("more", lambda t: F.struct((t["start"] - t["end"]).alias("size"), t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"))))
+    apart = F.aggregate(ranked, F.array().cast("array<struct<k:int,start:int,end:int>>"), lambda a, t: F.when(F.exists(a, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])), a).otherwise(F.concat(a, F.array(F.struct(t["k"].alias("k"), t["start"].alias("start"), t["end"].alias("end"))))))
+    out = materialize(out.withColumn("more", apart), "whole")
     more = F.coalesce(F.col("more"), F.array().cast("array<struct<k:int,start:int,end:int>>"))
     return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat(base, more))).alias("spans"), F.size(more).cast("long").alias("added"))
