@@ -13,23 +13,24 @@ import heapq
 import json
 import mmap
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import materialize, text_buffer, text_groups
+from volley.llm.shared import materialize, small_batches, text_buffer, text_groups, top_counts
 
 #: White space as the tokenizer's own pattern has it (Unicode White_Space).
 _S = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 LEXICON_WORDS = 100_000
-_FLUSH = 400_000
+#: Bounds of a worker's memory: bytes of text taken at once; bytes of words and their ids that are kept for later texts.
+_GROUP, _KNOWN = 1_000_000, 4_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -226,6 +227,7 @@ class Encoder:
         for r, new in vocab.pairs.values():
             self.merged[r] = new
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes in it
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -296,10 +298,13 @@ class Encoder:
         for parts in cut:
             for words, _ in parts:
                 new.update(words)
-        self.learn(list(new.difference(self.known)))
+        new.difference_update(self.known)
+        self.learn(list(new))
         out = [b"".join([x for words, end in parts for x in (*map(self.known.__getitem__, words), end or b"")]) for parts in cut]
-        if len(self.known) > _FLUSH:
+        self.held += sum(len(w) + len(self.known[w]) for w in new)
+        if self.held > _KNOWN:
             self.known.clear()
+            self.held = 0
         return out
 
     def encode(self, text: str) -> bytes:
@@ -313,26 +318,23 @@ class Encoder:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, words being what single spaces separate: counted within each task, then summed."""
+    """(word, n) over all texts, words being what single spaces separate: counted by groups of texts, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    counts.update(text.as_py().split(" "))
-                if len(counts) > _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-                    counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            off = text_buffer(batch.column(0))[1]
+            for a, b in text_groups(off, 8 * _GROUP):
+                words = pc.split_pattern(batch.column(0).slice(a, b - a).drop_null(), " ").flatten()
+                yield pa.RecordBatch.from_arrays(words.value_counts().flatten(), ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocab: Vocabulary, words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the `words` most frequent words of the corpus (ties by the word), each with a space before it,
-    cut up as the tokenizer does. Only those reach the driver."""
-    top = materialize(count_words(docs).orderBy(F.desc("n"), "word").limit(words), "lexicon")
+    """The automaton of the most frequent words of the corpus, each with a space before it, cut up as the tokenizer does.
+
+    Those are the words of at least a count that at most `words` of them reach; only they reach the driver."""
+    top = top_counts(materialize(count_words(docs), "words"), "n", words)
     cut = {w for r in top.select("word").toLocalIterator() for w in WORDS.findall(" " + r.word)}
     return compile_lexicon({w: vocab.merge(w) for w in map(str.encode, cut)})
 
@@ -348,6 +350,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORD
     new |= {"decoded": T.StringType()} if with_text else {}
     docs = docs.drop("ids", "decoded", *new)
     vocab = Vocabulary(vocab_path)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((vocab, build_lexicon(docs, vocab, words)))
     names, at = docs.columns, docs.columns.index("text")
 
@@ -355,10 +358,11 @@ def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORD
         enc = Encoder(*sent.value)
         for batch in batches:
             off = text_buffer(batch.column(at))[1]
-            for a, b in text_groups(off):
+            for a, b in text_groups(off, _GROUP):
                 part = batch.slice(a, b - a)
+                column = part.column(at).fill_null("").dictionary_encode()  # equal texts of a group are encoded once
                 n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-                for got in enc.encode_all([t or "" for t in part.column(at).to_pylist()]):
+                for got in enc.encode_all(column.dictionary.to_pylist()):
                     back = enc.decode(got)
                     n.append(len(got) // 4)
                     ids_sha.append(hashlib.sha256(got).hexdigest())
@@ -373,6 +377,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORD
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 if with_text:
                     arrays.append(pa.array(texts, pa.string()))
+                arrays = [x.take(column.indices) for x in arrays]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*names, *new])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in new.items())]))

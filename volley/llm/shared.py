@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -44,6 +45,39 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most about `size`: a batch of 10,000 rows of long texts would fill a worker's memory. A
+    size that the application was started with stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, size)
+
+
+def top_counts(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts (a written table) whose count `n` is at least t, for the least t that at most `most` rows
+    reach. No row is sorted or sent anywhere: t comes from an aggregate over some hundreds of count classes."""
+    c = F.col(n)
+    step = F.pow(F.lit(2), F.greatest(F.floor(F.log2(c)) - 6, F.lit(0)))
+    low = (F.floor(c / step) * step).cast("long")  # exact below 128, then 64 classes an octave
+    least, seen = None, 0
+    for r in sorted(counts.groupBy(low.alias("low")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r.low):
+        seen += r.m
+        if seen > most:
+            break
+        least = r.low
+    return counts.filter(c >= least) if least is not None else counts.filter(F.lit(False))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many _ before them as keep them apart from the columns of df (whatever their case)."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in there:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -88,10 +122,6 @@ def text_groups(offsets: np.ndarray, most: int = 4_000_000):
         a = min(b, n)
 
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser of 64-bit hashes (splitmix)."""
     x = x ^ (x >> np.uint64(30))
@@ -101,16 +131,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+#: Words of more bytes are hashed one by one; the others eight bytes of all words at a time.
+_LONG = 256
+#: Fixed table: what of eight bytes belongs to a word of which n are left.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit hash) of every word: maximal runs without ASCII white space, A-Z lower-cased, in order."""
+    """(row, 64-bit hash) of every word: maximal runs without ASCII white space, A-Z lower-cased, in order.
+
+    Each eight bytes are mixed into the hash by a function that isn't linear in them, so no family of different words
+    collides whatever the constants (a polynomial modulo 2^64 has such families).
+    """
     low = LOWER_BYTES[raw]
     letter = ~IS_SPACE[low]
     starts_text = np.zeros(len(low) + 1, bool)
@@ -123,9 +155,19 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[-1:] = False
     after[:-1] = letter[1:]
     last = letter & (~after | starts_text[1:])
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(low)), out=sums[1:])
-    h = (sums[end] - sums[start]) * _powers(_P_INV, len(low) + 1)[start]
-    h = mix64(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    start, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= start
+    h = mix64(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    eight = np.ndarray(len(low) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    live = np.flatnonzero(size <= _LONG)
+    for k in np.flatnonzero(size > _LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(low[start[k] : start[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+    at = 0
+    while len(live):
+        left = size[live] - at
+        block = eight[start[live] + at] & _LEFT[np.minimum(left, 8)]
+        h[live] = mix64(mix64(h[live] + np.uint64(0x9E3779B97F4A7C15)) ^ block)
+        live, at = live[left > 8], at + 8
     return np.searchsorted(offsets, start, "right") - 1, h
