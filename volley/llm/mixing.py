@@ -6,17 +6,18 @@ are then fitted by projected gradient descent, so that the expected token totals
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volley.llm.shared import ascii_lower, join_small, materialize
+from volley.llm.shared import join_small, materialize, unused
 
 SLOTS = 1 << 14
 SAMPLE_DOCS = 4000
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 #: Domains of the labels table and the shares of tokens aimed at.
 TARGETS = {"high": 0.80, "low": 0.12, "toxic": 0.08}
 _TAUS = [2.0**-k for k in range(10)]
@@ -34,8 +35,16 @@ def _dot(a: list[Column], b: list) -> Column:
     return out
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+def _slots(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, key, n_tokens, first, slot): a row a distinct lower-cased word of each row of docs, `first` true for
+    one of them; a text without words has one row, of slot -1. The text is cut once."""
+    whole = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", *more, F.xxhash64(whole).alias("key"), F.split(F.btrim(F.lower(whole), F.lit(SPACES)), SPACE).alias("words"))
+    none = F.get("words", F.lit(0)) == ""
+    rows = rows.select("doc_id", *more, "key", F.when(none, 0).otherwise(F.size("words")).cast("long").alias("n_tokens"), F.array_distinct("words").alias("words"))
+    rows = rows.select("doc_id", *more, "key", "n_tokens", F.posexplode("words").alias("at", "w"))
+    slot = F.when(F.col("w") == "", -1).otherwise(F.pmod(F.xxhash64("w"), F.lit(SLOTS))).cast("int")
+    return rows.select("doc_id", *more, "key", "n_tokens", (F.col("at") == 0).alias("first"), slot.alias("slot"))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -46,27 +55,23 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
     twice as large sample sets the temperature, so that the posteriors are calibrated. Text without words, or null, has
     the prior. Domains without a label have posterior 0; with no labels at all the posterior is uniform.
     """
-    whole = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(whole).alias("key"), F.size(_words(whole)).cast("long").alias("n_tokens"), F.array_union(F.array(F.lit("")), F.array_distinct(_words(ascii_lower(whole)))).alias("words"))
-    keyed = keyed.select("doc_id", "key", "n_tokens", F.explode("words").alias("w"))  # what stands beside explode is computed a row of it
-    slots = keyed.select("doc_id", "key", "n_tokens", F.when(F.col("w") == "", -1).otherwise(F.pmod(F.xxhash64("w"), F.lit(SLOTS))).cast("int").alias("slot"))
-
     labels = labels.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sizes = {r.domain: r.n for r in labels.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, 2 * sample / n))) for d, n in sizes.items()], F.lit(0.0))
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000))
     chosen = materialize(labels.filter(dealt < share * 1_000_000).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0), "chosen")
-    counts = join_small(slots, chosen.filter("fit").drop("fit"), "doc_id", "inner").groupBy("slot").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(d) for d in domains])
+    fit = join_small(docs.select("doc_id", "text"), chosen.filter("fit").drop("fit"), "doc_id", "inner")  # before any text is cut
+    counts = _slots(fit, "domain").groupBy("slot").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(d) for d in domains], *[F.sum((F.col("first") & (F.col("domain") == d)).cast("long")).alias(f"n_{d}") for d in domains])
     counts = materialize(counts, "counts")  # SLOTS + 1 rows at most
-    tot = counts.filter("slot >= 0").agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in domains]).first()
-    prior = (counts.filter("slot = -1").first() or {d: 1 for d in domains})
-    n = sum(max(0, prior[d]) for d in domains) or 1
-    weight = counts.select("slot", *[F.when(F.col("slot") == -1, F.log(F.lit(max(prior[d], 1e-9) / n))).otherwise(F.log((F.col(d) + 0.5) / F.lit(tot[d] + 0.5 * SLOTS))).alias(f"w_{d}") for d in domains])
-    unseen = {d: F.log(F.lit(0.5) / F.lit(tot[d] + 0.5 * SLOTS)) for d in domains}
-    scored = slots.join(F.broadcast(weight), "slot", "left")
-    words = F.count("*")
-    scored = scored.groupBy("doc_id", "key", "n_tokens").agg(F.count(F.when(F.col("slot") == -1, 1)).alias("m"), words.alias("rows"), *[F.sum(F.coalesce(f"w_{d}", F.when(F.col("slot") == -1, 0.0).otherwise(unseen[d]))).alias(f"s_{d}") for d in domains])
-    scored = scored.select("doc_id", "key", "n_tokens", "m", *[(F.col(f"s_{d}") / F.col("m")).alias(f"s_{d}") for d in domains])
+    tot = counts.agg(*[F.coalesce(F.sum(F.when(F.col("slot") >= 0, F.col(d))), F.lit(0)).alias(d) for d in domains], *[F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(f"n_{d}") for d in domains]).first()
+    n = sum(tot[f"n_{d}"] for d in domains)
+    prior = {d: float(np.log(max(tot[f"n_{d}"], 1e-9) / n)) if n else 0.0 for d in domains}
+    weight = counts.filter("slot >= 0").select("slot", *[F.log((F.col(d) + 0.5) / F.lit(tot[d] + 0.5 * SLOTS)).alias(f"w_{d}") for d in domains])
+    unseen = {d: float(np.log(0.5 / (tot[d] + 0.5 * SLOTS))) for d in domains}
+    scored = _slots(docs).join(F.broadcast(weight), "slot", "left")
+    m = F.count(F.when(F.col("first"), 1))
+    own = {d: F.sum(F.coalesce(f"w_{d}", F.when(F.col("slot") == -1, 0.0).otherwise(unseen[d]))) for d in domains}
+    scored = scored.groupBy("doc_id", "key", "n_tokens").agg(m.alias("m"), *[(own[d] / m + prior[d]).alias(f"s_{d}") for d in domains])
     scored = materialize(scored, "scores")
 
     def log_p(tau: Column) -> dict[str, Column]:
@@ -80,7 +85,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
     return scored.select("doc_id", "key", "n_tokens", "m", *[F.exp(log_p(tau)[d]).alias(f"p_{d}") for d in domains])
 
 
-def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0, total: float | None = None, steps: int = 48, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0, total: float | None = None, steps: int = 200, tolerance: float = 1e-4) -> DataFrame:
     """state (n_tokens, m, p_<domain>) with `rate` >= least, so that sum(rate * n_tokens * p_d) is near weight_d * total.
 
     Minimises the squared distance of totals and goals, in the metric of M = sum(m * n_tokens * p p') inverted, by
@@ -88,7 +93,8 @@ def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0
     is well conditioned: without the bound one step ends it. A step is one aggregate of as many numbers as domains.
     total None: the tokens there are or, with a least rate over 0, a quarter more than the smallest total for which
     no domain must shrink. Domains that no document belongs to are left out and the other shares scaled up. An empty
-    state stays empty.
+    state stays empty. It ends when every total is within `tolerance` of its goal (as a share of total) or no step
+    lessens the distance, because the goals are out of reach; after `steps` it warns, naming the distance.
     """
     names = [d for d in targets]
     p = [F.col(f"p_{d}") for d in names]
@@ -110,15 +116,20 @@ def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0
         gram[a, b] = gram[b, a] = x
     inverse = np.linalg.pinv(gram + 1e-9 * (np.trace(gram) + 1) * np.eye(len(p)), hermitian=True)
     state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.lit(1.0)))
+    before = float("inf")
     for step in range(steps):
         now = totals(state, F.col("rate"))
         off = np.subtract(now, goal)
-        if np.abs(off).max() <= tolerance * max(total, 1e-9):
+        gap = float(off @ inverse @ off)
+        if np.abs(off).max() <= tolerance * max(total, 1e-9) or gap > before * (1 - 1e-6):
             break
+        before = gap
         move = _dot(p, [F.lit(float(x)) for x in 1.5 * inverse @ off])
         state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - move))
         if step % 8 == 7:
             state = materialize(state, "rates")
+    else:
+        warnings.warn(f"rates after {steps} steps are {np.abs(off).max() / max(total, 1e-9):.2g} of the total off a goal", stacklevel=2)
     return state
 
 
@@ -135,8 +146,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], least:
 
 def apply_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs, each row as often as its copies say; columns as in docs."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = mixed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("copies").cast("int").alias("_copies"))
-    named = docs.withColumn("_key0", key)
-    out = named.join(rows, named["doc_id"].eqNullSafe(rows["_id"]) & (named["_key0"] == rows["_key"]))
-    return out.filter("_copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    i, k, k0, n, c = unused(docs, "id", "key", "own", "copies", "c")
+    rows = mixed.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("copies").cast("int").alias(n))
+    named = docs.withColumn(k0, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = named.join(rows, named["doc_id"].eqNullSafe(rows[i]) & (named[k0] == rows[k]))
+    return out.filter(F.col(n) > 0).withColumn(c, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
