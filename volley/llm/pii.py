@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Four exact patterns give the seed spans of a text. The words around the seeds make lexical patterns; a graph of
-patterns and instances (seeds, other tokens with digits, and whatever stands in the slot of a pattern of seeds: a token,
-or the tokens up to the pattern's next word) is scored in turns, and instances met in high-confidence patterns are added
-as spans. Offsets are code points, ends exclusive.
+Four exact patterns give the seed spans of a text. The words around the seeds make lexical patterns: the two words
+before a token, or the word before and the word after a run of tokens. Whatever stands in the slot of a pattern of seeds,
+with or without digits, is an instance; the graph of patterns and instances is scored in turns, and instances met in
+high-confidence patterns are added as spans. Offsets are code points, ends exclusive.
+
+Patterns are read from a text in which each seed is one marked word. All steps are linear in a text: sums along an
+array are taken by doubling, sums along a text by a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volley.llm.shared import join_small, materialize
@@ -23,11 +26,15 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-CONTEXT = 48
+SPACE, SPACES = r"[\x20\x09-\x0D]", " \t\n\x0b\f\r"
+#: A seed in the text that patterns are read from: mark, kind, hash of the seed, its length, mark.
+MARK = "\ue000"
+ANY = "(?:" + ")|(?:".join(PATTERNS[k] for k in ("phone", "email", "ip", "card")) + ")"
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
-#: Tokens at most between the two words of a slot.
-RUN = 8
+#: Tokens at most between the two words of a slot; characters of a word that count in a pattern.
+RUN, WORD = 8, 32
+#: Bits, at least and at most, of the map of pattern hashes that spares nearly all places a look-up.
+BITS = (1 << 16, 1 << 22)
 LEAD, TRAIL = r"^[\"'(\[<{]+", r"[\"')\]>}.,;:!?]+$"
 
 
@@ -51,86 +58,138 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit, before, after): the matches, and the text around each, CONTEXT characters at most."""
-    zipped = F.zip_with(
-        F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(F.regexp_extract_all(text, F.lit(pattern), 0)), F.lit(0))),
-        F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(gap, F.lit(CONTEXT)).alias("head")),
-    )
-    ends = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["hit"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")),
-    )["starts"]
-    return F.zip_with(zipped, ends, lambda x, s: F.struct(s.alias("start"), (s + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))
-
-
-def base_spans(text: Column, kind: str) -> Column:
-    """Array of (start, end, hit, before, after) of one kind; matches that fail the kind's test are dropped."""
-    gate = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
-    found = F.filter(_matches(text, PATTERNS[kind]), lambda x: _valid(kind, x["hit"]))
-    around = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), F.substring(text, x["end"] + 1, F.lit(CONTEXT)).alias("after")))
-    return F.when(gate, around)
-
-
-def _tokens(text: Column) -> Column:
-    """As base_spans: tokens with a digit, without the punctuation around them."""
-    def trimmed(x: Column) -> Column:
-        bare = F.regexp_replace(x["hit"], LEAD, "")
-        start = x["start"] + F.length(x["hit"]) - F.length(bare)
-        bare = F.regexp_replace(bare, TRAIL, "")
-        return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("hit"), x["before"].alias("before"), F.substring(text, start + F.length(bare) + 1, F.lit(CONTEXT)).alias("after"))
-
-    return F.when(text.rlike("[0-9]"), F.transform(_matches(text, TOKEN), trimmed))
-
-
-def _shape(hit: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), r"\p{L}+", "a")
-
-
-def _slots(docs: DataFrame, able: DataFrame) -> DataFrame:
-    """(doc_id, key, first, last, hit, pattern): what stands in the slots of the patterns `able`, by numbers of the
-    pieces between white space. A slot after two words is one token, a slot between two words all tokens up to the next
-    such word. Rows stay where they are read: nothing is shuffled."""
-    part = F.split("pattern", " ", -1)
-    lefts = materialize(able.select(F.when(F.col("pattern").startswith("LL"), F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("one")).distinct(), "lefts")
-    text = F.coalesce("text", F.lit(""))
-    pieces = F.filter(F.transform(F.split(text, r"[\x20\x09-\x0D]", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] != "")
-    edge = lambda c: F.array(F.struct(F.lit(c).alias("x"), F.lit(-1).alias("i")))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.concat(edge("^"), edge("^"), pieces, edge("$")).alias("p"))
-    slot = lambda i: F.struct(F.lower(F.right(F.get("p", i)["x"], F.lit(32))).alias("two"), F.lower(F.right(F.get("p", i + 1)["x"], F.lit(32))).alias("one"), F.slice("p", i + 3, F.lit(RUN + 1)).alias("run"))
-    rows = rows.filter(F.size("p") > 3).select("doc_id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 4), slot)).alias("s")).select("doc_id", "key", "s.*")
-    rows = join_small(rows, lefts, "one", "left_semi")
-    after = F.transform(F.sequence(F.lit(1), F.size("run") - 1), lambda n: F.struct(n.alias("n"), F.concat_ws(" ", F.lit("LR"), "one", F.lower(F.left(F.get("run", n)["x"], F.lit(32)))).alias("pattern")))
-    nearest = F.filter(after, lambda c: c["n"] == F.array_position(F.transform(after, lambda x: x["pattern"]), c["pattern"]))
-    before = F.array(F.struct(F.lit(1).alias("n"), F.concat_ws(" ", F.lit("LL"), "two", "one").alias("pattern")))
-    rows = rows.select("doc_id", "key", "run", F.explode(F.concat(before, nearest)).alias("c")).select("doc_id", "key", "run", "c.*")
-    rows = join_small(rows, able, "pattern", "left_semi")
-    hit = F.lower(F.regexp_replace(F.regexp_replace(F.array_join(F.transform(F.slice("run", 1, F.col("n")), lambda x: x["x"]), " "), LEAD, ""), TRAIL, ""))
-    return rows.select("doc_id", "key", F.get("run", F.lit(0))["i"].alias("first"), F.get("run", F.col("n") - 1)["i"].alias("last"), "pattern", hit.alias("hit")).filter("hit <> ''")
-
-
-def _instances(rows: DataFrame) -> DataFrame:
-    """rows without those that hold a base span; `open` is false for plain words (letters only), which count against a
-    pattern but are not added."""
-    def met(kind: str) -> Column:
-        return F.exists(F.regexp_extract_all("hit", F.lit(PATTERNS[kind]), 0), lambda m: _valid(kind, m))
-
-    return rows.filter(~(met("email") | met("ip") | met("card") | met("phone"))).withColumn("open", F.col("hit").rlike(r"[^\p{L}]"))
-
-
-def _placed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found with start and end in place of first and last."""
-    text = F.coalesce("text", F.lit(""))
+def _running(sizes: Column, n: Column) -> Column:
+    """Sums of the elements before each of the n elements of an array, in log2(n) steps of adding a shifted copy."""
+    steps = F.slice(F.sequence(F.lit(0), F.lit(31)), F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"))
+    zeros = lambda k: F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int"))
+    whole = F.aggregate(steps, sizes, lambda a, k: F.slice(F.zip_with(a, F.concat(zeros(k), a), lambda x, y: F.coalesce(x, F.lit(0)) + y), F.lit(1), F.greatest(n, F.lit(1))))
+    return F.zip_with(whole, sizes, lambda x, y: x - y)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """Array of (gap, hit): the matches and the text between the one before and each."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+    return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+
+
+def _gate(text: Column, kind: str) -> Column:
+    return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
+
+
+SPANS = "array<struct<start:int,end:int,hit:string>>"
+
+
+def base_spans(docs: DataFrame, text: str) -> DataFrame:
+    """docs with a column for each kind: an array of (start, end, hit); matches that fail the kind's test are dropped."""
+    out = docs.withColumns({k: F.when(_gate(F.col(text), k), _pieces(F.col(text), PATTERNS[k])) for k in KINDS})
+    for k in KINDS:
+        sizes = F.transform(k, lambda x: x["gap"] + F.length(x["hit"]))
+        starts = F.zip_with(_running(sizes, F.size(k)), k, lambda s, x: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))
+        out = out.withColumn(k, F.when(F.size(k) > 0, F.filter(starts, lambda x: _valid(k, x["hit"]))).otherwise(F.array().cast(SPANS)))  # noqa: B023
+    return out
+
+
+def _marked(text: str) -> Column:
+    """The text with each seed as one marked word."""
+    hits = F.regexp_extract_all(text, F.lit(ANY), 0)
+    kind = lambda h: F.when(h.contains("@"), 0).when(h.startswith("+"), F.when(_valid("phone", h), 3)).when(_valid("ip", h), 1).when(_valid("card", h), 2)
+    sign = lambda h: F.concat(F.lit(MARK), kind(h).cast("string"), F.hex(F.xxhash64(F.lower(h))), F.lit(":"), F.length(h).cast("string"), F.lit(MARK))
+    parts = F.split(text, ANY, -1)
+    return F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(hits)), hits, lambda gap, h: F.concat(gap, F.coalesce(sign(h), h))), ""), F.element_at(parts, -1))
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """rows with w: the lower-cased words of `masked` after two ^ and before a $."""
+    words = F.split(F.btrim(F.lower("masked"), F.lit(SPACES)), SPACE + "+")
+    return rows.filter("masked <> ''").withColumn("w", F.concat(F.array(F.lit("^"), F.lit("^")), words, F.array(F.lit("$"))))
+
+
+def _left(one: Column) -> Column:
+    return F.xxhash64(F.lit("L"), F.left(one, F.lit(WORD)))
+
+
+def _pair(kind: str, a: Column, b: Column) -> Column:
+    """A pattern, known by a 64-bit hash of its form and words."""
+    return F.xxhash64(F.lit(kind), F.left(a, F.lit(WORD)), F.left(b, F.lit(WORD)))
+
+
+def _bitmap(hashes: DataFrame, size: int) -> tuple[Column, int]:
+    """The hashes' lowest bits as an array of 64-bit words (a constant of the plan), and the number of bits."""
+    bits = min(max(BITS[0], 1 << (16 * size).bit_length()), BITS[1])
+    low = F.col("h").bitwiseAND(bits - 1)
+    words = hashes.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("word")).collect()  # bits / 64 rows at most
+    table = ["0"] * (bits >> 6)
+    for r in words:
+        table[r["at"]] = str(r.word)
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>"), bits
+
+
+def _set(bitmap: tuple[Column, int], h: Column) -> Column:
+    table, bits = bitmap
+    return F.getbit(F.get(table, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+
+
+def _seed_patterns(rows: DataFrame) -> DataFrame:
+    """(pattern, one, hit, kind) of every marked word that is a seed and nothing else but punctuation around it."""
+    at = F.filter(F.transform("w", lambda x, i: F.when(x.contains(MARK), i).otherwise(-1)), lambda i: i >= 0)
+    rows = _words(rows.filter(F.col("masked").contains(MARK))).select(F.explode(F.transform(at, lambda i: F.slice("w", i - 1, F.lit(4)))).alias("w"))
+    two, one, seed, after = (F.get("w", F.lit(k)) for k in range(4))
+    sign = F.regexp_extract(seed, f"^[\"'(\\[<{{]*{MARK}([0-3][0-9a-f]+):[0-9]+{MARK}[\"')\\]>}}.,;:!?]*$", 1)
+    rows = rows.select(sign.alias("sign"), _left(one).alias("one"), F.array(_pair("LL", two, one), _pair("LR", one, after)).alias("patterns")).filter("sign <> ''")
+    return rows.select(F.explode("patterns").alias("pattern"), "one", F.xxhash64("sign").alias("hit"), F.get(F.array(*map(F.lit, KINDS)), F.left("sign", F.lit(1)).cast("int")).alias("kind"))
+
+
+def _slots(rows: DataFrame, lefts: tuple[Column, int], able: tuple[Column, int]) -> DataFrame:
+    """(doc_id, key, at, n, pattern, hit, open): what stands in the slots of patterns in the map `able` (and of some
+    others with the same bits): n words from number `at` on. A slot after two words is one word, a slot between two
+    words all words up to the next such word. Rows stay where they are read. `open` is false for a plain word (letters
+    only), which counts against a pattern but is not added; what holds a seed is left out."""
+    at = F.filter(F.transform("w", lambda x, i: F.when(_set(lefts, _left(x)), i + 1).otherwise(-1)), lambda i: i > 1)
+    places = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("w", i - 1, F.lit(RUN + 3)).alias("w")))  # two words before, the slot, what follows
+    rows = _words(rows).select("doc_id", "key", F.explode(places).alias("x")).select("doc_id", "key", "x.at", "x.w")
+    two, one = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    before = F.array(F.struct(F.lit(1).alias("n"), _pair("LL", two, one).alias("pattern")))
+    after = F.transform(F.slice("w", F.lit(4), F.lit(RUN)), lambda x, i: F.struct((i + 1).alias("n"), _pair("LR", one, x).alias("pattern")))
+    rows = rows.filter("size(w) > 3").select("doc_id", "key", "at", "w", F.explode(F.filter(F.concat(before, after), lambda c: _set(able, c["pattern"]))).alias("c")).select("doc_id", "key", "at", "w", "c.*")
+    nearest = ~F.exists(F.slice("w", F.lit(4), F.col("n") - 1), lambda x: _pair("LR", one, x) == F.col("pattern"))
+    hit = F.regexp_replace(F.regexp_replace(F.array_join(F.slice("w", F.lit(3), F.col("n")), " "), LEAD, ""), TRAIL, "")
+    rows = rows.filter(nearest).select("doc_id", "key", "at", "n", "pattern", hit.alias("hit")).filter(~F.col("hit").contains(MARK) & (F.col("hit") != ""))
+    return rows.select("doc_id", "key", "at", "n", "pattern", F.xxhash64("hit").alias("hit"), F.col("hit").rlike(r"[^\p{L}]").alias("open"))
+
+
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found (doc_id, key, at, n, kind, confidence) with start and end in place of at and n, from the masked texts of
+    rows. A window along each text that has something to place counts its characters."""
     need = materialize(found.select("key").distinct(), "need")
-    texts = join_small(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), need, "key", "left_semi").dropDuplicates(["key"])
-    size = lambda n: F.aggregate(F.slice(F.split("text", r"[\x20\x09-\x0D]", -1), F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    rows = found.join(texts.hint("merge"), "key").withColumns({"start": size(F.col("first")), "end": size(F.col("last") + 1) - 1})
-    whole = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    bare = F.regexp_replace(whole, LEAD, "")
-    start = F.col("start") + F.length(whole) - F.length(bare)
-    return rows.select("doc_id", "key", "kind", "confidence", start.alias("start"), (start + F.length(F.regexp_replace(bare, TRAIL, ""))).alias("end"))
+    texts = join_small(rows.select("key", "masked"), need, "key", "left_semi").dropDuplicates(["key"])
+    pieces = texts.select("key", F.posexplode(F.split("masked", SPACE, -1)).alias("pos", "x"))
+    lengths = F.aggregate(F.regexp_extract_all("x", F.lit(f":([0-9]+){MARK}"), 1), F.lit(0), lambda a, m: a + m.cast("int"))
+    size = F.length(F.regexp_replace("x", f"{MARK}[0-3][0-9A-F]+:[0-9]+{MARK}", "")) + lengths
+    along = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = pieces.withColumn("size", F.when(F.col("x").contains(MARK), size).otherwise(F.length("x")))
+    pieces = pieces.select("key", "x", F.sum(F.when(F.col("x") != "", 1)).over(along).alias("word"), (F.sum(F.col("size") + 1).over(along) - 1).alias("end"), "size").filter("x <> ''")
+    ends = found.select("key", F.explode(F.array(F.col("at"), F.col("at") + F.col("n") - 1)).alias("number")).distinct().withColumn("word", F.col("number").cast("long") - 1)
+    pieces = materialize(pieces.join(ends.hint("merge"), ["key", "word"]), "ends")  # word 1 is number 2
+    lead = F.length("x") - F.length(F.regexp_replace("x", LEAD, ""))
+    first = pieces.select("key", F.col("number").alias("at"), (F.col("end") - F.col("size") + lead).cast("int").alias("start"))
+    trail = F.length("x") - F.length(F.regexp_replace("x", TRAIL, ""))
+    last = pieces.select("key", F.col("number").alias("to"), (F.col("end") - trail).cast("int").alias("end"))
+    out = found.withColumn("to", F.col("at") + F.col("n") - 1).join(first.hint("merge"), ["key", "at"]).join(last.hint("merge"), ["key", "to"])
+    return out.select("doc_id", "key", "kind", "confidence", "start", "end")
+
+
+def _apart(base: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end, k) of found without what overlaps a base span; of a chain of overlapping spans the
+    longest stays (of equal ones the first). Windows along a text, nothing is compared pair by pair."""
+    both = found.withColumn("based", F.lit(False)).unionByName(base.withColumns({"k": F.lit(-1), "based": F.lit(True)}).select(*found.columns, "based"))
+    before = Window.partitionBy("doc_id", "key").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("doc_id", "key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"was": F.max(F.when(F.col("based"), F.col("end"))).over(before), "next": F.min(F.when(F.col("based"), F.col("start"))).over(after)})
+    free = both.filter("not based and coalesce(was <= start, true) and coalesce(next >= end, true)")
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "end", "k")
+    free = free.withColumn("new", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True)))
+    free = free.withColumn("chain", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return free.groupBy("doc_id", "key", "chain").agg(F.max_by(F.struct("start", "end", "k"), F.struct(F.col("end") - F.col("start"), -F.col("start"), -F.col("k"))).alias("x")).select("doc_id", "key", "x.*")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -140,65 +199,51 @@ def find_pii(docs: DataFrame) -> DataFrame:
     kind:start:end by kind, then start; `added` is the number of added ones. Rows that are repeated, and null ids, are
     treated like any other; other columns of docs are not looked at.
 
-    A pattern is a pair of words around an instance, or the word before it with the instance's shape. Its confidence
-    for a kind is the sum of its instances' scores over their number + 1, if MIN_SEEDS different ones are seeds;
-    seeds score 1, another token the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After
-    ROUNDS turns, tokens in patterns of at least MIN_CONFIDENCE that overlap no base span are added. What stands in a
-    slot of seeds, with or without digits, is scored in patterns of its own (see _slots) and added in the same way; of
-    overlapping added spans the longest stays. Single words of letters only are never added.
+    A pattern's confidence for a kind is the sum of its instances' scores over their number + 1, if MIN_SEEDS different
+    ones are seeds; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
+    instance the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After ROUNDS turns, instances
+    in patterns of at least MIN_CONFIDENCE that overlap no base span are added, with the kind of highest confidence (of
+    equal ones, the alphabet's last); of a chain of overlapping ones the longest stays. Single words of letters only are
+    never added.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), *[base_spans(text, k).alias(k) for k in KINDS], _tokens(text).alias("token"))
-    empty = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    rows = rows.select("doc_id", "key", *[F.coalesce(c, F.array().cast(empty)).alias(c) for c in [*KINDS, "token"]])
-    every = F.concat(*[F.col(k) for k in KINDS])
-    free = F.filter("token", lambda t: (F.length(t["hit"]) > 2) & ~F.exists(every, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    rows = materialize(rows.withColumn("token", free), "spans")
-
-    def mark(column: str, name: str | None) -> Column:
-        return F.transform(column, lambda x: F.struct(F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after")))
-
-    marked = [mark(k, k) for k in KINDS] + [mark("token", None)]
-    marked = [m.cast("array<struct<kind:string,start:int,end:int,hit:string,before:string,after:string>>") for m in marked]
-    seen = rows.select("doc_id", "key", F.explode(F.concat(*marked)).alias("x")).select("doc_id", "key", "x.*")
-    word = r"[^\x20\x09-\x0D]{1,32}"
-    b, a = F.lower(F.concat(F.lit("^ ^ "), "before")), F.lower(F.concat("after", F.lit(" $")))
-    one = F.regexp_extract(b, rf"({word})[\x20\x09-\x0D]*[\"'(\[<{{]*$", 1)
-    two = F.regexp_extract(b, rf"({word})[\x20\x09-\x0D]+{word}[\x20\x09-\x0D]*[\"'(\[<{{]*$", 1)
-    after = F.regexp_extract(a, rf"^[\"')\]>}}.,;:!?]*[\x20\x09-\x0D]*({word})", 1)
-    seen = seen.select("doc_id", "key", "kind", "start", "end", F.lower("hit").alias("hit"), F.array(F.concat_ws(" ", F.lit("LL"), two, one), F.concat_ws(" ", F.lit("LR"), one, after), F.concat_ws(" ", F.lit("LS"), one, _shape(F.col("hit")))).alias("patterns"))
-    seen = materialize(seen, "seen")
-
-    edges = materialize(seen.select(F.explode("patterns").alias("pattern"), "hit", "kind").groupBy("pattern", "hit").agg(F.max("kind").alias("kind")).withColumn("open", F.lit(True)), "graph")
-    slot_seeds = seen.filter("kind is not null").select(F.explode(F.slice("patterns", 1, 2)).alias("pattern"), "hit", "kind").groupBy("pattern", "hit").agg(F.max("kind").alias("kind"))
-    slot_seeds = materialize(slot_seeds, "slot-seeds")
-    in_reach = materialize(slot_seeds.groupBy("pattern").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_SEEDS).select("pattern"), "able")
-    slot_seeds = slot_seeds.join(in_reach.hint("merge"), "pattern")
-    wide = _instances(_slots(docs, in_reach).select("pattern", "hit").distinct()).select("pattern", "hit", F.lit(None).cast("string").alias("kind"), "open").unionByName(slot_seeds.withColumn("open", F.lit(True)))
-    wide = wide.groupBy(F.concat(F.lit("W"), "pattern").alias("pattern"), "hit").agg(F.max("kind").alias("kind"), F.max("open").alias("open"))
-    edges = edges.unionByName(wide)
-    able = edges.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.count("*").alias("n")).filter(F.col("seeds") >= MIN_SEEDS)
-    edges = materialize(edges.join(able.hint("merge"), "pattern"), "graph")  # only patterns that can become confident
-    scores = edges.filter("kind is not null").select("hit", "kind", F.lit(1.0).alias("score")).distinct()
+    rows = base_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    rows = rows.withColumn("clean", F.when(F.col("text").contains(MARK), F.translate("text", MARK, "\ue001")).otherwise(F.col("text")))
+    some = sum((F.size(k) for k in KINDS[1:]), F.size(KINDS[0])) > 0
+    rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("key"), *KINDS, F.when(some, _marked("clean")).otherwise(F.col("clean")).alias("masked")), "spans")
+    seeds = _seed_patterns(rows).groupBy("pattern", "one", "hit").agg(F.max("kind").alias("kind"))
+    seeds = materialize(seeds, "seeds")
+    able = materialize(seeds.groupBy("pattern", "one").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS), "able")
+    size = able.count()
+    maps = [_bitmap(able.select(F.col(c).alias("h")), size) for c in ("one", "pattern")]
+    slots = materialize(join_small(_slots(rows.select("doc_id", "key", "masked"), *maps), able.select("pattern"), "pattern", "left_semi"), "slots")
+
+    seeds = seeds.join(able.select("pattern").hint("merge"), "pattern", "left_semi")
+    edges = slots.groupBy("pattern", "hit").agg(F.max("open").alias("open")).withColumn("kind", F.lit(None).cast("string"))
+    edges = edges.unionByName(seeds.select("pattern", "hit", "kind").withColumn("open", F.lit(True)))
+    edges = materialize(edges.groupBy("pattern", "hit").agg(F.max("kind").alias("kind"), F.max("open").alias("open")), "edges")
+    number = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    edges = materialize(edges.join(number.hint("merge"), "pattern"), "graph")
+    known = edges.filter("kind is not null").groupBy("hit", "kind").agg(F.lit(1.0).alias("score"))
+    scores = materialize(known, "scores")
     confident = None
-    for _ in range(ROUNDS):
-        sums = edges.select("pattern", "n", "hit").join(scores.hint("merge"), "hit").groupBy("pattern", "n", "kind").agg((F.sum("score")).alias("s"))
-        confidence = sums.select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence"))
-        confident = materialize(confidence, "confidence")
-        tokens = edges.filter("kind is null and open").select("pattern", "hit").join(confident.hint("merge"), "pattern").groupBy("hit", "kind").agg(F.max("confidence").alias("c"))
-        tokens = tokens.select("hit", "kind", F.when(F.col("c") >= MIN_CONFIDENCE, 1.0).otherwise(F.col("c")).alias("score"))
-        seeds = edges.filter("kind is not null").select("hit", "kind", F.lit(1.0).alias("score"))
-        scores = materialize(seeds.union(tokens).groupBy("hit", "kind").agg(F.max("score").alias("score")), "scores")
+    for turn in range(ROUNDS):
+        sums = edges.select("pattern", "n", "hit").join(scores.hint("merge"), "hit").groupBy("pattern", "n", "kind").agg(F.sum("score").alias("s"))
+        confident = materialize(sums.select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence")), "confidence")
+        if turn == ROUNDS - 1:
+            break
+        others = edges.filter("kind is null and open").select("pattern", "hit").join(confident.hint("merge"), "pattern").groupBy("hit", "kind").agg(F.max("confidence").alias("c"))
+        others = others.select("hit", "kind", F.when(F.col("c") >= MIN_CONFIDENCE, 1.0).otherwise(F.col("c")).alias("score"))
+        scores = materialize(known.unionByName(others).groupBy("hit", "kind").agg(F.max("score").alias("score")), "scores")
     sure = materialize(confident.filter(F.col("confidence") >= MIN_CONFIDENCE), "sure")
-    found = seen.filter("kind is null").drop("kind").withColumn("pattern", F.explode("patterns")).join(sure.hint("merge"), "pattern").select("doc_id", "key", "kind", "confidence", "start", "end")
-    sure_slots = materialize(sure.filter(F.col("pattern").startswith("W")).withColumn("pattern", F.substring("pattern", 2, 1 << 20)), "sure-slots")
-    in_slots = join_small(_instances(_slots(docs, sure_slots.select("pattern").distinct())).filter("open"), sure_slots, "pattern", "inner")
-    found = found.unionByName(_placed(docs, materialize(in_slots.select("doc_id", "key", "kind", "confidence", "first", "last"), "in-slots")).select(*found.columns))
-    found = found.groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    found = materialize(join_small(slots.filter("open").drop("hit", "open"), sure, "pattern", "inner").drop("pattern"), "found")
+    placed = _placed(rows, found).groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     rank = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
-    added = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct(rank[F.col("kind")].alias("k"), "start", "end")).alias("more"))  # of one text
+    placed = materialize(placed.select("doc_id", "key", "start", "end", rank[F.col("kind")].alias("k")), "placed")
+    near = join_small(rows.select("doc_id", "key", *KINDS), materialize(placed.select("key").distinct(), "with-more"), "key", "left_semi")
+    base = near.select("doc_id", "key", F.explode(F.concat(*KINDS)).alias("x")).select("doc_id", "key", "x.start", "x.end").distinct()
+    added = _apart(base, placed).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("k", "start", "end"))).alias("more"))  # of one text
     added = materialize(added, "added").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "more")
-    out = rows.join(added.hint("merge"), rows["doc_id"].eqNullSafe(added["_id"]) & (rows["key"] == added["_key"]), "left")
+    out = rows.drop("masked").join(added.hint("merge"), rows["doc_id"].eqNullSafe(added["_id"]) & (rows["key"] == added["_key"]), "left")
 
     def numbered(k: int) -> Column:
         return F.transform(KINDS[k], lambda x: F.struct(F.lit(k).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
@@ -209,9 +254,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(label, x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    out = out.withColumn("more", F.filter("more", lambda t: ~F.exists(every, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-    ranked = F.array_sort(F.transform("more", lambda t: F.struct((t["start"] - t["end"]).alias("size"), t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"))))
-    apart = F.aggregate(ranked, F.array().cast("array<struct<k:int,start:int,end:int>>"), lambda a, t: F.when(F.exists(a, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])), a).otherwise(F.concat(a, F.array(F.struct(t["k"].alias("k"), t["start"].alias("start"), t["end"].alias("end"))))))
-    out = materialize(out.withColumn("more", apart), "whole")
     more = F.coalesce(F.col("more"), F.array().cast("array<struct<k:int,start:int,end:int>>"))
     return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat(base, more))).alias("spans"), F.size(more).cast("long").alias("added"))
