@@ -91,12 +91,13 @@ def test_every_state_counts_whatever_is_broadcast(spark, states, hot):
         new = {}
         for t in text:
             for before, s in places(t):
-                if len(before) >= d and (d <= S.DEPTH or before[len(before) - d + 1 :] in table):
+                if len(before) >= d and (d <= S.DEPTH or before[len(before) - d + 1] != S.END and before[len(before) - d + 1 :] in table):
                     new.setdefault(before[len(before) - d :], Counter())[s] += 1
         count |= new
         for c, n in new.items():
             total, up = sum(n.values()), count[c[1:]]
-            if total >= S.MIN_COUNT and sum(k * math.log(k / total * sum(up.values()) / up[s]) for s, k in n.items()) >= S.MIN_DIVERGENCE:
+            cost = 0.5 * len(n) * math.log(total)
+            if total >= S.MIN_COUNT and sum(k * math.log(k / total * sum(up.values()) / up[s]) for s, k in n.items()) - cost >= S.MIN_DIVERGENCE:
                 q = next(table[c[e:]] for e in range(1, d + 1) if c[e:] in table)
                 table[c] = [(n[s] + S.MASS * q[s]) / (total + S.MASS) for s in range(S.CLASSES)]
     assert max(map(len, table)) > S.DEPTH and len(table) > 12

@@ -1,11 +1,12 @@
 """LM scoring with a probabilistic suffix tree over the bytes of the text, and a word unigram base.
 
-Bytes (A-Z lower-cased) are put into 64 classes: the end of a text, the 62 most frequent bytes, all others. Contexts of
-one to four classes are states if their next-symbol distribution diverges enough from that of their suffix; a longer
-context is tested if its suffix is a state, without a greatest depth. A state's distribution is smoothed towards that
-of its longest suffix state. A text is scored by the longest suffix state at each place. All counts are Spark
-aggregates over all training texts. All states stay in written tables; a bounded number of them is broadcast, the
-others are looked up by a join.
+Bytes (A-Z lower-cased) are put into 64 classes: the end of a text, the 62 most frequent bytes, all others. A context is
+a state if its next-symbol distribution diverges from that of its suffix: if the log-likelihood that it gains exceeds
+MIN_DIVERGENCE and what its own distribution costs to state, half a logarithm of its count for each symbol that follows
+it. Contexts of one to four classes are all tested; a longer one if its suffix is a state, without a greatest depth. A
+state's distribution is smoothed towards that of its longest suffix state. A text is scored by the longest suffix state
+at each place. All counts are Spark aggregates over all training texts. All states stay in written tables; a bounded
+number of them is broadcast, the others are looked up by a join.
 """
 
 from __future__ import annotations
@@ -19,17 +20,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import _P, _P_INV, LOWER_BYTES, _powers, materialize, mix64, text_buffer, text_groups, word_hashes
+from volley.llm.shared import LOWER_BYTES, materialize, mix64, small_batches, text_buffer, text_groups, top_counts, word_hashes
 
 DEPTH, CLASSES = 4, 64
+#: Depth up to which a key is the context itself, six bits a class; beyond, it is a hash.
+EXACT = 9
+#: Depths of one pass over the texts: more at once the rarer the contexts become.
+PASSES = [(5, 5), (6, 6), (7, 9), (10, 17)]
 END, OTHER = 0, 63
-#: States of at most DEPTH classes in the broadcast tree; the least divergence (nats, times the count) and count of a
-#: state; smoothing mass.
-STATES, MIN_DIVERGENCE, MIN_COUNT, MASS = 20_000, 10.0, 20, 8.0
-#: Broadcast states beside the tree's (others are joined); size of the bitmap that spares most places a look-up.
-HOT_STATES, BITS = 60_000, 1 << 24
+#: The least gain (nats) beyond the cost of a state, and count of a state; smoothing mass.
+MIN_DIVERGENCE, MIN_COUNT, MASS = 10.0, 20, 8.0
+#: States of at most DEPTH classes in the broadcast tree, and broadcast states beside it (others are joined); size of
+#: the bitmap that spares most places a look-up.
+STATES, HOT_STATES, BITS = 60_000, 100_000, 1 << 24
 COMMON_WORDS = 300_000
 END_WORD = np.uint64(0x5BD1E9955BD1E995)
+#: Rows that a worker gathers before it passes them on.
+_GATHER = 1_500_000
 
 
 def _classes(counts: dict[int, int]) -> np.ndarray:
@@ -39,97 +46,156 @@ def _classes(counts: dict[int, int]) -> np.ndarray:
     return out
 
 
-def sequence(raw: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The classes of the texts on end, each after DEPTH ENDs and with one END after it; the places that are symbols
-    to predict; and the row of each of them."""
+def sequence(raw: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the texts on end, each after DEPTH ENDs and with one END after it; and which places are symbols
+    to predict."""
     n = len(off) - 1
-    row = np.repeat(np.arange(n), np.diff(off))
-    seq = np.zeros(len(raw) + n * (DEPTH + 1), np.uint8)
-    place = np.arange(len(raw)) + row * (DEPTH + 1) + DEPTH
-    seq[place] = classes[LOWER_BYTES[raw]]
     last = off[1:] + np.arange(n) * (DEPTH + 1) + DEPTH
-    asked = np.ones(len(seq), bool)
-    for k in range(DEPTH):
-        asked[last - np.diff(off) - 1 - k] = False
-    at = np.flatnonzero(asked)
-    return seq, at, np.searchsorted(last, at, "left")
-
-
-def keys(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context of DEPTH classes and the symbol, 6 bits each, the symbol lowest."""
-    out = np.zeros(len(at), np.int64)
-    for k in range(DEPTH, -1, -1):
-        out = out << 6 | seq[at - k]
+    text = np.ones(len(raw) + n * (DEPTH + 1), bool)
+    text[last] = False
+    asked = text.copy()
+    asked[last] = True
+    for k in range(1, DEPTH + 1):
+        at = last - np.diff(off) - k
+        text[at] = asked[at] = False
+    seq = np.zeros(len(text), np.uint8)
+    seq[text] = classes[LOWER_BYTES][raw]
+    return seq, asked
+
+
+def rows_of(at: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The text of each place."""
+    return np.searchsorted(off[1:] + np.arange(len(off) - 1) * (DEPTH + 1) + DEPTH, at, "left")
+
+
+def codes(seq: np.ndarray) -> np.ndarray:
+    """The DEPTH classes before each place, 6 bits each, the nearest lowest; of no meaning for the first places."""
+    out = np.zeros(len(seq), np.uint32)
+    for k in range(DEPTH, 0, -1):
+        out <<= np.uint32(6)
+        out[k:] |= seq[:-k]
     return out
 
 
-class Contexts:
-    """Keys of the contexts of d classes before the symbols at `at`: exact up to DEPTH, beyond by a 64-bit hash."""
+def keys(seq: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Context of DEPTH classes and the symbol, 6 bits each, the symbol lowest, of the places asked for."""
+    out = codes(seq) << np.uint32(6)
+    out |= seq
+    return out[asked]
 
-    def __init__(self, seq: np.ndarray):
-        self.seq = seq
-        self.sums = np.zeros(len(seq) + 1, np.uint64)
-        np.cumsum((seq.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(seq)), out=self.sums[1:])
-        self.inverse = _powers(_P_INV, len(seq) + 1)
 
-    def __call__(self, at: np.ndarray, d: int) -> np.ndarray:
-        if d <= DEPTH:
-            out = np.zeros(len(at), np.int64)
-            for k in range(d, 0, -1):
-                out = out << 6 | self.seq[at - k]
-            return out | d << 6 * DEPTH
-        h = (self.sums[at] - self.sums[at - d]) * self.inverse[at - d]
-        return mix64(h ^ (np.uint64(d) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)
+def longer(seq: np.ndarray, at: np.ndarray, key: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places can have a context of d > DEPTH classes, and its keys; key: those of the contexts of d - 1.
+    A context ends with the first END to the left. Up to EXACT classes a key is the context and its depth."""
+    on = np.flatnonzero(seq[at - (d - 1)] > 0)
+    at, key = at[on], key[on]
+    c = seq[at - d].astype(np.int64)
+    if d <= EXACT:
+        return on, (key & ((1 << 6 * (d - 1)) - 1)) | c << 6 * (d - 1) | d << 6 * EXACT
+    h = mix64(mix64(key.view(np.uint64) + np.uint64(d)) ^ (c + 1).view(np.uint64))
+    return on, ((h >> np.uint64(8) << np.uint64(6)) | np.uint64(1 << 62)).view(np.int64)
 
 
-def _room(at: np.ndarray, row: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The number of classes of its own text (with DEPTH ENDs) before each place."""
-    return at - off[row] - row * (DEPTH + 1)
+def shallow_keys(code: np.ndarray, d: int) -> np.ndarray:
+    return (code.astype(np.int64) & ((1 << 6 * d) - 1)) | d << 6 * EXACT
 
 
-def _bitmap(states: DataFrame) -> np.ndarray:
-    """Packed bits of the states' keys; a set bit may be another key's, so what passes is looked up again."""
-    bits = np.zeros(BITS, bool)
-    bits[states.select(F.col("key").bitwiseAND(BITS - 1).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
-    return np.packbits(bits)
+def _places(key: np.ndarray) -> np.ndarray:
+    return (mix64(key.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _bitmap(states: DataFrame, direct: bool = False) -> np.ndarray:
+    """Packed bits of the states' keys (direct: of their DEPTH classes, exact); a set bit may be another key's, so what
+    passes is looked up again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            bit = key & (BITS - 1) if direct else _places(key)
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["at", "bit"])
+
+    got = states.select("key").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITS / 64 rows at most
+    words = np.zeros(BITS >> 6, np.int64)
+    words[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return words.view(np.uint8)
+
+
+def _bits(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, bitorder="little").view(bool)
+
+
+class Slots:
+    """A hash table of 64-bit keys, looked up for many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
+        self.key, self.value = np.zeros(self.mask + 1, np.int64), np.full(self.mask + 1, -1, np.int64)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = np.flatnonzero(self.value[at] < 0)
+            self.value[at[free]] = left[free]  # of several for one place the last is in
+            self.key[at[free]] = keys[left[free]]
+            out = self.value[at] != left
+            left, at = left[out], (at[out] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it isn't there."""
+        out, at, left = np.full(len(keys), -1), self._place(keys), np.arange(len(keys))
+        while len(left):
+            value = self.value[at]
+            same = (self.key[at] == keys[left]) & (value >= 0)
+            out[left[same]] = value[same]
+            on = ~same & (value >= 0)
+            left, at = left[on], (at[on] + 1) & self.mask
+        return out
 
 
 @dataclass
 class DeepStates:
-    """Broadcast states outside the tree: by depth the sorted keys and rows of delta, log10 of p over the suffix's p."""
+    """Broadcast states outside the tree: their keys, and delta, log10 of p over the suffix state's p."""
 
-    keys: dict[int, tuple[np.ndarray, np.ndarray]]
+    keys: np.ndarray
     delta: np.ndarray
     depths: list[int]  # of all states outside the tree
     packed: np.ndarray
     whole: bool  # no state is left to the join
 
-    def add(self, tree: SuffixTree, bits: np.ndarray, raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What the broadcast states add to each text's score; and (row, key, symbol) of the places left to the join."""
+    def add(self, slots: Slots, bits: np.ndarray, seq: np.ndarray, asked: np.ndarray, code: np.ndarray, on: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the broadcast states add to each text's score; and (row, key, symbol) of the places left to the join.
+        on: the places whose context of DEPTH classes is a state, as far as the tree can tell."""
         n, left = len(off) - 1, []
         total = np.zeros(n)
-        seq, at, row = sequence(raw, off, tree.classes)
-        if self.depths and self.depths[0] > DEPTH:  # then all states of DEPTH are in the tree
-            on = table[keys(seq, at) >> 6] >= 1 + sum(map(len, tree.states[:-1]))
-            at, row = at[on], row[on]
-        room, context = _room(at, row, off), Contexts(seq)
-        for d in self.depths:
-            on = room >= d
-            at, row, room = at[on], row[on], room[on]
-            k = context(at, d)
-            hit = np.flatnonzero(bits[k & (BITS - 1)])
-            k = k[hit]
-            known, which = self.keys.get(d, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            i = np.minimum(np.searchsorted(known, k), max(len(known) - 1, 0))
-            found = known[i] == k if len(known) else np.zeros(len(k), bool)
-            place = hit[found]
-            total += np.bincount(row[place], self.delta[which[i[found]], seq[at[place]]], n)
-            if not self.whole:
-                cold = hit[~found]
-                left.append((row[cold], k[~found], seq[at[cold]].astype(np.int64)))
-                place = hit
+        at, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for d in range(1, max(self.depths, default=0) + 1):
             if d > DEPTH:
-                at, row, room = at[place], row[place], room[place]
+                keep, key = longer(seq, at, key, d)
+                at = at[keep]
+            elif d in self.depths:
+                at = np.flatnonzero(asked)
+                key = shallow_keys(code[at], d)
+            elif d == DEPTH:
+                at = np.flatnonzero(on)
+                key = shallow_keys(code[at], d)
+                continue
+            else:
+                continue
+            hit = np.flatnonzero(bits[_places(key)])
+            found = slots.find(key[hit])
+            known = np.flatnonzero(found >= 0)
+            place = at[hit[known]]
+            total += np.bincount(rows_of(place, off), self.delta[found[known], seq[place]], n)
+            if not self.whole:
+                cold = hit[found < 0]
+                left.append((rows_of(at[cold], off), key[cold], seq[at[cold]].astype(np.int64)))
+                known = np.arange(len(hit))
+            go = hit[known]
+            if d == DEPTH:
+                go = np.union1d(go, np.flatnonzero(on[at]))
+            if d >= DEPTH:
+                at, key = at[go], key[go]
         if not left:
             left = [(np.zeros(0, np.int64),) * 3]
         return total, *(np.concatenate(x) for x in zip(*left))
@@ -151,61 +217,110 @@ class SuffixTree:
         return out
 
     def score(self, raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
-        seq, at, row = sequence(raw, off, self.classes)
-        k = keys(seq, at)
-        total = np.bincount(row, self.log_p[table[k >> 6], k & 63], len(off) - 1)
-        odd = np.flatnonzero(self.classes[LOWER_BYTES[raw]] == OTHER)
+        seq, asked = sequence(raw, off, self.classes)
+        return self.score_places(raw, off, seq, np.flatnonzero(asked), table[codes(seq)[asked]])
+
+    def score_places(self, raw: np.ndarray, off: np.ndarray, seq: np.ndarray, at: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The texts' scores, given the longest state of the tree at each place."""
+        ends = np.flatnonzero(seq[at] == END) + 1  # each text's last place is its END
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        p = self.log_p.ravel()[state.astype(np.int32) * CLASSES + seq[at]]
+        total = np.add.reduceat(p, first, dtype=np.float64) if len(first) else np.zeros(0)
+        odd = np.flatnonzero((self.classes == OTHER)[LOWER_BYTES][raw])
         return total + np.bincount(np.searchsorted(off, odd, "right") - 1, self.within_other[LOWER_BYTES[raw[odd]]], len(off) - 1)
 
 
+def _summed(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of arrays of keys: summed over the arrays until there are _GATHER different keys."""
+    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in parts:
+        part = np.sort(part.view(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        keys, n = np.concatenate([keys, part[first]]), np.concatenate([n, np.diff(first, append=len(part))])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
+        if len(keys) > _GATHER:
+            yield keys, n
+            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(keys):
+        yield keys, n
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        raw, off = text_buffer(batch.column(0))
+        for a, b in text_groups(off, 8_000_000):
+            yield raw[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
 def _count(kind: str, docs: DataFrame, classes: np.ndarray | None = None) -> DataFrame:
     """(what, key, n): words (what 0, by hash) and bytes (what 1); or with classes, symbols after contexts (what 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = text_buffer(batch.column(0))
-            for a, b in text_groups(off, 8_000_000):
-                part, places = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+        seen = np.zeros(256, np.int64)
+
+        def parts() -> Iterator[np.ndarray]:
+            for raw, off in _groups(batches):
                 if classes is None:
-                    h, n = np.unique(np.append(word_hashes(part, places)[1], np.full(b - a, END_WORD)), return_counts=True)
-                    seen = np.bincount(LOWER_BYTES[part], minlength=256)
-                    sets = [(0, h.view(np.int64), n), (1, np.flatnonzero(seen), seen[seen > 0])]
+                    seen[:] += np.bincount(LOWER_BYTES[raw], minlength=256)
+                    yield np.append(word_hashes(raw, off)[1], np.full(len(off) - 1, END_WORD))
                 else:
-                    seq, at, _ = sequence(part, places, classes)
-                    sets = [(2, *np.unique(keys(seq, at).astype(np.uint32), return_counts=True))]
-                for what, key, n in sets:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["what", "key", "n"])
+                    yield keys(*sequence(raw, off, classes)).astype(np.uint64)
+
+        def rows(what: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["what", "key", "n"])
+
+        for key, n in _summed(parts()):
+            yield rows(0 if classes is None else 2, key.view(np.int64), n)
+        yield rows(1, np.flatnonzero(seen), seen[seen > 0])
 
     return materialize(docs.select("text").mapInArrow(run, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")), kind)
 
 
+def _gain() -> Column:
+    """What a context's own distribution gains over its suffix's (m: symbol to count, all: their sum), less its cost."""
+    gain = F.aggregate("seen", F.lit(0.0), lambda s, x: s + x["n"] * F.log(x["n"] / F.col("total") * F.col("all") / F.try_element_at("m", x["sym"])))
+    return gain - F.size("seen") * 0.5 * F.log("total")
+
+
 def _shallow(docs: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(d, ctx, sym, n) of all contexts of at most DEPTH classes; and (d, ctx, gain) of those that are states."""
+    """(d, ctx, total, seen: (sym, n)) of all contexts of at most DEPTH classes met MIN_COUNT times; and those that are
+    states, without d 0."""
     full = _count("contexts", docs, classes)
-    depth = F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])).alias("d")
-    grams = full.select("key", "n", depth).select("d", F.col("key").bitwiseAND(F.expr("shiftleft(1L, 6 * (d + 1)) - 1")).alias("key"), "n").groupBy("d", "key").agg(F.sum("n").alias("n"))
-    grams = materialize(grams.select("d", F.shiftright("key", 6).alias("ctx"), F.col("key").bitwiseAND(63).alias("sym"), "n"), "grams")
-    totals = grams.groupBy("d", "ctx").agg(F.sum("n").alias("all"))
-    rated = grams.join(totals.hint("merge"), ["d", "ctx"]).withColumn("p", F.col("n") / F.col("all"))
-    above = rated.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("suffix"), "sym", F.col("p").alias("q"))
-    child = rated.filter(f"d > 0 and all >= {MIN_COUNT}").withColumn("suffix", F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 6 * (d - 1)) - 1")))
-    gain = child.join(above.hint("merge"), ["d", "suffix", "sym"]).groupBy("d", "ctx").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
-    return grams, materialize(gain.filter(F.col("gain") >= MIN_DIVERGENCE), "states")
+    grams = full.select(F.shiftright("key", 6).alias("ctx"), F.col("key").bitwiseAND(63).alias("sym"), "n")
+    seen = []
+    for d in range(DEPTH, -1, -1):  # each depth is summed from the one above
+        if d < DEPTH:
+            grams = materialize(grams.groupBy(F.col("ctx").bitwiseAND((1 << 6 * d) - 1).alias("ctx"), "sym").agg(F.sum("n").alias("n")), "grams")
+        seen.append(_seen(grams.withColumn("d", F.lit(d)), "d", "ctx").filter((F.col("total") >= MIN_COUNT) | (F.col("d") == 0)))
+    seen = [materialize(x, "seen") for x in seen[::-1]]
+    kept = []
+    for d in range(1, DEPTH + 1):
+        above = seen[d - 1].select(F.col("ctx").alias("up"), F.map_from_entries("seen").alias("m"), F.col("total").alias("all"))
+        rows = seen[d].withColumn("up", F.col("ctx").bitwiseAND((1 << 6 * (d - 1)) - 1)).join(above.hint("merge"), "up")
+        kept.append(rows.filter(_gain() >= MIN_DIVERGENCE).select("d", "ctx", "total", "seen"))
+    out, states = seen[0], kept[0]
+    for x, y in zip(seen[1:], kept[1:] + [None]):
+        out, states = out.unionByName(x), states if y is None else states.unionByName(y)
+    return out, materialize(states, "states")
 
 
 def _first(kept: DataFrame, states: int) -> DataFrame:
-    """The tree's states, shorter ones first: so each suffix state of one of them is in the tree too."""
-    return materialize(kept.orderBy("d", F.desc("gain"), "ctx").limit(states).select("d", "ctx"), "first")
+    """The tree's states, those met most often: so each suffix state of one of them is in the tree too."""
+    return top_counts(kept, "total", states).select("d", "ctx")
 
 
 def _tree(docs: DataFrame, byte_counts: dict[int, int], states: int) -> SuffixTree:
-    grams, kept = _shallow(docs, _classes(byte_counts))
-    return _build(grams, _first(kept, states), byte_counts)
+    seen, kept = _shallow(docs, _classes(byte_counts))
+    return _build(seen, kept, _first(kept, states), byte_counts)
 
 
-def _build(grams: DataFrame, first_states: DataFrame, byte_counts: dict[int, int]) -> SuffixTree:
+def _build(seen: DataFrame, kept: DataFrame, first_states: DataFrame, byte_counts: dict[int, int]) -> SuffixTree:
     classes = _classes(byte_counts)
-    rows = grams.join(F.broadcast(first_states), ["d", "ctx"], "left_semi").unionByName(grams.filter("d = 0")).toArrow().to_pandas()  # of a bounded number of contexts
+    inside = kept.join(F.broadcast(first_states), ["d", "ctx"], "left_semi").unionByName(seen.filter("d = 0"))  # a bounded number of contexts
+    rows = inside.select("d", "ctx", F.explode("seen").alias("x")).select("d", "ctx", "x.*").toArrow().to_pandas()
 
     order = [np.unique(rows.ctx[rows.d == d].to_numpy()) for d in range(1, DEPTH + 1)]
     first = np.cumsum([1, *map(len, order)])
@@ -244,21 +359,20 @@ def _seen(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("seen"))
 
 
-def _shallow_states(grams: DataFrame, kept: DataFrame) -> list[DataFrame]:
+def _shallow_states(root: DataFrame, kept: DataFrame) -> list[DataFrame]:
     """State rows by depth 0 to DEPTH, of all states of `kept`."""
-    key = (F.col("d").cast("long") * F.lit(1 << 6 * DEPTH)).bitwiseOR(F.col("ctx"))
-    root = _seen(grams.filter("d = 0"), "d")
+    key = (F.col("d").cast("long") * F.lit(1 << 6 * EXACT)).bitwiseOR(F.col("ctx"))
     every = F.sequence(F.lit(0), F.lit(CLASSES - 1))
     n = F.map_from_entries("seen")
     root = root.select(F.col("d").cast("int").alias("d"), F.lit(0).cast("long").alias("key"), "total", n.alias("n"), F.map_from_arrays(every.cast("array<long>"), F.transform(every, lambda s: (F.coalesce(F.try_element_at(n, s.cast("long")), F.lit(0)) + 0.5) / (F.col("total") + 0.5 * CLASSES))).alias("p"))
     root = root.withColumns({"delta": F.col("p"), "unseen": F.lit(0.0)})
     out = [materialize(root, "depth-0")]
-    seen = materialize(_seen(grams.join(kept.select("d", "ctx").hint("merge"), ["d", "ctx"], "left_semi"), "d", "ctx").withColumn("key", key), "seen")
+    seen = kept.withColumn("key", key)
     suffix = F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("e")
-    low = seen.select("key", "ctx", "d", suffix).withColumn("up", F.when(F.col("e") == 0, 0).otherwise((F.col("e").cast("long") * F.lit(1 << 6 * DEPTH)).bitwiseOR(F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 6 * e) - 1")))))
+    low = seen.select("key", "ctx", "d", suffix).withColumn("up", F.when(F.col("e") == 0, 0).otherwise((F.col("e").cast("long") * F.lit(1 << 6 * EXACT)).bitwiseOR(F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 6 * e) - 1")))))
     known = seen.select(F.col("key").alias("up")).unionByName(out[0].select(F.col("key").alias("up")))
     up = low.join(known.hint("merge"), "up", "left_semi").groupBy("key").agg(F.max_by("up", "e").alias("up"))
-    seen = materialize(seen.join(up.hint("merge"), "key"), "seen")
+    seen = materialize(seen.join(up.hint("merge"), "key"), "suffixes")
     above = out[0]
     for d in range(1, DEPTH + 1):
         rows = seen.filter(F.col("d") == d).withColumn("d", F.col("d").cast("int"))
@@ -267,72 +381,88 @@ def _shallow_states(grams: DataFrame, kept: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _deeper(docs: DataFrame, classes: np.ndarray, above: DataFrame, d: int) -> DataFrame:
-    """State rows of depth d over the states `above` of depth d - 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(above))
+def _counted(docs: DataFrame, classes: np.ndarray, shallow: np.ndarray, deep: np.ndarray, low: int, high: int) -> DataFrame:
+    """(d, key, up, total, seen) of the contexts of low to high classes whose suffix of low - 1 classes is a state, met
+    MIN_COUNT times. shallow, deep: bitmaps of the states of DEPTH classes and of all longer ones so far."""
+    sent = docs.sparkSession.sparkContext.broadcast((shallow, deep))
+    names, kind = ["d", "key", "up", "sym", "n"], "d int, key long, up long, sym long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).view(bool)
-        for batch in batches:
-            raw, off = text_buffer(batch.column(0))
-            for a, b in text_groups(off, 8_000_000):
-                part, places = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-                seq, at, row = sequence(part, places, classes)
-                context = Contexts(seq)
-                at = at[_room(at, row, places) >= d]
-                up = context(at, d - 1)
-                on = bits[up & (BITS - 1)]
-                at, up = at[on], up[on]
-                key, sym = context(at, d), seq[at]
-                _, one, n = np.unique(key ^ mix64(sym.astype(np.uint64) + np.uint64(1)).view(np.int64), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(up[one]), pa.array(sym[one].astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "up", "sym", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "key long, up long, sym long, n long").repartition(F.col("key"))
-    rows = _seen(rows.groupBy("key", "up", "sym").agg(F.sum("n").alias("n")), "key", "up").filter(F.col("total") >= MIN_COUNT)
-    suffix = above.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("all"))
-    rows = rows.join(suffix.hint("merge"), "up")
-    gain = F.aggregate("seen", F.lit(0.0), lambda s, x: s + x["n"] * F.log(x["n"] / F.col("total") * F.col("all") / F.try_element_at("m", x["sym"])))
-    rows = rows.filter(gain >= MIN_DIVERGENCE).drop("m", "all").withColumn("d", F.lit(d))
-    return materialize(_smoothed(rows, above).select(*above.columns), f"depth-{d}")
-
-
-def _deep_states(docs: DataFrame, classes: np.ndarray, grams: DataFrame, kept: DataFrame, first: DataFrame) -> tuple[DataFrame, list[int]]:
+        shallow, deep = map(_bits, sent.value)
+        hashed: list[pa.RecordBatch] = []
+
+        def rows(d: np.ndarray, key: np.ndarray, up: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), *[pa.array(x.astype(np.int64)) for x in (key, up, sym, n)]], names)
+
+        def parts() -> Iterator[np.ndarray]:
+            for raw, off in _groups(batches):
+                seq, asked = sequence(raw, off, classes)
+                code = codes(seq)
+                at = np.flatnonzero(shallow[code] & asked)
+                key, out = shallow_keys(code[at], DEPTH), []
+                for d in range(DEPTH + 1, high + 1):
+                    up = key
+                    on, key = longer(seq, at, key, d)
+                    at, up = at[on], up[on]
+                    if d < low:
+                        on = deep[_places(key)]
+                        at, key = at[on], key[on]
+                    elif d <= EXACT:
+                        out.append(((key & ((1 << 6 * EXACT) - 1)) << 6 | seq[at]).view(np.uint64) | np.uint64(d << 60))
+                    elif len(at):
+                        packed = (key & ~63) | seq[at]
+                        _, one, n = np.unique(packed, return_index=True, return_counts=True)
+                        hashed.append(rows(np.full(len(one), d), key[one], up[one], seq[at[one]], n))
+                yield np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+        for key, n in _summed(parts()):
+            d = (key >> np.uint64(60)).astype(np.int64)
+            ctx = ((key >> np.uint64(6)) & np.uint64((1 << 6 * EXACT) - 1)).astype(np.int64)
+            yield rows(d, ctx | d << 6 * EXACT, (ctx & ((np.int64(1) << 6 * (d - 1)) - 1)) | (d - 1) << 6 * EXACT, (key & np.uint64(63)).astype(np.int64), n)
+        yield from hashed
+
+    got = docs.select("text").mapInArrow(run, kind).repartition(F.col("key"))
+    return materialize(_seen(got.groupBy("d", "key", "up", "sym").agg(F.sum("n").alias("n")), "d", "key", "up").filter(F.col("total") >= MIN_COUNT), f"counts-{low}")
+
+
+def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: DataFrame, first: DataFrame) -> tuple[DataFrame, list[int]]:
     """State rows of all states outside the tree, and their depths."""
-    by_depth = _shallow_states(grams, kept)
-    outside = []
+    by_depth = _shallow_states(root, kept)
+    outside, depths = by_depth[0].limit(0), []
     for d in range(1, DEPTH + 1):
-        inside = first.filter(F.col("d") == d).select((F.lit(d << 6 * DEPTH).cast("long").bitwiseOR(F.col("ctx"))).alias("key"))
-        outside.append((d, by_depth[d].join(F.broadcast(inside), "key", "left_anti").select(*by_depth[0].columns)))
-    outside = [(d, x) for d, x in outside if not x.isEmpty()]
-    above, d = by_depth[DEPTH], DEPTH
-    while not above.isEmpty():
-        d += 1
-        above = _deeper(docs, classes, above, d)
-        outside.append((d, above))
-    if d > DEPTH and len(outside) > 1:
-        outside.pop()  # the empty one
-    out = by_depth[0].limit(0)
-    for _, x in outside:
-        out = out.unionByName(x)
-    return out, [d for d, _ in outside]
+        inside = first.filter(F.col("d") == d).select((F.lit(d << 6 * EXACT).cast("long").bitwiseOR(F.col("ctx"))).alias("key"))
+        more = by_depth[d].join(F.broadcast(inside), "key", "left_anti").select(*by_depth[0].columns)
+        if not more.isEmpty():
+            outside, depths = outside.unionByName(more), [*depths, d]
+    above, (low, high), blocks = by_depth[DEPTH], (0, DEPTH), iter(PASSES)
+    shallow, deep = _bitmap(above, direct=True), np.zeros(BITS >> 3, np.uint8)
+    while True:
+        low, high = next(blocks, (high + 1, 2 * high))
+        rows = _counted(docs, classes, shallow, deep, low, high)
+        for d in range(low, high + 1):
+            suffix = above.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("all"))
+            states = rows.filter(F.col("d") == d).join(suffix.hint("merge"), "up").filter(_gain() >= MIN_DIVERGENCE).drop("m", "all")
+            above = materialize(_smoothed(states, above).select(*above.columns), f"depth-{d}")
+            if above.isEmpty():
+                return outside, depths
+            outside, depths = outside.unionByName(above), [*depths, d]
+            deep = deep | _bitmap(above)
 
 
 def _split(outside: DataFrame, depths: list[int], hot: int) -> tuple[DeepStates, DataFrame]:
-    """The `hot` states met most often, to broadcast; and all the others."""
+    """The states met most often, at most `hot`, to broadcast; and all the others."""
     count = outside.count()
     if not count:
-        return DeepStates({}, np.zeros((0, CLASSES), np.float32), [], np.zeros(BITS // 8, np.uint8), True), outside
-    rank = [F.desc("total"), F.col("key")]
-    top = outside if count <= hot else materialize(outside.orderBy(*rank).limit(hot), "hot")
-    rows = top.select("d", "key", "unseen", F.map_keys("delta").alias("syms"), F.map_values("delta").alias("values")).toArrow().combine_chunks()
-    d, key, unseen = (rows[c].to_numpy() for c in ("d", "key", "unseen"))
-    delta = np.repeat(unseen.astype(np.float32)[:, None], CLASSES, 1)
-    size = rows["syms"].combine_chunks().value_lengths().to_numpy()
-    delta[np.repeat(np.arange(len(key)), size), rows["syms"].combine_chunks().flatten().to_numpy()] = rows["values"].combine_chunks().flatten().to_numpy()
-    order = np.argsort(key)
-    found = {int(k): (key[at], at) for k in np.unique(d) for at in [order[d[order] == k]]}
+        return DeepStates(np.zeros(0, np.int64), np.zeros((0, CLASSES), np.float32), [], np.zeros(BITS >> 3, np.uint8), True), outside
+    top = outside if count <= hot else materialize(top_counts(outside, "total", hot), "hot")
+    rows = top.select("key", "unseen", F.map_keys("delta").alias("syms"), F.map_values("delta").alias("values")).toArrow().combine_chunks()
+    key = rows["key"].to_numpy()
+    delta = np.repeat(rows["unseen"].to_numpy().astype(np.float32)[:, None], CLASSES, 1)
+    if len(key):
+        size = rows["syms"].combine_chunks().value_lengths().to_numpy()
+        delta[np.repeat(np.arange(len(key)), size), rows["syms"].combine_chunks().flatten().to_numpy()] = rows["values"].combine_chunks().flatten().to_numpy()
     cold = outside if count <= hot else outside.join(F.broadcast(top.select("key")), "key", "left_anti")
-    return DeepStates(found, delta, depths, _bitmap(outside), count <= hot), cold
+    return DeepStates(key, delta, depths, _bitmap(outside), count <= hot), cold
 
 
 def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common: int = COMMON_WORDS, hot: int = HOT_STATES) -> DataFrame:
@@ -344,44 +474,48 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
     counts of the `common` most frequent words are broadcast (the documented bound); the others are joined by their
     64-bit hash. Repeated rows and null ids are scored like any other.
     """
+    small_batches(docs.sparkSession)
     words = _count("words", docs.filter(learn))
     counts = words.filter("what = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     byte_counts = {r.key: r.n for r in words.filter("what = 1").collect()}
-    grams, kept = _shallow(docs.filter(learn), _classes(byte_counts))
-    first = _first(kept, states)
-    tree = _build(grams, first, byte_counts)
-    outside, depths = _deep_states(docs.filter(learn), tree.classes, grams, kept, first)
+    seen, kept = _shallow(docs.filter(learn), _classes(byte_counts))
+    first = materialize(_first(kept, states), "first")
+    tree = _build(seen, kept, first, byte_counts)
+    outside, depths = _deep_states(docs.filter(learn), tree.classes, seen.filter("d = 0"), kept, first)
     deep, cold = _split(outside, depths, hot)
-    top = counts.orderBy(F.desc("c"), "h").limit(common).toArrow().to_pandas()
-    top_h, top_c = top.h.to_numpy(np.int64), top.c.to_numpy(np.int64)
+    top = top_counts(counts, "c", common).toArrow()
+    top_h, top_c = top["h"].to_numpy(), top["c"].to_numpy()
     order = np.argsort(top_h)
     sent = docs.sparkSession.sparkContext.broadcast((tree, deep, top_h[order], top_c[order]))
     scale, whole = float(np.log10(total + distinct + 1)), distinct <= common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, deep, hs, cs = sent.value
-        bits = np.unpackbits(deep.packed).view(bool)
-        table, log_c = tree.transitions(), np.log10(cs + 1.0)
+        bits, slots, words = _bits(deep.packed), Slots(deep.keys), Slots(hs)
+        table, log_c = tree.transitions(), np.append(np.log10(cs + 1.0), 0.0)
+        inner = 1 + sum(map(len, tree.states[:-1]))
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             for a, b in text_groups(off):
                 part, places, m = raw[off[a] : off[b]], off[a : b + 1] - off[a], b - a
                 row, h = word_hashes(part, places)
                 row, h = np.append(row, np.arange(m)), np.append(h, np.full(m, END_WORD)).view(np.int64)
-                h, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(hs, h), max(len(hs) - 1, 0))
-                hit = hs[at] == h if len(hs) else np.zeros(len(h), bool)
-                value = np.where(hit, log_c[at] if len(hs) else 0.0, 0.0)
-                rare_at = np.zeros(0, int) if whole else np.flatnonzero(~hit[back])
+                found = words.find(h)
+                hit, value = found >= 0, log_c[found]
+                rare_at = np.zeros(0, int) if whole else np.flatnonzero(~hit)
                 rare_at = rare_at[np.argsort(row[rare_at], kind="stable")]
                 ends = np.searchsorted(row[rare_at], np.arange(m + 1))
-                rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[back[rare_at]]))
-                more, far, key, sym = deep.add(tree, bits, part, places, table)
+                rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[rare_at]))
+                seq, asked = sequence(part, places, tree.classes)
+                code = codes(seq)
+                state = table[code]
+                score = tree.score_places(part, places, seq, np.flatnonzero(asked), state[asked])
+                more, far, key, sym = deep.add(slots, bits, seq, asked, code, (state >= inner) & asked, places)
                 far_at = np.argsort(far, kind="stable")
                 ends = pa.array(np.searchsorted(far[far_at], np.arange(m + 1)).astype(np.int32))
                 far_keys, far_syms = (pa.ListArray.from_arrays(ends, pa.array(x[far_at])) for x in (key, sym))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, hit[back], m).astype(np.int64)), pa.array(np.bincount(row, value[back], m)), pa.array(tree.score(part, places, table) + more), rare, far_keys, far_syms], ["doc_id", "n_tokens", "known", "logs", "score", "rare", "far", "syms"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, hit, m).astype(np.int64)), pa.array(np.bincount(row, value, m)), pa.array(score + more), rare, far_keys, far_syms], ["doc_id", "n_tokens", "known", "logs", "score", "rare", "far", "syms"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("logs", "score")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "far", "syms")]])
     rows = materialize(docs.select("doc_id", "text").mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "scored")
