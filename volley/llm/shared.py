@@ -25,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="volley-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -45,6 +47,18 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: str, share: int = 500) -> DataFrame:
+    """Inner join of left (a written table) with right (one row a key). Keys with more than a `share`-th of left's rows,
+    of which there are fewer than `share`, are joined by broadcast, the others by hash: no task gets a hot key."""
+    n = left.count()
+    hot = left.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(1000, n // share)).select(on)
+    hot = materialize(right.join(F.broadcast(hot), on, "left_semi"), "hot")
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), on)
+    cold = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.hint("merge"), on)
+    return left.join(F.broadcast(hot), on).select(*cold.columns).unionByName(cold)
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most about `size`: a batch of 10,000 rows of long texts would fill a worker's memory. A
     size that the application was started with stays."""

@@ -26,7 +26,7 @@ DEPTH, CLASSES = 4, 64
 #: Depth up to which a key is the context itself, six bits a class; beyond, it is a hash.
 EXACT = 9
 #: Depths of one pass over the texts: more at once the rarer the contexts become.
-PASSES = [(5, 5), (6, 6), (7, 9), (10, 17)]
+PASSES = [(5, 5), (6, 6), (7, 8), (9, 12)]
 END, OTHER = 0, 63
 #: The least gain (nats) beyond the cost of a state, and count of a state; smoothing mass.
 MIN_DIVERGENCE, MIN_COUNT, MASS = 10.0, 20, 8.0
@@ -35,8 +35,8 @@ MIN_DIVERGENCE, MIN_COUNT, MASS = 10.0, 20, 8.0
 STATES, HOT_STATES, BITS = 60_000, 100_000, 1 << 24
 COMMON_WORDS = 300_000
 END_WORD = np.uint64(0x5BD1E9955BD1E995)
-#: Rows that a worker gathers before it passes them on.
-_GATHER = 1_500_000
+#: Bounds of a worker's memory: bytes of text taken at once; different keys that it sums up; rows it passes on at once.
+_GROUP, _GATHER, _ROWS = 2_500_000, 1_000_000, 100_000
 
 
 def _classes(counts: dict[int, int]) -> np.ndarray:
@@ -242,16 +242,17 @@ def _summed(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
         if len(keys) > _GATHER:
-            yield keys, n
+            for a in range(0, len(keys), _ROWS):
+                yield keys[a : a + _ROWS], n[a : a + _ROWS]
             keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(keys):
-        yield keys, n
+    for a in range(0, len(keys), _ROWS):
+        yield keys[a : a + _ROWS], n[a : a + _ROWS]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         raw, off = text_buffer(batch.column(0))
-        for a, b in text_groups(off, 8_000_000):
+        for a, b in text_groups(off, _GROUP):
             yield raw[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
@@ -497,7 +498,7 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
         inner = 1 + sum(map(len, tree.states[:-1]))
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            for a, b in text_groups(off):
+            for a, b in text_groups(off, _GROUP):
                 part, places, m = raw[off[a] : off[b]], off[a : b + 1] - off[a], b - a
                 row, h = word_hashes(part, places)
                 row, h = np.append(row, np.arange(m)), np.append(h, np.full(m, END_WORD)).view(np.int64)
