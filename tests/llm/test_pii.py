@@ -67,3 +67,16 @@ def test_slots_find_identifiers_without_digits_and_with_spaces(spark):
         at = text.index(hit)
         assert (got[k].spans, got[k].added) == (f"{kind}:{at}:{at + len(hit)}", 1)
     assert got[300].spans == got[301].spans == ""
+
+
+def test_a_long_text_takes_linear_time(spark):
+    """64,000 tokens with digits and some hundreds of seeds; in a quadratic form this took minutes."""
+    import time
+
+    text = " ".join(f"please write to user{k}@host{k}.org for all" if k % 100 == 0 else f"n{k}" for k in range(64_000))
+    df = spark.createDataFrame([(1, text), (2, "please write to name[at]host for all")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert time.time() - began < 60 and got[1].n_email == 640
+    at = "please write to name[at]host".index("name")
+    assert got[2].spans == f"email:{at}:{at + len('name[at]host')}"

@@ -33,9 +33,10 @@ ANY = "(?:" + ")|(?:".join(PATTERNS[k] for k in ("phone", "email", "ip", "card")
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
 #: Tokens at most between the two words of a slot; characters of a word that count in a pattern.
 RUN, WORD = 8, 32
-#: Bits, at least and at most, of the map of pattern hashes that spares nearly all places a look-up.
+#: Bits, at least and at most, of the filter of pattern hashes that spares nearly all places a look-up.
 BITS = (1 << 16, 1 << 22)
-LEAD, TRAIL = r"^[\"'(\[<{]+", r"[\"')\]>}.,;:!?]+$"
+#: Punctuation that doesn't belong to what stands in a slot, before and after it.
+LEAD, TRAIL = "\"'([<{", "\"')]>}.,;:!?"
 
 
 def _digits(m: Column) -> Column:
@@ -114,10 +115,11 @@ def _pair(kind: str, a: Column, b: Column) -> Column:
 
 
 def _bitmap(hashes: DataFrame, size: int) -> tuple[Column, int]:
-    """The hashes' lowest bits as an array of 64-bit words (a constant of the plan), and the number of bits."""
-    bits = min(max(BITS[0], 1 << (16 * size).bit_length()), BITS[1])
-    low = F.col("h").bitwiseAND(bits - 1)
-    words = hashes.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("word")).collect()  # bits / 64 rows at most
+    """A Bloom filter of the hashes `h`, two bits each, as an array of 64-bit words (a constant of the plan), and the
+    number of bits."""
+    bits = min(max(BITS[0], 1 << (32 * size).bit_length()), BITS[1])
+    h = F.explode(F.array(F.col("h"), F.shiftright("h", 32))).alias("h")
+    words = hashes.select(h).select(F.shiftright(F.col("h").bitwiseAND(bits - 1), 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("word")).collect()  # bits / 64 rows at most
     table = ["0"] * (bits >> 6)
     for r in words:
         table[r["at"]] = str(r.word)
@@ -126,7 +128,12 @@ def _bitmap(hashes: DataFrame, size: int) -> tuple[Column, int]:
 
 def _set(bitmap: tuple[Column, int], h: Column) -> Column:
     table, bits = bitmap
-    return F.getbit(F.get(table, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    bit = lambda x: F.getbit(F.get(table, F.shiftright(x.bitwiseAND(bits - 1), 6).cast("int")), x.bitwiseAND(63).cast("int")) == 1
+    return bit(h) & bit(F.shiftright(h, 32))
+
+
+def _trim(text: Column) -> Column:
+    return F.rtrim(F.ltrim(text, F.lit(LEAD)), F.lit(TRAIL))
 
 
 def _seed_patterns(rows: DataFrame) -> DataFrame:
@@ -134,16 +141,18 @@ def _seed_patterns(rows: DataFrame) -> DataFrame:
     at = F.filter(F.transform("w", lambda x, i: F.when(x.contains(MARK), i).otherwise(-1)), lambda i: i >= 0)
     rows = _words(rows.filter(F.col("masked").contains(MARK))).select(F.explode(F.transform(at, lambda i: F.slice("w", i - 1, F.lit(4)))).alias("w"))
     two, one, seed, after = (F.get("w", F.lit(k)) for k in range(4))
-    sign = F.regexp_extract(seed, f"^[\"'(\\[<{{]*{MARK}([0-3][0-9a-f]+):[0-9]+{MARK}[\"')\\]>}}.,;:!?]*$", 1)
+    sign = F.regexp_extract(_trim(seed), f"^{MARK}([0-3][0-9a-f]+):[0-9]+{MARK}$", 1)
     rows = rows.select(sign.alias("sign"), _left(one).alias("one"), F.array(_pair("LL", two, one), _pair("LR", one, after)).alias("patterns")).filter("sign <> ''")
     return rows.select(F.explode("patterns").alias("pattern"), "one", F.xxhash64("sign").alias("hit"), F.get(F.array(*map(F.lit, KINDS)), F.left("sign", F.lit(1)).cast("int")).alias("kind"))
 
 
-def _slots(rows: DataFrame, lefts: tuple[Column, int], able: tuple[Column, int]) -> DataFrame:
-    """(doc_id, key, at, n, pattern, hit, open): what stands in the slots of patterns in the map `able` (and of some
-    others with the same bits): n words from number `at` on. A slot after two words is one word, a slot between two
+def _slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, key, at, n, pattern, hit, open): what stands in the slots of patterns (pattern, one), and of some others
+    with the same bits: n words from number `at` on. A slot after two words is one word, a slot between two
     words all words up to the next such word. Rows stay where they are read. `open` is false for a plain word (letters
     only), which counts against a pattern but is not added; what holds a seed is left out."""
+    size = patterns.count()
+    lefts, able = (_bitmap(patterns.select(F.col(c).alias("h")), size) for c in ("one", "pattern"))
     at = F.filter(F.transform("w", lambda x, i: F.when(_set(lefts, _left(x)), i + 1).otherwise(-1)), lambda i: i > 1)
     places = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("w", i - 1, F.lit(RUN + 3)).alias("w")))  # two words before, the slot, what follows
     rows = _words(rows).select("doc_id", "key", F.explode(places).alias("x")).select("doc_id", "key", "x.at", "x.w")
@@ -152,7 +161,7 @@ def _slots(rows: DataFrame, lefts: tuple[Column, int], able: tuple[Column, int])
     after = F.transform(F.slice("w", F.lit(4), F.lit(RUN)), lambda x, i: F.struct((i + 1).alias("n"), _pair("LR", one, x).alias("pattern")))
     rows = rows.filter("size(w) > 3").select("doc_id", "key", "at", "w", F.explode(F.filter(F.concat(before, after), lambda c: _set(able, c["pattern"]))).alias("c")).select("doc_id", "key", "at", "w", "c.*")
     nearest = ~F.exists(F.slice("w", F.lit(4), F.col("n") - 1), lambda x: _pair("LR", one, x) == F.col("pattern"))
-    hit = F.regexp_replace(F.regexp_replace(F.array_join(F.slice("w", F.lit(3), F.col("n")), " "), LEAD, ""), TRAIL, "")
+    hit = _trim(F.when(F.col("n") == 1, F.get("w", F.lit(2))).otherwise(F.array_join(F.slice("w", F.lit(3), F.col("n")), " ")))
     rows = rows.filter(nearest).select("doc_id", "key", "at", "n", "pattern", hit.alias("hit")).filter(~F.col("hit").contains(MARK) & (F.col("hit") != ""))
     return rows.select("doc_id", "key", "at", "n", "pattern", F.xxhash64("hit").alias("hit"), F.col("hit").rlike(r"[^\p{L}]").alias("open"))
 
@@ -170,9 +179,9 @@ def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     pieces = pieces.select("key", "x", F.sum(F.when(F.col("x") != "", 1)).over(along).alias("word"), (F.sum(F.col("size") + 1).over(along) - 1).alias("end"), "size").filter("x <> ''")
     ends = found.select("key", F.explode(F.array(F.col("at"), F.col("at") + F.col("n") - 1)).alias("number")).distinct().withColumn("word", F.col("number").cast("long") - 1)
     pieces = materialize(pieces.join(ends.hint("merge"), ["key", "word"]), "ends")  # word 1 is number 2
-    lead = F.length("x") - F.length(F.regexp_replace("x", LEAD, ""))
+    lead = F.length("x") - F.length(F.ltrim("x", F.lit(LEAD)))
     first = pieces.select("key", F.col("number").alias("at"), (F.col("end") - F.col("size") + lead).cast("int").alias("start"))
-    trail = F.length("x") - F.length(F.regexp_replace("x", TRAIL, ""))
+    trail = F.length("x") - F.length(F.rtrim("x", F.lit(TRAIL)))
     last = pieces.select("key", F.col("number").alias("to"), (F.col("end") - trail).cast("int").alias("end"))
     out = found.withColumn("to", F.col("at") + F.col("n") - 1).join(first.hint("merge"), ["key", "at"]).join(last.hint("merge"), ["key", "to"])
     return out.select("doc_id", "key", "kind", "confidence", "start", "end")
@@ -199,8 +208,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     kind:start:end by kind, then start; `added` is the number of added ones. Rows that are repeated, and null ids, are
     treated like any other; other columns of docs are not looked at.
 
-    A pattern's confidence for a kind is the sum of its instances' scores over their number + 1, if MIN_SEEDS different
-    ones are seeds; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
+    Patterns with fewer than MIN_SEEDS seeds, or with so many plain words in their slots that they could not reach
+    MIN_CONFIDENCE, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over their number + 1; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
     instance the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After ROUNDS turns, instances
     in patterns of at least MIN_CONFIDENCE that overlap no base span are added, with the kind of highest confidence (of
     equal ones, the alphabet's last); of a chain of overlapping ones the longest stays. Single words of letters only are
@@ -213,9 +222,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
     seeds = _seed_patterns(rows).groupBy("pattern", "one", "hit").agg(F.max("kind").alias("kind"))
     seeds = materialize(seeds, "seeds")
     able = materialize(seeds.groupBy("pattern", "one").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS), "able")
-    size = able.count()
-    maps = [_bitmap(able.select(F.col(c).alias("h")), size) for c in ("one", "pattern")]
-    slots = materialize(join_small(_slots(rows.select("doc_id", "key", "masked"), *maps), able.select("pattern"), "pattern", "left_semi"), "slots")
+    plain = rows.select("doc_id", "key", "masked")
+    # what each pattern's slots hold: sums only, by (pattern, hit) and then by pattern
+    held = _slots(plain, able).groupBy("pattern", "hit").agg(F.max("open").alias("open"))
+    held = held.groupBy("pattern").agg(F.count("*").alias("others"), F.count_if(~F.col("open")).alias("closed"))
+    n = F.col("seeds") + F.coalesce("others", F.lit(0))
+    able = materialize(able.join(materialize(held, "held").hint("merge"), "pattern", "left").filter((n - F.coalesce("closed", F.lit(0))) / (n + 1) >= MIN_CONFIDENCE).select("pattern", "one"), "able")
+    slots = materialize(join_small(_slots(plain, able), able.select("pattern"), "pattern", "left_semi"), "slots")
 
     seeds = seeds.join(able.select("pattern").hint("merge"), "pattern", "left_semi")
     edges = slots.groupBy("pattern", "hit").agg(F.max("open").alias("open")).withColumn("kind", F.lit(None).cast("string"))
