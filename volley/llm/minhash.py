@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volley.llm.shared import join_small, materialize, mix64, text_buffer, text_groups, word_hashes
+from volley.llm.shared import join_hot, join_small, materialize, mix64, small_batches, text_buffer, text_groups, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 48, 8
@@ -89,7 +89,8 @@ def bucket_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, buckets): node is a 128-bit digest of the set; null for no set or no doc_id."""
+    """(doc_id, key, n_shingles, node, buckets): node is a 128-bit digest of the set; null for no set or no doc_id. key is
+    xxhash64 of the text (null as empty): with doc_id it tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +102,10 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS
                 valid = batch.column(0).slice(a, b - a).is_valid().to_numpy(zero_copy_only=False)
                 node = [hashlib.blake2b(data[x:y], digest_size=16).digest() if y > x and v else None for x, y, v in zip(p[:-1].tolist(), p[1:].tolist(), valid)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(node, pa.binary()), lists], ["doc_id", "n_shingles", "node", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array(node, pa.binary()), lists], ["doc_id", "key", "n_shingles", "node", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, buckets array<long>")
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, node binary, buckets array<long>")
 
 
 def full_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -129,30 +130,35 @@ def components(edges: DataFrame, name: str = "comp") -> DataFrame:
     """(node, comp) of the nodes of edges (a, b): comp is the smallest node that is reachable.
 
     Labels spread along the edges and are then replaced by their own label (pointer jumping), until none changes;
-    each round is written to the shared folder.
+    each round is written to the shared folder. The nodes with many edges (the centres of stars) and the labels of many
+    nodes are joined by broadcast, so none of them is the key of a task.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), name)
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b", "comp": "of"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("of").alias("of"))
+        near = join_hot(both, labels.withColumnsRenamed({"node": "b", "comp": "of"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("of").alias("of"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "of").alias("next"))
         up = step.select(F.col("node").alias("next"), F.col("next").alias("top"))
-        step = materialize(step.join(up, "next", "left").select("node", "was", F.least("next", "top").alias("comp")), name)
+        step = materialize(join_hot(materialize(step, name), up, "next").select("node", "was", F.least("next", "top").alias("comp")), name)
         labels = step.select("node", "comp")
         if step.filter("comp <> was").isEmpty():
             return labels
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS, k: int = WORDS) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept.
+    """One row a row of docs: doc_id, n_shingles, component_id, kept, key, first.
 
     Texts whose sets have 100 * intersection >= percent * union are linked; component_id is the smallest doc_id
     reachable, kept tells whether it is the row's own. Null or empty text has no set and is linked with nothing; a
     null doc_id is linked with nothing, has a null component_id and is kept. Rows of equal sets are one node, so
-    copies cost one row each. Repeated rows of the kept doc_id are all kept.
+    copies cost one row each. Repeated rows of the kept doc_id are all kept. key is xxhash64 of the text; first is true
+    for the rows of one (doc_id, key), the smallest, of each component: where doc_ids repeat with different texts, the
+    representative. Sets are compared by 64-bit hashes of their shingles.
     """
+    small_batches(docs.sparkSession)
     rows_ = materialize(sketch(docs, bands, rows, k), "sketch")
-    nodes = rows_.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
+    own = F.min(F.struct("doc_id", "key"))
+    nodes = rows_.filter("node is not null").groupBy("node").agg(own["doc_id"].alias("doc_id"), own["key"].alias("key"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
     nodes = materialize(nodes, "nodes")
     spread = nodes.select("node", "n", "doc_id", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
@@ -215,9 +221,10 @@ def near_dedup(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int
             joined = components(links).withColumnsRenamed({"node": "old", "comp": "new"})
             whole = members.select("node").distinct().join(comp.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("old"))
             comp = materialize(whole.join(joined.hint("merge"), "old", "left").select("node", F.coalesce("new", "old").alias("comp")), "comp")
-    classes = nodes.select("node", "doc_id").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    classes = materialize(classes.join(least.hint("merge"), "comp").select("node", "component_id"), "classes")
-    out = join_small(rows_.select("doc_id", "n_shingles", "node"), classes, "node", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    classes = nodes.select("node", "doc_id", "key").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = classes.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    classes = materialize(join_hot(materialize(classes.select("node", "comp"), "classes"), least, "comp").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("_key")), "classes")
+    out = join_small(rows_.select("doc_id", "n_shingles", "node", "key"), classes, "node", "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", kept)
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "key", (F.col("kept") & F.coalesce(F.col("key") == F.col("_key"), F.lit(True))).alias("first"))

@@ -34,7 +34,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).drop("key", "first")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
