@@ -23,3 +23,10 @@ def test_filter_finds_every_gram_put_in(spark):
     model = langid.train(df, F.lit(True))
     fixed, total, has = model.counts([SAMPLES["en"], "qqqq xkxk"])
     assert has.all() and fixed[0, 0] > 0.99 * total[0] and fixed[1, 0] < 0.2 * total[1]
+
+
+def test_letters_of_every_plane_count(spark):
+    """A text of CJK extension G has letters, though no language is known for them."""
+    df = spark.createDataFrame([(i, SAMPLES["en"], "en") for i in range(10)], "doc_id long, text string, lang string")
+    got = langid.detect(spark.createDataFrame([(1, "\U00030001\U00030002")], "doc_id long, text string"), langid.train(df, F.lit(True))).first()
+    assert got.lang_pred != "und" and got.score == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volley.llm.shared import ascii_lower, join_small, materialize
+from volley.llm.shared import ascii_lower, join_small, materialize, unused
 
 
 def content_hash(text: Column) -> Column:
@@ -26,19 +26,20 @@ def exact_dedup(docs: DataFrame, keep: str = "max", hash_of: Callable[[Column],
     the text is the byte comparison. A hash with two texts (a collision) is told apart by a join on the text.
     """
     best = F.max if keep == "max" else F.min
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", "_n", "_h")
-    docs = docs.withColumn("_n", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("_h", hash_of(F.col("_n")))
-    twice = materialize(docs.groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"), "twice")
-    members = join_small(docs.select("doc_id", "_h", "_n"), twice, "_h", "left_semi")
-    classes = materialize(members.groupBy("_h", "_n").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "classes")
-    collided = materialize(classes.groupBy("_h").agg(F.count("*").alias("c")).filter("c > 1").select("_h"), "collided")
-    plain = classes.join(collided, "_h", "left_anti") if not collided.isEmpty() else classes
-    out = join_small(docs, plain.drop("_n"), "_h", "left")
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    n, h, k, g = unused(docs, "n", "h", "k", "g")
+    docs = docs.withColumn(n, ascii_lower(F.coalesce("text", F.lit("")))).withColumn(h, hash_of(F.col(n)))
+    twice = materialize(docs.groupBy(h).agg(F.count("*").alias("n")).filter("n > 1").select(h), "twice")
+    members = join_small(docs.select("doc_id", h, n), twice, h, "left_semi")
+    classes = materialize(members.groupBy(h, n).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "classes")
+    collided = materialize(classes.groupBy(h).agg(F.count("*").alias("c")).filter("c > 1").select(h), "collided")
+    plain = classes.join(collided, h, "left_anti") if not collided.isEmpty() else classes
+    out = join_small(docs, plain.drop(n), h, "left")
     if not collided.isEmpty():
-        apart = classes.join(collided, "_h", "left_semi").select("_h", "_n", F.col("keep_id").alias("_k"), F.col("group_size").alias("_g"))
-        out = out.join(apart, ["_h", "_n"], "left").withColumns({"keep_id": F.coalesce("keep_id", "_k"), "group_size": F.coalesce("group_size", "_g")}).drop("_k", "_g")
+        apart = classes.join(collided, h, "left_semi").select(h, n, F.col("keep_id").alias(k), F.col("group_size").alias(g))
+        out = out.join(apart, [h, n], "left").withColumns({"keep_id": F.coalesce("keep_id", k), "group_size": F.coalesce("group_size", g)}).drop(k, g)
     return (
-        out.withColumns({"keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "text_sha256": F.sha2(F.col("_n").cast("binary"), 256)})
+        out.withColumns({"keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "text_sha256": F.sha2(F.col(n).cast("binary"), 256)})
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .drop("_h", "_n")
+        .drop(h, n)
     )

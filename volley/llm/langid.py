@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import materialize, mix64, text_groups
+from volley.llm.shared import materialize, mix64, small_batches, text_groups
 
 SLOTS, HASHES = 1 << 20, 3
 SAMPLE_DOCS = 3000
@@ -26,9 +26,9 @@ UNDETERMINED = "und"
 
 
 def _letters() -> np.ndarray:
-    """Per code point below 0x30000: its lower-case code point if it is a letter, else 0."""
-    out = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
+    """Per code point: its lower-case code point if it is a letter, else 0."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         if (s := chr(c)).isalpha():
             low = s.lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -46,7 +46,7 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cps = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
     off = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=off[1:])
-    return _table[0][np.minimum(cps, 0x2FFFF)], off
+    return _table[0][cps], off
 
 
 def grams(letters: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +111,10 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS, slots: int
 
     Of each language about `sample` rows are taken, by a hash of text (a documented bound of the labelled rows). An
     n-gram is put into a language's filter if it was seen MIN_COUNT times there and its frequency there is at least
-    MIN_SHARE of its highest in any language. Only filter slots, at most `slots` rows, reach the driver.
+    MIN_SHARE of its highest in any language. Repeated rows count as often as they occur, a text with two languages for
+    both. Only filter slots, at most `slots` rows, reach the driver.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -157,7 +159,9 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS, slots: int
 
 def detect(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score (columns of those names are replaced). Text that is null, empty or without
-    letters is `und` with score 0; score is the share of the best language among the corrected counts."""
+    letters is `und` with score 0; score is the share of the best language among the corrected counts. Of equally good
+    languages the first by name is taken, so too (with score 0) if no n-gram of the text is known."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names, at = docs.columns, docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
