@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from volley.llm import bpe, exact_dedup, langid, minhash, mixing
 from volley.llm.queries import domains_of, vocabulary_path
-from volley.llm.shared import ascii_lower, fold, join_small, materialize, table
+from volley.llm.shared import ascii_lower, fold, join_small, materialize, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts whose language is undetermined: null, empty or without letters (all of them if none was learned)."""
+    """Drops texts whose language is undetermined: null, empty or without letters, and those of whose n-grams no language
+    knows one (all of them if none was learned)."""
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
     found = langid.detect(docs, model)
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,23 +27,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.withColumn("_text", F.md5(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    (text,) = unused(docs, "text")
+    return kept.withColumn(text, F.md5(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"))).dropDuplicates(["doc_id", text]).drop(text)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity of 0.8 or more) the smallest doc_id stays."""
-    dropped = minhash.near_dedup(docs.select("doc_id", "text"), percent=80).filter("not kept").select("doc_id").distinct()
-    return join_small(docs, materialize(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five words, similarity of 0.8 or more) the row with the smallest doc_id stays (of
+    rows of one doc_id, one text). Rows are told apart by doc_id and text, so another text of a dropped doc_id stays."""
+    gone = minhash.near_dedup(docs.select("doc_id", "text"), percent=80).filter("not first").select("doc_id", "key").distinct()
+    (key,) = unused(docs, "key")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return join_small(rows, materialize(gone.withColumnRenamed("key", key), "dropped"), ["doc_id", key], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents by their rates (at least 1: none is lost) so that the domains' shares of tokens meet the targets."""
+    """Repeats documents by their rates (at least 1: none is lost) so that the domains' shares of tokens meet the targets.
+    Null or empty texts have no tokens and stay once; rows of one doc_id and text share a rate, each being repeated."""
     mixed = mixing.mix(docs.select("doc_id", "text"), domains_of(table(spark, sf_dir, "labels")), mixing.TARGETS, least=1.0)
     return mixing.apply_copies(docs, mixed)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, with the digests of ids and decoded text."""
+    """The token ids of every text, with the digests of ids and decoded text; null texts have none, repeated rows a row
+    each."""
     out = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary_path(), with_text=False)
     return out.drop("text")
 
