@@ -3,8 +3,9 @@
 Bytes (A-Z lower-cased) are put into 64 classes: the end of a text, the 62 most frequent bytes, all others. A context is
 a state if its next-symbol distribution diverges from that of its suffix: if the log-likelihood that it gains exceeds
 MIN_DIVERGENCE and what its own distribution costs to state, half a logarithm of its count for each symbol that follows
-it. Contexts of one to four classes are all tested; a longer one if its suffix is a state, without a greatest depth. A
-state's distribution is smoothed towards that of its longest suffix state. A text is scored by the longest suffix state
+it. Contexts of one to four classes are all tested; a longer one if its suffix is a state and its count at least an
+eighth of the square root of the number of symbols, without a greatest depth: so the number of states grows with the
+corpus, as its square root, and the probability below which a context is not looked at falls with it. A state's distribution is smoothed towards that of its longest suffix state. A text is scored by the longest suffix state
 at each place. All counts are Spark aggregates over all training texts. All states stay in written tables; a bounded
 number of them is broadcast, the others are looked up by a join.
 """
@@ -26,10 +27,11 @@ DEPTH, CLASSES = 4, 64
 #: Depth up to which a key is the context itself, six bits a class; beyond, it is a hash.
 EXACT = 9
 #: Depths of one pass over the texts: more at once the rarer the contexts become.
-PASSES = [(5, 5), (6, 6), (7, 8), (9, 12)]
+PASSES = [(5, 6), (7, 10)]
 END, OTHER = 0, 63
-#: The least gain (nats) beyond the cost of a state, and count of a state; smoothing mass.
-MIN_DIVERGENCE, MIN_COUNT, MASS = 10.0, 20, 8.0
+#: The least gain (nats) beyond the cost of a state, and count of a state; the share of the square root of the number of
+#: symbols that a longer context's count must reach; smoothing mass.
+MIN_DIVERGENCE, MIN_COUNT, ROOT_SHARE, MASS = 10.0, 20, 0.125, 8.0
 #: States of at most DEPTH classes in the broadcast tree, and broadcast states beside it (others are joined); size of
 #: the bitmap that spares most places a look-up.
 STATES, HOT_STATES, BITS = 60_000, 100_000, 1 << 24
@@ -286,9 +288,9 @@ def _gain() -> Column:
     return gain - F.size("seen") * 0.5 * F.log("total")
 
 
-def _shallow(docs: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(d, ctx, total, seen: (sym, n)) of all contexts of at most DEPTH classes met MIN_COUNT times; and those that are
-    states, without d 0."""
+def _shallow(docs: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(d, ctx, total, seen: (sym, n)) of all contexts of at most DEPTH classes met MIN_COUNT times; those that are
+    states, without d 0; and (key, n), the counts of all strings of DEPTH + 1 classes."""
     full = _count("contexts", docs, classes)
     grams = full.select(F.shiftright("key", 6).alias("ctx"), F.col("key").bitwiseAND(63).alias("sym"), "n")
     seen = []
@@ -305,7 +307,7 @@ def _shallow(docs: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame
     out, states = seen[0], kept[0]
     for x, y in zip(seen[1:], kept[1:] + [None]):
         out, states = out.unionByName(x), states if y is None else states.unionByName(y)
-    return out, materialize(states, "states")
+    return out, materialize(states, "states"), full.select("key", "n")
 
 
 def _first(kept: DataFrame, states: int) -> DataFrame:
@@ -314,7 +316,7 @@ def _first(kept: DataFrame, states: int) -> DataFrame:
 
 
 def _tree(docs: DataFrame, byte_counts: dict[int, int], states: int) -> SuffixTree:
-    seen, kept = _shallow(docs, _classes(byte_counts))
+    seen, kept, _ = _shallow(docs, _classes(byte_counts))
     return _build(seen, kept, _first(kept, states), byte_counts)
 
 
@@ -382,14 +384,15 @@ def _shallow_states(root: DataFrame, kept: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _counted(docs: DataFrame, classes: np.ndarray, shallow: np.ndarray, deep: np.ndarray, low: int, high: int) -> DataFrame:
+def _counted(docs: DataFrame, classes: np.ndarray, maps: tuple[np.ndarray, ...], low: int, high: int, least: float) -> DataFrame:
     """(d, key, up, total, seen) of the contexts of low to high classes whose suffix of low - 1 classes is a state, met
-    MIN_COUNT times. shallow, deep: bitmaps of the states of DEPTH classes and of all longer ones so far."""
-    sent = docs.sparkSession.sparkContext.broadcast((shallow, deep))
+    `least` times. maps: bitmaps of the states of DEPTH classes, of all longer ones so far, and of the strings of
+    DEPTH + 1 classes met `least` times: no context that holds another one can be met so often."""
+    sent = docs.sparkSession.sparkContext.broadcast(maps)
     names, kind = ["d", "key", "up", "sym", "n"], "d int, key long, up long, sym long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shallow, deep = map(_bits, sent.value)
+        shallow, deep, often = map(_bits, sent.value)
         hashed: list[pa.RecordBatch] = []
 
         def rows(d: np.ndarray, key: np.ndarray, up: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -400,14 +403,18 @@ def _counted(docs: DataFrame, classes: np.ndarray, shallow: np.ndarray, deep: np
                 seq, asked = sequence(raw, off, classes)
                 code = codes(seq)
                 at = np.flatnonzero(shallow[code] & asked)
+                oldest = code[at].astype(np.int64)  # the DEPTH + 1 leftmost classes of each context, in the end
                 key, out = shallow_keys(code[at], DEPTH), []
                 for d in range(DEPTH + 1, high + 1):
                     up = key
                     on, key = longer(seq, at, key, d)
-                    at, up = at[on], up[on]
+                    at = at[on]
+                    oldest = (oldest[on] if d == DEPTH + 1 else oldest[on] >> 6) | seq[at - d].astype(np.int64) << 6 * DEPTH
+                    keep = often[_places(oldest)]
+                    at, key, up, oldest = at[keep], key[keep], up[on][keep], oldest[keep]
                     if d < low:
                         on = deep[_places(key)]
-                        at, key = at[on], key[on]
+                        at, key, oldest = at[on], key[on], oldest[on]
                     elif d <= EXACT:
                         out.append(((key & ((1 << 6 * EXACT) - 1)) << 6 | seq[at]).view(np.uint64) | np.uint64(d << 60))
                     elif len(at):
@@ -423,11 +430,13 @@ def _counted(docs: DataFrame, classes: np.ndarray, shallow: np.ndarray, deep: np
         yield from hashed
 
     got = docs.select("text").mapInArrow(run, kind).repartition(F.col("key"))
-    return materialize(_seen(got.groupBy("d", "key", "up", "sym").agg(F.sum("n").alias("n")), "d", "key", "up").filter(F.col("total") >= MIN_COUNT), f"counts-{low}")
+    return materialize(_seen(got.groupBy("d", "key", "up", "sym").agg(F.sum("n").alias("n")), "d", "key", "up").filter(F.col("total") >= least), f"counts-{low}")
 
 
-def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: DataFrame, first: DataFrame) -> tuple[DataFrame, list[int]]:
+def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: DataFrame, first: DataFrame, strings: DataFrame, symbols: int) -> tuple[DataFrame, list[int]]:
     """State rows of all states outside the tree, and their depths."""
+    least = max(MIN_COUNT, ROOT_SHARE * symbols**0.5)
+    often = _bitmap(strings.filter(F.col("n") >= least))
     by_depth = _shallow_states(root, kept)
     outside, depths = by_depth[0].limit(0), []
     for d in range(1, DEPTH + 1):
@@ -439,7 +448,7 @@ def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: Da
     shallow, deep = _bitmap(above, direct=True), np.zeros(BITS >> 3, np.uint8)
     while True:
         low, high = next(blocks, (high + 1, 2 * high))
-        rows = _counted(docs, classes, shallow, deep, low, high)
+        rows = _counted(docs, classes, (shallow, deep, often), low, high, least)
         for d in range(low, high + 1):
             suffix = above.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("all"))
             states = rows.filter(F.col("d") == d).join(suffix.hint("merge"), "up").filter(_gain() >= MIN_DIVERGENCE).drop("m", "all")
@@ -480,10 +489,10 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
     counts = words.filter("what = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     byte_counts = {r.key: r.n for r in words.filter("what = 1").collect()}
-    seen, kept = _shallow(docs.filter(learn), _classes(byte_counts))
+    seen, kept, strings = _shallow(docs.filter(learn), _classes(byte_counts))
     first = materialize(_first(kept, states), "first")
     tree = _build(seen, kept, first, byte_counts)
-    outside, depths = _deep_states(docs.filter(learn), tree.classes, seen.filter("d = 0"), kept, first)
+    outside, depths = _deep_states(docs.filter(learn), tree.classes, seen.filter("d = 0"), kept, first, strings, sum(byte_counts.values()))
     deep, cold = _split(outside, depths, hot)
     top = top_counts(counts, "c", common).toArrow()
     top_h, top_c = top["h"].to_numpy(), top["c"].to_numpy()
