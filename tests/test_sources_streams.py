@@ -35,6 +35,18 @@ def test_ingest(spark, tmp_path):
     otb = R.read_recordings(spark, str(tmp_path / "otb"), "otb+")
     assert np.allclose(cells(otb), raw * (5000 / 2**16 / np.array([150, 150, 50, 50])), rtol=1e-5)
     assert cells(otb, "aux").shape == (7, 2)
+    named = xml.replace('"QUATTROCENTO"', '"QUATTROCENTO;rev 2"').replace('"16"', '"32"')
+    for name, device, sig in (("named", named, (m * 1000).astype("<i4").tobytes()), ("nameless", xml.replace('Name="QUATTROCENTO" ', ""), raw.tobytes()), ("other", xml.replace("QUATTROCENTO", "MUOVI"), raw.tobytes()), ("torn", xml, raw.tobytes()[:-2])):
+        (tmp_path / name).mkdir()
+        with tarfile.open(tmp_path / name / "a.otb+", "w") as tar:
+            for part, data in (("x.sig", sig), ("x.xml", device.encode())):
+                info = tarfile.TarInfo(part)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    assert np.allclose(cells(R.read_recordings(spark, str(tmp_path / "named"), "otb+")), (m * 1000).astype("<i4") * (5000 / 2**32 / np.array([150, 150, 50, 50])), rtol=1e-5)
+    for name in ("nameless", "other", "torn"):
+        with pytest.raises(Exception, match="not supported|ends within"):
+            R.read_recordings(spark, str(tmp_path / name), "otb+").count()
     with pytest.raises(ValueError):
         R.read_recordings(spark, str(tmp_path), "mat")
 

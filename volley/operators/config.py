@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fingers and targets in task names.
-FINGERS = {"T": "thumb", "I": "index", "M": "middle", "R": "ring", "P": "pinky"}
+from volley.operators.trains import unit_of
+
+# Letters, motions and the pattern of task names.
+FINGERS = {"T": "Thumb", "I": "Index", "M": "Middle", "R": "Ring", "L": "Little"}
+MOTIONS = {"ext": "Ext", "flex": "Flex"}
+TASK = r"(?i)mvc-\d+(ext|flex)_fing-([TIMRL]+)"
+# What a port of a session or a grid of a channel configuration has if nothing else is said.
+PORT_DEFAULTS = {"name": "unnamed", "type": "unknown", "rows": 1, "cols": 1, "spacing_mm": 4.0, "enabled": True}
+GRID_DEFAULTS = {"lowpass_hz": 4400, "lowpass_surface_hz": 500, "highpass_hz": 10, "sil_threshold": 0.85, "muap_window_ms": 20, "sampling_rate": 10240, "sampling_frequency": 2048}
 
 
 def select_channels(samples: DataFrame, spec: list[int] | None = None, as_range: bool | None = None) -> DataFrame:
@@ -36,12 +43,54 @@ def time_axis(samples: DataFrame, fs: float) -> DataFrame:
     return samples.withColumn("t", F.col("sample_idx") / float(fs))
 
 
-def parse_rejections(text: DataFrame) -> DataFrame:
+def load_sessions(text: DataFrame) -> DataFrame:
+    """A10: rows (file, doc) of session documents in JSON -> a row an enabled port's channel: (file, session, fs, port,
+    electrode, etype, local_idx, channel, rows, cols, spacing_mm). What a document leaves out has its default."""
+    d = PORT_DEFAULTS
+    electrode = "struct<name:string,type:string,channels:array<int>,rows:int,cols:int,spacing_mm:double>"
+    doc = F.from_json("doc", f"struct<name:string,sampling_frequency:double,ports:array<struct<name:string,enabled:boolean,electrode:{electrode}>>>")
+    ports = text.select("file", doc.alias("d")).select("file", F.coalesce("d.name", F.lit(d["name"])).alias("session"), F.coalesce("d.sampling_frequency", F.lit(float(GRID_DEFAULTS["sampling_frequency"]))).alias("fs"), F.explode("d.ports").alias("p"))
+    ports = ports.filter(F.coalesce("p.enabled", F.lit(d["enabled"])))
+    e = lambda name: F.coalesce(f"p.electrode.{name}", F.lit(d[name]))
+    return ports.select("file", "session", "fs", F.col("p.name").alias("port"), e("name").alias("electrode"), e("type").alias("etype"), F.posexplode("p.electrode.channels").alias("local_idx", "channel"), e("rows").alias("rows"), e("cols").alias("cols"), e("spacing_mm").alias("spacing_mm"))
+
+
+def load_channel_config(text: DataFrame) -> DataFrame:
+    """A10: rows (file, doc) of channel configurations in JSON (sampling_rate, grids: name, type, config, start_chan,
+    end_chan) -> a row a grid: (file, fs, port, electrode, etype, start_chan, n_channels, extension_factor, lowpass_hz,
+    highpass_hz, sil_threshold, muap_window_ms). A grid without channels is left out."""
+    d = GRID_DEFAULTS
+    doc = F.from_json("doc", "struct<sampling_rate:double,grids:array<struct<name:string,type:string,config:string,start_chan:int,end_chan:int>>>")
+    g = text.select("file", doc.alias("d")).select("file", F.coalesce("d.sampling_rate", F.lit(float(d["sampling_rate"]))).alias("fs"), F.explode("d.grids").alias("g")).select("file", "fs", "g.*")
+    n = F.col("end_chan") - F.col("start_chan")
+    surface = F.lower(F.coalesce("type", F.lit(""))) == "surface"
+    g = g.filter(n > 0)
+    return g.select(
+        "file", "fs", F.col("name").alias("port"), F.coalesce("config", F.lit("")).alias("electrode"), F.when(surface, "surface_grid").otherwise("intramuscular").alias("etype"), "start_chan", n.alias("n_channels"),
+        F.ceil(1000 / n).alias("extension_factor"), F.when(surface, d["lowpass_surface_hz"]).otherwise(d["lowpass_hz"]).alias("lowpass_hz"), *[F.lit(d[c]).alias(c) for c in ("highpass_hz", "sil_threshold", "muap_window_ms")],
+    )
+
+
+def _rejections(text: DataFrame) -> DataFrame:
+    return text.select("file", F.explode(F.from_json("doc", "map<string,string>")).alias("port", "v"))
+
+
+def parse_rejections(text: DataFrame, ports: DataFrame | None = None) -> DataFrame:
     """Rows (file, doc) of JSON, {port: [0/1...]} or {port: {channels, time_masks}} -> (file, port, channel,
-    rejected)."""
-    ports = text.select("file", F.explode(F.from_json("doc", "map<string,string>")).alias("port", "v"))
+    rejected). With ports (port, n_channels) every channel of every port has a row for each file; a mask of another
+    length, or none, counts as all zeros."""
     flags = F.coalesce(F.from_json("v", "array<int>"), F.from_json(F.get_json_object("v", "$.channels"), "array<int>"))
-    return ports.select("file", "port", F.posexplode(flags).alias("channel", "r")).select("file", "port", "channel", (F.col("r") != 0).alias("rejected"))
+    masks = _rejections(text).select("file", "port", flags.alias("flags"))
+    if ports is not None:
+        every = text.select("file", F.explode(F.array(*[F.struct(F.lit(r.port).alias("port"), F.lit(r.n_channels).alias("n")) for r in ports.select("port", "n_channels").collect()])).alias("p")).select("file", "p.*")  # a configuration's ports
+        masks = every.join(masks, ["file", "port"], "left").select("file", "port", F.when(F.size("flags") == F.col("n"), F.col("flags")).otherwise(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("flags"))
+    return masks.select("file", "port", F.posexplode("flags").alias("channel", "r")).select("file", "port", "channel", (F.col("r") != 0).alias("rejected"))
+
+
+def parse_time_masks(text: DataFrame) -> DataFrame:
+    """The time masks of the same documents: (file, port, t0_s, t1_s)."""
+    pairs = F.explode(F.from_json(F.get_json_object("v", "$.time_masks"), "array<array<double>>"))
+    return _rejections(text).select("file", "port", pairs.alias("m")).select("file", "port", F.get("m", F.lit(0)).alias("t0_s"), F.get("m", F.lit(1)).alias("t1_s"))
 
 
 def expand_manifest(manifest: DataFrame) -> DataFrame:
@@ -67,8 +116,8 @@ def recording_info(samples: DataFrame, fs: float) -> DataFrame:
 
 
 def port_channels(samples: DataFrame, ports: DataFrame) -> DataFrame:
-    """B1: samples of each port's channels, with the local number."""
-    return samples.join(F.broadcast(ports), "channel")
+    """B1: samples of each port's channels (of its recording, where ports have one), with the local number."""
+    return samples.join(ports, [*[c for c in ("recording_id",) if c in ports.columns], "channel"])
 
 
 def missing_channels(samples: DataFrame, ports: DataFrame) -> DataFrame:
@@ -85,10 +134,13 @@ def allocate_channels(grids: DataFrame, skip_quaternions: bool = True) -> DataFr
     return grids.withColumn("start", start).withColumn("end", start + n)
 
 
-def validate_ranges(grids: DataFrame, most: int) -> DataFrame:
-    """(idx, problem): beyond (end > most), empty (start >= end), overlap (with an earlier grid)."""
-    a, b = grids.alias("a"), grids.alias("b")
-    over = a.join(F.broadcast(b), F.expr("a.start < b.end and b.start < a.end and a.idx > b.idx"), "left_semi").select("idx", F.lit("overlap").alias("problem"))
+def validate_ranges(grids: DataFrame, most: int, width: int = 64) -> DataFrame:
+    """(idx, problem): beyond (end > most), empty (start >= end), overlap (with an earlier grid). A range is spread to
+    the stretches of `width` channels that it touches, so that overlapping ones meet by an equality."""
+    last = F.greatest(F.col("end") - 1, F.col("start"))  # an empty range inside another one overlaps too
+    spread = grids.select("idx", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))).alias("b"))
+    first = spread.select("b", *[F.col(c).alias(f"_{c}") for c in ("idx", "start", "end")])
+    over = spread.join(first, "b").filter("idx > _idx and start < _end and _start < end").select("idx", F.lit("overlap").alias("problem")).distinct()
     return grids.filter(F.col("end") > most).select("idx", F.lit("beyond").alias("problem")).unionByName(grids.filter("start >= end").select("idx", F.lit("empty").alias("problem"))).unionByName(over)
 
 
@@ -100,6 +152,22 @@ def grid_layout(channels: DataFrame, cols: int, spacing_mm: float = 8.0) -> Data
     return channels.select("port", "local_idx", "rejected", F.floor(F.col("local_idx") / cols).cast("int").alias("row"), F.pmod(F.col("local_idx"), F.lit(cols)).alias("col"), dense.alias("dense_idx"))
 
 
+def match_model(ports: DataFrame, models: DataFrame) -> DataFrame:
+    """(port, electrode) with model: the first (by pos) of models (pos, model) whose key is contained in the
+    electrode's name, in any case; null if none is. models is a table of known electrodes, a few rows."""
+    hit = ports.join(F.broadcast(models), F.contains(F.lower("electrode"), F.lower("model")), "left")
+    return hit.groupBy("port", "electrode").agg(F.min_by("model", "pos").alias("model"))
+
+
+def map_to_grid(channels: DataFrame, positions: DataFrame) -> DataFrame:
+    """Active channels (port, model, local_idx, rejected) on the positions (model, key, row, col) of an electrode of
+    any shape: (port, local_idx, dense_idx, row, col). dense_idx counts the channels that aren't rejected; a channel
+    without a position has nulls."""
+    w = Window.partitionBy("port").orderBy("local_idx")
+    live = channels.withColumn("dense_idx", F.when(~F.col("rejected"), F.sum((~F.col("rejected")).cast("int")).over(w) - 1))
+    return live.join(positions.withColumnRenamed("key", "local_idx"), ["model", "local_idx"], "left").select("port", "local_idx", "dense_idx", "row", "col")
+
+
 def crop_window(info: DataFrame, t0: float | None, t1: float | None, fs: float) -> DataFrame:
     """(recording_id, n_samples) -> start, stop: rounded half to even, ordered, clamped, at least a sample; no
     bounds or an empty span: the whole file."""
@@ -119,7 +187,8 @@ def to_local(spikes: DataFrame, start: int, stop: int) -> DataFrame:
 def extract_aux(samples: DataFrame, aux: DataFrame) -> DataFrame:
     """Samples of each aux channel's range [start_chan, end_chan); bad ranges give none."""
     a = aux.filter("start_chan < end_chan").withColumn("channel", F.explode(F.sequence("start_chan", F.col("end_chan") - 1)))
-    return samples.join(F.broadcast(a.select("name", "channel")), "channel").select("name", "channel", "sample_idx", "x")
+    by = [c for c in ("recording_id",) if c in samples.columns and c in aux.columns]
+    return samples.join(a.select(*by, "name", "channel"), [*by, "channel"]).select(*by, "name", "channel", "sample_idx", "x")
 
 
 def file_offsets(lengths: DataFrame) -> DataFrame:
@@ -163,38 +232,52 @@ def shared_masks(masks: DataFrame) -> DataFrame:
 
 
 def parse_task(names: DataFrame, mode: str = "strict") -> DataFrame:
-    """(name) -> a row a finger and target of `mvc-<n><ext|flex>_fing-<letters>`; lenient takes the parts from
-    anywhere and any case."""
-    n = F.col("name") if mode == "strict" else F.lower("name")
-    move = F.regexp_extract(n, r"mvc-\d+(ext|flex)" if mode == "strict" else r"(ext|flex)", 1)
-    letters = F.upper(F.regexp_extract(n, r"fing-([TIMRP]+)" if mode == "strict" else r"fing-([timrp]+)", 1))
-    table = F.create_map(*[F.lit(x) for kv in FINGERS.items() for x in kv])
-    rows = names.select("name", move.alias("target"), F.explode(F.split(letters, "")).alias("letter")).filter("letter <> '' and target <> ''")
-    return rows.select("name", table[F.col("letter")].alias("finger"), "target")
-
-
-def select_aux_for_task(aux: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The file's aux channels whose unit names a task target; all of them where none does."""
-    label = F.concat_ws(" ", "finger", "target")
-    hit = aux.join(tasks.select(F.col("name").alias("file"), label.alias("unit")).distinct().withColumn("_hit", F.lit(1)), ["file", "unit"], "left")
-    anyhit = F.max("_hit").over(Window.partitionBy("file"))
-    return hit.withColumn("_any", anyhit).filter("_hit = 1 or _any is null").drop("_hit", "_any")
+    """(name) -> a row a finger and target, as in the unit labels. strict: of `mvc-<n><ext|flex>_fing-<letters>` in
+    any case. lenient: the motion is ext, else flex, anywhere in the part after mvc- up to the next _, the letters those
+    after fing- (this in lower case), each on its own if it names a finger."""
+    if mode == "strict":
+        move, letters = F.lower(F.regexp_extract("name", TASK, 1)), F.regexp_extract("name", TASK, 2)
+    else:
+        part = F.lower(F.regexp_extract("name", "(?i)mvc-([^_]+)", 1))
+        move = F.when(part.contains("ext"), "ext").when(part.contains("flex"), "flex").otherwise("")
+        letters = F.regexp_extract("name", "fing-([A-Za-z]+)", 1)
+    fingers, motions = (F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) for table in (FINGERS, MOTIONS))
+    rows = names.select("name", F.try_element_at(motions, move).alias("target"), F.explode(F.split(F.upper(letters), "")).alias("letter"))
+    return rows.select("name", F.try_element_at(fingers, F.col("letter")).alias("finger"), "target").filter("finger is not null and target is not null")
+
+
+def select_aux_for_task(aux: DataFrame, tasks: DataFrame, mode: str = "strict") -> DataFrame:
+    """The file's aux channels (file, unit) for its task. strict: those whose unit is a target (`Index Ext`), or all
+    where none is. lenient: of the labelled ones those that contain a finger and the motion in any case; all labelled ones
+    where none does or the task is unknown; all where none is labelled."""
+    if mode == "strict":
+        wanted = tasks.select(F.col("name").alias("file"), F.concat_ws(" ", "finger", "target").alias("unit")).distinct().withColumn("_hit", F.lit(True))
+        hit, fall_back = aux.join(wanted, ["file", "unit"], "left"), F.lit(True)
+    else:
+        wanted = tasks.groupBy(F.col("name").alias("file")).agg(F.collect_set(F.lower("finger")).alias("_fingers"), F.min(F.lower("target")).alias("_target"))  # five fingers at most
+        unit = F.lower(F.coalesce("unit", F.lit("")))
+        hit = aux.join(wanted, "file", "left").withColumn("_hit", F.exists("_fingers", lambda f: F.contains(unit, f)) & F.contains(unit, F.col("_target"))).drop("_fingers", "_target")
+        labelled = F.trim(unit) != ""
+        fall_back = labelled | ~F.coalesce(F.max(labelled).over(Window.partitionBy("file")), F.lit(False))
+    some = F.coalesce(F.max("_hit").over(Window.partitionBy("file")), F.lit(False))
+    return hit.withColumns({"_some": some, "_back": fall_back}).filter("_hit or (not _some and _back)").drop("_hit", "_some", "_back")
 
 
 def normalise_aux(aux: DataFrame, config: DataFrame) -> DataFrame:
     """mvc between 0 and 1 is in volts: times 1000; a missing one is taken from the config by name, then unit."""
     by_name = config.filter("name is not null").groupBy("name").agg(F.max("mvc").alias("_m1"))
     by_unit = config.filter("unit is not null").groupBy("unit").agg(F.max("mvc").alias("_m2"))
-    out = aux.join(F.broadcast(by_name), "name", "left").join(F.broadcast(by_unit), "unit", "left")
+    out = aux.join(by_name, "name", "left").join(by_unit, "unit", "left")
     mvc = F.coalesce("mvc", "_m1", "_m2")
     return out.select("name", "unit", F.when((mvc > 0) & (mvc < 1), mvc * 1000).otherwise(mvc).alias("mvc"))
 
 
 def restore_notes(units: DataFrame, saved: DataFrame) -> DataFrame:
     """F18."""
-    return units.join(saved, ["port", "unit_id"], "left").select("port", "unit_id", F.coalesce("flagged", F.lit(False)).alias("flagged"), F.coalesce("notes", F.lit("")).alias("notes"))
+    key = unit_of(units)
+    return units.join(saved, key, "left").select(*key, F.coalesce("flagged", F.lit(False)).alias("flagged"), F.coalesce("notes", F.lit("")).alias("notes"))
 
 
 def active_units(units: DataFrame, disabled: DataFrame) -> DataFrame:
     """B16."""
-    return units.join(disabled, ["port", "unit_id"], "left_anti")
+    return units.join(disabled, unit_of(units), "left_anti")

@@ -1,21 +1,33 @@
-"""Operators on long samples (recording_id optional, channel, sample_idx, x) and on units' sources."""
+"""Operators on long samples (channel, sample_idx, x) and on units' sources. Where samples have recording_id or port, all
+is done within a recording and port."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from volley.operators.trains import UNIT
+from volley.functions.scratch import written
+from volley.operators.trains import by_unit, unit_of
 
 BLOCK = 1 << 16
+#: Samples of a block of a matrix product; entries of matrices that are sent to every task.
+ROWS, ENTRIES = 1024, 4_000_000
+
+
+def group_of(df: DataFrame) -> list[str]:
+    return [c for c in ("recording_id", "port") if c in df.columns]
+
 
+def units_in(df: DataFrame) -> list[str]:
+    return [*group_of(df), "unit_id"]
 
-def by_channel() -> Window:
-    return Window.partitionBy("channel").orderBy("sample_idx")
+
+def _with(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """df joined with few, a row a group (one row where there are no groups)."""
+    return df.join(few, by) if by else df.join(F.broadcast(few))
 
 
 def clean_square(source: DataFrame, column: str = "s") -> DataFrame:
@@ -29,87 +41,176 @@ def time_differentiate(samples: DataFrame, block: int = BLOCK) -> DataFrame:
     spread over many tasks."""
     b = F.floor(F.col("sample_idx") / block)
     rows = samples.withColumn("_b", F.explode(F.array_distinct(F.array(b, F.floor((F.col("sample_idx") + 1) / block))))).withColumn("_own", F.col("_b") == F.floor(F.col("sample_idx") / block))
-    w = Window.partitionBy("channel", "_b").orderBy("sample_idx")
+    w = Window.partitionBy(*group_of(samples), "channel", "_b").orderBy("sample_idx")
     return rows.withColumn("dx", F.col("x") - F.lag("x").over(w)).filter("_own").drop("_b", "_own")
 
 
 def extend(samples: DataFrame, delays: int, n_channels: int) -> DataFrame:
     """D3: delayed copies as further channels: delay d of channel c is channel c + d * n_channels; missing samples 0 are
     left out."""
-    last = samples.agg(F.max("sample_idx").alias("_last"))
-    out = samples.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(delays - 1)))).join(F.broadcast(last))
-    out = out.select((F.col("channel") + F.col("d") * n_channels).alias("channel"), (F.col("sample_idx") + F.col("d")).alias("sample_idx"), "x", "_last")
+    by = group_of(samples)
+    last = samples.groupBy(*by).agg(F.max("sample_idx").alias("_last"))
+    out = _with(samples.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(delays - 1)))), last, by)
+    out = out.select(*by, (F.col("channel") + F.col("d") * n_channels).alias("channel"), (F.col("sample_idx") + F.col("d")).alias("sample_idx"), "x", "_last")
     return out.filter("sample_idx <= _last").drop("_last")
 
 
+def _dense(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Channels and samples of a block, its matrix (channel, sample) and where it has values."""
+    channel, i = np.unique(part.channel.to_numpy(), return_inverse=True)
+    sample, j = np.unique(part.sample_idx.to_numpy(), return_inverse=True)
+    x, there = np.zeros((len(channel), len(sample))), np.zeros((len(channel), len(sample)))
+    np.add.at(x, (i, j), part.x.to_numpy(float))
+    there[i, j] = 1
+    return channel, sample, x, there
+
+
 def channel_covariance(samples: DataFrame) -> DataFrame:
-    """Covariance of each channel pair i <= j, from pairs of equal sample_idx."""
-    a, b = samples.select("sample_idx", F.col("channel").alias("i"), F.col("x").alias("xi")), samples.select("sample_idx", F.col("channel").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, "sample_idx").filter("i <= j").groupBy("i", "j").agg(F.covar_samp("xi", "xj").alias("cov"))
+    """Covariance of each channel pair i <= j, over the samples that both have (of which a channel has one row each).
+    A block of samples gives one partial product matrix; what is shuffled by pair is a row a block, not a row a sample."""
+    by = group_of(samples)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        channel, _, x, there = _dense(part)
+        i, j = np.triu_indices(len(channel))
+        out = pd.DataFrame({"i": channel[i], "j": channel[j], "n": (there @ there.T)[i, j], "si": (x @ there.T)[i, j], "sj": (there @ x.T)[i, j], "p": (x @ x.T)[i, j]})
+        for c in by:
+            out.insert(0, c, part[c].iloc[0])
+        return out[out.n > 0]
+
+    kinds = [*[samples.schema[c] for c in by[::-1]], *[T.StructField(c, samples.schema["channel"].dataType) for c in "ij"], *[T.StructField(c, T.DoubleType()) for c in ("n", "si", "sj", "p")]]
+    rows = samples.select(*by, "channel", "sample_idx", "x").groupBy(*by, F.floor(F.col("sample_idx") / ROWS)).applyInPandas(run, T.StructType(kinds))
+    rows = rows.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "p")])
+    return rows.select(*by, "i", "j", F.try_divide(F.col("p") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1).alias("cov"))
 
 
 def whitening_matrix(cov: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """(i, j, v) of the ZCA matrix; the covariance of a port's channels (at most a few thousand) is decomposed on the
-    driver."""
-    rows = cov.toPandas()
-    names = sorted({*rows.i, *rows.j})
-    at = {c: k for k, c in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for i, j, v in rows[["i", "j", "cov"]].itertuples(index=False):
-        m[at[i], at[j]] = m[at[j], at[i]] = v
-    vals, vecs = np.linalg.eigh(m)
-    w = vecs * (1 / np.sqrt(np.maximum(vals, 0) + eps)) @ vecs.T
-    return cov.sparkSession.createDataFrame([(int(a), int(b), float(w[k, m_])) for k, a in enumerate(names) for m_, b in enumerate(names)], "i long, j long, v double")
+    """(i, j, v) of the ZCA matrix of each recording and port; a port's covariance (at most a few thousand channels)
+    is decomposed in one task."""
+    by = group_of(cov)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([part.i, part.j]))
+        a, b = np.searchsorted(names, part.i), np.searchsorted(names, part.j)
+        m = np.zeros((len(names), len(names)))
+        m[a, b] = m[b, a] = part["cov"]
+        vals, vecs = np.linalg.eigh(m)
+        w = vecs * (1 / np.sqrt(np.maximum(vals, 0) + eps)) @ vecs.T
+        out = pd.DataFrame({"i": np.repeat(names, len(names)), "j": np.tile(names, len(names)), "v": w.ravel()})
+        for c in by:
+            out.insert(0, c, part[c].iloc[0])
+        return out
+
+    kinds = [*[cov.schema[c] for c in by[::-1]], T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("v", T.DoubleType())]
+    return cov.groupBy(*by).applyInPandas(run, T.StructType(kinds))
+
+
+def product(samples: DataFrame, weights: DataFrame, row: str, entries: int = ENTRIES) -> DataFrame:
+    """(group, row, sample_idx, y): y = sum over channels of w * x, by blocks of samples; weights: (group, row, channel,
+    w), those missing count as 0. Up to `entries` weights (counted) are sent to every task; more are joined."""
+    by = group_of(samples)
+    on = [c for c in by if c in weights.columns]
+    weights = weights.select(*on, row, "channel", "w")
+    if weights.limit(entries + 1).count() > entries:
+        return samples.join(weights, [*on, "channel"]).groupBy(*by, row, "sample_idx").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+    tables = {}
+    rows = weights.toPandas()
+    for name, part in rows.groupby(on) if on else [((), rows)]:
+        outs, i = np.unique(part[row].to_numpy(), return_inverse=True)
+        channel, j = np.unique(part.channel.to_numpy(), return_inverse=True)
+        w = np.zeros((len(outs), len(channel)))
+        np.add.at(w, (i, j), part.w.to_numpy(float))
+        tables[tuple(name)] = (outs, channel, w)
+    sent = samples.sparkSession.sparkContext.broadcast(tables)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        outs, channel, w = sent.value.get(tuple(part[c].iloc[0] for c in on), (np.zeros(0, np.int64), np.zeros(0), None))
+        part = part[np.isin(part.channel.to_numpy(), channel)]
+        if not len(part):
+            return pd.DataFrame({c: [] for c in [*by, row, "sample_idx", "y"]})
+        there, sample, x, _ = _dense(part)
+        y = w[:, np.searchsorted(channel, there)] @ x
+        out = pd.DataFrame({row: np.repeat(outs, len(sample)), "sample_idx": np.tile(sample, len(outs)), "y": y.ravel()})
+        for c in by[::-1]:
+            out.insert(0, c, part[c].iloc[0])
+        return out
+
+    kinds = [*[samples.schema[c] for c in by], weights.schema[row], samples.schema["sample_idx"], T.StructField("y", T.DoubleType())]
+    return samples.select(*by, "channel", "sample_idx", "x").groupBy(*by, F.floor(F.col("sample_idx") / ROWS)).applyInPandas(run, T.StructType(kinds))
 
 
 def apply_matrix(samples: DataFrame, matrix: DataFrame) -> DataFrame:
     """y_i = sum_j v_ij x_j at each sample (or row of whatever stands for it)."""
-    return samples.join(matrix, samples["channel"] == matrix["j"]).groupBy("sample_idx", F.col("i").alias("channel")).agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    return product(samples, matrix.withColumnsRenamed({"j": "channel", "v": "w"}), "i").withColumnsRenamed({"i": "channel", "y": "x"})
 
 
 def apply_unit_filter(samples: DataFrame, filters: DataFrame, lo: int, hi: int) -> DataFrame:
     """Each unit's source, z-scored by mean and deviation (ddof 1, at least 1e-8) over samples lo <= t < hi."""
-    raw = samples.join(filters, "channel").groupBy("unit_id", "sample_idx").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-    norm = raw.filter((F.col("sample_idx") >= lo) & (F.col("sample_idx") < hi)).groupBy("unit_id").agg(F.avg("s").alias("m"), F.greatest(F.stddev_samp("s"), F.lit(1e-8)).alias("sd"))
-    return raw.join(norm, "unit_id").select("unit_id", "sample_idx", ((F.col("s") - F.col("m")) / F.col("sd")).alias("s"))
+    by = units_in(samples)
+    raw = product(samples, filters, "unit_id").withColumnRenamed("y", "s")
+    norm = raw.filter((F.col("sample_idx") >= lo) & (F.col("sample_idx") < hi)).groupBy(*by).agg(F.avg("s").alias("m"), F.greatest(F.stddev_samp("s"), F.lit(1e-8)).alias("sd"))
+    return raw.join(norm, by).select(*by, "sample_idx", ((F.col("s") - F.col("m")) / F.col("sd")).alias("s"))
 
 
 def rms_envelope(samples: DataFrame, n: int) -> DataFrame:
     """Root mean square over channels, then the centred mean of n samples, zero-padded at the ends. The window is
     dealt by blocks with a halo of n rows."""
-    r = samples.groupBy("sample_idx").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("r"))
+    by = group_of(samples)
+    r = samples.groupBy(*by, "sample_idx").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("r"))
     block = max(BLOCK, 4 * n)
     blocks = F.array_distinct(F.array(F.floor((F.col("sample_idx") - n) / block), F.floor(F.col("sample_idx") / block), F.floor((F.col("sample_idx") + n) / block)))
     r = r.withColumn("_b", F.explode(blocks))
-    w = Window.partitionBy("_b").orderBy("sample_idx").rowsBetween(-(n // 2), (n - 1) // 2)
-    return r.withColumn("envelope", F.sum("r").over(w) / n).filter(F.col("_b") == F.floor(F.col("sample_idx") / block)).select("sample_idx", "envelope")
+    w = Window.partitionBy(*by, "_b").orderBy("sample_idx").rowsBetween(-(n // 2), (n - 1) // 2)
+    return r.withColumn("envelope", F.sum("r").over(w) / n).filter(F.col("_b") == F.floor(F.col("sample_idx") / block)).select(*by, "sample_idx", "envelope")
 
 
 def pooled_std(samples: DataFrame) -> DataFrame:
     """Deviation over all samples from each channel's count, sum and sum of squares, and the plot separation."""
-    moments = samples.groupBy("channel").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    by = group_of(samples)
+    moments = samples.groupBy(*by, "channel").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     var = F.try_divide(F.sum("q"), F.sum("n")) - F.pow(F.try_divide(F.sum("s"), F.sum("n")), F.lit(2))
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return moments.agg(sd.alias("std"), F.when(sd > 0, 15 * sd).otherwise(1.0).alias("separation"))
+    return moments.groupBy(*by).agg(sd.alias("std"), F.when(sd > 0, 15 * sd).otherwise(1.0).alias("separation"))
 
 
 def local_maxima(sources: DataFrame) -> DataFrame:
     """D10, first stage: (unit, sample_idx, s): samples above both sides; of a plateau its middle (rounded down)."""
-    w = Window.partitionBy(*UNIT).orderBy("sample_idx")
+    key = unit_of(sources)
+    w = by_unit(key)
     s = sources.withColumn("_new", F.coalesce((F.col("s") != F.lag("s").over(w)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    runs = s.groupBy(*UNIT, "_run").agg(F.min("sample_idx").alias("lo"), F.max("sample_idx").alias("hi"), F.first("s").alias("s"))
-    v = Window.partitionBy(*UNIT).orderBy("_run")
+    runs = s.groupBy(*key, "_run").agg(F.min("sample_idx").alias("lo"), F.max("sample_idx").alias("hi"), F.first("s").alias("s"))
+    v = Window.partitionBy(*key).orderBy("_run")
     up = (F.col("s") > F.lag("s").over(v)) & (F.col("s") > F.lead("s").over(v))
-    return runs.withColumn("_up", up).filter("_up").select(*UNIT, F.floor((F.col("lo") + F.col("hi")) / 2).cast("long").alias("sample_idx"), "s")
+    return runs.withColumn("_up", up).filter("_up").select(*key, F.floor((F.col("lo") + F.col("hi")) / 2).cast("long").alias("sample_idx"), "s")
 
 
-def find_peaks(sources: DataFrame, distance: int) -> DataFrame:
-    """Of peaks nearer than distance the tallest stays (the later of equals first, as the published routine keeps).
-    Peaks are cut into islands at gaps of distance or more; an island is settled on its own."""
-    w = Window.partitionBy(*UNIT).orderBy("sample_idx")
-    peaks = local_maxima(sources)
+def _islands(peaks: DataFrame, key: list[str], distance: int) -> DataFrame:
+    w = by_unit(key)
     gap = F.coalesce((F.col("sample_idx") - F.lag("sample_idx").over(w) >= distance).cast("int"), F.lit(0))
-    peaks = peaks.withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(w)).drop("_gap")
+    return peaks.withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(w)).drop("_gap")
+
+
+def find_peaks(sources: DataFrame, distance: int, rounds: int = 3) -> DataFrame:
+    """Of peaks nearer than distance the tallest stays (the later of equals first, as the published routine keeps).
+
+    First, in rounds, each peak that none taller is near stays and those near it go, by an equi-join on blocks of
+    `distance` samples: that breaks a dense train into short islands. An island between gaps of distance or more is then
+    settled on its own; only a chain of ever taller peaks would leave a long one."""
+    key = unit_of(sources)
+    left, kept = written(local_maxima(sources), "peaks"), None
+    rank = F.struct("s", "sample_idx")
+    for _ in range(rounds):
+        a = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col("sample_idx") / distance) + k for k in (-1, 0, 1)]))).select(*key, "_b", F.col("sample_idx").alias("_at"), rank.alias("_rank"))
+        b = left.withColumn("_b", F.floor(F.col("sample_idx") / distance)).withColumn("_own", rank)
+        near = b.join(a, [*key, "_b"]).filter((F.abs(F.col("_at") - F.col("sample_idx")) < distance) & (F.col("_at") != F.col("sample_idx")) & (F.col("_rank") > F.col("_own")))
+        best = written(left.join(near.select(*key, "sample_idx").distinct(), [*key, "sample_idx"], "left_anti").select(*left.columns), "peaks")
+        gone = best.withColumn("_b", F.explode(F.array(*[F.floor(F.col("sample_idx") / distance) + k for k in (-1, 0, 1)]))).select(*key, "_b", F.col("sample_idx").alias("_at"))
+        covered = b.join(gone, [*key, "_b"]).filter(F.abs(F.col("_at") - F.col("sample_idx")) < distance).select(*key, "sample_idx").distinct()
+        left = written(left.join(covered, [*key, "sample_idx"], "left_anti").select(*left.columns), "peaks")
+        kept = best if kept is None else kept.unionByName(best)
+        if left.isEmpty():
+            return kept
+    islands = _islands(left, key, distance)
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample_idx")
@@ -121,20 +222,20 @@ def find_peaks(sources: DataFrame, distance: int) -> DataFrame:
                 keep[k + 1 : hi] = False
         return part[keep]
 
-    lone = peaks.withColumn("_m", F.count("*").over(Window.partitionBy(*UNIT, "_island")))
-    crowd = lone.filter("_m > 1").drop("_m")
-    return lone.filter("_m = 1").drop("_m", "_island").unionByName(crowd.groupBy(*UNIT, "_island").applyInPandas(settle, crowd.schema).drop("_island"))
+    rest = islands.groupBy(*key, "_island").applyInPandas(settle, islands.schema).drop("_island")
+    return rest if kept is None else kept.unionByName(rest)
 
 
 def split_heights(peaks: DataFrame) -> DataFrame:
     """Peaks of the upper class of the two-class split of a unit's heights with the least within-class squares, by
     prefix sums over the sorted heights."""
-    w = Window.partitionBy(*UNIT).orderBy("s", "sample_idx").rowsBetween(Window.unboundedPreceding, 0)
-    u = Window.partitionBy(*UNIT)
+    key = unit_of(peaks)
+    w = Window.partitionBy(*key).orderBy("s", "sample_idx").rowsBetween(Window.unboundedPreceding, 0)
+    u = Window.partitionBy(*key)
     p = peaks.withColumns({"_k": F.count("*").over(w), "_s": F.sum("s").over(w), "_q": F.sum(F.col("s") * F.col("s")).over(w), "_n": F.count("*").over(u), "_sall": F.sum("s").over(u), "_qall": F.sum(F.col("s") * F.col("s")).over(u)})
     sse = F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k") + (F.col("_qall") - F.col("_q")) - F.try_divide(F.pow(F.col("_sall") - F.col("_s"), F.lit(2)), F.col("_n") - F.col("_k"))
-    cut = p.filter("_k < _n").groupBy(*UNIT).agg(F.min_by("_k", F.struct(F.round(sse, 9).alias("e"), "_k")).alias("_cut"))
-    return p.join(cut, UNIT).filter("_k > _cut").select(*peaks.columns)
+    cut = p.filter("_k < _n").groupBy(*key).agg(F.min_by("_k", F.struct(F.round(sse, 9).alias("e"), "_k")).alias("_cut"))
+    return p.join(cut, key).filter("_k > _cut").select(*peaks.columns)
 
 
 def source_to_timestamps(sources: DataFrame, distance: int) -> DataFrame:
@@ -144,72 +245,136 @@ def source_to_timestamps(sources: DataFrame, distance: int) -> DataFrame:
 
 def centroids(peaks: DataFrame) -> DataFrame:
     """Peaks (unit, s, is_spike) -> spike_centroid, noise_centroid, sil; null where a class is empty."""
-    c = peaks.groupBy(*UNIT).agg(F.avg(F.when(F.col("is_spike"), F.col("s"))).alias("spike_centroid"), F.avg(F.when(~F.col("is_spike"), F.col("s"))).alias("noise_centroid"))
-    d = peaks.filter("is_spike").join(c, UNIT).groupBy(*UNIT, "spike_centroid", "noise_centroid").agg(F.sum(F.pow(F.col("s") - F.col("spike_centroid"), F.lit(2))).alias("_w"), F.sum(F.pow(F.col("s") - F.col("noise_centroid"), F.lit(2))).alias("_b"))
-    return c.join(d.drop("spike_centroid", "noise_centroid"), UNIT, "left").select(*UNIT, "spike_centroid", "noise_centroid", F.try_divide(F.col("_b") - F.col("_w"), F.greatest("_b", "_w")).alias("sil"))
+    key = unit_of(peaks)
+    c = peaks.groupBy(*key).agg(F.avg(F.when(F.col("is_spike"), F.col("s"))).alias("spike_centroid"), F.avg(F.when(~F.col("is_spike"), F.col("s"))).alias("noise_centroid"))
+    d = peaks.filter("is_spike").join(c, key).groupBy(*key, "spike_centroid", "noise_centroid").agg(F.sum(F.pow(F.col("s") - F.col("spike_centroid"), F.lit(2))).alias("_w"), F.sum(F.pow(F.col("s") - F.col("noise_centroid"), F.lit(2))).alias("_b"))
+    return c.join(d.drop("spike_centroid", "noise_centroid"), key, "left").select(*key, "spike_centroid", "noise_centroid", F.try_divide(F.col("_b") - F.col("_w"), F.greatest("_b", "_w")).alias("sil"))
 
 
 def pnr_db(sources: DataFrame, spikes: DataFrame) -> DataFrame:
     """10 log10 of the mean square at spikes over that at all other samples."""
-    m = sources.join(spikes.select(*UNIT, "sample_idx", F.lit(True).alias("_spike")), [*UNIT, "sample_idx"], "left").withColumn("_q", F.col("s") * F.col("s"))
+    key = unit_of(sources)
+    m = sources.join(spikes.select(*key, "sample_idx", F.lit(True).alias("_spike")), [*key, "sample_idx"], "left").withColumn("_q", F.col("s") * F.col("s"))
     at, off = F.avg(F.when(F.col("_spike"), F.col("_q"))), F.avg(F.when(F.col("_spike").isNull(), F.col("_q")))
-    return m.groupBy(*UNIT).agg((10 * F.log10(F.try_divide(at, off))).alias("pnr_db"))
+    return m.groupBy(*key).agg((10 * F.log10(F.try_divide(at, off))).alias("pnr_db"))
 
 
 def spike_triggered_average(samples: DataFrame, spikes: DataFrame, half: int) -> DataFrame:
-    """(unit_id, channel, off, v): means over the spikes whose whole window lies in the recording."""
-    ends = samples.agg(F.min("sample_idx").alias("_lo"), F.max("sample_idx").alias("_hi"))
-    inside = spikes.join(F.broadcast(ends)).filter((F.col("sample_idx") - half >= F.col("_lo")) & (F.col("sample_idx") + half <= F.col("_hi")))
-    at = inside.select("unit_id", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("off"), "sample_idx").withColumn("sample_idx", F.col("sample_idx") + F.col("off"))
-    return at.join(samples, "sample_idx").groupBy("unit_id", "channel", "off").agg(F.avg("x").alias("v"))
+    """(unit, channel, off, v): means over the spikes whose whole window lies in the recording."""
+    by, unit = group_of(samples), units_in(spikes)
+    ends = samples.groupBy(*by).agg(F.min("sample_idx").alias("_lo"), F.max("sample_idx").alias("_hi"))
+    inside = _with(spikes, ends, by).filter((F.col("sample_idx") - half >= F.col("_lo")) & (F.col("sample_idx") + half <= F.col("_hi")))
+    at = inside.select(*unit, F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("off"), "sample_idx").withColumn("sample_idx", F.col("sample_idx") + F.col("off"))
+    return at.join(samples, [*by, "sample_idx"]).groupBy(*unit, "channel", "off").agg(F.avg("x").alias("v"))
 
 
 def filter_from_spikes(samples: DataFrame, spikes: DataFrame) -> DataFrame:
     """D12 with a window of one sample: a filter by unit, scaled to absolute sum 1."""
-    sta = spike_triggered_average(samples, spikes, 0)
-    return sta.select("unit_id", "channel", F.try_divide("v", F.sum(F.abs("v")).over(Window.partitionBy("unit_id"))).alias("w"))
+    sta, unit = spike_triggered_average(samples, spikes, 0), units_in(spikes)
+    return sta.select(*unit, "channel", F.try_divide("v", F.sum(F.abs("v")).over(Window.partitionBy(*unit))).alias("w"))
 
 
 def peel_off(samples: DataFrame, spikes: DataFrame, half: int) -> DataFrame:
     """Samples less the spike-triggered average at every spike; overlaps add up."""
+    by, unit = group_of(samples), units_in(spikes)
     sta = spike_triggered_average(samples, spikes, half)
-    part = spikes.join(sta, "unit_id").groupBy("channel", (F.col("sample_idx") + F.col("off")).alias("sample_idx")).agg(F.sum("v").alias("_v"))
-    return samples.join(part, ["channel", "sample_idx"], "left").withColumn("x", F.col("x") - F.coalesce("_v", F.lit(0.0))).drop("_v")
-
-
-def replay_peel_off(samples: DataFrame, steps: list[DataFrame], half: int, written: str) -> DataFrame:
-    """Peel-off of ordered steps (each the spikes of one unit); every step is written to a folder under `written`
-    (a path that all executors share) and read back, so lineage doesn't grow."""
-    for k, spikes in enumerate(steps):
-        peel_off(samples, spikes, half).write.mode("overwrite").parquet(f"{written}/step-{k}")
-        samples = samples.sparkSession.read.parquet(f"{written}/step-{k}")
-    return samples
-
-
-def recalculate_filter(samples: DataFrame, spikes: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Source of a unit from the filter that its (edited) spikes give; units of fewer than two spikes drop out."""
-    able = spikes.join(spikes.groupBy("unit_id").count().filter("count >= 2").select("unit_id"), "unit_id", "left_semi")
+    part = spikes.join(sta, unit).groupBy(*by, "channel", (F.col("sample_idx") + F.col("off")).alias("sample_idx")).agg(F.sum("v").alias("_v"))
+    return samples.join(part, [*by, "channel", "sample_idx"], "left").withColumn("x", F.col("x") - F.coalesce("_v", F.lit(0.0))).drop("_v")
+
+
+def replay_peel_off(samples: DataFrame, steps: DataFrame, filters: DataFrame | None, half: int, lo: int, hi: int, stop_before: DataFrame | None = None, refilter: bool = True, distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ordered peel-off of each group (recording, port) of samples: (residual samples, sources, filters).
+
+    steps: (group, step, unit_id, sample_idx), a row a spike; a null unit_id is a rejected repeat, which is only peeled
+    off. An accepted unit is first filtered: with `refilter` by the average of the residual at its spikes (two at least),
+    else, or with fewer, by its row set in filters (group, unit_id, channel, w); its source is z-scored over lo <= t < hi.
+    A unit without either has no source. Peeled off are the saved spikes or, with `distance` and no refilter, those
+    detected in the new source. stop_before: (group, unit_id) before whose step a group ends. All groups walk together,
+    a job a step; a step's residual is written, so lineage doesn't grow.
+    """
+    by, unit = group_of(samples), [*group_of(samples), "unit_id"]
+    if stop_before is not None:
+        last = steps.join(stop_before.select(*unit), unit).groupBy(*by).agg(F.min("step").alias("_stop"))
+        steps = _with(steps, last, []) if not by else steps.join(last, by, "left")
+        steps = steps.filter(F.col("_stop").isNull() | (F.col("step") < F.col("_stop"))).drop("_stop")
+    steps = written(steps.select(*unit, "step", "sample_idx"), "steps")
+    sources = used = None
+    for (k,) in sorted(steps.select("step").distinct().collect()):  # numbers of steps, not their spikes
+        now = steps.filter(F.col("step") == k).drop("step")
+        own = now.filter("unit_id is not null")
+        ready = None if filters is None else filters.join(own.select(*unit).distinct(), unit, "left_semi").select(*unit, "channel", "w")
+        if refilter:
+            able = own.join(own.groupBy(*unit).agg(F.count("*").alias("_n")).filter("_n >= 2").select(*unit), unit, "left_semi")
+            fresh = written(filter_from_spikes(samples, able), "filters")
+            ready = fresh if ready is None else fresh.unionByName(ready.join(fresh.select(*unit).distinct(), unit, "left_anti"))
+        spikes = now.withColumn("unit_id", F.coalesce("unit_id", F.lit(-1)))
+        if ready is not None:
+            ready = written(ready, "filters")
+            source = written(apply_unit_filter(samples, ready, lo, hi).withColumn("s", F.nanvl("s", F.lit(0.0))), "source")
+            sources, used = (source, ready) if sources is None else (sources.unionByName(source), used.unionByName(ready))
+            if distance and not refilter:
+                port = [] if "port" in source.columns else [F.lit("").alias("port")]
+                found = source_to_timestamps(source.select("*", *port), distance).select(*unit, "sample_idx")
+                spikes = spikes.join(source.select(*unit).distinct(), unit, "left_anti").select(*unit, "sample_idx").unionByName(found)
+        samples = written(peel_off(samples, spikes, half), "residual")
+    return samples, sources, used
+
+
+def compute_full_sources(samples: DataFrame, steps: DataFrame, half: int, lo: int, hi: int, bad: DataFrame | None = None, filters: DataFrame | None = None, matrix: DataFrame | None = None, delays: int = 1, n_channels: int = 64, band: tuple[float, float, float, float | None] | None = None, distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, filters, spikes) of all units over the whole recordings: rejected channels become noise, then band
+    (fs, high-pass, low-pass, notch), delayed copies, the saved matrix or else whitening, and the replay with filters
+    from the saved spikes. With `distance` the spikes are detected anew in the sources, else they are the saved ones."""
+    if bad is not None:
+        samples = replace_bad_channels(samples, bad)
+    if band is not None:
+        samples = bandpass_notch(samples, *band)
+    if delays > 1:
+        samples = extend(samples, delays, n_channels)
+    samples = written(samples, "prepared")
+    samples = written(apply_matrix(samples, matrix if matrix is not None else written(whitening_matrix(channel_covariance(samples)), "matrix")), "white")
+    _, sources, used = replay_peel_off(samples, steps, filters, half, lo, hi)
+    if distance and sources is not None:
+        port = [] if "port" in sources.columns else [F.lit("").alias("port")]
+        return sources, used, source_to_timestamps(sources.select("*", *port), distance).select(*units_in(samples), "sample_idx")
+    return sources, used, steps.filter("unit_id is not null").select(*units_in(samples), "sample_idx")
+
+
+def recalculate_filter(samples: DataFrame, spikes: DataFrame, lo: int, hi: int, steps: DataFrame | None = None, half: int = 0, filters: DataFrame | None = None) -> DataFrame:
+    """Source of the units of `spikes` (edited trains) from the filters that these spikes give; units of fewer than
+    two spikes drop out. With steps, the samples are first peeled off up to each group's unit (one unit a group then)."""
+    unit = units_in(spikes)
+    if steps is not None:
+        samples = replay_peel_off(samples, steps, filters, half, lo, hi, stop_before=spikes.select(*unit).distinct(), refilter=filters is None)[0]
+    able = spikes.join(spikes.groupBy(*unit).agg(F.count("*").alias("_n")).filter("_n >= 2").select(*unit), unit, "left_semi")
     return apply_unit_filter(samples, filter_from_spikes(samples, able), lo, hi)
 
 
 def partition_peel_sequence(flat: DataFrame, ports: DataFrame) -> DataFrame:
-    """Flat (step, flat_unit) and ports (port, first_unit, n_units) -> port of each step by id range; null steps
-    take the last port seen, the first port before any."""
-    hit = flat.join(F.broadcast(ports), (F.col("flat_unit") >= F.col("first_unit")) & (F.col("flat_unit") < F.col("first_unit") + F.col("n_units")), "left")
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a log of steps, not of samples
-    return hit.select("step", F.coalesce(F.last("port", True).over(w), F.lit(0)).alias("port"), (F.col("flat_unit") - F.col("first_unit")).alias("unit_id"))
+    """Flat (step, flat_unit) and ports (port, first_unit, n_units), by recording if they have one -> port of each
+    step by id range; null steps take the last port seen, the first port before any. A port's range is spread to its
+    ids, so the steps meet it by an equality; the window runs over a recording's log of steps, not over samples."""
+    by = ["recording_id"] if "recording_id" in flat.columns else []
+    ids = ports.filter("n_units > 0").withColumn("flat_unit", F.explode(F.sequence("first_unit", F.col("first_unit") + F.col("n_units") - 1)))
+    hit = flat.join(ids, [*[c for c in by if c in ids.columns], "flat_unit"], "left")
+    w = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return hit.select(*by, "step", F.coalesce(F.last("port", True).over(w), F.lit(0)).alias("port"), (F.col("flat_unit") - F.col("first_unit")).alias("unit_id"))
 
 
 def decimate(samples: DataFrame, most: int) -> DataFrame:
     """Every n-th sample of each channel, n so that about `most` are left."""
-    n = samples.groupBy("channel").agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("_step"))
-    return samples.join(n, "channel").filter("pmod(sample_idx, _step) = 0").drop("_step")
+    by = [*group_of(samples), "channel"]
+    n = samples.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("_step"))
+    return samples.join(n, by).filter("pmod(sample_idx, _step) = 0").drop("_step")
 
 
-def bandpass_notch(samples: DataFrame, fs: float, hp: float, lp: float, notch: float | None = None, order: int = 4) -> DataFrame:
+def bandpass_notch(samples: DataFrame, fs: float, hp: float, lp: float, notch: float | None = None, order: int = 4, block: int = BLOCK) -> DataFrame:
     """Zero-phase Butterworth band and notches (Q 30, with harmonics below lp), by the squared response on the
-    spectrum of the odd-reflected channel. One channel is one group: a channel's vector must fit in a task."""
+    spectrum of an odd-reflected stretch. A channel is dealt in blocks with a halo of ten periods of the high-pass (five
+    seconds of a notch's ringing at least), beyond which the response has died away."""
     hp, lp = max(1.0, hp), min(lp, 0.999 * fs / 2)
+    halo = int(np.ceil(fs * max(10 / hp, 5.0 if notch else 0.0)))
+    block = max(block, 4 * halo)
+    by = [*group_of(samples), "channel"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample_idx")
@@ -225,71 +390,89 @@ def bandpass_notch(samples: DataFrame, fs: float, hp: float, lp: float, notch: f
             gain *= (f**2 - f0**2) ** 2 / ((f**2 - f0**2) ** 2 + (f * f0 / 30) ** 2 + 1e-12)
             k += 1
         part["x"] = np.fft.irfft(np.fft.rfft(y) * gain, len(y))[pad : pad + len(x)]
-        return part
+        return part[part.sample_idx // block == part._b]
+
+    at = F.col("sample_idx")
+    blocks = F.array_distinct(F.array(*[F.floor((at + k) / block) for k in (-halo, 0, halo)]))
+    spread = samples.withColumn("_b", F.explode(F.filter(blocks, lambda b: b >= 0)))
+    return spread.groupBy(*by, "_b").applyInPandas(run, spread.schema).drop("_b")
+
 
-    return samples.groupBy("channel").applyInPandas(run, samples.schema)
+def _noise(seed: int, by: list[str]) -> F.Column:
+    """Standard normal noise as a function of seed, channel and sample, whatever the partitioning."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), *by, "channel", "sample_idx"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(u(0))) * F.cos(6.283185307179586 * u(1))
 
 
 def replace_bad_channels(samples: DataFrame, bad: DataFrame, seed: int = 42) -> DataFrame:
-    """Rejected channels become normal noise with the deviation of all good samples (1e-6 if there are none). The
-    noise is a function of seed, channel and sample, whatever the partitioning."""
-    marked = samples.join(F.broadcast(bad.select("channel").distinct().withColumn("_bad", F.lit(True))), "channel", "left")
-    sd = marked.filter("_bad is null").agg(F.coalesce(F.stddev_samp("x"), F.lit(1e-6)).alias("_sd"))
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "channel", "sample_idx"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = F.sqrt(-2 * F.log(u(0))) * F.cos(6.283185307179586 * u(1)) * F.col("_sd")
-    return marked.join(F.broadcast(sd)).withColumn("x", F.when(F.col("_bad"), noise).otherwise(F.col("x"))).drop("_bad", "_sd")
+    """Rejected channels (of bad's groups, where it has them) become normal noise with the deviation of all good
+    samples of the recording (1e-6 if there are none)."""
+    by = group_of(samples)
+    on = [*[c for c in by if c in bad.columns], "channel"]
+    marked = samples.join(bad.select(*on).distinct().withColumn("_bad", F.lit(True)), on, "left")
+    sd = marked.groupBy(*by).agg(F.coalesce(F.stddev_samp(F.when(F.col("_bad").isNull(), F.col("x"))), F.lit(1e-6)).alias("_sd"))
+    return _with(marked, sd, by).withColumn("x", F.when(F.col("_bad"), _noise(seed, by) * F.col("_sd")).otherwise(F.col("x"))).drop("_bad", "_sd")
 
 
 def replace_time_masks(samples: DataFrame, masks: DataFrame, fs: float, seed: int = 43) -> DataFrame:
-    """Samples inside [t0_s, t1_s) of a mask become noise; a mask covers a sample at least."""
-    m = masks.select(F.bround(F.col("t0_s") * fs).cast("long").alias("_a"), F.greatest(F.bround(F.col("t1_s") * fs), F.bround(F.col("t0_s") * fs) + 1).cast("long").alias("_z"))
-    hit = samples.select("sample_idx").distinct().join(F.broadcast(m), (F.col("sample_idx") >= F.col("_a")) & (F.col("sample_idx") < F.col("_z")), "left_semi").withColumn("_in", F.lit(True))
-    sd = samples.agg(F.coalesce(F.stddev_samp("x"), F.lit(1e-6)).alias("_sd"))
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "channel", "sample_idx"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = F.sqrt(-2 * F.log(u(0))) * F.cos(6.283185307179586 * u(1)) * F.col("_sd")
-    return samples.join(hit, "sample_idx", "left").join(F.broadcast(sd)).withColumn("x", F.when(F.col("_in"), noise).otherwise(F.col("x"))).drop("_in", "_sd")
+    """Samples inside [t0_s, t1_s) of a mask (of the recording, where masks have one) become noise; a mask covers a
+    sample at least. Masks are spread to the blocks they touch, so that samples meet them by an equality."""
+    by = group_of(samples)
+    on = [*[c for c in by if c in masks.columns], "_b"]
+    m = masks.select(*on[:-1], F.bround(F.col("t0_s") * fs).cast("long").alias("_a"), F.greatest(F.bround(F.col("t1_s") * fs), F.bround(F.col("t0_s") * fs) + 1).cast("long").alias("_z"))
+    m = m.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_a") / ROWS), F.floor((F.col("_z") - 1) / ROWS))))
+    at = samples.select(*by, "sample_idx").distinct().withColumn("_b", F.floor(F.col("sample_idx") / ROWS))
+    hit = at.join(m, on).filter("sample_idx >= _a and sample_idx < _z").select(*by, "sample_idx").distinct().withColumn("_in", F.lit(True))
+    sd = samples.groupBy(*by).agg(F.coalesce(F.stddev_samp("x"), F.lit(1e-6)).alias("_sd"))
+    return _with(samples.join(hit, [*by, "sample_idx"], "left"), sd, by).withColumn("x", F.when(F.col("_in"), _noise(seed, by) * F.col("_sd")).otherwise(F.col("x"))).drop("_in", "_sd")
 
 
 def center_muap(muap: DataFrame) -> DataFrame:
     """Each unit's offsets turned so that the largest |v| (ties: lowest channel, offset) stands in the middle."""
-    span = muap.groupBy("unit_id").agg(F.min("off").alias("_lo"), (F.max("off") - F.min("off") + 1).alias("_n"), F.max_by("off", F.struct(F.abs("v").alias("m"), (-F.col("channel")).alias("c"), (-F.col("off")).alias("o"))).alias("_at"))
+    unit = units_in(muap)
+    span = muap.groupBy(*unit).agg(F.min("off").alias("_lo"), (F.max("off") - F.min("off") + 1).alias("_n"), F.max_by("off", F.struct(F.abs("v").alias("m"), (-F.col("channel")).alias("c"), (-F.col("off")).alias("o"))).alias("_at"))
     turn = F.pmod(F.col("off") - F.col("_at") + F.floor(F.col("_n") / 2), F.col("_n"))
-    return muap.join(span, "unit_id").select("unit_id", "channel", turn.cast("long").alias("off"), "v")
+    return muap.join(span, unit).select(*unit, "channel", turn.cast("long").alias("off"), "v")
 
 
 def muap_features(muap: DataFrame) -> DataFrame:
     """The largest peak-to-peak, energy and waveform length over channels."""
-    w = Window.partitionBy("unit_id", "channel").orderBy("off")
-    by = muap.withColumn("_d", F.abs(F.col("v") - F.lag("v").over(w))).groupBy("unit_id", "channel").agg((F.max("v") - F.min("v")).alias("p"), F.sum(F.col("v") * F.col("v")).alias("e"), F.sum("_d").alias("l"))
-    return by.groupBy("unit_id").agg(F.max("p").alias("muap_ptp"), F.max("e").alias("muap_energy"), F.max("l").alias("muap_waveform_length"))
+    unit = units_in(muap)
+    w = Window.partitionBy(*unit, "channel").orderBy("off")
+    by = muap.withColumn("_d", F.abs(F.col("v") - F.lag("v").over(w))).groupBy(*unit, "channel").agg((F.max("v") - F.min("v")).alias("p"), F.sum(F.col("v") * F.col("v")).alias("e"), F.sum("_d").alias("l"))
+    return by.groupBy(*unit).agg(F.max("p").alias("muap_ptp"), F.max("e").alias("muap_energy"), F.max("l").alias("muap_waveform_length"))
 
 
 def muap_spectrum(muap: DataFrame, fs: float) -> DataFrame:
     """Peak, median and mean frequency of the channels with a peak-to-peak of at least the third quartile,
     averaged. The transform is a join with bins; both sides have as many rows as the window has offsets."""
-    size = muap.groupBy("unit_id", "channel").agg(F.count("*").alias("n"), F.min("off").alias("lo"), (F.max("v") - F.min("v")).alias("p"))
-    keep = size.groupBy("unit_id").agg(F.percentile("p", 0.75).alias("q"))
-    size = size.join(keep, "unit_id").filter("p >= q").drop("p", "q").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
+    unit = units_in(muap)
+    size = muap.groupBy(*unit, "channel").agg(F.count("*").alias("n"), F.min("off").alias("lo"), (F.max("v") - F.min("v")).alias("p"))
+    keep = size.groupBy(*unit).agg(F.percentile("p", 0.75).alias("q"))
+    size = size.join(keep, unit).filter("p >= q").drop("p", "q").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
     angle = 6.283185307179586 * F.col("k") * (F.col("off") - F.col("lo")) / F.col("n")
-    power = muap.join(size, ["unit_id", "channel"]).groupBy("unit_id", "channel", "n", "k").agg((F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2)).alias("p")).withColumn("f", F.col("k") * fs / F.col("n"))
-    w = Window.partitionBy("unit_id", "channel")
+    power = muap.join(size, [*unit, "channel"]).groupBy(*unit, "channel", "n", "k").agg((F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2)).alias("p")).withColumn("f", F.col("k") * fs / F.col("n"))
+    w = Window.partitionBy(*unit, "channel")
     power = power.withColumns({"cum": F.sum("p").over(w.orderBy("k")), "all": F.sum("p").over(w)})
-    ch = power.groupBy("unit_id", "channel").agg(F.max_by("f", F.struct(F.round("p", 9).alias("p"), -F.col("k"))).alias("a"), F.min(F.when(F.col("cum") >= F.col("all") / 2, F.col("f"))).alias("b"), F.try_divide(F.sum(F.col("f") * F.col("p")), F.sum("p")).alias("c"))
-    return ch.groupBy("unit_id").agg(F.avg("a").alias("muap_peak_freq"), F.avg("b").alias("muap_median_freq"), F.avg("c").alias("muap_mean_freq"))
+    ch = power.groupBy(*unit, "channel").agg(F.max_by("f", F.struct(F.round("p", 9).alias("p"), -F.col("k"))).alias("a"), F.min(F.when(F.col("cum") >= F.col("all") / 2, F.col("f"))).alias("b"), F.try_divide(F.sum(F.col("f") * F.col("p")), F.sum("p")).alias("c"))
+    return ch.groupBy(*unit).agg(F.avg("a").alias("muap_peak_freq"), F.avg("b").alias("muap_median_freq"), F.avg("c").alias("muap_mean_freq"))
 
 
 def normalise_force(force: DataFrame, mvc: float | None = None) -> DataFrame:
     """H7: x less the 2nd percentile, in percent of mvc or of the range (at least 1e-9), by channel."""
-    b = force.groupBy("channel").agg(F.percentile("x", 0.02).alias("_b"), F.max("x").alias("_m"))
+    by = [*group_of(force), "channel"]
+    b = force.groupBy(*by).agg(F.percentile("x", 0.02).alias("_b"), F.max("x").alias("_m"))
     scale = F.lit(float(mvc)) if mvc else F.greatest(F.col("_m") - F.col("_b"), F.lit(1e-9))
-    return force.join(b, "channel").withColumn("percent", (F.col("x") - F.col("_b")) / scale * 100).drop("_b", "_m")
+    return force.join(b, by).withColumn("percent", (F.col("x") - F.col("_b")) / scale * 100).drop("_b", "_m")
 
 
 def force_report(force: DataFrame) -> DataFrame:
     """H8: peak, baseline and their difference by channel."""
-    return force.groupBy("channel").agg(F.max("x").alias("peak"), F.percentile("x", 0.02).alias("baseline")).withColumn("net", F.col("peak") - F.col("baseline"))
+    by = [*group_of(force), "channel"]
+    return force.groupBy(*by).agg(F.max("x").alias("peak"), F.percentile("x", 0.02).alias("baseline")).withColumn("net", F.col("peak") - F.col("baseline"))
 
 
 def force_peak(percent: DataFrame) -> DataFrame:
     """H9: the largest 99th percentile, over channels, of the percentages clipped at 0."""
-    return percent.groupBy("channel").agg(F.percentile(F.greatest("percent", F.lit(0.0)), 0.99).alias("p")).agg(F.max("p").alias("force_peak"))
+    by = [*group_of(percent), "channel"]
+    return percent.groupBy(*by).agg(F.percentile(F.greatest("percent", F.lit(0.0)), 0.99).alias("p")).groupBy(*by[:-1]).agg(F.max("p").alias("force_peak"))

@@ -1,7 +1,7 @@
 """Spike trains: intervals, firing statistics, set edits, rule-based cleaning, ordering and population rates.
 
-spikes has port, unit_id, sample_idx and mostly height. Every window is partitioned by (port, unit_id), so one shuffle
-serves a whole chain of them.
+spikes has port, unit_id, sample_idx and mostly height, and recording_id if there are several recordings: then everything
+is done within a recording. Every window is partitioned by the unit, so one shuffle serves a whole chain of them.
 """
 
 from __future__ import annotations
@@ -9,27 +9,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volley.functions.scratch import written
+
 UNIT = ["port", "unit_id"]
 RL, RG, AL, AG, MAX_RATE, MIN_SPIKES = 0.331, 0.339, 0.539, 0.508, 50.0, 4
 
 
-def by_unit() -> Window:
-    return Window.partitionBy(*UNIT).orderBy("sample_idx")
+def unit_of(df: DataFrame) -> list[str]:
+    """The columns that name a unit: port and unit_id and, where there is one, the recording."""
+    return [*(["recording_id"] if "recording_id" in df.columns else []), *UNIT]
+
+
+def port_of(df: DataFrame) -> list[str]:
+    return unit_of(df)[:-1]
+
+
+def by_unit(key: list[str]) -> Window:
+    return Window.partitionBy(*key).orderBy("sample_idx")
 
 
 def clip_spikes(spikes: DataFrame, n_samples: int) -> DataFrame:
     """Spikes in [0, n_samples), duplicates once."""
-    return spikes.filter((F.col("sample_idx") >= 0) & (F.col("sample_idx") < n_samples)).dropDuplicates([*UNIT, "sample_idx"])
+    key = unit_of(spikes)
+    return spikes.filter((F.col("sample_idx") >= 0) & (F.col("sample_idx") < n_samples)).dropDuplicates([*key, "sample_idx"])
 
 
 def with_isi(spikes: DataFrame) -> DataFrame:
     """Isi, samples since the unit's spike before; null at its first."""
-    return spikes.withColumn("isi", F.col("sample_idx") - F.lag("sample_idx").over(by_unit()))
+    key = unit_of(spikes)
+    return spikes.withColumn("isi", F.col("sample_idx") - F.lag("sample_idx").over(by_unit(key)))
 
 
 def firing_stats(spikes: DataFrame, fs: float) -> DataFrame:
     """n_spikes, discharge_rate, cov_isi (percent), min_isi_ms; rates are null below two spikes."""
-    return with_isi(spikes).groupBy(*UNIT).agg(
+    key = unit_of(spikes)
+    return with_isi(spikes).groupBy(*key).agg(
         F.count("*").alias("n_spikes"),
         F.try_divide(F.lit(float(fs)), F.avg("isi")).alias("discharge_rate"),
         F.try_divide(100 * F.stddev_pop("isi"), F.avg("isi")).alias("cov_isi"),
@@ -51,50 +65,49 @@ def quality_flags(props: DataFrame, sil: float = 0.9, pnr: float = 30, cov: floa
 
 
 def reliability_summary(units: DataFrame) -> DataFrame:
-    """Units, reliable and other, by port and (port null) in all."""
-    return units.rollup("port").agg(F.count("*").alias("total"), F.count_if("is_reliable").alias("reliable"), F.count_if(~F.col("is_reliable")).alias("not_reliable"))
+    """Units, reliable and other, by port and (port null) in all; by recording if there are several."""
+    return units.rollup(*port_of(units)).agg(F.count("*").alias("total"), F.count_if("is_reliable").alias("reliable"), F.count_if(~F.col("is_reliable")).alias("not_reliable"))
 
 
 def ifr_trace(spikes: DataFrame, fs: float) -> DataFrame:
     """At the middle of each pair, its rate; 0 for intervals up to 10 ms."""
+    key = unit_of(spikes)
     s = F.col("isi") / float(fs)
-    return with_isi(spikes).filter("isi is not null").select(*UNIT, ((F.col("sample_idx") - F.col("isi") / 2.0) / fs).alias("t"), F.when(s > 0.01, F.try_divide(F.lit(1.0), s)).otherwise(0.0).alias("rate"))
+    return with_isi(spikes).filter("isi is not null").select(*key, ((F.col("sample_idx") - F.col("isi") / 2.0) / fs).alias("t"), F.when(s > 0.01, F.try_divide(F.lit(1.0), s)).otherwise(0.0).alias("rate"))
 
 
 def train_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """Samples added and removed, as rows."""
-    key = [*UNIT, "sample_idx"]
+    key = [*unit_of(before), "sample_idx"]
     added = after.select(*key).distinct().join(before, key, "left_anti").withColumn("change", F.lit("added"))
     return added.unionByName(before.select(*key).distinct().join(after, key, "left_anti").withColumn("change", F.lit("removed")))
 
 
 def remove_spikes(spikes: DataFrame, gone: DataFrame) -> DataFrame:
     """The train without the samples of gone, each once."""
-    return spikes.join(gone, [*UNIT, "sample_idx"], "left_anti").dropDuplicates([*UNIT, "sample_idx"])
+    key = unit_of(spikes)
+    return spikes.join(gone, [*key, "sample_idx"], "left_anti").dropDuplicates([*key, "sample_idx"])
 
 
 def merge_spikes(spikes: DataFrame, new: DataFrame) -> DataFrame:
     """Both trains, each sample once."""
-    return spikes.select(*UNIT, "sample_idx").unionByName(new.select(*UNIT, "sample_idx")).distinct()
-
-
-def _run_place(flag: Column) -> dict[str, Column]:
-    """Place in its run of true flags (1, 2, ...), by the difference of row numbers."""
-    return {"_rn": F.row_number().over(by_unit()), "_rf": F.sum(flag.cast("int")).over(by_unit())}
+    key = unit_of(spikes)
+    return spikes.select(*key, "sample_idx").unionByName(new.select(*key, "sample_idx")).distinct()
 
 
 def rule1_low_height(spikes: DataFrame) -> DataFrame:
     """drops low spikes. In a run of spikes below min(RL * neighbours' mean, RG * mean) all go; after a run of odd
     length the next spike goes as well if it is below RG * mean."""
-    u = Window.partitionBy(*UNIT)
-    near = by_unit().rowsBetween(-2, 2)
+    key = unit_of(spikes)
+    u = Window.partitionBy(*key)
+    near = by_unit(key).rowsBetween(-2, 2)
     around = F.try_divide(F.sum("height").over(near) - F.col("height"), F.count("*").over(near) - 1)
     s = spikes.withColumns({"_mean": F.avg("height").over(u), "_local": F.coalesce(around, F.col("height"))})
     s = s.withColumns({"_g": F.col("height") < RG * F.col("_mean"), "_c": F.col("height") < F.least(RL * F.col("_local"), RG * F.col("_mean"))})
     # place in the run: spikes since the last one that isn't in a run
-    s = s.withColumn("_rn", F.row_number().over(by_unit()))
-    s = s.withColumn("_place", F.col("_rn") - F.coalesce(F.max(F.when(~F.col("_c"), F.col("_rn"))).over(by_unit()), F.lit(0)))
-    s = s.withColumn("_run", F.lag("_place", 1, 0).over(by_unit()))
+    s = s.withColumn("_rn", F.row_number().over(by_unit(key)))
+    s = s.withColumn("_place", F.col("_rn") - F.coalesce(F.max(F.when(~F.col("_c"), F.col("_rn"))).over(by_unit(key)), F.lit(0)))
+    s = s.withColumn("_run", F.lag("_place", 1, 0).over(by_unit(key)))
     return s.filter(~F.col("_c") & ~(F.col("_g") & (F.col("_run") % 2 == 1))).select(*spikes.columns)
 
 
@@ -103,22 +116,25 @@ def _drop_lower(s: DataFrame, columns: list[str]) -> DataFrame:
 
     s has _bad and _hi (the lower one is k + 1) on the pair's first spike. In a run of bad pairs that would drop their
     second spike, the 1st, 3rd, ... do so."""
-    s = s.withColumn("_m", F.col("_bad") & F.col("_hi")).withColumn("_rn", F.row_number().over(by_unit()))
-    s = s.withColumn("_place", F.col("_rn") - F.coalesce(F.max(F.when(~F.col("_m"), F.col("_rn"))).over(by_unit()), F.lit(0)))
+    key = unit_of(s)
+    s = s.withColumn("_m", F.col("_bad") & F.col("_hi")).withColumn("_rn", F.row_number().over(by_unit(key)))
+    s = s.withColumn("_place", F.col("_rn") - F.coalesce(F.max(F.when(~F.col("_m"), F.col("_rn"))).over(by_unit(key)), F.lit(0)))
     s = s.withColumn("_r", F.col("_m") & (F.col("_place") % 2 == 1))
-    s = s.withColumn("_before", F.coalesce(F.lag("_r").over(by_unit()), F.lit(False)))
+    s = s.withColumn("_before", F.coalesce(F.lag("_r").over(by_unit(key)), F.lit(False)))
     return s.filter(~F.col("_before") & ~(F.col("_bad") & ~F.col("_hi") & ~F.col("_before"))).select(*columns)
 
 
 def _pairs(spikes: DataFrame, fs: float) -> DataFrame:
     """The rate of the pair a spike begins, null at the last."""
-    nxt = F.lead("sample_idx").over(by_unit())
-    return spikes.withColumns({"_next_h": F.lead("height").over(by_unit()), "_rate": F.when(nxt.isNotNull(), F.try_divide(F.lit(float(fs)), nxt - F.col("sample_idx")))})
+    key = unit_of(spikes)
+    nxt = F.lead("sample_idx").over(by_unit(key))
+    return spikes.withColumns({"_next_h": F.lead("height").over(by_unit(key)), "_rate": F.when(nxt.isNotNull(), F.try_divide(F.lit(float(fs)), nxt - F.col("sample_idx")))})
 
 
 def _local_rate(s: DataFrame) -> DataFrame:
     """Mean and deviation of the rates from 5 pairs before to 4 after; a lone rate is its own mean, deviation 0."""
-    w = by_unit().rowsBetween(-5, 4)
+    key = unit_of(s)
+    w = by_unit(key).rowsBetween(-5, 4)
     n = F.count("_rate").over(w)
     return s.withColumns({"_fm": F.when(n < 2, F.col("_rate")).otherwise(F.avg("_rate").over(w)), "_fs": F.when(n < 2, 0.0).otherwise(F.stddev_pop("_rate").over(w))})
 
@@ -126,7 +142,8 @@ def _local_rate(s: DataFrame) -> DataFrame:
 def rule2_high_rate(spikes: DataFrame, fs: float) -> DataFrame:
     """of a pair with a rate above 50 Hz or twice the local mean, or above mean + 2 deviations with one spike far
     lower, the lower spike goes."""
-    u = Window.partitionBy(*UNIT)
+    key = unit_of(spikes)
+    u = Window.partitionBy(*key)
     s = _local_rate(_pairs(spikes, fs)).withColumns({"_hm": F.avg("height").over(u), "_hs": F.stddev_pop("height").over(u)})
     lo, hi = F.least("height", "_next_h"), F.greatest("height", "_next_h")
     strong = (F.col("_rate") > MAX_RATE) | (F.col("_rate") > 2 * F.col("_fm"))
@@ -137,24 +154,24 @@ def rule2_high_rate(spikes: DataFrame, fs: float) -> DataFrame:
 
 def remove_ifr_outliers(spikes: DataFrame, fs: float) -> DataFrame:
     """pairs with a rate above max(Q75 + 1.5 IQR, 2 median) lose their lower spike; needs 3 spikes and 4 rates."""
+    key = unit_of(spikes)
     s = _pairs(spikes, fs)
-    q = s.groupBy(*UNIT).agg(F.count("*").alias("_n"), F.count("_rate").alias("_nr"), F.percentile("_rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*UNIT, F.when((F.col("_n") >= 3) & (F.col("_nr") >= 4), F.greatest(2.5 * F.get("_q", F.lit(2)) - 1.5 * F.get("_q", F.lit(0)), 2 * F.get("_q", F.lit(1)))).alias("_limit"))
-    s = s.join(q, UNIT).withColumns({"_bad": F.coalesce(F.col("_rate") > F.col("_limit"), F.lit(False)), "_hi": F.coalesce(F.col("_next_h") < F.col("height"), F.lit(False))})
+    q = s.groupBy(*key).agg(F.count("*").alias("_n"), F.count("_rate").alias("_nr"), F.percentile("_rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = q.select(*key, F.when((F.col("_n") >= 3) & (F.col("_nr") >= 4), F.greatest(2.5 * F.get("_q", F.lit(2)) - 1.5 * F.get("_q", F.lit(0)), 2 * F.get("_q", F.lit(1)))).alias("_limit"))
+    s = s.join(q, key).withColumns({"_bad": F.coalesce(F.col("_rate") > F.col("_limit"), F.lit(False)), "_hi": F.coalesce(F.col("_next_h") < F.col("height"), F.lit(False))})
     return _drop_lower(s, spikes.columns)
 
 
-def with_neighbours(sources: DataFrame, spikes: DataFrame) -> DataFrame:
-    """source samples (unit, sample_idx, s) with the spikes around each: _p1, _p2 (before or at), _n1, _n2 (after),
-    as structs (sample_idx, height). One window over the union, no range join."""
-    ranked = spikes.withColumn("_k", F.struct("sample_idx", "height")).withColumns({"_p2": F.lag("_k").over(by_unit()), "_n2": F.lead("_k").over(by_unit())})
-    flagged = sources.join(ranked.select(*UNIT, "sample_idx", "_k", "_p2", "_n2"), [*UNIT, "sample_idx"], "left")
-    back = by_unit().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_unit().rowsBetween(1, Window.unboundedFollowing)
-    last = F.last(F.when(F.col("_k").isNotNull(), F.struct("_k", "_p2")), True).over(back)
-    first = F.first(F.when(F.col("_k").isNotNull(), F.struct("_k", "_n2")), True).over(ahead)
-    out = flagged.withColumns({"_last": last, "_first": first})
-    return out.select(*sources.columns, F.col("_k").isNotNull().alias("_is_spike"), F.col("_last._k").alias("_p1"), F.col("_last._p2").alias("_p2"), F.col("_first._k").alias("_n1"), F.col("_first._n2").alias("_n2"))
+def with_neighbours(sources: DataFrame, spikes: DataFrame, block: int = 4096) -> DataFrame:
+    """source samples (unit, sample_idx, s) from a unit's first spike to before its last, with the spikes around each:
+    _p1, _p2 (before or at), _n1, _n2 (after), as structs (sample_idx, height). A pair of spikes is put into the blocks
+    of samples it spans, so that samples meet it by an equality on unit and block; no window runs over samples."""
+    key = unit_of(sources)
+    k = F.struct("sample_idx", "height")
+    pairs = spikes.select(*key, k.alias("_p1"), *[f(k, n).over(by_unit(key)).alias(c) for c, f, n in (("_p2", F.lag, 1), ("_n1", F.lead, 1), ("_n2", F.lead, 2))]).filter("_n1 is not null")
+    pairs = pairs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_p1.sample_idx") / block), F.floor((F.col("_n1.sample_idx") - 1) / block))))
+    near = sources.withColumn("_b", F.floor(F.col("sample_idx") / block)).join(pairs, [*key, "_b"]).filter((F.col("_p1.sample_idx") <= F.col("sample_idx")) & (F.col("sample_idx") < F.col("_n1.sample_idx")))
+    return near.select(*sources.columns, (F.col("_p1.sample_idx") == F.col("sample_idx")).alias("_is_spike"), "_p1", "_p2", "_n1", "_n2")
 
 
 def _context(mean_height: str) -> dict[str, Column]:
@@ -169,41 +186,44 @@ def _context(mean_height: str) -> dict[str, Column]:
 def rule3_add_peaks(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFrame:
     """in windows of fs / min(50, twice the mean rate) samples from the first to the last spike, the highest sample
     (the first of equals) is added if it isn't a spike, is high enough and its new rate plausible."""
+    key = unit_of(spikes)
     isi = with_isi(spikes)
-    stats = isi.groupBy(*UNIT).agg(F.min("sample_idx").alias("_t0"), F.max("sample_idx").alias("_t1"), F.avg("height").alias("_hm"), F.avg(float(fs) / F.col("isi")).alias("_fm"), F.count("*").alias("_n")).filter("_n >= 2")
+    stats = isi.groupBy(*key).agg(F.min("sample_idx").alias("_t0"), F.max("sample_idx").alias("_t1"), F.avg("height").alias("_hm"), F.avg(float(fs) / F.col("isi")).alias("_fm"), F.count("*").alias("_n")).filter("_n >= 2")
     stats = stats.withColumn("_fhat", F.least(F.lit(MAX_RATE), 2 * F.col("_fm"))).withColumn("_win", F.greatest(F.lit(1), F.floor(fs / F.col("_fhat"))).cast("long"))
-    near = with_neighbours(sources, spikes).join(stats, UNIT).filter("sample_idx >= _t0 and sample_idx < _t1")
+    near = with_neighbours(sources, spikes).join(stats, key).filter("sample_idx >= _t0 and sample_idx < _t1")
     near = near.withColumn("_w", F.floor((F.col("sample_idx") - F.col("_t0")) / F.col("_win")))
     row = F.struct("sample_idx", "s", "_is_spike", "_p1", "_p2", "_n1", "_n2", "_hm", "_fhat")
-    top = near.groupBy(*UNIT, "_w").agg(F.max_by(row, F.struct(F.col("s"), -F.col("sample_idx"))).alias("_x")).select(*UNIT, "_x.*").filter("not _is_spike")
+    top = near.groupBy(*key, "_w").agg(F.max_by(row, F.struct(F.col("s"), -F.col("sample_idx"))).alias("_x")).select(*key, "_x.*").filter("not _is_spike")
     top = top.withColumns(_context("_hm")).withColumn("_new", F.greatest(float(fs) / (F.col("sample_idx") - F.col("_p1.sample_idx")), F.try_divide(F.lit(float(fs)), F.col("_n1.sample_idx") - F.col("sample_idx"))))
     ok = ((F.col("s") > F.col("_plus")) & (F.col("_new") < MAX_RATE)) | ((F.col("_new") >= 2) & (F.col("_new") <= F.col("_fhat")) & (F.col("s") > F.col("_minus")))
-    return spikes.select(*UNIT, "sample_idx", "height").unionByName(top.filter(ok).select(*UNIT, "sample_idx", F.col("s").alias("height")))
+    return spikes.select(*key, "sample_idx", "height").unionByName(top.filter(ok).select(*key, "sample_idx", F.col("s").alias("height")))
 
 
 def rule4_fill_gaps(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFrame:
     """in gaps with a rate below 0.7 of the local mean, the highest sample inside is added if it is high enough and
     both new rates are plausible, or if it parts the gap evenly. The gap is an equality on the last spike."""
-    gaps = _local_rate(_pairs(spikes, fs)).withColumn("_hm", F.avg("height").over(Window.partitionBy(*UNIT)))
-    gaps = gaps.filter((F.col("_fm") > 0) & (F.col("_rate") < 0.7 * F.col("_fm"))).select(*UNIT, F.col("sample_idx").alias("_gap"), "_fm", "_fs", "_hm")
-    inside = with_neighbours(sources, spikes).filter("not _is_spike").withColumn("_gap", F.col("_p1.sample_idx")).join(gaps, [*UNIT, "_gap"])
+    key = unit_of(spikes)
+    gaps = _local_rate(_pairs(spikes, fs)).withColumn("_hm", F.avg("height").over(Window.partitionBy(*key)))
+    gaps = gaps.filter((F.col("_fm") > 0) & (F.col("_rate") < 0.7 * F.col("_fm"))).select(*key, F.col("sample_idx").alias("_gap"), "_fm", "_fs", "_hm")
+    inside = with_neighbours(sources, spikes).filter("not _is_spike").withColumn("_gap", F.col("_p1.sample_idx")).join(gaps, [*key, "_gap"])
     row = F.struct("sample_idx", "s", "_p1", "_p2", "_n1", "_n2", "_fm", "_fs", "_hm")
-    top = inside.groupBy(*UNIT, "_gap").agg(F.max_by(row, F.struct(F.col("s"), -F.col("sample_idx"))).alias("_x")).select(*UNIT, "_x.*").withColumns(_context("_hm"))
+    top = inside.groupBy(*key, "_gap").agg(F.max_by(row, F.struct(F.col("s"), -F.col("sample_idx"))).alias("_x")).select(*key, "_x.*").withColumns(_context("_hm"))
     left, right = float(fs) / (F.col("sample_idx") - F.col("_p1.sample_idx")), float(fs) / (F.col("_n1.sample_idx") - F.col("sample_idx"))
     limit = F.col("_fm") + 2 * F.col("_fs")
     ok = ((F.col("s") > 0.5 * F.col("_plus")) & (left < limit) & (right < limit)) | ((F.col("s") > 0.5 * F.col("_minus")) & (F.least(left, right) / F.greatest(left, right) >= 0.7))
-    return spikes.select(*UNIT, "sample_idx", "height").unionByName(top.filter(ok).select(*UNIT, "sample_idx", F.col("s").alias("height")))
+    return spikes.select(*key, "sample_idx", "height").unionByName(top.filter(ok).select(*key, "sample_idx", F.col("s").alias("height")))
 
 
 def auto_edit(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFrame:
     """rules 1 and 2, 3 and 4, 1 and 2 again for units of at least four spikes; others stay as they are. The train
-    after each pair of rules is used several times and is persisted (spikes only; Spark drops it as memory needs)."""
-    spikes = spikes.select(*UNIT, "sample_idx", "height")
-    n = F.count("*").over(Window.partitionBy(*UNIT))
+    after each pair of rules is used several times and is written to the shared folder."""
+    key = unit_of(spikes)
+    spikes = spikes.select(*key, "sample_idx", "height")
+    n = F.count("*").over(Window.partitionBy(*key))
     able, few = spikes.withColumn("_n", n).filter(F.col("_n") >= MIN_SPIKES).drop("_n"), spikes.withColumn("_n", n).filter(F.col("_n") < MIN_SPIKES).drop("_n")
-    first = rule2_high_rate(rule1_low_height(able), fs).persist()
-    more = rule3_add_peaks(first, sources, fs).persist()
-    added = rule4_fill_gaps(more, sources, fs).persist()
+    first = written(rule2_high_rate(rule1_low_height(able), fs), "train")
+    more = written(rule3_add_peaks(first, sources, fs), "train")
+    added = written(rule4_fill_gaps(more, sources, fs), "train")
     counted = added.withColumn("_n", n)
     again = rule2_high_rate(rule1_low_height(counted.filter(F.col("_n") >= MIN_SPIKES).drop("_n")), fs)
     return again.unionByName(counted.filter(F.col("_n") < MIN_SPIKES).drop("_n")).unionByName(few)
@@ -211,31 +231,40 @@ def auto_edit(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFrame:
 
 def box_delete(spikes: DataFrame, boxes: DataFrame) -> DataFrame:
     """F8: spikes in any box (unit, s0, s1, y0, y1) of the unit go: s0 <= sample < s1 and y0 <= height <= y1."""
-    hit = spikes.join(boxes, UNIT).filter("sample_idx >= s0 and sample_idx < s1 and height between y0 and y1").select(*UNIT, "sample_idx").distinct()
-    return spikes.join(hit, [*UNIT, "sample_idx"], "left_anti")
+    key = unit_of(spikes)
+    hit = spikes.join(boxes, key).filter("sample_idx >= s0 and sample_idx < s1 and height between y0 and y1").select(*key, "sample_idx").distinct()
+    return spikes.join(hit, [*key, "sample_idx"], "left_anti")
 
 
 def delete_at(spikes: DataFrame, clicks: DataFrame) -> DataFrame:
     """for each click (unit, at) the nearest spike goes, the first of equally near ones."""
-    hit = spikes.join(clicks, UNIT).groupBy(*UNIT, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
-    return spikes.join(hit, [*UNIT, "sample_idx"], "left_anti")
-
-
-def add_at(spikes: DataFrame, peaks: DataFrame, clicks: DataFrame, half: int) -> DataFrame:
-    """for each click (unit, at) the nearest peak within half a window is added (the first of equals), if new."""
-    near = peaks.join(clicks, UNIT).filter(F.abs(F.col("sample_idx") - F.col("at")) <= half)
-    new = near.groupBy(*UNIT, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
+    key = unit_of(spikes)
+    hit = spikes.join(clicks, key).groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
+    return spikes.join(hit, [*key, "sample_idx"], "left_anti")
+
+
+def add_at(spikes: DataFrame, peaks: DataFrame, clicks: DataFrame, half: int, sources: DataFrame | None = None) -> DataFrame:
+    """for each click (unit, at) the nearest peak within half a window is added (the first of equals), if new; where
+    there is no peak and sources are given, the highest sample of the window (the first of equals)."""
+    key = unit_of(spikes)
+    reach = lambda df: df.join(clicks, key).filter((F.col("sample_idx") >= F.col("at") - half) & (F.col("sample_idx") <= F.col("at") + half))
+    new = reach(peaks).groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
+    if sources is not None:
+        bare = reach(sources).join(new.select(*key, "at"), [*key, "at"], "left_anti").filter(F.col("sample_idx") < F.col("at") + half)
+        new = new.unionByName(bare.groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(-F.col("s"), F.col("sample_idx"))).alias("sample_idx")))
     return merge_spikes(spikes, new)
 
 
 def box_add(spikes: DataFrame, peaks: DataFrame, boxes: DataFrame) -> DataFrame:
     """peaks inside a box of the unit are added."""
-    return merge_spikes(spikes, peaks.join(boxes, UNIT).filter("sample_idx >= s0 and sample_idx < s1 and height between y0 and y1"))
+    key = unit_of(spikes)
+    return merge_spikes(spikes, peaks.join(boxes, key).filter("sample_idx >= s0 and sample_idx < s1 and height between y0 and y1"))
 
 
 def toggle_flags(events: DataFrame) -> DataFrame:
     """a unit is flagged after an odd number of toggles."""
-    return events.groupBy(*UNIT).agg((F.count("*") % 2 == 1).alias("flagged"))
+    key = unit_of(events)
+    return events.groupBy(*key).agg((F.count("*") % 2 == 1).alias("flagged"))
 
 
 def flag_unreliable(units: DataFrame, least: float = 0.9) -> DataFrame:
@@ -245,52 +274,75 @@ def flag_unreliable(units: DataFrame, least: float = 0.9) -> DataFrame:
 
 def delete_flagged(units: DataFrame) -> DataFrame:
     """flagged units go, the others are numbered anew from 0 in order, by port."""
-    return units.filter("not flagged").withColumn("new_id", F.row_number().over(Window.partitionBy("port").orderBy("unit_id")) - 1)
+    return units.filter("not flagged").withColumn("new_id", F.row_number().over(Window.partitionBy(*port_of(units)).orderBy("unit_id")) - 1)
 
 
 def remap_peel_sequence(steps: DataFrame, kept: DataFrame) -> DataFrame:
     """steps of deleted units go, others get the new number, null steps stay; order is kept."""
-    out = steps.join(kept.select(*UNIT, "new_id"), UNIT, "left").filter("unit_id is null or new_id is not null")
-    return out.select("port", F.row_number().over(Window.partitionBy("port").orderBy("step")).alias("step"), F.col("new_id").alias("unit_id"))
+    key = unit_of(steps)
+    out = steps.join(kept.select(*key, "new_id"), key, "left").filter("unit_id is null or new_id is not null")
+    port = port_of(steps)
+    return out.select(*port, F.row_number().over(Window.partitionBy(*port).orderBy("step")).alias("step"), F.col("new_id").alias("unit_id"))
 
 
 def order_units(spikes: DataFrame, units: DataFrame, fs: float, by: str = "first_spike") -> DataFrame:
-    """H1: rank of each unit by first spike, id or mean rate; unknown last; ties by port and unit."""
-    stats = firing_stats(spikes, fs).join(spikes.groupBy(*UNIT).agg(F.min("sample_idx").alias("first")), UNIT)
-    key = {"first_spike": "first", "id": "unit_id", "rate": "discharge_rate"}[by]
-    return units.join(stats, UNIT, "left").select(*UNIT, F.col(key).alias("_key")).withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("_key"), *UNIT)) - 1).drop("_key")
+    """H1: rank of each unit of a recording by first spike, id or mean rate; unknown last; ties by port and unit."""
+    key = unit_of(spikes)
+    stats = firing_stats(spikes, fs).join(spikes.groupBy(*key).agg(F.min("sample_idx").alias("first")), key)
+    column = {"first_spike": "first", "id": "unit_id", "rate": "discharge_rate"}[by]
+    return units.join(stats, key, "left").select(*key, F.col(column).alias("_key")).withColumn("rank", F.row_number().over(Window.partitionBy(*key[:-2]).orderBy(F.asc_nulls_last("_key"), *UNIT)) - 1).drop("_key")
 
 
 def raster(spikes: DataFrame, ranks: DataFrame, fs: float) -> DataFrame:
     """H2: (rank, t) of each spike; a unit without spikes keeps its rank with t null."""
-    return ranks.join(spikes, UNIT, "left").select("rank", (F.col("sample_idx") / float(fs)).alias("t"))
+    key = unit_of(spikes)
+    return ranks.join(spikes, key, "left").select(*key[:-2], "rank", (F.col("sample_idx") / float(fs)).alias("t"))
 
 
 def rebin_spikes(spikes: DataFrame, fs: float, cap: float = 1000.0) -> DataFrame:
     """H3: spikes on a grid of at most cap Hz, halves to even, each bin once."""
-    return spikes.select(*UNIT, F.bround(F.col("sample_idx") / (fs / min(fs, cap))).cast("long").alias("sample_idx")).distinct()
+    key = unit_of(spikes)
+    return spikes.select(*key, F.bround(F.col("sample_idx") / (fs / min(fs, cap))).cast("long").alias("sample_idx")).distinct()
 
 
 def inst_discharge_rate(bins: DataFrame, spark_hz: int, window_s: float = 1.0) -> DataFrame:
     """H4: the rate of each unit smoothed by a Hann window of unit area: each spike adds its weights to the bins around
     it (a scatter, so no window function runs over a whole recording)."""
+    key = unit_of(bins)
     n = int(round(window_s * spark_hz))
     offsets = bins.sparkSession.range(-(n // 2), n - n // 2).select(F.col("id").alias("o"), (F.lit(spark_hz * 2.0 / n) * F.pow(F.cos(F.lit(3.141592653589793) * F.col("id") / n), 2)).alias("w"))
-    return bins.join(F.broadcast(offsets)).select(*UNIT, (F.col("sample_idx") + F.col("o")).alias("bin"), "w").groupBy(*UNIT, "bin").agg(F.sum("w").alias("rate"))
+    return bins.join(F.broadcast(offsets)).select(*key, (F.col("sample_idx") + F.col("o")).alias("bin"), "w").groupBy(*key, "bin").agg(F.sum("w").alias("rate"))
 
 
 def cumulative_spike_train(rates: DataFrame) -> DataFrame:
     """H5: the sum of the units' rates by bin."""
-    return rates.groupBy("bin").agg(F.sum("rate").alias("cst"))
+    return rates.groupBy(*unit_of(rates)[:-2], "bin").agg(F.sum("rate").alias("cst"))
+
+
+def as_of(points: DataFrame, series: DataFrame, by: list[str], block: int = 4096) -> DataFrame:
+    """points (by, sample_idx) with x of the last row of series (by, sample_idx, x) that isn't after: from the point's own
+    block of samples, else carried over from the last block that has any (a row a block, not a sample, is in that window)."""
+    b = F.floor(F.col("sample_idx") / block)
+    own = points.withColumn("_b", b).withColumnRenamed("sample_idx", "_at").join(series.withColumn("_b", b), [*by, "_b"]).filter("sample_idx <= _at")
+    own = own.groupBy(*by, "_at").agg(F.max_by("x", "sample_idx").alias("_own"))
+    tails = series.groupBy(*by, b.alias("_b")).agg(F.max_by("x", "sample_idx").alias("_tail"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    asked = points.select(*by, b.alias("_b")).distinct()
+    carried = asked.join(tails, [*by, "_b"], "full").withColumn("_carried", F.last("_tail", True).over(w)).drop("_tail")
+    out = points.withColumn("_b", b).join(carried, [*by, "_b"], "left").join(own.withColumnRenamed("_at", "sample_idx"), [*by, "sample_idx"], "left")
+    return out.withColumn("x", F.coalesce("_own", "_carried")).drop("_b", "_own", "_carried")
 
 
 def recruitment_gain(spikes: DataFrame, force: DataFrame, fs: float) -> DataFrame:
     """For units of two spikes or more, the force at the first spike (the last force sample not after it, else the
     first) and the mean rate, intervals being at least 10 ms."""
-    s = with_isi(spikes).groupBy(*UNIT).agg(F.min("sample_idx").alias("first"), F.try_divide(F.lit(1.0), F.avg(F.greatest(F.col("isi") / float(fs), F.lit(0.01)))).alias("mean_rate"), F.count("*").alias("n")).filter("n >= 2")
-    ends = force.agg(F.min("sample_idx").alias("lo"), F.max("sample_idx").alias("hi"))
-    s = s.join(F.broadcast(ends)).withColumn("sample_idx", F.least(F.greatest("first", "lo"), "hi"))
-    return s.join(force, "sample_idx").select(*UNIT, F.col("x").alias("force"), "mean_rate")
+    key = unit_of(spikes)
+    by = key[:-2]
+    s = with_isi(spikes).groupBy(*key).agg(F.min("sample_idx").alias("first"), F.try_divide(F.lit(1.0), F.avg(F.greatest(F.col("isi") / float(fs), F.lit(0.01)))).alias("mean_rate"), F.count("*").alias("n")).filter("n >= 2")
+    low = force.groupBy(*by).agg(F.min("sample_idx").alias("lo"))  # a row a recording
+    s = (s.join(low, by) if by else s.join(F.broadcast(low))).withColumn("sample_idx", F.greatest("first", "lo"))
+    at = as_of(s.select(*by, "sample_idx").distinct(), force, by)
+    return s.join(at, [*by, "sample_idx"]).select(*key, F.col("x").alias("force"), "mean_rate")
 
 
 def gain_regression(gain: DataFrame) -> DataFrame:

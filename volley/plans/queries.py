@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from volley.operators import config as C
 from volley.operators import duplicates as G
+from volley.operators import properties as P
 from volley.operators import signal as D
 from volley.operators import trains as E
-from volley.plans.fixtures import FS, ctes, load
+from volley.plans.fixtures import FS, SQL, ctes, load
 from volley.streaming import edits as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,10 +114,12 @@ def merge_spikes(s, d):
     return E.merge_spikes(x.filter("sample_idx % 2 = 0"), x.filter("sample_idx % 3 = 0"))
 
 
-_R1 = _SRC + ", h as (select *, avg(height) over (partition by unit_id) as m, row_number() over w as rn, (sum(height) over (w rows between 2 preceding and 2 following) - height) / nullif(count(*) over (w rows between 2 preceding and 2 following) - 1, 0) as nbm from spk window w as (partition by unit_id order by sample_idx)), c as (select *, height < 0.339 * m as g, height < least(0.331 * coalesce(nbm, height), 0.339 * m) as c from h), p as (select *, rn - coalesce(max(case when not c then rn end) over (partition by unit_id order by rn), 0) as place from c), q as (select *, lag(place, 1, 0) over (partition by unit_id order by rn) as run from p)"
+def _rule1(t: str, o: str) -> str:
+    """CTEs that leave in o what the first rule keeps of t."""
+    return f", {o}_h as (select *, avg(height) over (partition by unit_id) as m, row_number() over w as rn, (sum(height) over (w rows between 2 preceding and 2 following) - height) / nullif(count(*) over (w rows between 2 preceding and 2 following) - 1, 0) as nbm from {t} window w as (partition by unit_id order by sample_idx)), {o}_c as (select *, height < 0.339 * m as g, height < least(0.331 * coalesce(nbm, height), 0.339 * m) as c from {o}_h), {o}_p as (select *, rn - coalesce(max(case when not c then rn end) over (partition by unit_id order by rn), 0) as place from {o}_c), {o}_q as (select *, lag(place, 1, 0) over (partition by unit_id order by rn) as run from {o}_p), {o} as (select port, unit_id, sample_idx, height from {o}_q where not c and not (g and run % 2 = 1))"
 
 
-@query(_R1 + " select port, unit_id, sample_idx from q where not c and not (g and run % 2 = 1)")
+@query(_SRC + _rule1("spk", "one") + " select port, unit_id, sample_idx from one")
 def rule1_low_height(s, d):
     return E.rule1_low_height(sources(s, d)[1]).select("port", "unit_id", "sample_idx")
 
@@ -126,6 +129,24 @@ def _parity(bad: str, frm: str) -> str:
     return f", b as (select *, coalesce({bad}, false) as bad, coalesce(nh < height, false) as hi from {frm}), m as (select *, bad and hi as m, row_number() over (partition by port, unit_id order by sample_idx) as rn2 from b), pl as (select *, m and (rn2 - coalesce(max(case when not m then rn2 end) over (partition by port, unit_id order by rn2), 0)) % 2 = 1 as r from m), fin as (select *, coalesce(lag(r) over (partition by port, unit_id order by rn2), false) as before from pl) select port, unit_id, sample_idx from fin where not before and not (bad and not hi and not before)"
 
 
+def _rule2(t: str, o: str, fs: float) -> str:
+    """CTEs that leave in o what the second rule keeps of t."""
+    return f", {o}_pr as (select *, lead(height) over w as nh, {fs} / (lead(sample_idx) over w - sample_idx) as rate from {t} window w as (partition by port, unit_id order by sample_idx)), {o}_lo as (select *, case when count(rate) over w < 2 then rate else avg(rate) over w end as fm, case when count(rate) over w < 2 then 0 else stddev_pop(rate) over w end as fsd, avg(height) over (partition by port, unit_id) as hm, stddev_pop(height) over (partition by port, unit_id) as hs from {o}_pr window w as (partition by port, unit_id order by sample_idx rows between 5 preceding and 4 following)), {o}_b as (select *, coalesce(rate > 50 or rate > 2 * fm or (rate > fm + 2 * fsd and greatest(height, nh) - least(height, nh) > 0.5 * least(height, nh) and least(height, nh) < greatest(hm - 2 * hs, 0)), false) as bad, coalesce(nh < height, false) as hi from {o}_lo), {o}_m as (select *, bad and hi as m, row_number() over (partition by port, unit_id order by sample_idx) as rn2 from {o}_b), {o}_pl as (select *, m and (rn2 - coalesce(max(case when not m then rn2 end) over (partition by port, unit_id order by rn2), 0)) % 2 = 1 as r from {o}_m), {o}_fin as (select *, coalesce(lag(r) over (partition by port, unit_id order by rn2), false) as before from {o}_pl), {o} as (select port, unit_id, sample_idx, height from {o}_fin where not before and not (bad and not hi and not before))"
+
+
+def _around(t: str, o: str) -> str:
+    """Samples from a unit's first spike in t to before its last, with the spikes around each, and their mean height."""
+    return f", {o}_rk as (select *, lag(height) over w as h0, lead(height) over w as h2, lead(sample_idx) over w as nx, lead(height, 2) over w as h3, avg(height) over (partition by unit_id) as mean_h from {t} window w as (partition by unit_id order by sample_idx)), {o}_ar as (select src.unit_id, src.sample_idx, src.s * src.s as q, k.sample_idx as p1, nx, mean_h, list_aggregate([h0, height, h2, h3], 'avg') as near_h from src asof join {o}_rk k on src.unit_id = k.unit_id and src.sample_idx >= k.sample_idx where nx is not null)"
+
+
+def _rule3(t: str, o: str, fs: float) -> str:
+    return _around(t, o) + f", {o}_st as (select unit_id, min(sample_idx) as t0, least(50, 2 * avg({fs} / isi)) as fhat from (select *, sample_idx - lag(sample_idx) over (partition by unit_id order by sample_idx) as isi from {t}) group by 1 having count(*) >= 2), {o}_tp as (select *, row_number() over (partition by unit_id, (sample_idx - t0) // greatest(1, cast(floor({fs} / fhat) as bigint)) order by q desc, sample_idx) as k from {o}_ar join {o}_st using (unit_id)), {o}_ok as (select *, greatest({fs} / (sample_idx - p1), {fs} / (nx - sample_idx)) as fr from {o}_tp where k = 1 and p1 <> sample_idx), {o} as (select port, unit_id, sample_idx, height from {t} union all select 'P0', unit_id, sample_idx, q from {o}_ok where (q > greatest(0.539 * near_h, 0.508 * mean_h) and fr < 50) or (fr >= 2 and fr <= fhat and q > least(0.539 * near_h, 0.508 * mean_h)))"
+
+
+def _rule4(t: str, o: str, fs: float) -> str:
+    return _around(t, o) + f", {o}_pr as (select *, {fs} / (lead(sample_idx) over w - sample_idx) as rate from {t} window w as (partition by unit_id order by sample_idx)), {o}_lo as (select *, case when count(rate) over w < 2 then rate else avg(rate) over w end as fm, case when count(rate) over w < 2 then 0 else stddev_pop(rate) over w end as fsd from {o}_pr window w as (partition by unit_id order by sample_idx rows between 5 preceding and 4 following)), {o}_tp as (select a.*, fm, fsd, row_number() over (partition by a.unit_id, p1 order by q desc, a.sample_idx) as k from {o}_ar a join {o}_lo g on g.unit_id = a.unit_id and g.sample_idx = p1 where p1 <> a.sample_idx and fm > 0 and rate < 0.7 * fm), {o}_ok as (select *, {fs} / (sample_idx - p1) as l, {fs} / (nx - sample_idx) as r from {o}_tp where k = 1), {o} as (select port, unit_id, sample_idx, height from {t} union all select 'P0', unit_id, sample_idx, q from {o}_ok where (q > 0.5 * greatest(0.539 * near_h, 0.508 * mean_h) and l < fm + 2 * fsd and r < fm + 2 * fsd) or (q > 0.5 * least(0.539 * near_h, 0.508 * mean_h) and least(l, r) / greatest(l, r) >= 0.7))"
+
+
 _PAIR = ", pr as (select *, lead(height) over w as nh, {fs} / (lead(sample_idx) over w - sample_idx) as rate from {t} window w as (partition by port, unit_id order by sample_idx))"
 _LOCAL = ", lo as (select *, case when count(rate) over w < 2 then rate else avg(rate) over w end as fm, case when count(rate) over w < 2 then 0 else stddev_pop(rate) over w end as fsd, avg(height) over (partition by port, unit_id) as hm, stddev_pop(height) over (partition by port, unit_id) as hs from pr window w as (partition by port, unit_id order by sample_idx rows between 5 preceding and 4 following))"
 
@@ -140,19 +161,26 @@ def remove_ifr_outliers(s, d):
     return E.remove_ifr_outliers(ev(s, d), FS).select("port", "unit_id", "sample_idx")
 
 
-@query()
+_HEIGHT = " select port, unit_id, sample_idx, round(height, 6) as height from "
+
+
+@query(_SRC + _rule3("spk", "three", 100.0) + _HEIGHT + "three")
 def rule3_add_peaks(s, d):
     sq, spikes = sources(s, d)
     return E.rule3_add_peaks(spikes, sq, 100.0).select("port", "unit_id", "sample_idx", r6("height"))
 
 
-@query()
+@query(_SRC + _rule4("spk", "four", 100.0) + _HEIGHT + "four")
 def rule4_fill_gaps(s, d):
     sq, spikes = sources(s, d)
     return E.rule4_fill_gaps(spikes, sq, 100.0).select("port", "unit_id", "sample_idx", r6("height"))
 
 
-@query()
+_ABLE = ", able as (select * from spk where unit_id in (select unit_id from spk group by 1 having count(*) >= 4)), few as (select * from spk where unit_id not in (select unit_id from able))"
+_LATER = ", again as (select * from r4 where unit_id in (select unit_id from r4 group by 1 having count(*) >= 4)), rest as (select * from r4 where unit_id not in (select unit_id from again))"
+
+
+@query(_SRC + _ABLE + _rule1("able", "r1") + _rule2("r1", "r2", 100.0) + _rule3("r2", "r3", 100.0) + _rule4("r3", "r4", 100.0) + _LATER + _rule1("again", "r5") + _rule2("r5", "r6", 100.0) + ", fin as (select port, unit_id, sample_idx, height from r6 union all select port, unit_id, sample_idx, height from rest union all select port, unit_id, sample_idx, height from few)" + _HEIGHT + "fin")
 def auto_edit(s, d):
     sq, spikes = sources(s, d)
     return E.auto_edit(spikes, sq, 100.0).select("port", "unit_id", "sample_idx", r6("height"))
@@ -255,7 +283,7 @@ def cumulative_spike_train(s, d):
     return E.cumulative_spike_train(E.inst_discharge_rate(E.rebin_spikes(ev(s, d), FS, 100.0), 100)).select("bin", r6("cst"))
 
 
-_GAIN = ctes("spikes_ev", "force_hr") + f", sp as (select port, unit_id, sample_idx // 3600 as sample_idx from spikes_ev), i as (select *, sample_idx - lag(sample_idx) over (partition by port, unit_id order by sample_idx) as isi from sp), g as (select port, unit_id, min(sample_idx) as first, 1 / avg(greatest(isi / 100.0, 0.01)) as mean_rate from i group by 1, 2 having count(*) >= 2), e as (select min(sample_idx) as lo, max(sample_idx) as hi from force_hr), gain as (select port, unit_id, x as force, mean_rate from g, e, force_hr f where f.sample_idx = least(greatest(first, lo), hi))"
+_GAIN = ctes("spikes_ev", "force_hr") + f", sp as (select port, unit_id, sample_idx // 3600 as sample_idx from spikes_ev), i as (select *, sample_idx - lag(sample_idx) over (partition by port, unit_id order by sample_idx) as isi from sp), g as (select port, unit_id, min(sample_idx) as first, 1 / avg(greatest(isi / 100.0, 0.01)) as mean_rate from i group by 1, 2 having count(*) >= 2), e as (select min(sample_idx) as lo from force_hr), gain as (select port, unit_id, x as force, mean_rate from (select g.*, greatest(first, lo) as at_ from g, e) h asof join force_hr f on h.at_ >= f.sample_idx)"
 
 
 def _gain(s, d):
@@ -372,11 +400,14 @@ def apply_unit_filter(s, d):
     return D.apply_unit_filter(emb(s, d), _filters(s), 50, 400).select("unit_id", "sample_idx", F.round("s", 5).alias("s"))
 
 
-@query(_FILT + " select a.unit_id as sample_idx, cast((a.channel % 8) as bigint) as channel, round(sum(a.w * sin(a.channel % 8 + b.c)), 5) as x from f a, range(0, 1) b(c) group by 1, 2")
+@query(_EMB + ", f as (select cast(label as bigint) as unit_id, cast(u.i - 1 as int) as channel, avg(cast(embedding[u.i] as double)) as w from embeddings, unnest(range(1, 65)) as u(i) group by 1, 2), m as (select a.channel % 8 as i, a.channel as j, avg(a.x * b.x) as v from samples_emb a join samples_emb b on a.sample_idx = b.sample_idx and b.channel = a.channel % 8 group by 1, 2) select unit_id, cast(i as bigint) as channel, round(sum(w * v), 6) as w from f join m on f.channel = m.j group by 1, 2")
 def dewhiten_filters(s, d):
-    f = _filters(s).select(F.col("unit_id").alias("sample_idx"), "channel", F.col("w").alias("x"))
-    m = s.range(64).select((F.col("id") % 8).alias("i"), F.col("id").alias("j"), F.sin((F.col("id") % 8).cast("double")).alias("v"))
-    return D.apply_matrix(f, m).select("sample_idx", "channel", F.round("x", 5).alias("x"))
+    """Each label's mean vector as its filter, through the mean products of each channel with its class of channels."""
+    x = emb(s, d)
+    f = x.join(load(s, d, "spikes_lab"), "sample_idx").groupBy(F.col("unit_id").alias("sample_idx"), "channel").agg(F.avg("x").alias("x"))
+    own = x.withColumn("i", F.col("channel") % 8).join(x.select("sample_idx", F.col("channel").alias("i"), F.col("x").alias("y")), ["sample_idx", "i"])
+    m = own.groupBy(F.col("i").cast("long").alias("i"), F.col("channel").alias("j")).agg(F.avg(F.col("x") * F.col("y")).alias("v"))
+    return D.apply_matrix(f, m).select(F.col("sample_idx").alias("unit_id"), "channel", r6("x", "w"))
 
 
 @query()
@@ -454,12 +485,12 @@ def muap_features(s, d):
     return D.muap_features(_sta(s, d)).select("unit_id", r6("muap_ptp"), r6("muap_energy"), r6("muap_waveform_length"))
 
 
-@query()
+@query(_STA + ", mid as (select unit_id, off as at_ from (select *, row_number() over (partition by unit_id order by abs(v) desc, channel, off) as k from sta) where k = 1) select unit_id, channel, cast(((off - at_ + 8) % 17 + 17) % 17 as bigint) as off, round(v, 6) as v from sta join mid using (unit_id)")
 def center_muap(s, d):
     return D.center_muap(_sta(s, d)).select("unit_id", "channel", "off", r6("v"))
 
 
-@query()
+@query(_STA + ", sz as (select unit_id, channel, max(v) - min(v) as p from sta group by 1, 2), kp as (select unit_id, channel from sz join (select unit_id, quantile_cont(p, 0.75) as q from sz group by 1) using (unit_id) where p >= q), pw as (select unit_id, channel, k, k * 2048.0 / 17 as f, pow(sum(v * cos(2 * pi() * k * (off + 8) / 17)), 2) + pow(sum(v * sin(2 * pi() * k * (off + 8) / 17)), 2) as p from sta join kp using (unit_id, channel), range(0, 9) r(k) group by 1, 2, 3), cu as (select *, sum(p) over (partition by unit_id, channel order by k) as cum, sum(p) over (partition by unit_id, channel) as tot, row_number() over (partition by unit_id, channel order by round(p, 9) desc, k) as place from pw), ch as (select unit_id, channel, max(f) filter (place = 1) as a, min(f) filter (cum >= tot / 2) as b, sum(f * p) / sum(p) as c from cu group by 1, 2) select unit_id, round(avg(a), 6) as muap_peak_freq, round(avg(b), 6) as muap_median_freq, round(avg(c), 6) as muap_mean_freq from ch group by 1")
 def muap_spectrum(s, d):
     return D.muap_spectrum(_sta(s, d), 2048.0).select("unit_id", r6("muap_peak_freq"), r6("muap_median_freq"), r6("muap_mean_freq"))
 
@@ -620,26 +651,36 @@ def manifest_files(s, d):
     return C.distinct_files(C.skip_inspected(rows, rows.filter("file like '%-01'").select("file").distinct()))
 
 
-_NAMES = "select 'sub-01_day-01_task-trap_mvc-' || cast(l_linenumber as varchar) || case when l_returnflag = 'R' then 'ext' else 'flex' end || '_fing-' || case l_linestatus when 'O' then 'IM' else 'T' end || '_' || cast(l_orderkey as varchar) as name, case when l_returnflag = 'R' then 'ext' else 'flex' end as target, l_linestatus from lineitem"
+_NAMES = "select 'sub-01_day-01_task-trap_mvc-' || cast(l_linenumber as varchar) || case when l_returnflag = 'R' then 'ext' else 'flex' end || '_fing-' || case l_linestatus when 'O' then 'IL' else 'T' end || '_' || cast(l_orderkey as varchar) as name, case when l_returnflag = 'R' then 'Ext' else 'Flex' end as target, l_linestatus from lineitem"
+_FINGERS = "(values ('O', 'Index'), ('O', 'Little'), ('F', 'Thumb')) v(k, finger) where l_linestatus = k"
 
 
 def _names(s, d):
     x = s.read.parquet(f"{d}/lineitem.parquet")
-    return x.select(F.concat(F.lit("sub-01_day-01_task-trap_mvc-"), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "R", "ext").otherwise("flex"), F.lit("_fing-"), F.when(F.col("l_linestatus") == "O", "IM").otherwise("T"), F.lit("_"), F.col("l_orderkey").cast("string")).alias("name"))
+    return x.select(F.concat(F.lit("sub-01_day-01_task-trap_mvc-"), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "R", "ext").otherwise("flex"), F.lit("_fing-"), F.when(F.col("l_linestatus") == "O", "IL").otherwise("T"), F.lit("_"), F.col("l_orderkey").cast("string")).alias("name"))
 
 
-@query(f"with n as ({_NAMES}) select name, target, finger from n, (values ('O', 'index'), ('O', 'middle'), ('F', 'thumb')) v(k, finger) where (l_linestatus = 'O') = (k = 'O')")
+@query(f"with n as ({_NAMES}) select name, target, finger from n, {_FINGERS}")
 def parse_task(s, d):
     return C.parse_task(_names(s, d))
 
 
-@query(f"with n as ({_NAMES}), t as (select name as file, finger || ' ' || target as unit from n, (values ('O', 'index'), ('O', 'middle'), ('F', 'thumb')) v(k, finger) where (l_linestatus = 'O') = (k = 'O')), a as (select name as file, unit from n, (values ('index ext'), ('thumb flex')) u(unit)), h as (select a.*, exists (select 1 from t where t.file = a.file and t.unit = a.unit) as hit from a) select distinct file, unit from (select *, bool_or(hit) over (partition by file) as anyhit from h) where hit or not anyhit")
+@query(f"with n as ({_NAMES}), t as (select name as file, finger || ' ' || target as unit from n, {_FINGERS}), a as (select name as file, unit from n, (values ('Index Ext'), ('Thumb Flex'), ('Little Ext')) u(unit)), h as (select a.*, exists (select 1 from t where t.file = a.file and t.unit = a.unit) as hit from a) select distinct file, unit from (select *, bool_or(hit) over (partition by file) as anyhit from h) where hit or not anyhit")
 def select_aux_for_task(s, d):
     n = _names(s, d)
-    aux = n.select(F.col("name").alias("file"), F.explode(F.array(F.lit("index ext"), F.lit("thumb flex"))).alias("unit"))
+    aux = n.select(F.col("name").alias("file"), F.explode(F.array(F.lit("Index Ext"), F.lit("Thumb Flex"), F.lit("Little Ext"))).alias("unit"))
     return C.select_aux_for_task(aux, C.parse_task(n)).distinct().select("file", "unit")
 
 
+@query("with n as (select o_orderkey, 'trap_MVC-' || cast(o_orderkey as varchar) || case when o_custkey % 2 = 0 then 'Ext' else 'FLEX' end || '_x_fing-' || case o_orderkey % 3 when 0 then 'il' when 1 then 'T' else 'q' end as name, case when o_custkey % 2 = 0 then 'ext' else 'flex' end as target, o_orderkey % 3 as k from orders), a as (select name, target, k, unit from n, (values ('force left INDEX EXT'), ('thumb flex'), (' '), ('middle')) u(unit)), h as (select *, trim(unit) <> '' as labelled, contains(lower(unit), target) and ((k = 0 and (contains(lower(unit), 'index') or contains(lower(unit), 'little'))) or (k = 1 and contains(lower(unit), 'thumb'))) as hit from a) select name as file, unit from (select *, bool_or(hit) over (partition by name) as anyhit from h) where hit or (not anyhit and labelled)")
+def select_aux_lenient(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    letters = F.when(F.col("o_orderkey") % 3 == 0, "il").when(F.col("o_orderkey") % 3 == 1, "T").otherwise("q")
+    n = o.select(F.concat(F.lit("trap_MVC-"), F.col("o_orderkey").cast("string"), F.when(F.col("o_custkey") % 2 == 0, "Ext").otherwise("FLEX"), F.lit("_x_fing-"), letters).alias("name"))
+    aux = n.select(F.col("name").alias("file"), F.explode(F.array(*map(F.lit, ["force left INDEX EXT", "thumb flex", " ", "middle"]))).alias("unit"))
+    return C.select_aux_for_task(aux, C.parse_task(n, "lenient"), "lenient").select("file", "unit")
+
+
 @query("with a as (select c_name as name, c_mktsegment as unit, case when c_custkey % 3 = 0 then null when c_custkey % 3 = 1 then 0.25 else c_custkey * 1.0 end as mvc, c_custkey from customer), cn as (select c_name as name, c_custkey * 2.0 as m from customer where c_custkey % 2 = 0), cu as (select c_mktsegment as unit, max(c_custkey * 2.0) as m from customer where c_custkey % 2 = 0 group by 1) select name, unit, round(cast(case when v > 0 and v < 1 then v * 1000 else v end as double), 6) as mvc from (select a.name, a.unit, coalesce(a.mvc, cn.m, cu.m) as v from a left join cn using (name) left join cu on cu.unit = a.unit)")
 def normalise_aux(s, d):
     c = s.read.parquet(f"{d}/customer.parquet")
@@ -655,7 +696,7 @@ def restore_notes(s, d):
     return C.restore_notes(u, u.filter("unit_id % 5 = 0").select("port", "unit_id", (F.col("unit_id") % 2 == 0).alias("flagged"), F.concat(F.lit("note "), F.col("unit_id").cast("string")).alias("notes")))
 
 
-@query()
+@query("with recursive log as (" + SQL["edit_log"] + "), e as (select *, row_number() over (partition by unit_id order by seq) as rn from log), f as (select unit_id, cast(0 as bigint) as rn, []::bigint[] as done, []::bigint[] as undone from log group by 1 union all select f.unit_id, e.rn, case when event_type = 'edit' then list_append(done, seq)[greatest(1, len(done) - 98):] when event_type = 'undo' and len(done) > 0 then done[:len(done) - 1] when event_type = 'redo' and len(undone) > 0 then list_append(done, undone[len(undone)]) else done end, case when event_type = 'edit' then []::bigint[] when event_type = 'undo' and len(done) > 0 then list_append(undone, done[len(done)]) when event_type = 'redo' and len(undone) > 0 then undone[:len(undone) - 1] else undone end from f join e on e.unit_id = f.unit_id and e.rn = f.rn + 1) select unit_id, cast(len(done) as bigint) as n_done, cast(len(undone) as bigint) as n_undone, array_to_string(done, ',') as done from (select *, row_number() over (partition by unit_id order by rn desc) as k from f) where k = 1")
 def fold_edit_log(s, d):
     return L.fold_edit_log(load(s, d, "edit_log"))
 
@@ -673,3 +714,145 @@ def firing_windows(s, d):
 @query("with g as (select user_id as unit_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as new_ from events window w as (partition by user_id order by ts)), b as (select *, sum(new_) over (partition by unit_id order by ts rows between unbounded preceding and current row) as k from g) select unit_id, min(ts) as start_, count(*) as n from b group by unit_id, k")
 def burst_counts(s, d):
     return L.burst_counts(_stream_dir(s, d)).select("unit_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n")
+
+
+_REC = ctes("spikes_rec")
+
+
+@query(_REC + f", isi as (select *, sample_idx - lag(sample_idx) over (partition by recording_id, port, unit_id order by sample_idx) as isi from spikes_rec) select recording_id, port, unit_id, count(*) as n_spikes, round({FS} / avg(isi), 6) as discharge_rate, round(100 * stddev_pop(isi) / avg(isi), 6) as cov_isi from isi group by 1, 2, 3")
+def recording_firing_stats(s, d):
+    return E.firing_stats(load(s, d, "spikes_rec"), FS).select("recording_id", "port", "unit_id", "n_spikes", r6("discharge_rate"), r6("cov_isi"))
+
+
+@query(_REC + f", n as (select recording_id, port, unit_id, count(*) as n from spikes_rec group by 1, 2, 3), m as (select a.recording_id, a.port, a.unit_id as unit_a, b.unit_id as unit_b, count(distinct a.sample_idx) as matched from spikes_rec a join spikes_rec b on a.recording_id = b.recording_id and a.port = b.port and a.unit_id <> b.unit_id and b.sample_idx between a.sample_idx - {TOL} and a.sample_idx + {TOL} group by 1, 2, 3, 4) select m.recording_id, m.port as port_a, unit_a, m.port as port_b, unit_b, matched, round(matched / (x.n + y.n - matched), 6) as roa from m join n x on x.recording_id = m.recording_id and x.port = m.port and x.unit_id = unit_a join n y on y.recording_id = m.recording_id and y.port = m.port and y.unit_id = unit_b where matched / (x.n + y.n - matched) >= 0.01")
+def recording_agreement(s, d):
+    return G.rate_of_agreement(load(s, d, "spikes_rec"), TOL, least=0.01, same_port=True).select("recording_id", "port_a", "unit_a", "port_b", "unit_b", "matched", r6("roa"))
+
+
+@query(_REC + ", first as (select recording_id, port, unit_id, min(sample_idx) as f from spikes_rec group by 1, 2, 3) select recording_id, port, unit_id, row_number() over (partition by recording_id order by f, port, unit_id) - 1 as rank from first")
+def recording_order(s, d):
+    x = load(s, d, "spikes_rec")
+    return E.order_units(x, x.select("recording_id", "port", "unit_id").distinct(), FS)
+
+
+_PROPERTY_SQL = (
+    _SRC
+    + ", sta as (select unit_id, channel, off, avg(x) as v from (select unit_id, o as off, sample_idx + o as t from spk, (select min(sample_idx) as lo, max(sample_idx) as hi from src), range(-4, 5) r(o) where sample_idx - 4 >= lo and sample_idx + 4 <= hi) w join (select unit_id as channel, sample_idx, s as x from src) e on e.sample_idx = t group by 1, 2, 3), mf as (select unit_id, max(p) as ptp, max(e) as energy from (select unit_id, channel, max(v) - min(v) as p, sum(v * v) as e from sta group by 1, 2) group by 1)"
+    + ", st as (select unit_id, count(*) as n_spikes, 100.0 / avg(isi) as dr, 100 * stddev_pop(isi) / avg(isi) as cov from (select *, sample_idx - lag(sample_idx) over (partition by unit_id order by sample_idx) as isi from spk) group by 1)"
+    + ", pk as (select unit_id, sample_idx, s * s as q, s > 0.1 as is_spike from peaks), c as (select unit_id, avg(q) filter (is_spike) as a, avg(q) filter (not is_spike) as b from pk group by 1), sl as (select unit_id, (sum(pow(q - b, 2)) - sum(pow(q - a, 2))) / greatest(sum(pow(q - b, 2)), sum(pow(q - a, 2))) as sil from pk join c using (unit_id) where is_spike group by 1)"
+    + ", pn as (select src.unit_id, 10 * log10(avg(src.s * src.s) filter (spk.sample_idx is not null) / avg(src.s * src.s) filter (spk.sample_idx is null)) as pnr from src left join spk on src.unit_id = spk.unit_id and src.sample_idx = spk.sample_idx group by 1)"
+    + ", ra as (select a.unit_id, b.unit_id as other, count(distinct a.sample_idx) as m from spk a join spk b on a.unit_id <> b.unit_id and abs(a.sample_idx - b.sample_idx) <= 1 group by 1, 2), du as (select ra.unit_id, count(*) as n_dup from ra join st x on x.unit_id = ra.unit_id join st y on y.unit_id = ra.other where m / (x.n_spikes + y.n_spikes - m) >= 0.1 group by 1)"
+    + ", u as (select distinct unit_id from src), pp as (select 'P0' as port, u.unit_id, coalesce(n_spikes, 0) as n_spikes, dr, cov, sil, pnr, a, b, ptp, energy, coalesce(n_dup, 0) as n_dup from u left join st using (unit_id) left join c using (unit_id) left join sl using (unit_id) left join pn using (unit_id) left join mf using (unit_id) left join du using (unit_id))"
+)
+_PROPERTY = " select port, unit_id, n_spikes, round(dr, 6) as discharge_rate, round(cov, 6) as cov_isi, round(sil, 6) as sil, round(pnr, 6) as pnr_db, round(a, 6) as spike_centroid, round(b, 6) as noise_centroid, round(ptp, 6) as muap_ptp, round(energy, 6) as muap_energy, coalesce(sil >= 0.8 and pnr >= 32, false) as is_reliable, cast(n_dup as int) as n_duplicates from "
+
+
+def _property_parts(s, d):
+    x = emb(s, d)
+    src = x.select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    peaks = D.local_maxima(src)
+    spikes = peaks.filter("s > 0.1").select("port", "unit_id", "sample_idx", (F.col("s") * F.col("s")).alias("height"))
+    return x, src, peaks.withColumn("s", F.col("s") * F.col("s")), spikes, src.select("port", "unit_id").distinct()
+
+
+def _property_columns(df):
+    return df.select("port", "unit_id", "n_spikes", *[r6(c) for c in ("discharge_rate", "cov_isi", "sil", "pnr_db", "spike_centroid", "noise_centroid", "muap_ptp", "muap_energy")], "is_reliable", F.coalesce(F.when(F.col("duplicates").isNotNull(), F.size("duplicates")), F.lit(0)).alias("n_duplicates"))
+
+
+def _properties(s, d):
+    x, src, peaks, spikes, units = _property_parts(s, d)
+    return P.port_properties(units, spikes, src, peaks, 100.0, x.withColumn("channel", F.col("channel").cast("long")), 4, 1, 0.1)
+
+
+@query(_PROPERTY_SQL + _PROPERTY + "pp")
+def port_properties(s, d):
+    return _property_columns(_properties(s, d))
+
+
+@query(_PROPERTY_SQL + ", cut as (select * from spk where unit_id % 9 <> 0 or sample_idx % 2 = 0), st2 as (select unit_id, count(*) as n_spikes, 100.0 / avg(isi) as dr from (select *, sample_idx - lag(sample_idx) over (partition by unit_id order by sample_idx) as isi from cut) group by 1) select 'P0' as port, pp.unit_id, case when pp.unit_id % 9 = 0 then coalesce(st2.n_spikes, 0) else pp.n_spikes end as n_spikes, round(case when pp.unit_id % 9 = 0 then st2.dr else pp.dr end, 6) as discharge_rate, round(case when pp.unit_id % 9 <> 0 or coalesce(st2.n_spikes, 0) > 0 then ptp end, 6) as muap_ptp, cast(n_dup as int) as n_duplicates from pp left join st2 using (unit_id)")
+def recompute_units(s, d):
+    """Units whose number is divisible by 9 lose their odd samples; without samples their action potential stays."""
+    x, src, peaks, spikes, units = _property_parts(s, d)
+    edited = spikes.filter("unit_id % 9 <> 0 or sample_idx % 2 = 0")
+    out = P.recompute_units(_properties(s, d), units.filter("unit_id % 9 = 0"), edited, src, peaks, 100.0)
+    return _property_columns(out).select("port", "unit_id", "n_spikes", "discharge_rate", "muap_ptp", "n_duplicates")
+
+
+@query(_FLAGS + ", rk as (select port, unit_id, row_number() over (order by unit_id, port) - 1 as rank from stats) select port, unit_id, rank, round(coalesce(sil, 0), 6) as sil, round(cast(coalesce(pnr_db, 0) as double), 6) as pnr_db, coalesce(sil, 0) >= 0.8 as sil_ok, coalesce(pnr_db, 0) >= 32 as pnr_ok from rk join props using (port, unit_id)")
+def quality_table(s, d):
+    x = ev(s, d)
+    props = _props(s, d).withColumn("pnr_db", F.col("pnr_db").cast("double"))
+    return P.quality_table(E.order_units(x, x.select("port", "unit_id").distinct(), FS, "id"), props).select("port", "unit_id", "rank", r6("sil"), r6("pnr_db"), "sil_ok", "pnr_ok")
+
+
+def _session_docs(s, d):
+    """A session a nation: a port a supplier, those of even number disabled, electrodes with and without their size."""
+    x = s.read.parquet(f"{d}/supplier.parquet")
+    k = F.col("s_suppkey")
+    electrode = F.struct(F.when(k % 3 != 0, F.concat(F.lit("grid "), k.cast("string"))).alias("name"), F.lit("surface").alias("type"), F.sequence(k * 4, k * 4 + 3).alias("channels"), F.when(k % 3 != 0, 2).alias("rows"))
+    port = F.struct(F.concat(F.lit("port"), k.cast("string")).alias("name"), F.when(k % 2 == 0, False).alias("enabled"), electrode.alias("electrode"))
+    doc = x.groupBy(F.col("s_nationkey").alias("file")).agg(F.to_json(F.struct(F.collect_list(port).alias("ports"))).alias("doc"))
+    return doc.withColumn("file", F.col("file").cast("string"))
+
+
+@query("select cast(s_nationkey as varchar) as file, 'unnamed' as session, 2048.0::double as fs, 'port' || cast(s_suppkey as varchar) as port, case when s_suppkey % 3 <> 0 then 'grid ' || cast(s_suppkey as varchar) else 'unnamed' end as electrode, 'surface' as etype, cast(i as int) as local_idx, cast(s_suppkey * 4 + i as int) as channel, case when s_suppkey % 3 <> 0 then 2 else 1 end as rows, 1 as cols, 4.0::double as spacing_mm from supplier, range(0, 4) r(i) where s_suppkey % 2 <> 0")
+def load_sessions(s, d):
+    return C.load_sessions(_session_docs(s, d))
+
+
+@query("select cast(s_nationkey as varchar) as file, 10240.0::double as fs, 'g' || cast(s_suppkey as varchar) as port, '' as electrode, case when s_suppkey % 2 = 0 then 'surface_grid' else 'intramuscular' end as etype, cast(s_suppkey as int) as start_chan, cast(s_suppkey % 70 as int) as n_channels, cast(ceil(1000 / (s_suppkey % 70)) as bigint) as extension_factor, case when s_suppkey % 2 = 0 then 500 else 4400 end as lowpass_hz, 10 as highpass_hz, 0.85::double as sil_threshold, 20 as muap_window_ms from supplier where s_suppkey % 70 > 0")
+def load_channel_config(s, d):
+    x = s.read.parquet(f"{d}/supplier.parquet")
+    k = F.col("s_suppkey")
+    grid = F.struct(F.concat(F.lit("g"), k.cast("string")).alias("name"), F.when(k % 2 == 0, "Surface").otherwise("needle").alias("type"), k.alias("start_chan"), (k + k % 70).alias("end_chan"))
+    return C.load_channel_config(x.groupBy(F.col("s_nationkey").cast("string").alias("file")).agg(F.to_json(F.struct(F.collect_list(grid).alias("grids"))).alias("doc")))
+
+
+def _mask_docs(s, d):
+    """A document an order: port A in the old form, port B in the new one; B's mask has the wrong length in odd orders."""
+    o = s.read.parquet(f"{d}/orders.parquet")
+    k = F.col("o_orderkey")
+    a = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((k + i) % 3 == 0).cast("int"))
+    b = F.struct(F.slice(F.array(*[F.lit(1)] * 5), F.lit(1), F.when(k % 2 == 0, 3).otherwise(5)).alias("channels"), F.array(F.array((k % 50).cast("double"), (k % 50 + 1.5).cast("double"))).alias("time_masks"))
+    return o.select(k.alias("file"), F.to_json(F.struct(a.alias("A"), b.alias("B"))).alias("doc"))
+
+
+@query("select o_orderkey as file, 'A' as port, cast(i as int) as channel, (o_orderkey + i) % 3 = 0 as rejected from orders, range(0, 4) r(i) union all select o_orderkey, 'B', cast(i as int), o_orderkey % 2 = 0 from orders, range(0, 3) r(i) union all select o_orderkey, 'C', cast(i as int), false from orders, range(0, 2) r(i)")
+def rejections_of_ports(s, d):
+    ports = s.createDataFrame([("A", 4), ("B", 3), ("C", 2)], "port string, n_channels int")
+    return C.parse_rejections(_mask_docs(s, d), ports)
+
+
+@query("select o_orderkey as file, 'B' as port, cast(o_orderkey % 50 as double) as t0_s, cast(o_orderkey % 50 + 1.5 as double) as t1_s from orders")
+def time_masks_of_documents(s, d):
+    return C.parse_time_masks(_mask_docs(s, d))
+
+
+@query("with p as (select p_partkey as port, p_name as electrode from part), m(pos, model) as (values (1, 'Blue'), (2, 'RED'), (3, 'e')) select port, electrode, arg_min(model, pos) as model from p left join m on contains(lower(electrode), lower(model)) group by 1, 2")
+def match_model(s, d):
+    ports = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("port"), F.col("p_name").alias("electrode"))
+    return C.match_model(ports, s.createDataFrame([(1, "Blue"), (2, "RED"), (3, "e")], "pos int, model string"))
+
+
+@query("with f as (select o_custkey as recording_id, o_orderkey as step, case when o_orderkey % 3 <> 0 then o_orderkey % 10 end as flat from orders), h as (select recording_id, step, case when flat < 4 then 0 when flat < 8 then 1 when flat is not null then 2 end as port, flat from f) select recording_id, step, coalesce(last_value(port ignore nulls) over (partition by recording_id order by step rows between unbounded preceding and current row), 0) as port, flat - case when flat < 4 then 0 when flat < 8 then 4 else 8 end as unit_id from h")
+def partition_peel_sequence(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    flat = o.select(F.col("o_custkey").alias("recording_id"), F.col("o_orderkey").alias("step"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 10).alias("flat_unit"))
+    return D.partition_peel_sequence(flat, s.createDataFrame([(0, 0, 4), (1, 4, 4), (2, 8, 2)], "port int, first_unit long, n_units long"))
+
+
+def _peel_steps(s, d):
+    """A step a label, in order; every third one a rejected repeat."""
+    lab = load(s, d, "spikes_lab")
+    return lab.select(F.when(F.col("unit_id") % 3 != 2, F.col("unit_id")).alias("unit_id"), F.col("unit_id").alias("step"), "sample_idx").filter("step < 4")
+
+
+@query()
+def replay_peel_off(s, d):
+    return D.replay_peel_off(emb(s, d), _peel_steps(s, d), None, HALF, 0, 400)[0].select("channel", "sample_idx", r6("x"))
+
+
+@query()
+def compute_full_sources(s, d):
+    bad = emb(s, d).select("channel").distinct().filter("channel % 9 = 0")
+    return D.compute_full_sources(emb(s, d), _peel_steps(s, d), HALF, 0, 400, bad)[0].select("unit_id", "sample_idx", r6("s"))

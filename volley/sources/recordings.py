@@ -28,8 +28,14 @@ def _npy(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
 
 def _raw(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
     n = options["n_channels"]
-    x = np.frombuffer(data, "<f4")
-    yield "emg", x[: len(x) // n * n].reshape(-1, n)
+    yield "emg", _whole(np.frombuffer(data, "<f4"), n, "the file")
+
+
+def _whole(x: np.ndarray, n: int, name: str) -> np.ndarray:
+    """(samples, n channels); values that don't fill the last sample are an error."""
+    if len(x) % n:
+        raise ValueError(f"{name} ends within a sample of {n} channels")
+    return x.reshape(-1, n)
 
 
 def _oriented(m: np.ndarray, mode: str) -> np.ndarray:
@@ -38,7 +44,7 @@ def _oriented(m: np.ndarray, mode: str) -> np.ndarray:
 
 
 def _otb(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
-    """A tar of signal (.sig, 16 bit), its description (.xml) and auxiliary streams (.sip, 64 bit)."""
+    """A tar of signal (.sig, of as many bits as it says), its description (.xml) and auxiliary streams (.sip, 64 bit)."""
     files = {}
     with tarfile.open(fileobj=io.BytesIO(data)) as tar:
         for member in tar:
@@ -46,14 +52,17 @@ def _otb(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
                 files[member.name] = tar.extractfile(member).read()
     for name in sorted(f for f in files if f.endswith(".sig")):
         root = ET.fromstring(files[name[:-4] + ".xml"])
-        if root.get("Name") not in (None, "QUATTROCENTO"):
-            raise ValueError(f"device {root.get('Name')} is not supported")
+        device = (root.get("Name") or "").split(";")[0]
+        if device != "QUATTROCENTO":
+            raise ValueError(f"device {device!r} is not supported")
         n, bits = int(root.get("DeviceTotalChannels")), int(root.get("ad_bits"))
-        raw = np.frombuffer(files[name], "<i2")
-        raw = raw[: len(raw) // n * n].reshape(-1, n).astype(np.float32)
+        raw = _whole(np.frombuffer(files[name], f"<i{bits // 8}"), n, name).astype(float)
         adapters = [(int(a.get("ChannelStartIndex")), float(a.get("Gain"))) for a in root.iter("Adapter")]
         parts = [raw[:, a:z] * (5.0 * 1000 / (2**bits * gain)) for (a, gain), (z, _) in zip(adapters, adapters[1:])]  # the last adapter only ends the one before
-        yield "emg", np.hstack(parts) if parts else raw
+        parts = [p for p in parts if p.shape[1]]
+        if not parts:
+            raise ValueError(f"{name} has no active adapter")
+        yield "emg", np.hstack(parts)
     aux = [np.frombuffer(files[f], "<f8") for f in sorted(files) if f.endswith(".sip")]
     if aux:
         least = min(map(len, aux))
