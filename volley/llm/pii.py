@@ -30,7 +30,7 @@ SPACE, SPACES = r"[\x20\x09-\x0D]", " \t\n\x0b\f\r"
 #: A seed in the text that patterns are read from: mark, kind, hash of the seed, its length, mark.
 MARK = "\ue000"
 ANY = "(?:" + ")|(?:".join(PATTERNS[k] for k in ("phone", "email", "ip", "card")) + ")"
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
+ROUNDS, MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE = 3, 3, 0.25, 0.8
 #: Tokens at most between the two words of a slot; characters of a word that count in a pattern.
 RUN, WORD = 8, 32
 #: Bits, at least and at most, of the filter of pattern hashes that spares nearly all places a look-up.
@@ -208,8 +208,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     kind:start:end by kind, then start; `added` is the number of added ones. Rows that are repeated, and null ids, are
     treated like any other; other columns of docs are not looked at.
 
-    Patterns with fewer than MIN_SEEDS seeds, or with so many plain words in their slots that they could not reach
-    MIN_CONFIDENCE, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over their number + 1; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
+    Patterns with fewer than MIN_SEEDS different seeds, or in whose slots less than a MIN_SHARE of all that is different
+    are seeds, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over
+    their number + 1; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
     instance the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After ROUNDS turns, instances
     in patterns of at least MIN_CONFIDENCE that overlap no base span are added, with the kind of highest confidence (of
     equal ones, the alphabet's last); of a chain of overlapping ones the longest stays. Single words of letters only are
@@ -224,10 +225,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     able = materialize(seeds.groupBy("pattern", "one").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS), "able")
     plain = rows.select("doc_id", "key", "masked")
     # what each pattern's slots hold: sums only, by (pattern, hit) and then by pattern
-    held = _slots(plain, able).groupBy("pattern", "hit").agg(F.max("open").alias("open"))
-    held = held.groupBy("pattern").agg(F.count("*").alias("others"), F.count_if(~F.col("open")).alias("closed"))
+    held = _slots(plain, able).select("pattern", "hit").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
     n = F.col("seeds") + F.coalesce("others", F.lit(0))
-    able = materialize(able.join(materialize(held, "held").hint("merge"), "pattern", "left").filter((n - F.coalesce("closed", F.lit(0))) / (n + 1) >= MIN_CONFIDENCE).select("pattern", "one"), "able")
+    able = materialize(able.join(materialize(held, "held").hint("merge"), "pattern", "left").filter(F.col("seeds") / n >= MIN_SHARE).select("pattern", "one"), "able")
     slots = materialize(join_small(_slots(plain, able), able.select("pattern"), "pattern", "left_semi"), "slots")
 
     seeds = seeds.join(able.select("pattern").hint("merge"), "pattern", "left_semi")
