@@ -96,3 +96,18 @@ def test_stream_isi_equals_batch(spark, tmp_path):
     L.stream_isi(stream).writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     want = {(u, t): (3 + u if t - (3 + u) >= u else None) for u, t in rows}
     assert {(r.unit_id, r.sample_idx): r.isi for r in seen} == want
+
+
+def test_stream_firing_metrics_equals_batch(spark, tmp_path):
+    """In files by time, one batch each, over sliding windows; what the watermark has not passed at the end stays open."""
+    rows = [(u, 60 * k * (u + 1)) for u in range(2) for k in range(200)]
+    df = spark.createDataFrame(rows, "unit_id long, s long").selectExpr("unit_id", "timestamp_seconds(1700000000 + s) as ts")
+    for k in range(4):
+        df.filter(f"unix_seconds(ts) >= {1700000000 + k * 6000} and unix_seconds(ts) < {1700000000 + (k + 1) * 6000}").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    seen = []
+    q = L.stream_firing_metrics(stream, "1 hour", "10 minutes", "30 minutes").writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = {tuple(r) for r in L.stream_firing_metrics(df, "1 hour", "10 minutes", "30 minutes").collect()}
+    assert len(seen) == len(set(seen)) and set(seen) <= batch and len(seen) > len(batch) // 2
+    assert {r[4] for r in batch if r[0] == 0 and r[2] > 1} == {60.0}

@@ -706,9 +706,9 @@ def _stream_dir(s, d):
     return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("unit_id"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("select user_id as unit_id, date_trunc('hour', ts)::timestamp as start_, count(*) as n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / nullif(count(*) - 1, 0), 6) as mean_isi_s from events group by 1, 2")
+@query("with e as (select user_id as unit_id, ts, date_trunc('hour', ts)::timestamp as start_, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, date_trunc('hour', ts) order by ts)) as gap from events) select unit_id, start_, count(*) as n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / nullif(count(*) - 1, 0), 6) as mean_isi_s, round(min(gap) / 1e6, 6) as min_isi_s from e group by 1, 2")
 def firing_windows(s, d):
-    return L.stream_firing_metrics(_stream_dir(s, d)).select("unit_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n", r6("mean_isi_s"))
+    return L.stream_firing_metrics(_stream_dir(s, d)).select("unit_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n", r6("mean_isi_s"), r6("min_isi_s"))
 
 
 @query("with g as (select user_id as unit_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as new_ from events window w as (partition by user_id order by ts)), b as (select *, sum(new_) over (partition by unit_id order by ts rows between unbounded preceding and current row) as k from g) select unit_id, min(ts) as start_, count(*) as n from b group by unit_id, k")

@@ -54,12 +54,17 @@ def stream_edit_fold(log: DataFrame, depth: int = DEPTH) -> DataFrame:
     return log.select("unit_id", "seq", "event_type").groupBy("unit_id").applyInPandasWithState(run, FOLDED, "done array<long>, undone array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_firing_metrics(events: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """L1: spikes (unit_id, ts) by unit and tumbling window: count, and mean interval between the first and the last;
-    rows later than the watermark are dropped."""
-    span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
-    w = events.withWatermark("ts", late).groupBy("unit_id", F.window("ts", length).alias("w")).agg(F.count("*").alias("n"), F.try_divide(span / 1e6, F.count("*") - 1).alias("mean_isi_s"))
-    return w.select("unit_id", F.col("w.start").alias("start"), "n", "mean_isi_s")
+def stream_firing_metrics(events: DataFrame, length: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """L1: spikes (unit_id, ts) by unit and tumbling or, with slide, sliding window: count, and mean and least interval
+    between spikes of the window; rows later than the watermark are dropped. A window's times are one unit's spikes of
+    that length, in the state of a stream until the watermark passes."""
+    window = F.window("ts", length, slide) if slide else F.window("ts", length)
+    t = F.array_sort(F.collect_list(F.unix_micros("ts")))
+    w = events.withWatermark("ts", late).groupBy("unit_id", window.alias("w")).agg(t.alias("t"))
+    n = F.size("t")
+    gaps = F.zip_with(F.slice("t", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("t", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, y: x - y)
+    mean = F.try_divide((F.element_at("t", -1) - F.element_at("t", 1)) / 1e6, n - 1)
+    return w.select("unit_id", F.col("w.start").alias("start"), n.cast("long").alias("n"), mean.alias("mean_isi_s"), (F.array_min(gaps) / 1e6).alias("min_isi_s"))
 
 
 def stream_isi(events: DataFrame) -> DataFrame:
