@@ -27,7 +27,7 @@ DEPTH, CLASSES = 4, 64
 #: Depth up to which a key is the context itself, six bits a class; beyond, it is a hash.
 EXACT = 9
 #: Depths of one pass over the texts: more at once the rarer the contexts become.
-PASSES = [(5, 6), (7, 10)]
+PASSES = [(5, 6), (7, 8), (9, 12)]
 END, OTHER = 0, 63
 #: The least gain (nats) beyond the cost of a state, and count of a state; the share of the square root of the number of
 #: symbols that a longer context's count must reach; smoothing mass.
@@ -387,12 +387,13 @@ def _shallow_states(root: DataFrame, kept: DataFrame) -> list[DataFrame]:
 def _counted(docs: DataFrame, classes: np.ndarray, maps: tuple[np.ndarray, ...], low: int, high: int, least: float) -> DataFrame:
     """(d, key, up, total, seen) of the contexts of low to high classes whose suffix of low - 1 classes is a state, met
     `least` times. maps: bitmaps of the states of DEPTH classes, of all longer ones so far, and of the strings of
-    DEPTH + 1 classes met `least` times: no context that holds another one can be met so often."""
+    DEPTH + 1 and DEPTH + 2 classes met `least` times: no context that holds another one can be met so often. (Of the
+    latter, those are known whose middle DEPTH classes are a state; the others are let through.)"""
     sent = docs.sparkSession.sparkContext.broadcast(maps)
     names, kind = ["d", "key", "up", "sym", "n"], "d int, key long, up long, sym long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shallow, deep, often = map(_bits, sent.value)
+        shallow, deep, often, often2 = map(_bits, sent.value)
         hashed: list[pa.RecordBatch] = []
 
         def rows(d: np.ndarray, key: np.ndarray, up: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -411,6 +412,8 @@ def _counted(docs: DataFrame, classes: np.ndarray, maps: tuple[np.ndarray, ...],
                     at = at[on]
                     oldest = (oldest[on] if d == DEPTH + 1 else oldest[on] >> 6) | seq[at - d].astype(np.int64) << 6 * DEPTH
                     keep = often[_places(oldest)]
+                    if d > DEPTH + 2:
+                        keep &= ~shallow[oldest & (CLASSES**DEPTH - 1)] | often2[_places(oldest << 6 | seq[at - d + DEPTH + 1])]
                     at, key, up, oldest = at[keep], key[keep], up[on][keep], oldest[keep]
                     if d < low:
                         on = deep[_places(key)]
@@ -445,10 +448,13 @@ def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: Da
         if not more.isEmpty():
             outside, depths = outside.unionByName(more), [*depths, d]
     above, (low, high), blocks = by_depth[DEPTH], (0, DEPTH), iter(PASSES)
-    shallow, deep = _bitmap(above, direct=True), np.zeros(BITS >> 3, np.uint8)
+    shallow, deep, often2 = _bitmap(above, direct=True), np.zeros(BITS >> 3, np.uint8), np.full(BITS >> 3, 255, np.uint8)
     while True:
         low, high = next(blocks, (high + 1, 2 * high))
-        rows = _counted(docs, classes, (shallow, deep, often), low, high, least)
+        rows = _counted(docs, classes, (shallow, deep, often, often2), low, high, least)
+        if low == DEPTH + 1:
+            next_ = rows.filter(F.col("d") == low).select("key", F.explode("seen").alias("x")).filter(F.col("x.n") >= least)
+            often2 = _bitmap(next_.select(F.shiftleft(F.col("key").bitwiseAND((1 << 6 * low) - 1), 6).bitwiseOR(F.col("x.sym")).alias("key")))
         for d in range(low, high + 1):
             suffix = above.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("all"))
             states = rows.filter(F.col("d") == d).join(suffix.hint("merge"), "up").filter(_gain() >= MIN_DIVERGENCE).drop("m", "all")
