@@ -30,7 +30,9 @@ SPACE, SPACES = r"[\x20\x09-\x0D]", " \t\n\x0b\f\r"
 #: A seed in the text that patterns are read from: mark, kind, hash of the seed, its length, mark.
 MARK = "\ue000"
 ANY = "(?:" + ")|(?:".join(PATTERNS[k] for k in ("phone", "email", "ip", "card")) + ")"
-ROUNDS, MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE = 3, 3, 0.25, 0.8
+#: A pattern needs so many different seeds and such a share of all of them (else chance patterns would grow faster than
+#: the corpus), and such a share of seeds among what is different in its slots.
+ROUNDS, MIN_SEEDS, SEED_SHARE, MIN_SHARE, MIN_CONFIDENCE = 3, 3, 0.0005, 0.25, 0.8
 #: Tokens at most between the two words of a slot; characters of a word that count in a pattern.
 RUN, WORD = 8, 32
 #: Bits, at least and at most, of the filter of pattern hashes that spares nearly all places a look-up.
@@ -208,7 +210,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     kind:start:end by kind, then start; `added` is the number of added ones. Rows that are repeated, and null ids, are
     treated like any other; other columns of docs are not looked at.
 
-    Patterns with fewer than MIN_SEEDS different seeds, or in whose slots less than a MIN_SHARE of all that is different
+    Patterns with fewer than MIN_SEEDS different seeds or a SEED_SHARE of all of them, or in whose slots less than a MIN_SHARE of all that is different
     are seeds, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over
     their number + 1; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
     instance the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After ROUNDS turns, instances
@@ -222,7 +224,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("key"), *KINDS, F.when(some, _marked("clean")).otherwise(F.col("clean")).alias("masked")), "spans")
     seeds = _seed_patterns(rows).groupBy("pattern", "one", "hit").agg(F.max("kind").alias("kind"))
     seeds = materialize(seeds, "seeds")
-    able = materialize(seeds.groupBy("pattern", "one").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS), "able")
+    least = max(MIN_SEEDS, SEED_SHARE * seeds.select("hit").distinct().count())
+    able = materialize(seeds.groupBy("pattern", "one").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least), "able")
     plain = rows.select("doc_id", "key", "masked")
     # what each pattern's slots hold: sums only, by (pattern, hit) and then by pattern
     held = _slots(plain, able).select("pattern", "hit").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
