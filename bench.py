@@ -8,12 +8,21 @@ from pyspark.sql import SparkSession
 
 from volley.plans.queries import QUERIES
 
-HEADLINE = ["unit_firing_stats", "quality_flags", "rule2_high_rate", "remove_ifr_outliers", "auto_edit", "rate_of_agreement", "assign_roles", "inst_discharge_rate", "cumulative_spike_train", "recruitment_gain", "spike_triggered_average", "peel_off", "apply_unit_filter", "rms_envelope", "channel_covariance", "inherited_masks", "concat_recordings", "fold_edit_log"]
+HEADLINE = [
+    "unit_firing_stats", "quality_flags", "rule2_high_rate", "remove_ifr_outliers", "auto_edit", "rate_of_agreement",
+    "assign_roles", "inst_discharge_rate", "cumulative_spike_train", "recruitment_gain", "spike_triggered_average",
+    "peel_off", "apply_unit_filter", "rms_envelope", "channel_covariance", "port_properties", "inherited_masks",
+    "concat_recordings", "fold_edit_log",
+]
 
 
 def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    conf = {
+        "spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus, "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+    }
+    spark = SparkSession.builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for name in HEADLINE:
