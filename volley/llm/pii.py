@@ -210,8 +210,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     kind:start:end by kind, then start; `added` is the number of added ones. Rows that are repeated, and null ids, are
     treated like any other; other columns of docs are not looked at.
 
-    Patterns with fewer than MIN_SEEDS different seeds or a SEED_SHARE of all of them, or in whose slots less than a MIN_SHARE of all that is different
-    are seeds, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over
+    Patterns with fewer than MIN_SEEDS different seeds or a SEED_SHARE of all of them, or in whose slots less than a
+    MIN_SHARE of all that is different are seeds, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over
     their number + 1; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
     instance the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After ROUNDS turns, instances
     in patterns of at least MIN_CONFIDENCE that overlap no base span are added, with the kind of highest confidence (of
