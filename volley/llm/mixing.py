@@ -91,7 +91,7 @@ def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0
     Minimises the squared distance of totals and goals, in the metric of M = sum(m * n_tokens * p p') inverted, by
     gradient steps in the metric of the token counts of the documents that a step can move (those above the least rate,
     or drawn up from it), each projected onto rate >= least. Without the bound one step ends it. A step is two aggregates
-    of a few numbers.
+    of a few numbers; one that leads away is taken back.
     total None: the tokens there are or, with a least rate over 0, a quarter more than the smallest total for which
     no domain must shrink. Domains that no document belongs to are left out and the other shares scaled up. An empty
     state stays empty. It ends when every total is within `tolerance` of its goal (as a share of total) or eight
@@ -126,23 +126,25 @@ def fit_rates(state: DataFrame, targets: Mapping[str, float], least: float = 0.0
 
     inverse = inverted(gram)
     state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.lit(1.0)))
-    best, since = float("inf"), 0
+    kept, off, best, since, scale = state, np.zeros(len(p)), float("inf"), 0, 1.0
     for step in range(steps):
-        now = totals(state, F.col("rate"))
-        off = np.subtract(now, goal)
-        gap = float(off @ inverse @ off)
-        best, since = (gap, 0) if gap < best * 0.99 else (best, since + 1)
+        now = np.subtract(totals(state, F.col("rate")), goal)
+        gap = float(now @ now)
+        if gap < best:
+            since = 0 if gap < best * 0.99 else since + 1
+            kept, off, best = state, now, gap
+        else:  # too far: back to the best rates, and on by shorter steps
+            state, since, scale = kept, since + 1, scale / 2
         if np.abs(off).max() <= tolerance * max(total, 1e-9) or since >= 8:
             break
-        down = _dot(p, [F.lit(float(x)) for x in inverse @ off])
-        metric = gram_of(state.filter((F.col("rate") > least) | (down < 0)))  # of the documents that the step can move
-        move = _dot(p, [F.lit(float(x)) for x in inverted(metric) @ off])
-        state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - move))
+        down = _dot(p, [F.lit(float(v)) for v in inverse @ off])
+        x = scale * inverted(gram_of(state.filter((F.col("rate") > least) | (down < 0)))) @ off  # of the documents that the step can move
+        state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - _dot(p, [F.lit(float(v)) for v in x])))
         if step % 4 == 3:
             state = materialize(state, "rates")
     if np.abs(off).max() > tolerance * max(total, 1e-9):
         warnings.warn(f"rates after {step + 1} steps are {np.abs(off).max() / max(total, 1e-9):.2g} of the total off a goal", stacklevel=2)
-    return state
+    return kept
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], least: float = 0.0, total: float | None = None, seed: int = 7, sample: int = SAMPLE_DOCS) -> DataFrame:
