@@ -52,6 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each. The stages before have filled the executors' heaps; the encoders' Python workers need that memory."""
     release_heap(spark)
     out = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary_path(), with_text=False)
+    release_heap(spark)  # the words have been counted by now, what follows are the encoders
     return out.drop("text")
 
 
