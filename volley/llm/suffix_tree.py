@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import LOWER_BYTES, materialize, mix64, small_batches, text_buffer, text_groups, top_counts, word_hashes
+from volley.llm.shared import LOWER_BYTES, materialize, mix64, release_heap, small_batches, text_buffer, text_groups, top_counts, word_hashes
 
 DEPTH, CLASSES = 4, 64
 #: Depth up to which a key is the context itself, six bits a class; beyond, it is a hash.
@@ -130,8 +130,8 @@ class Slots:
     """A hash table of 64-bit keys, looked up for many at once."""
 
     def __init__(self, keys: np.ndarray):
-        self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
-        self.key, self.value = np.zeros(self.mask + 1, np.int64), np.full(self.mask + 1, -1, np.int64)
+        self.mask = (1 << max(4, (2 * len(keys)).bit_length())) - 1
+        self.key, self.value = np.zeros(self.mask + 1, np.int64), np.full(self.mask + 1, -1, np.int32)
         left, at = np.arange(len(keys)), self._place(keys)
         while len(left):
             free = np.flatnonzero(self.value[at] < 0)
@@ -504,6 +504,7 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
     top_h, top_c = top["h"].to_numpy(), top["c"].to_numpy()
     order = np.argsort(top_h)
     sent = docs.sparkSession.sparkContext.broadcast((tree, deep, top_h[order], top_c[order]))
+    release_heap(docs.sparkSession)  # the Python workers below hold the tree
     scale, whole = float(np.log10(total + distinct + 1)), distinct <= common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +514,7 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
         inner = 1 + sum(map(len, tree.states[:-1]))
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            for a, b in text_groups(off, _GROUP):
+            for a, b in text_groups(off, _GROUP // 2):
                 part, places, m = raw[off[a] : off[b]], off[a : b + 1] - off[a], b - a
                 row, h = word_hashes(part, places)
                 row, h = np.append(row, np.arange(m)), np.append(h, np.full(m, END_WORD)).view(np.int64)
