@@ -115,7 +115,8 @@ def test_op7_base_and_held_out(spark, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(i, 7) == 2, len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n * 1.0 + v + 1)) for x in w))
     long = [i for i in got if got[i].held_out and got[i].n_tokens > 50]
-    assert len(long) > 5 and sum(got[i].score for i in long) > sum(got[i].base_score for i in long)
+    size = sum(len(docs[i]["text"].encode()) + 1 for i in long)
+    assert len(long) > 5 and sum(got[i].score for i in long) > size * math.log10(1 / 32)  # far better than chance among 64 classes
 
 
 def test_op10_held_out_labels(spark, docs):
