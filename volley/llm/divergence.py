@@ -149,7 +149,7 @@ def _plan(sums: DataFrame, cells: int) -> list[dict[str, tuple[list[str], np.nda
         a = 0
         while a < len(names):
             b = min(len(names), a + room // len(names))
-            if b == a or lang in passes[-1]:
+            if b <= a or lang in passes[-1]:
                 if passes[-1]:
                     passes.append({})
                     room = cells
