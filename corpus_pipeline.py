@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from volley.llm import bpe, exact_dedup, langid, minhash, mixing
 from volley.llm.queries import domains_of, vocabulary_path
-from volley.llm.shared import ascii_lower, fold, join_small, materialize, release_heap, table, unused
+from volley.llm.shared import ascii_lower, fold, join_small, materialize, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, with the digests of ids and decoded text; null texts have none, repeated rows a row
-    each. The stages before have filled the executors' heaps; the encoders' Python workers need that memory."""
-    release_heap(spark)
-    out = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary_path(), with_text=False)
-    release_heap(spark)  # the words have been counted by now, what follows are the encoders
-    return out.drop("text")
+    each."""
+    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary_path(), with_text=False).drop("text")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]

@@ -67,13 +67,6 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(name, size)
 
 
-def release_heap(spark: SparkSession) -> None:
-    """Has the executors collect their heaps, which gives memory back to the machine: for a job whose Python workers need
-    it after others have filled the heap. A task a core, so each executor is likely to get one; nothing depends on it."""
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
-
-
 def top_counts(counts: DataFrame, n: str, most: int) -> DataFrame:
     """The rows of counts (a written table) whose count `n` is at least t, for the least t that at most `most` rows
     reach. No row is sorted or sent anywhere: t comes from an aggregate over some hundreds of count classes."""
