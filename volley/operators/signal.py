@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volley.functions.scratch import written
+from volley.functions.selection import percentiles
 from volley.operators.trains import by_unit, unit_of
 
 BLOCK = 1 << 16
@@ -460,19 +461,26 @@ def muap_spectrum(muap: DataFrame, fs: float) -> DataFrame:
 
 def normalise_force(force: DataFrame, mvc: float | None = None) -> DataFrame:
     """H7: x less the 2nd percentile, in percent of mvc or of the range (at least 1e-9), by channel."""
+    b = _base_and_top(force)
     by = [*group_of(force), "channel"]
-    b = force.groupBy(*by).agg(F.percentile("x", 0.02).alias("_b"), F.max("x").alias("_m"))
     scale = F.lit(float(mvc)) if mvc else F.greatest(F.col("_m") - F.col("_b"), F.lit(1e-9))
     return force.join(b, by).withColumn("percent", (F.col("x") - F.col("_b")) / scale * 100).drop("_b", "_m")
 
 
+def _base_and_top(force: DataFrame) -> DataFrame:
+    """(channel, _b, _m): the 2nd percentile, by selection in passes, and the largest value."""
+    by = [*group_of(force), "channel"]
+    return percentiles(force, by, "x", 0.02).withColumnRenamed("value", "_b").join(force.groupBy(*by).agg(F.max("x").alias("_m")), by)
+
+
 def force_report(force: DataFrame) -> DataFrame:
     """H8: peak, baseline and their difference by channel."""
     by = [*group_of(force), "channel"]
-    return force.groupBy(*by).agg(F.max("x").alias("peak"), F.percentile("x", 0.02).alias("baseline")).withColumn("net", F.col("peak") - F.col("baseline"))
+    return _base_and_top(force).select(*by, F.col("_m").alias("peak"), F.col("_b").alias("baseline"), (F.col("_m") - F.col("_b")).alias("net"))
 
 
 def force_peak(percent: DataFrame) -> DataFrame:
     """H9: the largest 99th percentile, over channels, of the percentages clipped at 0."""
     by = [*group_of(percent), "channel"]
-    return percent.groupBy(*by).agg(F.percentile(F.greatest("percent", F.lit(0.0)), 0.99).alias("p")).groupBy(*by[:-1]).agg(F.max("p").alias("force_peak"))
+    clipped = percent.select(*by, F.greatest("percent", F.lit(0.0)).alias("percent"))
+    return percentiles(clipped, by, "percent", 0.99).groupBy(*by[:-1]).agg(F.max("value").alias("force_peak"))
