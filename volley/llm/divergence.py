@@ -6,8 +6,9 @@ bound and merged by key; the merged stripes give the divergences of all pairs of
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import LOWER_BYTES, join_small, materialize, small_batches
+from volley.llm.shared import LOWER_BYTES, join_small, materialize, small_batches, text_buffer, text_groups
 
 #: Documents of a language that a term must be in; terms listed for a group.
 MIN_DOCS, TOP = 10, 10
@@ -24,14 +25,17 @@ UNIT = 1_000_000_000
 #: Fixed table for bytes: A-Z lower-cased; what is no letter and not beyond ASCII becomes a blank.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in LOWER_BYTES.tolist())
 #: Counts of (term, source) that a partition holds before it spills; cells of a matrix of pairs that a task holds.
-SPILL, CELLS = 200_000, 4_000_000
+SPILL, CELLS = 1_000_000, 4_000_000
 #: Bytes of a text whose words are objects at a time.
 PIECE = 4_000_000
 
-_STRIPES = "lang string, term string, sources array<string>, docs array<long>, counts array<long>"
+_STRIPES = "lang string, term string, of array<struct<source: string, docs: long, n: long>>"
+#: Bits of a key of a count that hold the number of its group (lang, source) in the partition; the others its term's.
+_GROUP_BITS = 24
 
 
 def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, of a very long one by pieces that end at blanks."""
     plain, a = text.translate(_LETTERS), 0
     while a < len(plain):
         b = plain.find(b" ", a + PIECE)
@@ -40,46 +44,86 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
         a = b
 
 
+class Stripes:
+    """What a partition has folded so far: terms and groups (lang, source) are numbered by hash tables; a stripe's entries
+    are sorted keys (term, group) with documents and counts."""
+
+    def __init__(self) -> None:
+        self.terms: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.groups: defaultdict[tuple[str, str], int] = defaultdict(count().__next__)
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def fold(self, texts: list[bytes], langs: list[str], sources: list[str]) -> None:
+        """Adds whole documents. The term b'' stands for the document itself, with count 0."""
+        ids = [np.fromiter((self.terms[b""],) * len(texts), np.int64, len(texts))]
+        rows = [np.arange(len(texts))]
+        for k, text in enumerate(texts):
+            for words in _words(text):
+                ids.append(np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words)))
+                rows.append(np.full(len(words), k))
+        group = np.fromiter(map(self.groups.__getitem__, zip(langs, sources)), np.int64, len(texts))
+        ids, rows = np.concatenate(ids), np.concatenate(rows)
+        n = np.ones(len(ids), np.int64)
+        n[: len(texts)] = 0
+        pair = ids << 32 | rows  # at most 2^31 rows in a batch
+        order = np.argsort(pair, kind="stable")
+        pair, n = pair[order], n[order]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        n = np.add.reduceat(n, first)
+        key = pair[first] >> 32 << _GROUP_BITS | group[pair[first] & 0xFFFFFFFF]
+        self.add(np.stack([key, np.ones(len(key), np.int64), n]))
+
+    def add(self, part: np.ndarray) -> None:
+        """A part's rows are keys, documents and counts; parts are summed when they have doubled the entries."""
+        self.parts.append(part)
+        if len(self.parts) == 1 or sum(p.shape[1] for p in self.parts) > max(2 * self.size, SPILL // 4):
+            self.sum_up()
+
+    def sum_up(self) -> np.ndarray:
+        part = np.concatenate(self.parts, axis=1)
+        part = part[:, np.argsort(part[0], kind="stable")]
+        first = np.flatnonzero(np.diff(part[0], prepend=-1))
+        part = np.concatenate([part[:1, first], np.add.reduceat(part[1:], first, axis=1)]) if len(first) else part
+        self.parts, self.size = [part], part.shape[1]
+        return part
+
+    def batch(self) -> pa.RecordBatch:
+        """The stripes by (lang, term), each with its sources."""
+        key, docs, n = self.sum_up()
+        names = list(self.groups)
+        langs = {x: k for k, x in enumerate(sorted({l for l, _ in names}))}
+        lang = np.array([langs[l] for l, _ in names])[key & (1 << _GROUP_BITS) - 1]
+        term = key >> _GROUP_BITS
+        order = np.lexsort((lang, term))
+        key, docs, n, lang, term = key[order], docs[order], n[order], lang[order], term[order]
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
+        take = lambda values, kind, at: pa.array(values, kind).take(pa.array(at))
+        source = take([s for _, s in names], pa.string(), key & (1 << _GROUP_BITS) - 1)
+        entries = pa.StructArray.from_arrays([source, pa.array(docs), pa.array(n)], ["source", "docs", "n"])
+        of = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), entries)
+        words = take(list(self.terms), pa.binary(), term[first]).cast(pa.string())
+        return pa.RecordBatch.from_arrays([take(list(langs), pa.string(), lang[first]), words, of], ["lang", "term", "of"])
+
+
 def stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
-    """(lang, term, sources, docs, counts): the stripes of all partitions; a term's stripes are yet to be merged. The term ''
-    has the documents of each source in `docs`, so a group without terms has a stripe too."""
+    """(lang, term, of): the stripes of all partitions; a term's stripes are yet to be merged. The term '' has the documents
+    of each source in `docs`, so a group without terms has a stripe too. A partition spills its stripes when they have
+    `spill` entries and starts anew."""
     small_batches(docs.sparkSession)
 
-    def out(held: dict[tuple[str, bytes], dict[str, list[int]]]) -> pa.RecordBatch:
-        keys = list(held)
-        rows = list(held.values())
-        sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        flat = [v for r in rows for v in r.values()]
-        lists = [pa.array([s for r in rows for s in r], pa.string()), pa.array([v[0] for v in flat], pa.int64()), pa.array([v[1] for v in flat], pa.int64())]
-        terms = pa.array([t for _, t in keys], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([l for l, _ in keys], pa.string()), terms, *(pa.ListArray.from_arrays(pa.array(sizes), x) for x in lists)], ["lang", "term", "sources", "docs", "counts"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], dict[str, list[int]]] = {}
-        n = 0
+        held = Stripes()
         for batch in batches:
+            raw, off = text_buffer(batch.column(0))
             langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for k, (lang, source) in enumerate(zip(langs, sources)):
-                text, own = batch.column(0)[k].as_py(), Counter()
-                for words in _words((text or "").encode("utf-8", "replace")):
-                    own.update(words)
-                own[b""] = 0  # the document itself
-                for term, c in own.items():
-                    stripe = held.get((lang, term))
-                    if stripe is None:
-                        stripe = held[lang, term] = {}
-                    seen = stripe.get(source)
-                    if seen is None:
-                        stripe[source] = [1, c]
-                        n += 1
-                    else:
-                        seen[0] += 1
-                        seen[1] += c
-                if n >= spill:
-                    yield out(held)
-                    held, n = {}, 0
-        if held:
-            yield out(held)
+            for a, b in text_groups(off):
+                held.fold([raw[x:y].tobytes() for x, y in zip(off[a:b].tolist(), off[a + 1 : b + 1].tolist())], langs[a:b], sources[a:b])
+                if held.size >= spill or len(held.groups) >= 1 << _GROUP_BITS - 1:
+                    yield held.batch()
+                    held = Stripes()
+        if held.parts:
+            yield held.batch()
 
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")]
     return docs.select(*text).mapInArrow(run, _STRIPES)
@@ -89,8 +133,7 @@ def merged(parts: DataFrame, least: int = MIN_DOCS) -> tuple[DataFrame, DataFram
     """The whole stripes of the terms in at least `least` documents, (lang, term, of: (source, n)), and the groups (lang,
     source). Counts are summed by (lang, term, source), first inside the tasks, so a term of every document is not hot:
     each task has a row of it for each source. Both are written."""
-    entry = F.explode(F.arrays_zip("sources", "docs", "counts")).alias("e")
-    rows = parts.select("lang", "term", entry).select("lang", "term", F.col("e.sources").alias("source"), F.col("e.docs").alias("docs"), F.col("e.counts").alias("n"))
+    rows = parts.select("lang", "term", F.inline("of"))
     summed = rows.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     whole = summed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("of"))  # one entry a source
     kept = materialize(whole.filter((F.col("term") == "") | (F.col("docs") >= least)).drop("docs"), "stripes")
