@@ -217,7 +217,7 @@ def test_replay(spark):
             s = (w / np.abs(w).sum()) @ want
             sources_[u] = (s - s[10:70].mean()) / s[10:70].std(ddof=1)
         before, want = want, peeled(want, ts)
-    rest, src, used = D.replay_peel_off(x, steps, None, 2, 10, 70)
+    rest, src, used, _ = D.replay_peel_off(x, steps, None, 2, 10, 70)
     assert np.allclose(matrix(rest), want)
     for u, s in sources_.items():
         assert np.allclose(src.filter(F.col("unit_id") == u).orderBy("sample_idx").toPandas().s, s)

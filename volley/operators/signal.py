@@ -3,6 +3,8 @@ is done within a recording and port."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,19 +13,14 @@ from pyspark.sql import types as T
 
 from volley.functions.scratch import written
 from volley.functions.selection import percentiles
+from volley.operators.averages import ends_of, filter_from_spikes, group_of, near, peel_off, spike_triggered_average, take_away, units_in
 from volley.operators.trains import by_unit, unit_of
 
 BLOCK = 1 << 16
 #: Samples of a block of a matrix product; entries of matrices that are sent to every task.
 ROWS, ENTRIES = 1024, 4_000_000
-
-
-def group_of(df: DataFrame) -> list[str]:
-    return [c for c in ("recording_id", "port") if c in df.columns]
-
-
-def units_in(df: DataFrame) -> list[str]:
-    return [*group_of(df), "unit_id"]
+#: Steps of a replay after which the residual is written.
+COMPACT = 8
 
 
 def _with(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
@@ -145,11 +142,14 @@ def apply_matrix(samples: DataFrame, matrix: DataFrame) -> DataFrame:
     return product(samples, matrix.withColumnsRenamed({"j": "channel", "v": "w"}), "i").withColumnsRenamed({"i": "channel", "y": "x"})
 
 
-def apply_unit_filter(samples: DataFrame, filters: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Each unit's source, z-scored by mean and deviation (ddof 1, at least 1e-8) over samples lo <= t < hi."""
+def apply_unit_filter(samples: DataFrame, filters: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Each unit's source, z-scored by mean and deviation (ddof 1, at least 1e-8) over samples lo <= t < hi; where a
+    bound is not given, over all on that side."""
     by = units_in(samples)
     raw = product(samples, filters, "unit_id").withColumnRenamed("y", "s")
-    norm = raw.filter((F.col("sample_idx") >= lo) & (F.col("sample_idx") < hi)).groupBy(*by).agg(F.avg("s").alias("m"), F.greatest(F.stddev_samp("s"), F.lit(1e-8)).alias("sd"))
+    span = F.lit(True) if lo is None else F.col("sample_idx") >= lo
+    span = span if hi is None else span & (F.col("sample_idx") < hi)
+    norm = raw.filter(span).groupBy(*by).agg(F.avg("s").alias("m"), F.greatest(F.stddev_samp("s"), F.lit(1e-8)).alias("sd"))
     return raw.join(norm, by).select(*by, "sample_idx", ((F.col("s") - F.col("m")) / F.col("sd")).alias("s"))
 
 
@@ -260,65 +260,73 @@ def pnr_db(sources: DataFrame, spikes: DataFrame) -> DataFrame:
     return m.groupBy(*key).agg((10 * F.log10(F.try_divide(at, off))).alias("pnr_db"))
 
 
-def spike_triggered_average(samples: DataFrame, spikes: DataFrame, half: int) -> DataFrame:
-    """(unit, channel, off, v): means over the spikes whose whole window lies in the recording."""
-    by, unit = group_of(samples), units_in(spikes)
-    ends = samples.groupBy(*by).agg(F.min("sample_idx").alias("_lo"), F.max("sample_idx").alias("_hi"))
-    inside = _with(spikes, ends, by).filter((F.col("sample_idx") - half >= F.col("_lo")) & (F.col("sample_idx") + half <= F.col("_hi")))
-    at = inside.select(*unit, F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("off"), "sample_idx").withColumn("sample_idx", F.col("sample_idx") + F.col("off"))
-    return at.join(samples, [*by, "sample_idx"]).groupBy(*unit, "channel", "off").agg(F.avg("x").alias("v"))
-
-
-def filter_from_spikes(samples: DataFrame, spikes: DataFrame) -> DataFrame:
-    """D12 with a window of one sample: a filter by unit, scaled to absolute sum 1."""
-    sta, unit = spike_triggered_average(samples, spikes, 0), units_in(spikes)
-    return sta.select(*unit, "channel", F.try_divide("v", F.sum(F.abs("v")).over(Window.partitionBy(*unit))).alias("w"))
-
-
-def peel_off(samples: DataFrame, spikes: DataFrame, half: int) -> DataFrame:
-    """Samples less the spike-triggered average at every spike; overlaps add up."""
-    by, unit = group_of(samples), units_in(spikes)
-    sta = spike_triggered_average(samples, spikes, half)
-    part = spikes.join(sta, unit).groupBy(*by, "channel", (F.col("sample_idx") + F.col("off")).alias("sample_idx")).agg(F.sum("v").alias("_v"))
-    return samples.join(part, [*by, "channel", "sample_idx"], "left").withColumn("x", F.col("x") - F.coalesce("_v", F.lit(0.0))).drop("_v")
-
-
-def replay_peel_off(samples: DataFrame, steps: DataFrame, filters: DataFrame | None, half: int, lo: int, hi: int, stop_before: DataFrame | None = None, refilter: bool = True, distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The ordered peel-off of each group (recording, port) of samples: (residual samples, sources, filters).
+def replay_peel_off(
+    samples: DataFrame, steps: DataFrame, filters: DataFrame | None, half: int, lo: int | None, hi: int | None, stop_before: DataFrame | None = None,
+    refilter: bool = True, distance: int | None = None, recalculate: bool = False, compact: int = COMPACT,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The ordered peel-off of each group (recording, port) of samples: (residual samples, sources, filters, spikes).
 
     steps: (group, step, unit_id, sample_idx), a row a spike; a null unit_id is a rejected repeat, which is only peeled
     off. An accepted unit is first filtered: with `refilter` by the average of the residual at its spikes (two at least),
     else, or with fewer, by its row set in filters (group, unit_id, channel, w); its source is z-scored over lo <= t < hi.
-    A unit without either has no source. Peeled off are the saved spikes or, with `distance` and no refilter, those
-    detected in the new source. stop_before: (group, unit_id) before whose step a group ends. All groups walk together,
-    a job a step; a step's residual is written, so lineage doesn't grow.
+    A unit without either has no source. With `distance` the spikes of a source are detected in it, else they are the
+    saved ones; peeled off are the saved ones. With `recalculate` the given filters are used as they are, sources are
+    z-scored over all samples, and what is detected is peeled off; the saved spikes are, of a unit without a filter.
+    stop_before: (group, unit_id) before whose step a group ends.
+
+    All groups walk together, a step at a time. The residual is kept as the samples less the waveforms peeled since they
+    were last written: a step writes its filter, source, spikes and waveforms, and reads for its waveforms the blocks
+    near its spikes; every `compact` steps the residual itself is written.
     """
-    by, unit = group_of(samples), [*group_of(samples), "unit_id"]
+    by, unit = group_of(samples), units_in(samples)
+    if recalculate and (filters is None or not distance):
+        raise ValueError("to recalculate, filters and distance are needed")
     if stop_before is not None:
         last = steps.join(stop_before.select(*unit), unit).groupBy(*by).agg(F.min("step").alias("_stop"))
         steps = _with(steps, last, []) if not by else steps.join(last, by, "left")
         steps = steps.filter(F.col("_stop").isNull() | (F.col("step") < F.col("_stop"))).drop("_stop")
     steps = written(steps.select(*unit, "step", "sample_idx"), "steps")
-    sources = used = None
+    base, ends = samples, written(ends_of(samples), "ends")
+    gone: list[tuple[DataFrame, DataFrame]] = []  # spikes and waveforms of steps, whose number stands for the unit
+
+    def residual(part: DataFrame) -> DataFrame:
+        return take_away(part, _union([x for x, _ in gone]), _union([x for _, x in gone]), half) if gone else part
+
+    sources, used, shown = [], [], []
     for (k,) in sorted(steps.select("step").distinct().collect()):  # numbers of steps, not their spikes
         now = steps.filter(F.col("step") == k).drop("step")
         own = now.filter("unit_id is not null")
         ready = None if filters is None else filters.join(own.select(*unit).distinct(), unit, "left_semi").select(*unit, "channel", "w")
-        if refilter:
-            able = own.join(own.groupBy(*unit).agg(F.count("*").alias("_n")).filter("_n >= 2").select(*unit), unit, "left_semi")
-            fresh = written(filter_from_spikes(samples, able), "filters")
+        if refilter and not recalculate:
+            able = written(own.join(own.groupBy(*unit).agg(F.count("*").alias("_n")).filter("_n >= 2").select(*unit), unit, "left_semi"), "able")
+            fresh = written(filter_from_spikes(residual(near(base, able, half)), able, ends), "filters")
             ready = fresh if ready is None else fresh.unionByName(ready.join(fresh.select(*unit).distinct(), unit, "left_anti"))
-        spikes = now.withColumn("unit_id", F.coalesce("unit_id", F.lit(-1)))
+        peeled = now.select(*by, "unit_id", "sample_idx")
         if ready is not None:
             ready = written(ready, "filters")
-            source = written(apply_unit_filter(samples, ready, lo, hi).withColumn("s", F.nanvl("s", F.lit(0.0))), "source")
-            sources, used = (source, ready) if sources is None else (sources.unionByName(source), used.unionByName(ready))
-            if distance and not refilter:
+            span = (None, None) if recalculate else (lo, hi)
+            source = written(apply_unit_filter(residual(base), ready, *span).withColumn("s", F.nanvl("s", F.lit(0.0))), "source")
+            saved = own.join(ready.select(*unit).distinct(), unit, "left_anti").select(*unit, "sample_idx")
+            if distance:
                 port = [] if "port" in source.columns else [F.lit("").alias("port")]
-                found = source_to_timestamps(source.select("*", *port), distance).select(*unit, "sample_idx")
-                spikes = spikes.join(source.select(*unit).distinct(), unit, "left_anti").select(*unit, "sample_idx").unionByName(found)
-        samples = written(peel_off(samples, spikes, half), "residual")
-    return samples, sources, used
+                found = written(source_to_timestamps(source.select("*", *port), distance).select(*unit, "sample_idx"), "spikes")
+                own = found.unionByName(saved)
+                if recalculate:
+                    peeled = found.unionByName(saved).unionByName(now.filter("unit_id is null").select(*unit, "sample_idx"))
+            sources.append(source)
+            used.append(ready)
+        shown.append(own.select(*unit, "sample_idx"))
+        peeled = written(peeled.select(*by, F.lit(k).alias("unit_id"), "sample_idx"), "peeled")
+        waves = written(spike_triggered_average(residual(near(base, peeled, 2 * half)), peeled, half, ends), "waves")
+        gone.append((peeled, waves))
+        if len(gone) >= compact:
+            base = written(residual(base), "residual")
+            gone = []
+    return residual(base), _union(sources), _union(used), _union(shown)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def compute_full_sources(samples: DataFrame, steps: DataFrame, half: int, lo: int, hi: int, bad: DataFrame | None = None, filters: DataFrame | None = None, matrix: DataFrame | None = None, delays: int = 1, n_channels: int = 64, band: tuple[float, float, float, float | None] | None = None, distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -333,11 +341,7 @@ def compute_full_sources(samples: DataFrame, steps: DataFrame, half: int, lo: in
         samples = extend(samples, delays, n_channels)
     samples = written(samples, "prepared")
     samples = written(apply_matrix(samples, matrix if matrix is not None else written(whitening_matrix(channel_covariance(samples)), "matrix")), "white")
-    _, sources, used = replay_peel_off(samples, steps, filters, half, lo, hi)
-    if distance and sources is not None:
-        port = [] if "port" in sources.columns else [F.lit("").alias("port")]
-        return sources, used, source_to_timestamps(sources.select("*", *port), distance).select(*units_in(samples), "sample_idx")
-    return sources, used, steps.filter("unit_id is not null").select(*units_in(samples), "sample_idx")
+    return replay_peel_off(samples, steps, filters, half, lo, hi, distance=distance)[1:]
 
 
 def recalculate_filter(samples: DataFrame, spikes: DataFrame, lo: int, hi: int, steps: DataFrame | None = None, half: int = 0, filters: DataFrame | None = None) -> DataFrame:
