@@ -174,15 +174,30 @@ def pooled_std(samples: DataFrame) -> DataFrame:
     return moments.groupBy(*by).agg(sd.alias("std"), F.when(sd > 0, 15 * sd).otherwise(1.0).alias("separation"))
 
 
-def local_maxima(sources: DataFrame) -> DataFrame:
-    """D10, first stage: (unit, sample_idx, s): samples above both sides; of a plateau its middle (rounded down)."""
+def local_maxima(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """D10, first stage: (unit, sample_idx, s): samples above both sides; of a plateau its middle (rounded down).
+
+    Runs of equal samples are found inside blocks. A run between two others of its block is decided there; of the first
+    and last run of each block, which may go on in the next one, a row each with the inner neighbour's height is left,
+    and only over these rows, two a block, a window of the whole unit puts the runs together.
+    """
     key = unit_of(sources)
-    w = by_unit(key)
-    s = sources.withColumn("_new", F.coalesce((F.col("s") != F.lag("s").over(w)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    runs = s.groupBy(*key, "_run").agg(F.min("sample_idx").alias("lo"), F.max("sample_idx").alias("hi"), F.first("s").alias("s"))
-    v = Window.partitionBy(*key).orderBy("_run")
-    up = (F.col("s") > F.lag("s").over(v)) & (F.col("s") > F.lead("s").over(v))
-    return runs.withColumn("_up", up).filter("_up").select(*key, F.floor((F.col("lo") + F.col("hi")) / 2).cast("long").alias("sample_idx"), "s")
+    s = sources.withColumn("_b", F.floor(F.col("sample_idx") / block))
+    w = Window.partitionBy(*key, "_b").orderBy("sample_idx")
+    s = s.withColumn("_new", F.coalesce((F.col("s") != F.lag("s").over(w)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    runs = s.groupBy(*key, "_b", "_run").agg(F.min("sample_idx").alias("lo"), F.max("sample_idx").alias("hi"), F.first("s").alias("s"))
+    v = Window.partitionBy(*key, "_b").orderBy("_run")
+    runs = runs.withColumns({"_left": F.lag(F.struct("s")).over(v), "_right": F.lead(F.struct("s")).over(v)})
+    inner, edge = F.col("_left").isNotNull() & F.col("_right").isNotNull(), F.col("_left").isNull() | F.col("_right").isNull()
+    runs = written(runs.filter(edge | (F.col("s") > F.col("_left.s")) & (F.col("s") > F.col("_right.s"))), "runs")
+    u = Window.partitionBy(*key).orderBy("lo")
+    starts = F.col("_left").isNotNull() | F.coalesce(F.col("s") != F.lag("s").over(u), F.lit(True))
+    ends = F.col("_right").isNotNull()
+    edges = runs.filter(edge).withColumns({"_starts": starts.cast("int"), "_before": F.coalesce("_left", F.lag(F.struct("s")).over(u)), "_after": F.when(ends, F.col("_right")).otherwise(F.lead(F.struct("s")).over(u))})
+    edges = edges.withColumn("_whole", F.sum("_starts").over(u)).groupBy(*key, "_whole").agg(F.min_by("_before", "lo").alias("_left"), F.max_by("_after", "lo").alias("_right"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("s").alias("s"))
+    edges = edges.filter((F.col("s") > F.col("_left.s")) & (F.col("s") > F.col("_right.s")))
+    columns = [*key, F.floor((F.col("lo") + F.col("hi")) / 2).cast("long").alias("sample_idx"), "s"]
+    return runs.filter(inner).select(*columns).unionByName(edges.select(*columns))
 
 
 def _islands(peaks: DataFrame, key: list[str], distance: int) -> DataFrame:
@@ -229,13 +244,21 @@ def find_peaks(sources: DataFrame, distance: int, rounds: int = 3) -> DataFrame:
 
 def split_heights(peaks: DataFrame) -> DataFrame:
     """Peaks of the upper class of the two-class split of a unit's heights with the least within-class squares, by
-    prefix sums over the sorted heights."""
+    prefix sums over the sorted heights.
+
+    Spark sorts all peaks by ranges of (unit, height), so a unit with many is in many partitions; sums run inside a
+    partition and start from those of the partitions before, of which a unit has a row each."""
     key = unit_of(peaks)
-    w = Window.partitionBy(*key).orderBy("s", "sample_idx").rowsBetween(Window.unboundedPreceding, 0)
-    u = Window.partitionBy(*key)
-    p = peaks.withColumns({"_k": F.count("*").over(w), "_s": F.sum("s").over(w), "_q": F.sum(F.col("s") * F.col("s")).over(w), "_n": F.count("*").over(u), "_sall": F.sum("s").over(u), "_qall": F.sum(F.col("s") * F.col("s")).over(u)})
-    sse = F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k") + (F.col("_qall") - F.col("_q")) - F.try_divide(F.pow(F.col("_sall") - F.col("_s"), F.lit(2)), F.col("_n") - F.col("_k"))
-    cut = p.filter("_k < _n").groupBy(*key).agg(F.min_by("_k", F.struct(F.round(sse, 9).alias("e"), "_k")).alias("_cut"))
+    order = [*key, "s", "sample_idx"]
+    p = written(peaks.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sorted")
+    sums = p.groupBy(*key, "_part").agg(F.count("*").alias("_k0"), F.sum("s").alias("_s0"), F.sum(F.col("s") * F.col("s")).alias("_q0"))
+    u, w = Window.partitionBy(*key), Window.partitionBy(*key, "_part").orderBy("s", "sample_idx").rowsBetween(Window.unboundedPreceding, 0)
+    before = u.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "_part", *[F.coalesce(F.sum(f"_{c}0").over(before), F.lit(0)).alias(f"_{c}0") for c in "ksq"], *[F.sum(f"_{c}0").over(u).alias(f"_{c}all") for c in "ksq"])
+    p = p.join(sums, [*key, "_part"])
+    p = p.withColumns({"_k": F.col("_k0") + F.count("*").over(w), "_s": F.col("_s0") + F.sum("s").over(w), "_q": F.col("_q0") + F.sum(F.col("s") * F.col("s")).over(w)})
+    sse = F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k") + (F.col("_qall") - F.col("_q")) - F.try_divide(F.pow(F.col("_sall") - F.col("_s"), F.lit(2)), F.col("_kall") - F.col("_k"))
+    cut = p.filter("_k < _kall").groupBy(*key).agg(F.min_by("_k", F.struct(F.round(sse, 9).alias("e"), "_k")).alias("_cut"))
     return p.join(cut, key).filter("_k > _cut").select(*peaks.columns)
 
 

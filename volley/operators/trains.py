@@ -164,14 +164,22 @@ def remove_ifr_outliers(spikes: DataFrame, fs: float) -> DataFrame:
 
 def with_neighbours(sources: DataFrame, spikes: DataFrame, block: int = 4096) -> DataFrame:
     """source samples (unit, sample_idx, s) from a unit's first spike to before its last, with the spikes around each:
-    _p1, _p2 (before or at), _n1, _n2 (after), as structs (sample_idx, height). A pair of spikes is put into the blocks
-    of samples it spans, so that samples meet it by an equality on unit and block; no window runs over samples."""
+    _p1, _p2 (before or at), _n1, _n2 (after), as structs (sample_idx, height).
+
+    A pair of neighbouring spikes is put where it begins and at the start of each further block of samples that it
+    reaches; each sample takes the last pair at or before it in its block. A window runs over one block of a unit."""
     key = unit_of(sources)
     k = F.struct("sample_idx", "height")
     pairs = spikes.select(*key, k.alias("_p1"), *[f(k, n).over(by_unit(key)).alias(c) for c, f, n in (("_p2", F.lag, 1), ("_n1", F.lead, 1), ("_n2", F.lead, 2))]).filter("_n1 is not null")
-    pairs = pairs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_p1.sample_idx") / block), F.floor((F.col("_n1.sample_idx") - 1) / block))))
-    near = sources.withColumn("_b", F.floor(F.col("sample_idx") / block)).join(pairs, [*key, "_b"]).filter((F.col("_p1.sample_idx") <= F.col("sample_idx")) & (F.col("sample_idx") < F.col("_n1.sample_idx")))
-    return near.select(*sources.columns, (F.col("_p1.sample_idx") == F.col("sample_idx")).alias("_is_spike"), "_p1", "_p2", "_n1", "_n2")
+    first = F.floor(F.col("_p1.sample_idx") / block)
+    pairs = pairs.withColumn("_b", F.explode(F.sequence(first, F.floor((F.col("_n1.sample_idx") - 1) / block))))
+    pair = F.struct("_p1", "_p2", "_n1", "_n2")
+    pairs = pairs.select(*key, "_b", F.greatest(F.col("_p1.sample_idx"), F.col("_b") * block).alias("_at"), F.lit(0).alias("_row"), pair.alias("_pair"))
+    row = F.struct(*sources.columns)
+    samples = sources.select(*key, F.floor(F.col("sample_idx") / block).alias("_b"), F.col("sample_idx").alias("_at"), F.lit(1).alias("_row"), row.alias("_sample"))
+    w = Window.partitionBy(*key, "_b").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    near = samples.unionByName(pairs, allowMissingColumns=True).withColumn("_pair", F.last("_pair", True).over(w)).filter("_row = 1 and _at < _pair._n1.sample_idx")
+    return near.select("_sample.*", (F.col("_pair._p1.sample_idx") == F.col("_at")).alias("_is_spike"), "_pair.*")
 
 
 def _context(mean_height: str) -> dict[str, Column]:

@@ -322,8 +322,8 @@ TOL = 3600
 _ROA = ctes("spikes_ev") + f", n as (select port, unit_id, count(distinct sample_idx) as n from spikes_ev group by 1, 2), m as (select a.port as port_a, a.unit_id as unit_a, b.port as port_b, b.unit_id as unit_b, count(distinct a.sample_idx) as matched from spikes_ev a join spikes_ev b on b.sample_idx between a.sample_idx - {TOL} and a.sample_idx + {TOL} where not (a.port = b.port and a.unit_id = b.unit_id) group by 1, 2, 3, 4), roa as (select m.*, matched / (x.n + y.n - matched) as roa from m join n x on x.port = port_a and x.unit_id = unit_a join n y on y.port = port_b and y.unit_id = unit_b), within as (select port_a as port, least(unit_a, unit_b) as unit_a, greatest(unit_a, unit_b) as unit_b, max(roa) as score from roa where port_a = port_b group by 1, 2, 3 having max(roa) >= 0.03), both_ as (select port, unit_a as unit_id, unit_b as other from within union all select port, unit_b, unit_a from within)"
 
 
-def _roa(s, d):
-    return G.rate_of_agreement(ev(s, d), TOL)
+def _roa(s, d, **only):
+    return G.rate_of_agreement(ev(s, d), TOL, **only)
 
 
 @query(_ROA + " select port_a, unit_a, port_b, unit_b, matched, round(roa, 6) as roa from roa")
@@ -333,19 +333,19 @@ def rate_of_agreement(s, d):
 
 @query(_ROA + " select port, unit_a, unit_b, round(score, 6) as score from within")
 def within_port_duplicates(s, d):
-    return G.within_port_duplicates(_roa(s, d), 0.03).select("port", "unit_a", "unit_b", r6("score"))
+    return G.within_port_duplicates(_roa(s, d, least=0.03, same_port=True), 0.03).select("port", "unit_a", "unit_b", r6("score"))
 
 
 @query(_ROA + " select port_a, unit_a, port_b, unit_b, round(roa, 6) as score from roa where port_a < port_b and roa >= 0.03")
 def cross_port_duplicates(s, d):
-    return G.cross_port_duplicates(_roa(s, d), 0.03).select("port_a", "unit_a", "port_b", "unit_b", r6("score"))
+    return G.cross_port_duplicates(_roa(s, d, least=0.03), 0.03).select("port_a", "unit_a", "port_b", "unit_b", r6("score"))
 
 
 _ROLES = _ROA + _PROPS[len("with ") + _PROPS[len("with ") :].index(", isi as") :] + ", kq as (select port, unit_id, row_number() over (partition by port order by coalesce(sil, -1e300), coalesce(pnr_db, -1e300), n_spikes, -unit_id) as q from props), best as (select b.port, b.unit_id, max(o.q) as best from both_ b join kq o on o.port = b.port and o.unit_id = b.other group by 1, 2), roles as (select b.port, b.unit_id, case when q >= best then 'keep' else 'delete' end as role from best b join kq using (port, unit_id))"
 
 
 def _roles(s, d):
-    return G.assign_roles(_props(s, d), G.within_port_duplicates(_roa(s, d), 0.03))
+    return G.assign_roles(_props(s, d), G.within_port_duplicates(_roa(s, d, least=0.03, same_port=True), 0.03))
 
 
 @query(_ROLES + " select * from roles")
