@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -47,8 +48,7 @@ DOCS = [
 
 @pytest.mark.parametrize("most", [10**6, 1500, 40])
 def test_against_sets_of_windows(spark, monkeypatch, most):
-    """Also with lanes shorter than the texts, items of several blocks and several automata."""
-    monkeypatch.setattr(D, "LANE", 7)
+    """Also with items of several blocks and several automata."""
     monkeypatch.setattr(D, "BLOCK_WORDS", 11)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(DOCS)], "doc_id long, text string, Items2 string").repartition(3)
@@ -63,6 +63,20 @@ def test_against_sets_of_windows(spark, monkeypatch, most):
         assert len(r.spans) == runs
 
 
+@pytest.mark.parametrize("lane", [1, 7, 512])
+def test_lanes_and_pieces_of_texts(monkeypatch, lane):
+    """Windows run from lane to lane, and never from text to text."""
+    monkeypatch.setattr(D, "LANE", lane)
+    monkeypatch.setattr(D, "_pieces", lambda t, cut=D._pieces: cut(t, 30))
+    names = sorted({"" if i is None else str(i) for i, _ in ITEMS})
+    a = D.Automaton([(w, names.index("" if i is None else str(i))) for i, t in ITEMS for w in D.windows(words(t), 10)], names)
+    size, hit, text, item = a.hits([(t or "").encode().translate(D._PLAIN) for t in DOCS])
+    begin = np.cumsum(size + 1) - size - 1
+    for k, (w, places, of) in enumerate(brute(DOCS, ITEMS)):
+        assert size[k] == len(w) and set(np.flatnonzero(hit[begin[k] : begin[k] + size[k]]).tolist()) == places
+        assert [names[i] for i in item[text == k]] == of
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert [(r.n_words, r.n_hit, r["items"], r.spans) for r in D.find_benchmark(docs, items.limit(0)).collect()] == [(2, 0, [], [])] * 2

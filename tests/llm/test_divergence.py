@@ -60,10 +60,18 @@ def test_against_plain_counting(spark, spill, cells):
     assert D.audit(df.limit(0), spill=spill, cells=cells).collect() == []
 
 
-def test_words_of_a_long_text_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(D, "PIECE", 5)
-    rows = [("alpha beta gamma alphabet", "en", f"s{k % 2}") for k in range(20)]
-    assert rows_of(D.audit(spark.createDataFrame(rows, "text string, lang string, source string"))) == brute(rows)
+def test_words_of_a_long_text_in_pieces(monkeypatch):
+    """Pieces give the terms of the whole, and parts of stripes are summed whenever they have grown."""
+    texts = [b"alpha beta gamma alphabet", "über Über beta".encode(), b"", b"alpha " * 9]
+    for piece, spill in ((5, 4), (4_000_000, 1_000_000)):
+        monkeypatch.setattr(D, "PIECE", piece)
+        monkeypatch.setattr(D, "SPILL", spill)
+        held = D.Stripes()
+        for _ in range(3):
+            held.fold(texts, ["en", "en", "de", "en"], ["a", "b", "a", "a"])
+        got = {(r["lang"], r["term"]): {(e["source"], e["docs"], e["n"]) for e in r["of"]} for r in held.batch().to_pylist()}
+        assert got["en", "alpha"] == {("a", 6, 30)} and got["en", "beta"] == {("a", 3, 3), ("b", 3, 3)} and got["en", "über"] == {("b", 3, 3)}
+        assert got["en", ""] == {("a", 6, 0), ("b", 3, 0)} and got["de", ""] == {("a", 3, 0)} and len(got) == 8
 
 
 def test_probabilities_are_exact(spark):
