@@ -77,11 +77,26 @@ def fold_edit_log(log: DataFrame, depth: int = DEPTH, events: int = EVENTS) -> D
     counts: a grouping. No task sees more than a block, or `FAN` tables.
     """
     rows = log.select("unit_id", "seq", "event_type")
-    size = written(rows.groupBy("unit_id").agg(F.count("*").alias("_n"), F.min("seq").alias("_a"), F.max("seq").alias("_z")), "log-sizes")
+    size = rows.groupBy("unit_id").agg(F.count("*").alias("_n"), F.min("seq").alias("_a"), F.max("seq").alias("_z"))
+    size = written(size.filter(F.col("_n") > events), "long-logs")
+
+    def short(part: pd.DataFrame) -> pd.DataFrame:
+        done: list[int] = []
+        undone: list[int] = []
+        _fold(part.sort_values(["seq", "event_type"]), done, undone, depth)
+        return _row(int(part.unit_id.iloc[0]), done, undone)
+
+    if size.isEmpty():
+        return rows.groupBy("unit_id").applyInPandas(short, FOLDED)
+    few = rows.join(size, "unit_id", "left_anti").select(*rows.columns).groupBy("unit_id").applyInPandas(short, FOLDED)
+    return few.unionByName(_fold_long(rows.join(size, "unit_id"), depth, events))
+
+
+def _fold_long(rows: DataFrame, depth: int, events: int) -> DataFrame:
+    """The fold of units with many events, of rows with their number _n, and first and last seq _a, _z."""
     width = F.greatest(F.lit(1), F.ceil((F.col("_z") - F.col("_a") + 1) * events / F.col("_n")))
-    block = F.when(F.col("_n") <= events, 0).otherwise(F.floor((F.col("seq") - F.col("_a")) / width)).cast("long")
-    rows = rows.join(size, "unit_id").select("unit_id", block.alias("block"), "seq", "event_type", (F.col("_n") > events).alias("_long"))
-    starts = _starts(rows.filter("_long"), depth) if not size.filter(F.col("_n") > events).isEmpty() else None
+    block = F.floor((F.col("seq") - F.col("_a")) / width).cast("long")
+    rows = rows.select("unit_id", block.alias("block"), "seq", "event_type")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["seq", "event_type"])
@@ -94,10 +109,7 @@ def fold_edit_log(log: DataFrame, depth: int = DEPTH, events: int = EVENTS) -> D
         last = last[last.h > state[2][0] - 2 * depth]  # no other can be in effect at the end of the block
         return pd.DataFrame({"h": [0, *last.h], "seq": [-1, *last.seq], "height": int(state[0][0]), "base": int(state[1][0]), "top": int(state[2][0])})
 
-    zero = [F.lit(0).cast("long").alias(c) for c in ("height", "base", "top")]
-    plain = rows.filter("not _long").select("unit_id", "block", "seq", "event_type", *zero)
-    if starts is not None:
-        plain = plain.unionByName(rows.filter("_long").join(starts, ["unit_id", "block"]).select(*plain.columns))
+    plain = rows.join(_starts(rows, depth), ["unit_id", "block"])
 
     def keyed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = run(part)
