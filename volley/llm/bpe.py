@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import materialize, small_batches, text_buffer, text_groups, top_counts
+from volley.llm.shared import give_back, materialize, small_batches, text_buffer, text_groups, top_counts
 
 #: White space as the tokenizer's own pattern has it (Unicode White_Space).
 _S = r"\t-\r \x85\xa0  -     　"
@@ -379,5 +379,6 @@ def encode_documents(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORD
                     arrays.append(pa.array(texts, pa.string()))
                 arrays = [x.take(column.indices) for x in arrays]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*names, *new])
+                give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in new.items())]))

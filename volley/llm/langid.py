@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import materialize, mix64, small_batches, text_groups
+from volley.llm.shared import give_back, materialize, mix64, small_batches, text_groups
 
 SLOTS, HASHES = 1 << 20, 3
 SAMPLE_DOCS = 3000
@@ -176,5 +176,6 @@ def detect(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 langs += got[0]
                 scores += got[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

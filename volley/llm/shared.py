@@ -59,6 +59,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, share: int = 500) -> Da
     return left.join(F.broadcast(hot), on).select(*cold.columns).unionByName(cold)
 
 
+def give_back() -> None:
+    """Returns memory that Arrow's pool holds but doesn't use: called by workers between groups of texts, so that each
+    holds what its group needs and not what its largest one needed."""
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most about `size`: a batch of 10,000 rows of long texts would fill a worker's memory. A
     size that the application was started with stays."""
