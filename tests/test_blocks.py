@@ -97,3 +97,31 @@ def test_neighbours_of_samples(spark, block):
             k = max(i for i, x in enumerate(ts) if x <= t)
             want[u, t] = (ts[k - 1] if k else None, ts[k], ts[k + 1], ts[k + 2] if k + 2 < len(ts) else None, t in ts)
     assert got == want
+
+
+@pytest.mark.parametrize("block", [1, 4, 10_000])
+def test_clicks_and_boxes_by_blocks(spark, block):
+    g = np.random.default_rng(block)
+    trains = {u: sorted(set(g.integers(0, 200, n).tolist())) for u, n in ((1, 60), (2, 3), (3, 1))}
+    clicks = {u: g.integers(-20, 230, 25).tolist() for u in (1, 2, 3, 4)}
+    sp = spark.createDataFrame([("P", u, t, float(t % 7)) for u, ts in trains.items() for t in ts], "port string, unit_id long, sample_idx long, height double")
+    ck = spark.createDataFrame([("P", u, t) for u, ts in clicks.items() for t in ts], "port string, unit_id long, at int")
+    gone = {(u, min(ts, key=lambda t, a=a: (abs(t - a), t))) for u, ts in trains.items() for a in clicks[u]}
+    got = {(r.unit_id, r.sample_idx) for r in E.delete_at(sp, ck, block).collect()}
+    assert got == {(u, t) for u, ts in trains.items() for t in ts} - gone
+    boxes = spark.createDataFrame([("P", 1, 10, 60, 1.0, 3.0), ("P", 1, 50, 51, 0.0, 9.0), ("P", 2, 0, 0, 0.0, 9.0)], "port string, unit_id long, s0 long, s1 long, y0 double, y1 double")
+    inside = lambda u, t: u == 1 and (10 <= t < 60 and 1 <= t % 7 <= 3 or t == 50)
+    assert {(r.unit_id, r.sample_idx) for r in E.box_delete(sp, boxes, block).collect()} == {(u, t) for u, ts in trains.items() for t in ts if not inside(u, t)}
+    few = sp.limit(0)
+    assert {(r.unit_id, r.sample_idx) for r in E.box_add(few, sp, boxes, block).collect()} == {(u, t) for u, ts in trains.items() for t in ts if inside(u, t)}
+    src = sp.select("port", "unit_id", (F.col("sample_idx") + 1).alias("sample_idx"), F.col("height").alias("s"))
+    want = set()
+    for u, ts in trains.items():
+        for a in clicks[u]:
+            near = [t for t in ts if abs(t - a) <= 5]
+            tall = [(-(t % 7), t + 1) for t in ts if a - 5 <= t + 1 < a + 5]
+            if near:
+                want.add((u, min(near, key=lambda t, a=a: (abs(t - a), t))))
+            elif tall:
+                want.add((u, min(tall)[1]))
+    assert {(r.unit_id, r.sample_idx) for r in E.add_at(few, sp, ck, 5, src, block).collect()} == want

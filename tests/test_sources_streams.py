@@ -51,13 +51,6 @@ def test_ingest(spark, tmp_path):
         R.read_recordings(spark, str(tmp_path), "mat")
 
 
-def test_sinks_replace_only_written_partitions(spark, tmp_path):
-    a = spark.createDataFrame([("r1", "P0", 1), ("r1", "P1", 2)], "recording_id string, port string, v int")
-    R.write_tables({"spikes": a}, str(tmp_path / "out"))
-    R.write_tables({"spikes": a.filter("port = 'P0'").withColumn("v", a.v + 10)}, str(tmp_path / "out"))
-    assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "out/spikes")).collect()) == [2, 11]
-
-
 def folded(events, depth=L.DEPTH):
     done, undone = [], []
     for seq, kind in events:
@@ -111,3 +104,19 @@ def test_stream_firing_metrics_equals_batch(spark, tmp_path):
     batch = {tuple(r) for r in L.stream_firing_metrics(df, "1 hour", "10 minutes", "30 minutes").collect()}
     assert len(seen) == len(set(seen)) and set(seen) <= batch and len(seen) > len(batch) // 2
     assert {r[4] for r in batch if r[0] == 0 and r[2] > 1} == {60.0}
+
+
+def test_bursts_close_by_timer_and_free_their_state(spark, tmp_path):
+    """Out of order within the watermark; the last file only moves it."""
+    g = np.random.default_rng(0)
+    rows = [(u, int(t)) for u in range(4) for t in np.sort(g.integers(0, 40_000, 25))] + [(9, 200_000)]
+    df = spark.createDataFrame(rows, "unit_id long, s long").selectExpr("unit_id", "timestamp_seconds(1700000000 + s) as ts", "s")
+    for k, part in enumerate(("s < 12000 and s % 7 > 0", "s < 12000 and s % 7 = 0 or s >= 12000 and s < 40000", "s = 200000")):
+        df.filter(part).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
+    stream = spark.readStream.schema("unit_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b"))
+    seen = []
+    q = L.stream_bursts(stream, 1_800_000, "5 hours").writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cpb")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {tuple(r) for r in L.burst_counts(df.filter("unit_id < 9"), "30 minutes").collect()}
+    assert len(seen) == len(set(seen)) and {(u, s, n) for u, s, n in seen} == want and len(want) > 12
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the unit whose burst is still open

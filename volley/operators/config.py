@@ -82,7 +82,7 @@ def parse_rejections(text: DataFrame, ports: DataFrame | None = None) -> DataFra
     flags = F.coalesce(F.from_json("v", "array<int>"), F.from_json(F.get_json_object("v", "$.channels"), "array<int>"))
     masks = _rejections(text).select("file", "port", flags.alias("flags"))
     if ports is not None:
-        every = text.select("file", F.explode(F.array(*[F.struct(F.lit(r.port).alias("port"), F.lit(r.n_channels).alias("n")) for r in ports.select("port", "n_channels").collect()])).alias("p")).select("file", "p.*")  # a configuration's ports
+        every = text.select("file").crossJoin(ports.select("port", F.col("n_channels").alias("n")))  # that is what is returned, whatever the masks
         masks = every.join(masks, ["file", "port"], "left").select("file", "port", F.when(F.size("flags") == F.col("n"), F.col("flags")).otherwise(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("flags"))
     return masks.select("file", "port", F.posexplode("flags").alias("channel", "r")).select("file", "port", "channel", (F.col("r") != 0).alias("rejected"))
 
@@ -100,9 +100,10 @@ def expand_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def distinct_files(rows: DataFrame) -> DataFrame:
-    """Distinct files in the order first seen (group, place)."""
-    first = rows.groupBy("file").agg(F.min(F.struct("group", "place")).alias("_at"))
-    return first.select("file", F.row_number().over(Window.orderBy("_at")).alias("nr"))
+    """Distinct files in the order first seen (group, place), of each subject where there are several."""
+    by = [c for c in ("subject",) if c in rows.columns]
+    first = rows.groupBy(*by, "file").agg(F.min(F.struct("group", "place")).alias("_at"))
+    return first.select(*by, "file", F.row_number().over(Window.partitionBy(*by).orderBy("_at")).alias("nr"))
 
 
 def skip_inspected(files: DataFrame, saved: DataFrame) -> DataFrame:
@@ -126,11 +127,12 @@ def missing_channels(samples: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 def allocate_channels(grids: DataFrame, skip_quaternions: bool = True) -> DataFrame:
-    """B2: (idx, n_channels, is_hd) -> start and end, one grid after the other, 6 channels left free after an HD grid;
-    an unknown size counts as 64."""
+    """B2: (idx, n_channels, is_hd) -> start and end, one grid after the other (of a recording, where there are several), 6
+    channels left free after an HD grid; an unknown size counts as 64."""
+    by = [c for c in ("recording_id",) if c in grids.columns]
     n = F.coalesce("n_channels", F.lit(64))
     step = n + F.when(F.col("is_hd") & F.lit(skip_quaternions), 6).otherwise(0)
-    start = F.coalesce(F.sum(step).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum(step).over(Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return grids.withColumn("start", start).withColumn("end", start + n)
 
 

@@ -237,36 +237,52 @@ def auto_edit(spikes: DataFrame, sources: DataFrame, fs: float) -> DataFrame:
     return again.unionByName(counted.filter(F.col("_n") < MIN_SPIKES).drop("_n")).unionByName(few)
 
 
-def box_delete(spikes: DataFrame, boxes: DataFrame) -> DataFrame:
+def _reached(rows: DataFrame, spans: DataFrame, block: int) -> DataFrame:
+    """rows (unit, sample_idx) with each span (unit, s0 <= sample < s1) they lie in. A span is put into the blocks of
+    samples that it touches, so rows meet the spans of their block, not all of their unit."""
+    b = F.floor(F.col("sample_idx") / block)
+    wide = spans.filter("s0 < s1").withColumn("_b", F.explode(F.sequence(F.floor(F.col("s0") / block), F.floor((F.col("s1") - 1) / block))))
+    return rows.withColumn("_b", b).join(wide, [*unit_of(rows), "_b"]).filter("sample_idx >= s0 and sample_idx < s1").drop("_b")
+
+
+def box_delete(spikes: DataFrame, boxes: DataFrame, block: int = 4096) -> DataFrame:
     """F8: spikes in any box (unit, s0, s1, y0, y1) of the unit go: s0 <= sample < s1 and y0 <= height <= y1."""
     key = unit_of(spikes)
-    hit = spikes.join(boxes, key).filter("sample_idx >= s0 and sample_idx < s1 and height between y0 and y1").select(*key, "sample_idx").distinct()
+    hit = _reached(spikes, boxes, block).filter("height between y0 and y1").select(*key, "sample_idx").distinct()
     return spikes.join(hit, [*key, "sample_idx"], "left_anti")
 
 
-def delete_at(spikes: DataFrame, clicks: DataFrame) -> DataFrame:
-    """for each click (unit, at) the nearest spike goes, the first of equally near ones."""
+def delete_at(spikes: DataFrame, clicks: DataFrame, block: int = 4096) -> DataFrame:
+    """for each click (unit, at) the nearest spike goes, the first of equally near ones: the last spike up to the
+    click or the first one after, both by blocks."""
     key = unit_of(spikes)
-    hit = spikes.join(clicks, key).groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
+    at = clicks.select(*key, F.col("at").cast("long").alias("sample_idx")).distinct()
+    there = spikes.select(*key, "sample_idx", F.col("sample_idx").alias("x"))
+    back = as_of(at, there, key, block).withColumnRenamed("x", "_back")
+    turned = lambda df: df.withColumn("sample_idx", -F.col("sample_idx"))
+    ahead = turned(as_of(turned(at), turned(there), key, block)).withColumnRenamed("x", "_ahead")
+    gap = lambda c: F.abs(F.col(c) - F.col("sample_idx"))
+    nearest = F.when(F.col("_ahead").isNull() | (gap("_back") <= gap("_ahead")), F.col("_back")).otherwise(F.col("_ahead"))
+    hit = back.join(ahead, [*key, "sample_idx"]).select(*key, nearest.alias("sample_idx")).distinct()
     return spikes.join(hit, [*key, "sample_idx"], "left_anti")
 
 
-def add_at(spikes: DataFrame, peaks: DataFrame, clicks: DataFrame, half: int, sources: DataFrame | None = None) -> DataFrame:
+def add_at(spikes: DataFrame, peaks: DataFrame, clicks: DataFrame, half: int, sources: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """for each click (unit, at) the nearest peak within half a window is added (the first of equals), if new; where
     there is no peak and sources are given, the highest sample of the window (the first of equals)."""
     key = unit_of(spikes)
-    reach = lambda df: df.join(clicks, key).filter((F.col("sample_idx") >= F.col("at") - half) & (F.col("sample_idx") <= F.col("at") + half))
-    new = reach(peaks).groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
+    asked = clicks.select(*key, "at").distinct()
+    spans = asked.select(*key, "at", (F.col("at") - half).alias("s0"), (F.col("at") + half + 1).alias("s1"))
+    new = _reached(peaks, spans, block).groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(F.abs(F.col("sample_idx") - F.col("at")), "sample_idx")).alias("sample_idx"))
     if sources is not None:
-        bare = reach(sources).join(new.select(*key, "at"), [*key, "at"], "left_anti").filter(F.col("sample_idx") < F.col("at") + half)
-        new = new.unionByName(bare.groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(-F.col("s"), F.col("sample_idx"))).alias("sample_idx")))
+        bare = spans.join(new.select(*key, "at"), [*key, "at"], "left_anti").withColumn("s1", F.col("s1") - 1)
+        new = new.unionByName(_reached(sources, bare, block).groupBy(*key, "at").agg(F.min_by("sample_idx", F.struct(-F.col("s"), F.col("sample_idx"))).alias("sample_idx")))
     return merge_spikes(spikes, new)
 
 
-def box_add(spikes: DataFrame, peaks: DataFrame, boxes: DataFrame) -> DataFrame:
+def box_add(spikes: DataFrame, peaks: DataFrame, boxes: DataFrame, block: int = 4096) -> DataFrame:
     """peaks inside a box of the unit are added."""
-    key = unit_of(spikes)
-    return merge_spikes(spikes, peaks.join(boxes, key).filter("sample_idx >= s0 and sample_idx < s1 and height between y0 and y1"))
+    return merge_spikes(spikes, _reached(peaks, boxes, block).filter("height between y0 and y1"))
 
 
 def toggle_flags(events: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from volley.operators import properties as P
 from volley.operators import signal as D
 from volley.operators import trains as E
 from volley.plans.fixtures import FS, SQL, ctes, load
+from volley.sources import results as W
 from volley.streaming import edits as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,6 +435,18 @@ def local_maxima(s, d):
     return D.local_maxima(src).select("port", "unit_id", "sample_idx", r6("s"))
 
 
+@query(
+    _SRC
+    + ", w as (select port, unit_id, sample_idx, row_number() over a as k, sum(s) over a as cs, sum(s * s) over a as cq, count(*) over u as n, sum(s) over u as ts, sum(s * s) over u as tq from peaks"
+    " window a as (partition by port, unit_id order by s, sample_idx rows unbounded preceding), u as (partition by port, unit_id)),"
+    " c as (select port, unit_id, k, row_number() over (partition by port, unit_id order by round(cq - cs * cs / k + (tq - cq) - pow(ts - cs, 2) / (n - k), 9), k) as nr from w where k < n)"
+    " select w.port, w.unit_id, w.sample_idx from w join c on c.nr = 1 and w.port = c.port and w.unit_id = c.unit_id and w.k > c.k"
+)
+def split_heights(s, d):
+    src = emb(s, d).select(F.lit("P0").alias("port"), F.col("channel").cast("long").alias("unit_id"), "sample_idx", F.col("x").alias("s"))
+    return D.split_heights(D.local_maxima(src)).select("port", "unit_id", "sample_idx")
+
+
 @query()
 def find_peaks(s, d):
     return D.find_peaks(sources(s, d)[0], 12).select("port", "unit_id", "sample_idx", r6("s"))
@@ -519,7 +532,13 @@ def replace_time_masks(s, d):
     return changed.select("channel", "sample_idx", F.lit(True).alias("inside"))
 
 
-@query(ctes("samples_emb", "spikes_lab") + ", m as (select min(sample_idx) as a, min(sample_idx) + unit_id % 5 as z from spikes_lab group by unit_id), hit as (select distinct sample_idx from samples_emb join m on sample_idx >= a and sample_idx < greatest(z, a + 1)) select channel, sample_idx, h.sample_idx is not null as inside, case when h.sample_idx is null then round(x, 6) end as x, h.sample_idx is not null as noise from samples_emb left join hit h using (sample_idx)")
+@query(
+    ctes("samples_emb", "spikes_lab")
+    + ", m as (select min(sample_idx) as a, min(sample_idx) + unit_id % 5 as z from spikes_lab group by unit_id)"
+    ", hit as (select distinct a + unnest(range(0, greatest(z - a, 1))) as sample_idx from m)"
+    " select channel, sample_idx, h.sample_idx is not null as inside, case when h.sample_idx is null then round(x, 6) end as x, h.sample_idx is not null as noise"
+    " from samples_emb left join hit h using (sample_idx)"
+)
 def replace_time_masks_all(s, d):
     """Every sample, a mask at each unit's first spike: x if it is untouched, else whether it is within 9 deviations."""
     x = emb(s, d)
@@ -856,3 +875,36 @@ def replay_peel_off(s, d):
 def compute_full_sources(s, d):
     bad = emb(s, d).select("channel").distinct().filter("channel % 9 = 0")
     return D.compute_full_sources(emb(s, d), _peel_steps(s, d), HALF, 0, 400, bad)[0].select("unit_id", "sample_idx", r6("s"))
+
+
+@query(
+    "with e as (select l_orderkey as seq, l_suppkey % 10 as unit_id, ['edit', 'undo', 'redo', 'flag'][l_orderkey % 4 + 1] as event_type,"
+    " list(l_partkey) filter (l_linenumber <= 4) as a, list(l_partkey) filter (l_linenumber >= 2 and l_returnflag <> 'R') as z from lineitem group by all),"
+    " t as (select *, case when event_type = 'undo' then z else a end as x, case when event_type = 'undo' then a else z end as y from e)"
+    " select seq, unit_id, event_type, coalesce(array_to_string(list_sort(list_distinct([v for v in y if not list_contains(x, v)])), ','), '') as samples_added,"
+    " coalesce(array_to_string(list_sort(list_distinct([v for v in x if not list_contains(y, v)])), ','), '') as samples_removed from t"
+)
+def log_entries(s, d):
+    """each order an action on a supplier's unit; lists that are empty on one side are null in both engines."""
+    x = s.read.parquet(f"{d}/lineitem.parquet")
+    kind = F.get(F.array(*map(F.lit, ["edit", "undo", "redo", "flag"])), F.pmod("l_orderkey", F.lit(4)).cast("int"))
+    some = lambda when: F.collect_list(F.when(when, F.col("l_partkey").cast("long")))
+    none = lambda c: F.when(F.size(c) > 0, F.col(c))
+    x = x.groupBy(F.col("l_orderkey").alias("seq"), (F.col("l_suppkey") % 10).alias("unit_id"), kind.alias("event_type"))
+    x = x.agg(some(F.col("l_linenumber") <= 4).alias("before"), some((F.col("l_linenumber") >= 2) & (F.col("l_returnflag") != "R")).alias("after"))
+    out = W.log_entries(x.withColumns({"before": none("before"), "after": none("after")}))
+    return out.select("seq", "unit_id", "event_type", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("samples_added", "samples_removed")])
+
+
+@query(
+    "with c as (select distinct l_suppkey as port, l_suppkey % 2 as model, l_orderkey * 8 + l_linenumber as local_idx, l_returnflag = 'R' as rejected from lineitem),"
+    " d as (select *, case when not rejected then sum(case when rejected then 0 else 1 end) over (partition by port order by local_idx rows unbounded preceding) - 1 end as dense_idx from c),"
+    " p as (select distinct l_suppkey % 2 as model, l_orderkey * 8 + l_linenumber as local_idx, l_partkey % 13 as r, l_linenumber as k from lineitem where l_quantity > 20)"
+    " select port, local_idx, cast(dense_idx as bigint) as dense_idx, r as row_, k as col_ from d left join p using (model, local_idx)"
+)
+def map_to_grid(s, d):
+    """The lines of each supplier as channels; those of larger quantity have a position."""
+    x = s.read.parquet(f"{d}/lineitem.parquet").withColumn("key", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("model", F.col("l_suppkey") % 2)
+    channels = x.select(F.col("l_suppkey").alias("port"), "model", F.col("key").alias("local_idx"), (F.col("l_returnflag") == "R").alias("rejected")).distinct()
+    positions = x.filter("l_quantity > 20").select("model", "key", (F.col("l_partkey") % 13).alias("row"), F.col("l_linenumber").alias("col")).distinct()
+    return C.map_to_grid(channels, positions).select("port", "local_idx", "dense_idx", F.col("row").alias("row_"), F.col("col").alias("col_"))

@@ -1,116 +1,41 @@
-"""Recordings in, result tables out. One file is one row of binaryFile (2 GB at most), decoded in its own task."""
+"""Recordings in, result tables out. Files are read by byte ranges, so a long one is many tasks' work."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+import json
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLES = "recording_id string, kind string, channel int, sample_idx long, x double"
-
-
-def _long(name: str, kind: str, m: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows of a (samples, channels) matrix, a channel at a time, in single precision."""
-    for c in range(m.shape[1]):
-        yield pd.DataFrame({"recording_id": name, "kind": kind, "channel": np.int32(c), "sample_idx": np.arange(len(m)), "x": m[:, c].astype(np.float32).astype(float)})
-
-
-def _npy(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
-    m = np.load(io.BytesIO(data), allow_pickle=False)
-    yield "emg", _oriented(m if m.ndim > 1 else m[:, None], options.get("orientation", "auto"))
-
-
-def _raw(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
-    n = options["n_channels"]
-    yield "emg", _whole(np.frombuffer(data, "<f4"), n, "the file")
-
-
-def _whole(x: np.ndarray, n: int, name: str) -> np.ndarray:
-    """(samples, n channels); values that don't fill the last sample are an error."""
-    if len(x) % n:
-        raise ValueError(f"{name} ends within a sample of {n} channels")
-    return x.reshape(-1, n)
-
-
-def _oriented(m: np.ndarray, mode: str) -> np.ndarray:
-    flip = mode == "channels_first" or (mode == "auto" and m.shape[1] > m.shape[0])
-    return m.T if flip else m
-
-
-def _otb(data: bytes, options: dict) -> Iterator[tuple[str, np.ndarray]]:
-    """A tar of signal (.sig, of as many bits as it says), its description (.xml) and auxiliary streams (.sip, 64 bit)."""
-    files = {}
-    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-        for member in tar:
-            if member.isfile():
-                files[member.name] = tar.extractfile(member).read()
-    for name in sorted(f for f in files if f.endswith(".sig")):
-        root = ET.fromstring(files[name[:-4] + ".xml"])
-        device = (root.get("Name") or "").split(";")[0]
-        if device != "QUATTROCENTO":
-            raise ValueError(f"device {device!r} is not supported")
-        n, bits = int(root.get("DeviceTotalChannels")), int(root.get("ad_bits"))
-        raw = _whole(np.frombuffer(files[name], f"<i{bits // 8}"), n, name).astype(float)
-        adapters = [(int(a.get("ChannelStartIndex")), float(a.get("Gain"))) for a in root.iter("Adapter")]
-        parts = [raw[:, a:z] * (5.0 * 1000 / (2**bits * gain)) for (a, gain), (z, _) in zip(adapters, adapters[1:])]  # the last adapter only ends the one before
-        parts = [p for p in parts if p.shape[1]]
-        if not parts:
-            raise ValueError(f"{name} has no active adapter")
-        yield "emg", np.hstack(parts)
-    aux = [np.frombuffer(files[f], "<f8") for f in sorted(files) if f.endswith(".sip")]
-    if aux:
-        least = min(map(len, aux))
-        yield "aux", np.stack([a[:least] for a in aux], 1)
-
-
-DECODERS: dict[str, Callable] = {"npy": _npy, "bin": _raw, "otb+": _otb}
+from volley.functions.scratch import written
+from volley.sources.ranges import FORMATS, Recordings
 
 
 def read_recordings(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
-    """All files under path as long samples; recording_id is the file's name. An unknown format is an error."""
+    """All files under path as long samples; recording_id is the file's name. An unknown format is an error.
+    Options: orientation, channels, n_channels (bin) and bytes, what a task reads."""
     if fmt == "csv":
         return read_csv(spark, path)
-    if fmt not in DECODERS:
-        raise ValueError(f"format {fmt} is not one of {sorted([*DECODERS, 'csv'])}")
-    decode = DECODERS[fmt]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    if fmt not in FORMATS:
+        raise ValueError(f"format {fmt} is not one of {sorted([*FORMATS, 'csv'])}")
+    spec = {"path": "emg"} | {k: options.pop(k) for k in ("orientation", "channels") if k in options}
+    return read_layout(spark, path, {"name": fmt, "format": fmt, "fields": {"emg": spec}}, **options)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part.name, part.content):
-                for kind, m in decode(content, options):
-                    yield from _long(name, kind, m)
 
-    return files.mapInPandas(run, SAMPLES)
+def read_layout(spark: SparkSession, path: str, layout: dict, **options) -> DataFrame:
+    """A1: the fields of a layout (name, format, fields: kind -> path, fallback_keys, channels, orientation)."""
+    spark.dataSource.register(Recordings)
+    return spark.read.format("recordings").options(layout=json.dumps(layout), **options).load(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A5: rows are samples, columns channels; the order of rows is that of the file (one task a file)."""
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("recording_id"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("sample_idx", "line"))
-    cells = lines.select("recording_id", F.col("sample_idx").cast("long"), F.posexplode(F.split("line", ",")).alias("channel", "v"))
+    """A5: rows are samples, columns channels; the order of rows is that of the file. Spark splits long files: the number of
+    a row is its place in its split and the rows of the splits before, of which there is a row each."""
+    line = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("recording_id"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = line.groupBy("recording_id", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("recording_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = written(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "splits")
+    at = (F.col("_id") - F.col("_first") + F.col("_before")).alias("sample_idx")
+    lines = line.join(splits, ["recording_id", "_at"]).select("recording_id", at, "line")
+    cells = lines.select("recording_id", "sample_idx", F.posexplode(F.split("line", ",")).alias("channel", "v"))
     return cells.select("recording_id", F.lit("emg").alias("kind"), "channel", "sample_idx", F.expr("try_cast(v as double)").alias("x"))
-
-
-def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """One Parquet folder a table, by recording and port where they exist; only partitions that are written
-    again are replaced."""
-    for name, df in tables.items():
-        keys = [c for c in ("recording_id", "port") if c in df.columns]
-        w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        (w.partitionBy(*keys) if keys else w).parquet(f"{path}/{name}")
-
-
-def append_edit(log: DataFrame, seq: int, unit_id: int, before: DataFrame, after: DataFrame) -> DataFrame:
-    """the log with a row that holds the samples added and removed."""
-    a, b = after.select("sample_idx").distinct(), before.select("sample_idx").distinct()
-    added = a.join(b, "sample_idx", "left_anti").agg(F.array_sort(F.collect_list("sample_idx")).alias("samples_added"))
-    removed = b.join(a, "sample_idx", "left_anti").agg(F.array_sort(F.collect_list("sample_idx")).alias("samples_removed"))
-    row = added.join(removed).select(F.lit(seq).cast("long").alias("seq"), F.lit(unit_id).cast("long").alias("unit_id"), F.lit("edit").alias("event_type"), "samples_added", "samples_removed")
-    return log.unionByName(row, allowMissingColumns=True)
-

@@ -209,3 +209,34 @@ def burst_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour
     """L3: bursts, sessions of spikes at most `gap` apart, with their counts."""
     s = events.withWatermark("ts", late).groupBy("unit_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return s.select("unit_id", F.col("w.start").alias("start"), "n")
+
+
+def stream_bursts(events: DataFrame, gap_ms: int = 1_800_000, late: str = "1 hour") -> DataFrame:
+    """L3: bursts of a stream (unit_id, ts), put out once, when the watermark has passed the last spike by the gap: a timer
+    closes a burst without further spikes of the unit, and a unit without open bursts has no state. Spikes of earlier
+    batches may be joined by late ones; spikes behind the watermark are dropped by Spark."""
+    gap = 1000 * gap_ms
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bursts = [list(x) for x in zip(*state.get)] if state.exists else []
+        if not state.hasTimedOut:
+            for part in parts:
+                bursts += [[int(t), int(t), 1] for t in part["at"]]
+        merged: list[list[int]] = []
+        for b in sorted(bursts):
+            if merged and b[0] - merged[-1][1] < gap:
+                merged[-1][1] = max(merged[-1][1], b[1])
+                merged[-1][2] += b[2]
+            else:
+                merged.append(b)
+        passed = 1000 * state.getCurrentWatermarkMs()
+        done, left = ([b for b in merged if (b[1] + gap <= passed) == closed] for closed in (True, False))
+        if left:
+            state.update(tuple(map(list, zip(*left))))
+            state.setTimeoutTimestamp(max(min(b[1] for b in left) + gap, passed) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"unit_id": [key[0]] * len(done), "start": pd.to_datetime([b[0] for b in done], unit="us", utc=True), "n": [b[2] for b in done]})
+
+    rows = events.withWatermark("ts", late).select("unit_id", "ts", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("unit_id").applyInPandasWithState(run, "unit_id long, start timestamp, n long", "starts array<long>, ends array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
