@@ -119,6 +119,12 @@ def test_op7_base_and_held_out(spark, docs):
     assert len(long) > 5 and sum(got[i].score for i in long) > size * math.log10(1 / 32)  # far better than chance among 64 classes
 
 
+@pytest.mark.xfail(reason="open: on these tables the tree over bytes is behind the word counts, see the README", strict=True)
+def test_op7_held_out_texts_against_the_word_counts(spark, docs):
+    long = [r for i, r in run(spark, "op7_lm_scoring").items() if r.held_out and r.n_tokens > 50]
+    assert sum(r.score for r in long) > sum(r.base_score for r in long)
+
+
 def test_op10_held_out_labels(spark, docs):
     got = run(spark, "op10_toxicity")
     assert all(r.held_out == (fold(i, 5) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
