@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volley.functions.scratch import written
 from volley.operators.duplicates import rate_of_agreement
 from volley.operators.signal import center_muap, centroids, group_of, muap_features, muap_spectrum, pnr_db, spike_triggered_average
 from volley.operators.trains import firing_stats, port_of, quality_flags, unit_of
@@ -18,8 +19,8 @@ def muap_table(samples: DataFrame, spikes: DataFrame, half: int, fs: float) -> D
     own = samples if "port" in samples.columns else None
     if own is None:  # one port's samples: every unit is of that port
         by = group_of(samples)
-        names = spikes.select(*key).distinct().withColumn("_id", F.xxhash64(*key))
-        trains = spikes.withColumn("_id", F.xxhash64(*key)).select(*by, F.col("_id").alias("unit_id"), "sample_idx")
+        names = written(spikes.select(*key).distinct().withColumn("_id", F.monotonically_increasing_id()), "units")
+        trains = spikes.join(names, key).select(*by, F.col("_id").alias("unit_id"), "sample_idx")
         muap = center_muap(spike_triggered_average(samples, trains, half))
         out = muap_features(muap).join(muap_spectrum(muap, fs), [*by, "unit_id"], "left")
         return out.drop(*by).withColumnRenamed("unit_id", "_id").join(names, "_id").select(*key, *MUAP)

@@ -108,7 +108,7 @@ def product(samples: DataFrame, weights: DataFrame, row: str, entries: int = ENT
     w), those missing count as 0. Up to `entries` weights (counted) are sent to every task; more are joined."""
     by = group_of(samples)
     on = [c for c in by if c in weights.columns]
-    weights = weights.select(*on, row, "channel", "w")
+    weights = written(weights.select(*on, row, "channel", "w"), "weights")  # counted, then sent or joined
     if weights.limit(entries + 1).count() > entries:
         return samples.join(weights, [*on, "channel"]).groupBy(*by, row, "sample_idx").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
     tables = {}
