@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volley.llm.shared import LOWER_BYTES, materialize, mix64, small_batches, text_buffer, text_groups, top_counts, word_hashes
+from volley.llm.shared import LOWER_BYTES, give_back, materialize, mix64, small_batches, text_buffer, text_groups, top_counts, word_hashes
 
 DEPTH, CLASSES = 4, 64
 #: Depth up to which a key is the context itself, six bits a class; beyond, it is a hash.
@@ -256,6 +256,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         raw, off = text_buffer(batch.column(0))
         for a, b in text_groups(off, _GROUP):
             yield raw[off[a] : off[b]], off[a : b + 1] - off[a]
+            give_back()
 
 
 def _count(kind: str, docs: DataFrame, classes: np.ndarray | None = None) -> DataFrame:
@@ -532,6 +533,7 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
                 ends = pa.array(np.searchsorted(far[far_at], np.arange(m + 1)).astype(np.int32))
                 far_keys, far_syms = (pa.ListArray.from_arrays(ends, pa.array(x[far_at])) for x in (key, sym))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, hit, m).astype(np.int64)), pa.array(np.bincount(row, value, m)), pa.array(score + more), rare, far_keys, far_syms], ["doc_id", "n_tokens", "known", "logs", "score", "rare", "far", "syms"])
+                give_back()
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "known")], *[T.StructField(c, T.DoubleType()) for c in ("logs", "score")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "far", "syms")]])
     rows = materialize(docs.select("doc_id", "text").mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "scored")
