@@ -13,7 +13,10 @@ MOTIONS = {"ext": "Ext", "flex": "Flex"}
 TASK = r"(?i)mvc-\d+(ext|flex)_fing-([TIMRL]+)"
 # What a port of a session or a grid of a channel configuration has if nothing else is said.
 PORT_DEFAULTS = {"name": "unnamed", "type": "unknown", "rows": 1, "cols": 1, "spacing_mm": 4.0, "enabled": True}
+SESSION_DEFAULTS = {"input_dir": "", "output_dir": "", "aux_channels": "[]", "auto_save": True, "undo_levels": 50}
 GRID_DEFAULTS = {"lowpass_hz": 4400, "lowpass_surface_hz": 500, "highpass_hz": 10, "sil_threshold": 0.85, "muap_window_ms": 20, "sampling_rate": 10240, "sampling_frequency": 2048}
+GRID_DEFAULTS |= {"notch_filter": "None", "notch_harmonics": False, "iterations": 200, "clamp": True, "fitness": "CoV", "peel_off": True, "peel_off_repeats": True, "swarm": True, "loader": ".otb+"}
+PARAMETERS = ["extension_factor", "lowpass_hz", "highpass_hz", "sil_threshold", "muap_window_ms", "notch_filter", "notch_harmonics", "iterations", "clamp", "fitness", "peel_off", "peel_off_repeats", "swarm"]
 
 
 def select_channels(samples: DataFrame, spec: list[int] | None = None, as_range: bool | None = None) -> DataFrame:
@@ -45,29 +48,37 @@ def time_axis(samples: DataFrame, fs: float) -> DataFrame:
 
 def load_sessions(text: DataFrame) -> DataFrame:
     """A10: rows (file, doc) of session documents in JSON -> a row an enabled port's channel: (file, session, fs, port,
-    electrode, etype, local_idx, channel, rows, cols, spacing_mm). What a document leaves out has its default."""
-    d = PORT_DEFAULTS
+    electrode, etype, local_idx, channel, rows, cols, spacing_mm), and of the session input_dir, output_dir, aux_channels
+    (JSON), auto_save and undo_levels. What a document leaves out has its default."""
+    d, of_session = PORT_DEFAULTS, SESSION_DEFAULTS
+    told = lambda c, kind: F.coalesce(F.get_json_object("doc", f"$.{c}").try_cast(kind), F.lit(of_session[c])).alias(c)
+    more = [told(c, k) for c, k in (("input_dir", "string"), ("output_dir", "string"), ("aux_channels", "string"), ("auto_save", "boolean"), ("undo_levels", "int"))]
     electrode = "struct<name:string,type:string,channels:array<int>,rows:int,cols:int,spacing_mm:double>"
     doc = F.from_json("doc", f"struct<name:string,sampling_frequency:double,ports:array<struct<name:string,enabled:boolean,electrode:{electrode}>>>")
-    ports = text.select("file", doc.alias("d")).select("file", F.coalesce("d.name", F.lit(d["name"])).alias("session"), F.coalesce("d.sampling_frequency", F.lit(float(GRID_DEFAULTS["sampling_frequency"]))).alias("fs"), F.explode("d.ports").alias("p"))
+    ports = text.select("file", doc.alias("d"), *more).select("file", *of_session, F.coalesce("d.name", F.lit(d["name"])).alias("session"), F.coalesce("d.sampling_frequency", F.lit(float(GRID_DEFAULTS["sampling_frequency"]))).alias("fs"), F.explode("d.ports").alias("p"))
     ports = ports.filter(F.coalesce("p.enabled", F.lit(d["enabled"])))
     e = lambda name: F.coalesce(f"p.electrode.{name}", F.lit(d[name]))
-    return ports.select("file", "session", "fs", F.col("p.name").alias("port"), e("name").alias("electrode"), e("type").alias("etype"), F.posexplode("p.electrode.channels").alias("local_idx", "channel"), e("rows").alias("rows"), e("cols").alias("cols"), e("spacing_mm").alias("spacing_mm"))
+    return ports.select("file", "session", "fs", F.col("p.name").alias("port"), e("name").alias("electrode"), e("type").alias("etype"), F.posexplode("p.electrode.channels").alias("local_idx", "channel"), e("rows").alias("rows"), e("cols").alias("cols"), e("spacing_mm").alias("spacing_mm"), *of_session)
 
 
-def load_channel_config(text: DataFrame) -> DataFrame:
+def load_channel_config(text: DataFrame, overrides: dict | None = None) -> DataFrame:
     """A10: rows (file, doc) of channel configurations in JSON (sampling_rate, grids: name, type, config, start_chan,
-    end_chan) -> a row a grid: (file, fs, port, electrode, etype, start_chan, n_channels, extension_factor, lowpass_hz,
-    highpass_hz, sil_threshold, muap_window_ms). A grid without channels is left out."""
+    end_chan; loader) -> a row a grid: (file, fs, loader, port, electrode, etype, start_chan, n_channels) and PARAMETERS, of
+    which overrides replaces those it names. A grid without channels is left out."""
     d = GRID_DEFAULTS
-    doc = F.from_json("doc", "struct<sampling_rate:double,grids:array<struct<name:string,type:string,config:string,start_chan:int,end_chan:int>>>")
-    g = text.select("file", doc.alias("d")).select("file", F.coalesce("d.sampling_rate", F.lit(float(d["sampling_rate"]))).alias("fs"), F.explode("d.grids").alias("g")).select("file", "fs", "g.*")
+    unknown = set(overrides or {}) - set(PARAMETERS)
+    if unknown:
+        raise ValueError(f"{sorted(unknown)} are not parameters")
+    doc = F.from_json("doc", "struct<sampling_rate:double,loader:string,grids:array<struct<name:string,type:string,config:string,start_chan:int,end_chan:int>>>")
+    g = text.select("file", doc.alias("d")).select("file", F.coalesce("d.sampling_rate", F.lit(float(d["sampling_rate"]))).alias("fs"), F.coalesce("d.loader", F.lit(d["loader"])).alias("loader"), F.explode("d.grids").alias("g")).select("file", "fs", "loader", "g.*")
     n = F.col("end_chan") - F.col("start_chan")
     surface = F.lower(F.coalesce("type", F.lit(""))) == "surface"
     g = g.filter(n > 0)
+    values = {c: F.lit(d[c]) for c in PARAMETERS if c in d} | {"extension_factor": F.ceil(1000 / n), "lowpass_hz": F.when(surface, d["lowpass_surface_hz"]).otherwise(d["lowpass_hz"])}
+    values |= {c: F.lit(v) for c, v in (overrides or {}).items()}
     return g.select(
-        "file", "fs", F.col("name").alias("port"), F.coalesce("config", F.lit("")).alias("electrode"), F.when(surface, "surface_grid").otherwise("intramuscular").alias("etype"), "start_chan", n.alias("n_channels"),
-        F.ceil(1000 / n).alias("extension_factor"), F.when(surface, d["lowpass_surface_hz"]).otherwise(d["lowpass_hz"]).alias("lowpass_hz"), *[F.lit(d[c]).alias(c) for c in ("highpass_hz", "sil_threshold", "muap_window_ms")],
+        "file", "fs", "loader", F.col("name").alias("port"), F.coalesce("config", F.lit("")).alias("electrode"), F.when(surface, "surface_grid").otherwise("intramuscular").alias("etype"), "start_chan", n.alias("n_channels"),
+        *[values[c].alias(c) for c in PARAMETERS],
     )
 
 

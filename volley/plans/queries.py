@@ -814,12 +814,12 @@ def _session_docs(s, d):
     return doc.withColumn("file", F.col("file").cast("string"))
 
 
-@query("select cast(s_nationkey as varchar) as file, 'unnamed' as session, 2048.0::double as fs, 'port' || cast(s_suppkey as varchar) as port, case when s_suppkey % 3 <> 0 then 'grid ' || cast(s_suppkey as varchar) else 'unnamed' end as electrode, 'surface' as etype, cast(i as int) as local_idx, cast(s_suppkey * 4 + i as int) as channel, case when s_suppkey % 3 <> 0 then 2 else 1 end as rows, 1 as cols, 4.0::double as spacing_mm from supplier, range(0, 4) r(i) where s_suppkey % 2 <> 0")
+@query("select cast(s_nationkey as varchar) as file, 'unnamed' as session, 2048.0::double as fs, 'port' || cast(s_suppkey as varchar) as port, case when s_suppkey % 3 <> 0 then 'grid ' || cast(s_suppkey as varchar) else 'unnamed' end as electrode, 'surface' as etype, cast(i as int) as local_idx, cast(s_suppkey * 4 + i as int) as channel, case when s_suppkey % 3 <> 0 then 2 else 1 end as rows, 1 as cols, 4.0::double as spacing_mm, '' as input_dir, '' as output_dir, '[]' as aux_channels, true as auto_save, 50 as undo_levels from supplier, range(0, 4) r(i) where s_suppkey % 2 <> 0")
 def load_sessions(s, d):
     return C.load_sessions(_session_docs(s, d))
 
 
-@query("select cast(s_nationkey as varchar) as file, 10240.0::double as fs, 'g' || cast(s_suppkey as varchar) as port, '' as electrode, case when s_suppkey % 2 = 0 then 'surface_grid' else 'intramuscular' end as etype, cast(s_suppkey as int) as start_chan, cast(s_suppkey % 70 as int) as n_channels, cast(ceil(1000 / (s_suppkey % 70)) as bigint) as extension_factor, case when s_suppkey % 2 = 0 then 500 else 4400 end as lowpass_hz, 10 as highpass_hz, 0.85::double as sil_threshold, 20 as muap_window_ms from supplier where s_suppkey % 70 > 0")
+@query("select cast(s_nationkey as varchar) as file, 10240.0::double as fs, '.otb+' as loader, 'g' || cast(s_suppkey as varchar) as port, '' as electrode, case when s_suppkey % 2 = 0 then 'surface_grid' else 'intramuscular' end as etype, cast(s_suppkey as int) as start_chan, cast(s_suppkey % 70 as int) as n_channels, cast(ceil(1000 / (s_suppkey % 70)) as bigint) as extension_factor, case when s_suppkey % 2 = 0 then 500 else 4400 end as lowpass_hz, 10 as highpass_hz, 0.85::double as sil_threshold, 20 as muap_window_ms, 'None' as notch_filter, false as notch_harmonics, 200 as iterations, true as clamp, 'CoV' as fitness, true as peel_off, true as peel_off_repeats, true as swarm from supplier where s_suppkey % 70 > 0")
 def load_channel_config(s, d):
     x = s.read.parquet(f"{d}/supplier.parquet")
     k = F.col("s_suppkey")
