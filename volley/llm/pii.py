@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Four exact patterns give the seed spans of a text. The words around the seeds make lexical patterns: the two words
-before a token, or the word before and the word after a run of tokens. Whatever stands in the slot of a pattern of seeds,
-with or without digits, is an instance; the graph of patterns and instances is scored in turns, and instances met in
-high-confidence patterns are added as spans. Offsets are code points, ends exclusive.
+Four exact patterns give the seed spans of a text. The seeds make lexical patterns: the two words before a token, the
+word before and the word after a run of tokens, and what seeds look like (their shape, the end of a dotted name).
+Whatever stands in the slot of a pattern of seeds or looks like them, is an instance; the graph of patterns and
+instances is scored in turns, and instances met in high-confidence patterns are added as spans. Offsets are code points,
+ends exclusive.
 
 Patterns are read from a text in which each seed is one marked word. All steps are linear in a text: sums along an
 array are taken by doubling, sums along a text by a window.
@@ -30,13 +31,14 @@ SPACE, SPACES = r"[\x20\x09-\x0D]", " \t\n\x0b\f\r"
 #: A seed in the text that patterns are read from: mark, kind, hash of the seed, its length, mark.
 MARK = "\ue000"
 ANY = "(?:" + ")|(?:".join(PATTERNS[k] for k in ("phone", "email", "ip", "card")) + ")"
-#: A pattern needs so many different seeds and such a share of all of them (else chance patterns would grow faster than
-#: the corpus), and such a share of seeds among what is different in its slots.
-ROUNDS, MIN_SEEDS, SEED_SHARE, MIN_SHARE, MIN_CONFIDENCE = 3, 3, 0.0005, 0.25, 0.8
-#: Tokens at most between the two words of a slot; characters of a word that count in a pattern.
-RUN, WORD = 8, 32
-#: Bits, at least and at most, of the filter of pattern hashes that spares nearly all places a look-up.
-BITS = (1 << 16, 1 << 22)
+#: A pattern needs so many different seeds; its share of seeds among all it is met with must not be below MIN_SHARE for
+#: certain (by the upper end of its 95 % interval). Neither depends on the size of the corpus.
+ROUNDS, MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE = 3, 3, 0.25, 0.8
+#: Tokens at most between the two words of a slot; characters of a word that count in a pattern; the longest token with
+#: a shape (as long as an address of mail can be).
+RUN, WORD, LOOK = 8, 32, 254
+#: Patterns (a number each) up to which they are sent to all tasks.
+LARGE = 1_000_000
 #: Punctuation that doesn't belong to what stands in a slot, before and after it.
 LEAD, TRAIL = "\"'([<{", "\"')]>}.,;:!?"
 
@@ -107,6 +109,14 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.filter("masked <> ''").withColumn("w", F.concat(F.array(F.lit("^"), F.lit("^")), words, F.array(F.lit("$"))))
 
 
+def _places(rows: DataFrame, width: int, *more: str) -> DataFrame:
+    """A row for every word of a text: its number `at`, and w0, w1 (the two before it), w2 (itself) and those after it,
+    `width` in all, null beyond the end. The arrays are shifted, not cut out for each word, so this is linear."""
+    shifted = [F.when(F.size("w") > k, F.slice("w", k + 1, F.size("w") - k)).otherwise(F.array().cast("array<string>")).alias(f"w{k}") for k in range(width)]
+    out = _words(rows).select(*more, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "x"))
+    return out.select(*more, (F.col("pos") + 2).alias("at"), *[F.col(f"x.w{k}") for k in range(width)]).filter("w3 is not null")
+
+
 def _left(one: Column) -> Column:
     return F.xxhash64(F.lit("L"), F.left(one, F.lit(WORD)))
 
@@ -116,22 +126,33 @@ def _pair(kind: str, a: Column, b: Column) -> Column:
     return F.xxhash64(F.lit(kind), F.left(a, F.lit(WORD)), F.left(b, F.lit(WORD)))
 
 
-def _bitmap(hashes: DataFrame, size: int) -> tuple[Column, int]:
-    """A Bloom filter of the hashes `h`, two bits each, as an array of 64-bit words (a constant of the plan), and the
-    number of bits."""
-    bits = min(max(BITS[0], 1 << (32 * size).bit_length()), BITS[1])
-    h = F.explode(F.array(F.col("h"), F.shiftright("h", 32))).alias("h")
-    words = hashes.select(h).select(F.shiftright(F.col("h").bitwiseAND(bits - 1), 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("word")).collect()  # bits / 64 rows at most
-    table = ["0"] * (bits >> 6)
-    for r in words:
-        table[r["at"]] = str(r.word)
-    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>"), bits
+def _shapes(rows: DataFrame, run: str) -> DataFrame:
+    """rows with exploded `pattern`s of what the token or run of tokens `run` looks like: its shape (digits as 9, letters
+    as one a, what is between as . or -), the shape with each number as one 9, and the last two labels of a dotted name
+    with something before it. Each step is a projection of its own, as Spark would not compile them in one."""
+    out = rows.withColumn("_short", F.when(F.length(run) <= LOOK, F.lower(run)))
+    out = out.withColumn("_shape", F.regexp_replace(F.regexp_replace("_short", "^[^\\p{L}0-9]+|[^\\p{L}0-9]+$", ""), "[0-9]", "9"))
+    out = out.withColumn("_shape", F.regexp_replace(F.regexp_replace("_shape", "[^\\p{L}9.]*+\\.[^\\p{L}9]*", "."), "[^\\p{L}9.]+", "-"))
+    out = out.withColumn("_shape", F.regexp_replace("_shape", "\\p{L}+", "a"))
+    out = out.withColumn("_coarse", F.when(F.col("_shape").rlike("9[.-]"), F.regexp_replace("_shape", "9+", "9")))
+    out = out.withColumn("_tail", F.regexp_extract("_short", "[^\\p{L}0-9-]([\\p{L}0-9-]+\\.\\p{L}+)$", 1))
+    form = lambda name, x, ok: F.when(ok, F.xxhash64(F.lit(name), x))
+    forms = [form("E", F.col("_shape"), F.col("_shape").rlike("[9.-]")), form("C", F.col("_coarse"), F.col("_coarse").isNotNull()), form("T", F.col("_tail"), F.col("_tail") != "")]
+    return out.select(*rows.columns, F.explode(F.array(*forms)).alias("pattern")).filter("pattern is not null")
+
+
+def _numeric(word: Column) -> Column:
+    return word.rlike("[0-9]") & ~word.rlike("\\p{L}") & ~word.contains(MARK)
 
 
-def _set(bitmap: tuple[Column, int], h: Column) -> Column:
-    table, bits = bitmap
-    bit = lambda x: F.getbit(F.get(table, F.shiftright(x.bitwiseAND(bits - 1), 6).cast("int")), x.bitwiseAND(63).cast("int")) == 1
-    return bit(h) & bit(F.shiftright(h, 32))
+def _looks(rows: DataFrame, *more: str) -> DataFrame:
+    """(more, at, n, run, pattern): the shapes of every word with more than letters in it, and of it with the next one or
+    two where all are numbers."""
+    places = _places(rows, 5, *more).filter(F.col("w2").rlike("[^\\p{L}]") & ~F.col("w2").contains(MARK))
+    places = places.select("*", *[_numeric(F.col(f"w{k}")).alias(f"is{k}") for k in (2, 3, 4)])
+    runs = F.array(F.col("w2"), F.when(F.col("is2") & F.col("is3"), F.concat_ws(" ", "w2", "w3")), F.when(F.col("is2") & F.col("is3") & F.col("is4"), F.concat_ws(" ", "w2", "w3", "w4")))
+    out = places.select(*more, "at", F.posexplode(runs).alias("n", "run")).filter("run is not null").withColumns({"n": F.col("n") + 1, "run": _trim(F.col("run"))})
+    return _shapes(out.filter(F.col("run").rlike("[^\\p{L}]")), "run")
 
 
 def _trim(text: Column) -> Column:
@@ -139,33 +160,72 @@ def _trim(text: Column) -> Column:
 
 
 def _seed_patterns(rows: DataFrame) -> DataFrame:
-    """(pattern, one, hit, kind) of every marked word that is a seed and nothing else but punctuation around it."""
+    """(pattern, form, one, hit, kind): the words around every marked word that is a seed and nothing else but
+    punctuation around it (form `words`), and the shapes of every seed, of phone numbers also without the first group
+    (form `looks`)."""
     at = F.filter(F.transform("w", lambda x, i: F.when(x.contains(MARK), i).otherwise(-1)), lambda i: i >= 0)
-    rows = _words(rows.filter(F.col("masked").contains(MARK))).select(F.explode(F.transform(at, lambda i: F.slice("w", i - 1, F.lit(4)))).alias("w"))
+    some = _words(rows.filter(F.col("masked").contains(MARK))).select(F.explode(F.transform(at, lambda i: F.slice("w", i - 1, F.lit(4)))).alias("w"))
     two, one, seed, after = (F.get("w", F.lit(k)) for k in range(4))
     sign = F.regexp_extract(_trim(seed), f"^{MARK}([0-3][0-9a-f]+):[0-9]+{MARK}$", 1)
-    rows = rows.select(sign.alias("sign"), _left(one).alias("one"), F.array(_pair("LL", two, one), _pair("LR", one, after)).alias("patterns")).filter("sign <> ''")
-    return rows.select(F.explode("patterns").alias("pattern"), "one", F.xxhash64("sign").alias("hit"), F.get(F.array(*map(F.lit, KINDS)), F.left("sign", F.lit(1)).cast("int")).alias("kind"))
-
-
-def _slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, key, at, n, pattern, hit, open): what stands in the slots of patterns (pattern, one), and of some others
-    with the same bits: n words from number `at` on. A slot after two words is one word, a slot between two
-    words all words up to the next such word. Rows stay where they are read. `open` is false for a plain word (letters
-    only), which counts against a pattern but is not added; what holds a seed is left out."""
-    size = patterns.count()
-    lefts, able = (_bitmap(patterns.select(F.col(c).alias("h")), size) for c in ("one", "pattern"))
-    at = F.filter(F.transform("w", lambda x, i: F.when(_set(lefts, _left(x)), i + 1).otherwise(-1)), lambda i: i > 1)
-    places = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("w", i - 1, F.lit(RUN + 3)).alias("w")))  # two words before, the slot, what follows
-    rows = _words(rows).select("doc_id", "key", F.explode(places).alias("x")).select("doc_id", "key", "x.at", "x.w")
-    two, one = F.get("w", F.lit(0)), F.get("w", F.lit(1))
-    before = F.array(F.struct(F.lit(1).alias("n"), _pair("LL", two, one).alias("pattern")))
-    after = F.transform(F.slice("w", F.lit(4), F.lit(RUN)), lambda x, i: F.struct((i + 1).alias("n"), _pair("LR", one, x).alias("pattern")))
-    rows = rows.filter("size(w) > 3").select("doc_id", "key", "at", "w", F.explode(F.filter(F.concat(before, after), lambda c: _set(able, c["pattern"]))).alias("c")).select("doc_id", "key", "at", "w", "c.*")
-    nearest = ~F.exists(F.slice("w", F.lit(4), F.col("n") - 1), lambda x: _pair("LR", one, x) == F.col("pattern"))
-    hit = _trim(F.when(F.col("n") == 1, F.get("w", F.lit(2))).otherwise(F.array_join(F.slice("w", F.lit(3), F.col("n")), " ")))
-    rows = rows.filter(nearest).select("doc_id", "key", "at", "n", "pattern", hit.alias("hit")).filter(~F.col("hit").contains(MARK) & (F.col("hit") != ""))
-    return rows.select("doc_id", "key", "at", "n", "pattern", F.xxhash64("hit").alias("hit"), F.col("hit").rlike(r"[^\p{L}]").alias("open"))
+    some = some.select(sign.alias("sign"), _left(one).alias("one"), F.array(_pair("LL", two, one), _pair("LR", one, after)).alias("patterns")).filter("sign <> ''")
+    some = some.select(F.explode("patterns").alias("pattern"), F.lit("words").alias("form"), "one", F.xxhash64("sign").alias("hit"), F.get(F.array(*map(F.lit, KINDS)), F.left("sign", F.lit(1)).cast("int")).alias("kind"))
+    of_kind = lambda n: F.transform(KINDS[n], lambda x: F.struct(F.lit(n).alias("k"), x["hit"].alias("hit")))
+    each = F.concat(*map(of_kind, range(len(KINDS))))
+    looks = rows.select(F.explode(each).alias("x")).select("x.*")
+    rest = F.when(F.col("k") == KINDS.index("phone"), F.regexp_replace("hit", "^\\+[0-9]+[^0-9]+", ""))
+    looks = _shapes(looks.select("k", "hit", F.explode(F.array_distinct(F.array("hit", rest))).alias("run")).filter("run is not null"), "run")
+    sign = F.lower(F.concat(F.col("k").cast("string"), F.hex(F.xxhash64(F.lower("hit")))))
+    looks = looks.select("pattern", F.lit("looks").alias("form"), F.lit(None).cast("bigint").alias("one"), F.xxhash64(sign).alias("hit"), F.get(F.array(*map(F.lit, KINDS)), F.col("k")).alias("kind"))
+    return some.unionByName(looks)
+
+
+def _met(rows: DataFrame, able: DataFrame) -> DataFrame:
+    """(pattern, met): how often each pattern of able has one word that is no seed in its slot (or a look). Only sums by
+    pattern are shuffled; beyond LARGE patterns all pairs of words are summed before the join."""
+    w = [F.col(f"w{k}") for k in range(4)]
+    around = F.array(_pair("LL", w[0], w[1]), _pair("LR", w[1], w[3]))
+    every = _places(rows, 4).filter(~F.col("w2").contains(MARK)).select(F.explode(around).alias("pattern")).unionByName(_looks(rows).select("pattern"))
+    if able.limit(LARGE + 1).count() <= LARGE:
+        return every.join(F.broadcast(able.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("met"))
+    return every.groupBy("pattern").agg(F.count("*").alias("met")).join(able.select("pattern").hint("merge"), "pattern", "left_semi")
+
+
+def _slots(rows: DataFrame, able: DataFrame) -> DataFrame:
+    """(doc_id, key, at, n, pattern, hit, open): what stands in the slots of patterns (pattern, form, one): n words from
+    number `at` on. A slot after two words is one word, a slot between two words all words up to the next such word, a
+    look is a word or a run of numbers. `open` is false for a plain word (letters only) and for what one of the exact
+    patterns matches (its test failed, else it were a seed): these count against a pattern but are never added. What
+    holds a seed is left out."""
+    w = [F.col(f"w{k}") for k in range(RUN + 3)]
+    run = lambda n: F.when(n == 1, w[2]).otherwise(F.array_join(F.slice(F.array(*w[2:]), F.lit(1), n), " "))
+    words, looks = (materialize(able.filter(F.col("form") == f).select("pattern", "one"), f) for f in ("words", "looks"))
+    parts = []
+    if not words.isEmpty():
+        near = _places(rows, RUN + 3, "doc_id", "key").withColumn("one", _left(w[1]))
+        near = join_small(near, materialize(words.select("one").distinct(), "lefts"), "one", "left_semi", LARGE)
+        two = F.struct(F.lit(1).alias("n"), _pair("LL", w[0], w[1]).alias("pattern"))
+        between = [F.struct(F.lit(n).alias("n"), F.when(F.lit(True) if n == 1 else ~_in(w[n + 2], w[3 : n + 2]), _pair("LR", w[1], w[n + 2])).alias("pattern")) for n in range(1, RUN + 1)]
+        near = near.withColumn("c", F.explode(F.array(two, *between))).filter("c.pattern is not null").filter(w[2].isNotNull())
+        near = near.filter(F.get(F.array(*w[2:]), F.col("c.n")).isNotNull())
+        parts.append(near.select("doc_id", "key", "at", "c.n", "c.pattern", run(F.col("c.n")).alias("run")).transform(lambda x: join_small(x, words.select("pattern"), "pattern", "left_semi", LARGE)))
+    if not looks.isEmpty():
+        parts.append(join_small(_looks(rows, "doc_id", "key"), looks.select("pattern"), "pattern", "left_semi", LARGE).select("doc_id", "key", "at", "n", "pattern", "run"))
+    if not parts:
+        return rows.select("doc_id", "key", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("pattern"), F.lit(0).cast("bigint").alias("hit"), F.lit(False).alias("open")).limit(0)
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = out.withColumn("run", _trim(F.col("run"))).filter(~F.col("run").contains(MARK) & (F.col("run") != ""))
+    return out.select("doc_id", "key", "at", "n", "pattern", F.xxhash64("run").alias("hit"), (F.col("run").rlike(r"[^\p{L}]") & ~F.col("run").rlike(f"^(?:{ANY})$")).alias("open"))
+
+
+def _in(word: Column, words: list[Column]) -> Column:
+    """Whether the word, as far as it counts in a pattern, is one of these."""
+    return F.array_contains(F.array(*[F.left(x, F.lit(WORD)) for x in words]), F.left(word, F.lit(WORD)))
+
+
+def _upper(good: Column, n: Column) -> Column:
+    """The upper end of Wilson's 95 % interval of a share of good in n."""
+    z, p = 1.96, good / n
+    return (p + z * z / (2 * n) + z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -210,8 +270,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     kind:start:end by kind, then start; `added` is the number of added ones. Rows that are repeated, and null ids, are
     treated like any other; other columns of docs are not looked at.
 
-    Patterns with fewer than MIN_SEEDS different seeds or a SEED_SHARE of all of them, or in whose slots less than a
-    MIN_SHARE of all that is different are seeds, are left out of the graph. A pattern's confidence for a kind is the sum of its instances' scores over
+    Patterns with fewer than MIN_SEEDS different seeds, or certainly less than a MIN_SHARE of seeds among all they are met
+    with, are left out of the graph. What an exact pattern matches but its test rejects counts against a pattern and is
+    never added. A pattern's confidence for a kind is the sum of its instances' scores over
     their number + 1; a seed scores 1 (for the kind that comes last in the alphabet, should it have several), another
     instance the highest confidence of its patterns, counted as 1 from MIN_CONFIDENCE on. After ROUNDS turns, instances
     in patterns of at least MIN_CONFIDENCE that overlap no base span are added, with the kind of highest confidence (of
@@ -222,16 +283,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("clean", F.when(F.col("text").contains(MARK), F.translate("text", MARK, "\ue001")).otherwise(F.col("text")))
     some = sum((F.size(k) for k in KINDS[1:]), F.size(KINDS[0])) > 0
     rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("key"), *KINDS, F.when(some, _marked("clean")).otherwise(F.col("clean")).alias("masked")), "spans")
-    seeds = _seed_patterns(rows).groupBy("pattern", "one", "hit").agg(F.max("kind").alias("kind"))
+    seeds = _seed_patterns(rows).groupBy("pattern", "form", "one", "hit").agg(F.max("kind").alias("kind"), F.count("*").alias("times"))
     seeds = materialize(seeds, "seeds")
-    least = max(MIN_SEEDS, SEED_SHARE * seeds.select("hit").distinct().count())
-    able = materialize(seeds.groupBy("pattern", "one").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least), "able")
+    able = seeds.groupBy("pattern", "form", "one").agg(F.count("*").alias("seeds"), F.sum("times").alias("times")).filter(F.col("seeds") >= MIN_SEEDS)
+    able = materialize(able, "able")
     plain = rows.select("doc_id", "key", "masked")
-    # what each pattern's slots hold: sums only, by (pattern, hit) and then by pattern
-    held = _slots(plain, able).select("pattern", "hit").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
-    n = F.col("seeds") + F.coalesce("others", F.lit(0))
-    able = materialize(able.join(materialize(held, "held").hint("merge"), "pattern", "left").filter(F.col("seeds") / n >= MIN_SHARE).select("pattern", "one"), "able")
-    slots = materialize(join_small(_slots(plain, able), able.select("pattern"), "pattern", "left_semi"), "slots")
+    if not able.isEmpty():
+        met = materialize(_met(plain, able), "met")
+        n = F.col("times") + F.coalesce("met", F.lit(0))
+        able = materialize(able.join(met.hint("merge"), "pattern", "left").filter(_upper(F.col("times"), n) >= MIN_SHARE).select("pattern", "form", "one"), "able")
+    slots = materialize(_slots(plain, able), "slots")
 
     seeds = seeds.join(able.select("pattern").hint("merge"), "pattern", "left_semi")
     edges = slots.groupBy("pattern", "hit").agg(F.max("open").alias("open")).withColumn("kind", F.lit(None).cast("string"))
