@@ -115,3 +115,12 @@ def test_disguised_identifiers_in_given_texts(spark):
     print(found, sorted(texts[i][a:b] for i, _, a, b in added - planted))
     assert min(found.values()) >= 0.75
     assert len(added & planted) >= 0.9 * len(added)
+
+
+def test_counting_in_a_part_first_changes_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = [(10_000 + k, f"please write to user{k}@host{k}.org for all else") for k in range(9)] + [(20_000, "please write to name[at]host for all")]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {tuple(r) for r in pii.find_pii(docs).collect()}
+    monkeypatch.setattr(pii, "PART", 1)
+    assert {tuple(r) for r in pii.find_pii(docs).collect()} == got and any(r[-1] for r in got)

@@ -37,6 +37,8 @@ ROUNDS, MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE = 3, 3, 0.25, 0.8
 #: Tokens at most between the two words of a slot; characters of a word that count in a pattern; the longest token with
 #: a shape (as long as an address of mail can be).
 RUN, WORD, LOOK = 8, 32, 254
+#: The share of texts, one in PART, in which patterns are counted first. It spares work and changes no result.
+PART = 64
 #: Patterns (a number each) up to which they are sent to all tasks.
 LARGE = 1_000_000
 #: Punctuation that doesn't belong to what stands in a slot, before and after it.
@@ -289,9 +291,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     able = materialize(able, "able")
     plain = rows.select("doc_id", "key", "masked")
     if not able.isEmpty():
-        met = materialize(_met(plain, able), "met")
-        n = F.col("times") + F.coalesce("met", F.lit(0))
-        able = materialize(able.join(met.hint("merge"), "pattern", "left").filter(_upper(F.col("times"), n) >= MIN_SHARE).select("pattern", "form", "one"), "able")
+        # what is met in a part of the texts is a lower bound of what is met in all: patterns that fail on it fail anyway
+        for part in (plain.filter(F.pmod("key", F.lit(PART)) == 0), plain):
+            met = materialize(_met(part, able), "met").hint("merge")
+            n = F.col("times") + F.coalesce("met", F.lit(0))
+            able = materialize(able.join(met, "pattern", "left").filter(_upper(F.col("times"), n) >= MIN_SHARE).select(*able.columns), "able")
     slots = materialize(_slots(plain, able), "slots")
 
     seeds = seeds.join(able.select("pattern").hint("merge"), "pattern", "left_semi")
