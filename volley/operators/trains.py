@@ -6,8 +6,13 @@ is done within a recording. Every window is partitioned by the unit, so one shuf
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volley.functions.scratch import written
 
@@ -329,13 +334,36 @@ def rebin_spikes(spikes: DataFrame, fs: float, cap: float = 1000.0) -> DataFrame
     return spikes.select(*key, F.bround(F.col("sample_idx") / (fs / min(fs, cap))).cast("long").alias("sample_idx")).distinct()
 
 
+def _smoothed(bins: DataFrame, key: list[str], spark_hz: int, window_s: float) -> DataFrame:
+    """(key, bin, rate) of bins (key, sample_idx, n: spikes there), each bin of a key once. The bins of a key are gathered in
+    blocks of eight windows with a halo, a row a block, and rows are smoothed many at a time in arrays: what is shuffled
+    are bins with spikes, not a row for each of them and each offset."""
+    n = int(round(window_s * spark_hz))
+    o = np.arange(-(n // 2), n - n // 2)
+    w, size, wide = spark_hz * 2.0 / n * np.cos(3.141592653589793 * o / n) ** 2, 8 * n, 10 * n
+    fields = [f for f in bins.schema.fields if f.name in key]
+    at = F.col("sample_idx")
+    rows = bins.withColumn("_b", F.explode(F.sequence(F.floor((at + int(o[0])) / size), F.floor((at + int(o[-1])) / size))))
+    rows = rows.groupBy(*key, "_b").agg(F.collect_list(F.struct((at - F.col("_b") * size).cast("int").alias("x"), F.col("n").cast("double").alias("n"))).alias("_at"))  # ten windows of bins at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            lists, cells = batch.column("_at"), batch.num_rows * wide
+            x, m = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(2))
+            cell = np.repeat(np.arange(batch.num_rows) * wide + n, np.diff(lists.offsets.to_numpy())) + x
+            rate = np.bincount((cell[:, None] + o).ravel(), (m[:, None] * w).ravel(), cells).reshape(-1, wide)[:, n : n + size]
+            reached = np.cumsum(np.bincount(cell + o[0], minlength=cells + 1) - np.bincount(cell + o[-1] + 1, minlength=cells + 1))[:cells].reshape(-1, wide)[:, n : n + size]
+            i, t = np.nonzero(reached)
+            names = [batch.column(f.name).take(pa.array(i)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(batch.column("_b").to_numpy()[i] * size + t), pa.array(rate[i, t])], [*(f.name for f in fields), "bin", "rate"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("bin", T.LongType()), T.StructField("rate", T.DoubleType())]))
+
+
 def inst_discharge_rate(bins: DataFrame, spark_hz: int, window_s: float = 1.0) -> DataFrame:
-    """H4: the rate of each unit smoothed by a Hann window of unit area: each spike adds its weights to the bins around
-    it (a scatter, so no window function runs over a whole recording)."""
+    """H4: the rate of each unit smoothed by a Hann window of unit area: each spike adds its weights to the bins around it."""
     key = unit_of(bins)
-    n = int(round(window_s * spark_hz))
-    offsets = bins.sparkSession.range(-(n // 2), n - n // 2).select(F.col("id").alias("o"), (F.lit(spark_hz * 2.0 / n) * F.pow(F.cos(F.lit(3.141592653589793) * F.col("id") / n), 2)).alias("w"))
-    return bins.join(F.broadcast(offsets)).select(*key, (F.col("sample_idx") + F.col("o")).alias("bin"), "w").groupBy(*key, "bin").agg(F.sum("w").alias("rate"))
+    return _smoothed(bins.groupBy(*key, "sample_idx").agg(F.count("*").alias("n")), key, spark_hz, window_s)
 
 
 def cumulative_spike_train(rates: DataFrame) -> DataFrame:
@@ -343,6 +371,12 @@ def cumulative_spike_train(rates: DataFrame) -> DataFrame:
     return rates.groupBy(*unit_of(rates)[:-2], "bin").agg(F.sum("rate").alias("cst"))
 
 
+def cumulative_discharge_rate(bins: DataFrame, spark_hz: int, window_s: float = 1.0) -> DataFrame:
+    """H4 and H5 at once: smoothing is linear, so the units' spikes are added up by bin before they are smoothed."""
+    by = unit_of(bins)[:-2]
+    return _smoothed(bins.groupBy(*by, "sample_idx").agg(F.count("*").alias("n")), by, spark_hz, window_s).withColumnRenamed("rate", "cst")
+
+
 def as_of(points: DataFrame, series: DataFrame, by: list[str], block: int = 4096) -> DataFrame:
     """points (by, sample_idx) with x of the last row of series (by, sample_idx, x) that isn't after: from the point's own
     block of samples, else carried over from the last block that has any (a row a block, not a sample, is in that window)."""
