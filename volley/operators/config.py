@@ -259,15 +259,22 @@ def parse_task(names: DataFrame, mode: str = "strict") -> DataFrame:
     return rows.select("name", F.try_element_at(fingers, F.col("letter")).alias("finger"), "target").filter("finger is not null and target is not null")
 
 
+#: Rows of aux channels of a task.
+ROWS = 250_000
+
+
 def select_aux_for_task(aux: DataFrame, tasks: DataFrame, mode: str = "strict") -> DataFrame:
     """The file's aux channels (file, unit) for its task. strict: those whose unit is a target (`Index Ext`), or all
     where none is. lenient: of the labelled ones those that contain a finger and the motion in any case; all labelled ones
-    where none does or the task is unknown; all where none is labelled."""
+    where none does or the task is unknown; all where none is labelled. Both tables are dealt once, by file, to as many tasks
+    as the counted rows need, and join, windows and a later distinct stay there: a task's memory does not grow with the table."""
+    parts = -(-aux.count() // ROWS) or 1
+    aux, tasks = aux.repartition(parts, "file"), tasks.withColumn("file", F.col("name")).repartition(parts, "file")
     if mode == "strict":
-        wanted = tasks.select(F.col("name").alias("file"), F.concat_ws(" ", "finger", "target").alias("unit")).distinct().withColumn("_hit", F.lit(True))
-        hit, fall_back = aux.join(wanted, ["file", "unit"], "left"), F.lit(True)
+        wanted = tasks.groupBy("file").agg(F.collect_set(F.concat_ws(" ", "finger", "target")).alias("_units"))  # five fingers, two motions at most
+        hit, fall_back = aux.join(wanted, "file", "left").withColumn("_hit", F.array_contains("_units", F.col("unit"))).drop("_units"), F.lit(True)
     else:
-        wanted = tasks.groupBy(F.col("name").alias("file")).agg(F.collect_set(F.lower("finger")).alias("_fingers"), F.min(F.lower("target")).alias("_target"))  # five fingers at most
+        wanted = tasks.groupBy("file").agg(F.collect_set(F.lower("finger")).alias("_fingers"), F.min(F.lower("target")).alias("_target"))  # five fingers at most
         unit = F.lower(F.coalesce("unit", F.lit("")))
         hit = aux.join(wanted, "file", "left").withColumn("_hit", F.exists("_fingers", lambda f: F.contains(unit, f)) & F.contains(unit, F.col("_target"))).drop("_fingers", "_target")
         labelled = F.trim(unit) != ""
