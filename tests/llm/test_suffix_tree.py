@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,39 @@ def test_every_state_counts_whatever_is_broadcast(spark, states, hot):
         want = sum(math.log10(next(table[b[e:]] for e in range(len(b) + 1) if b[e:] in table)[s]) for b, s in places(t))
         want += sum(math.log10(odd[b] / sum(odd.values())) for b in t.translate(LOWER).encode() if classes[b] == S.OTHER)
         assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
+@pytest.mark.parametrize("low, high", [(5, 6), (7, 8), (9, 12)])
+def test_tasks_send_a_row_a_context_and_none_that_holds_a_rare_string(low, high):
+    """A row for each symbol after a context, and contexts whose longest known string is rare, grew faster than the input."""
+    g = np.random.default_rng(8)
+    texts = ["".join(g.choice(list("abc"), 60, p=[0.7, 0.25, 0.05])) for _ in range(60)]
+    classes, least = S._classes({97: 3, 98: 2, 99: 1}), 20
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    seq, asked = S.sequence(raw, np.arange(0, len(raw) + 1, 60), classes)
+
+    def count(d):
+        return Counter(tuple(int(x) for x in seq[p - d : p + 1]) for p in np.flatnonzero(asked) if p >= d and 0 not in seq[p - d + 1 : p])
+
+    def bitmap(keys):
+        out = np.zeros(S.BITS, bool)
+        out[S._places(np.array(keys, np.int64))] = True
+        return np.packbits(out, bitorder="little")
+
+    def number(x):
+        return sum(c << 6 * k for k, c in enumerate(reversed(x)))
+
+    all_states = np.full(S.BITS >> 3, 255, np.uint8)
+    often = {x for x, n in count(low - 1).items() if n >= least}
+    strings = S.Strings(low, bitmap([number(x) for x in often]), all_states if low > 5 else None, max(low - 3, S.DEPTH))
+    (batch,) = pa.table({"text": texts}).to_batches()
+    rows = [r for b in S._context_rows(iter([batch]), classes, all_states, all_states, strings, low, high) for r in b.to_pylist()]
+    assert len(rows) == len({(r["d"], r["key"]) for r in rows})
+    want = {}
+    for d in range(low, high + 1):
+        for x, n in count(d).items():
+            if all(x[k : k + low] in often for k in range(d - low + 1)):
+                want.setdefault(x[:-1], {})[x[-1]] = n
+    got = sorted((r["d"], r["n"], sorted((p & 63, p >> 6) for p in r["pairs"])) for r in rows)
+    assert got == sorted((len(x), sum(n.values()), sorted(n.items())) for x, n in want.items()) and len(got) > 10
+    assert all(r["n"] == sum(p >> 6 for p in r["pairs"]) for r in rows)

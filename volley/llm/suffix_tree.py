@@ -38,7 +38,7 @@ STATES, HOT_STATES, BITS = 60_000, 100_000, 1 << 24
 COMMON_WORDS = 300_000
 END_WORD = np.uint64(0x5BD1E9955BD1E995)
 #: Bounds of a worker's memory: bytes of text taken at once; different keys that it sums up; rows it passes on at once.
-_GROUP, _GATHER, _ROWS = 2_500_000, 1_000_000, 100_000
+_GROUP, _GATHER, _ROWS = 1_000_000, 1_000_000, 100_000
 
 
 def _classes(counts: dict[int, int]) -> np.ndarray:
@@ -102,8 +102,17 @@ def shallow_keys(code: np.ndarray, d: int) -> np.ndarray:
     return (code.astype(np.int64) & ((1 << 6 * d) - 1)) | d << 6 * EXACT
 
 
+def context_keys(code: np.ndarray, d: int) -> np.ndarray:
+    """The d classes before each place, at most EXACT, without the depth; code: the DEPTH classes before each place."""
+    out = code.astype(np.int64)
+    for k in range(DEPTH, d, DEPTH):
+        out[k:] |= code[:-k].astype(np.int64) << 6 * k
+    out &= (1 << 6 * d) - 1
+    return out
+
+
 def _places(key: np.ndarray) -> np.ndarray:
-    return (mix64(key.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - BITS.bit_length())).view(np.int64)
 
 
 def _bitmap(states: DataFrame, direct: bool = False) -> np.ndarray:
@@ -122,8 +131,13 @@ def _bitmap(states: DataFrame, direct: bool = False) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def _bits(packed: np.ndarray) -> np.ndarray:
-    return np.unpackbits(packed, bitorder="little").view(bool)
+def _has(packed: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (packed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).view(bool)
+
+
+def _begins(code: np.ndarray, states: np.ndarray, d: int) -> np.ndarray:
+    """The places whose context of d classes (DEPTH to EXACT) is a state by the bitmap."""
+    return _has(states, code.astype(np.int64) if d == DEPTH else _places(context_keys(code, d) | d << 6 * EXACT))
 
 
 class Slots:
@@ -165,11 +179,10 @@ class DeepStates:
     packed: np.ndarray
     whole: bool  # no state is left to the join
 
-    def add(self, slots: Slots, bits: np.ndarray, seq: np.ndarray, asked: np.ndarray, code: np.ndarray, on: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    def add(self, slots: Slots, seq: np.ndarray, asked: np.ndarray, code: np.ndarray, on: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """What the broadcast states add to each text's score; and (row, key, symbol) of the places left to the join.
         on: the places whose context of DEPTH classes is a state, as far as the tree can tell."""
-        n, left = len(off) - 1, []
-        total = np.zeros(n)
+        left, add = [], np.zeros(len(seq))
         at, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for d in range(1, max(self.depths, default=0) + 1):
             if d > DEPTH:
@@ -184,11 +197,11 @@ class DeepStates:
                 continue
             else:
                 continue
-            hit = np.flatnonzero(bits[_places(key)])
+            hit = np.flatnonzero(_has(self.packed, _places(key)))
             found = slots.find(key[hit])
             known = np.flatnonzero(found >= 0)
             place = at[hit[known]]
-            total += np.bincount(rows_of(place, off), self.delta[found[known], seq[place]], n)
+            add[place] += self.delta[found[known], seq[place]]
             if not self.whole:
                 cold = hit[found < 0]
                 left.append((rows_of(at[cold], off), key[cold], seq[at[cold]].astype(np.int64)))
@@ -200,6 +213,7 @@ class DeepStates:
                 at, key = at[go], key[go]
         if not left:
             left = [(np.zeros(0, np.int64),) * 3]
+        total = np.add.reduceat(add, off[:-1] + np.arange(len(off) - 1) * (DEPTH + 1))
         return total, *(np.concatenate(x) for x in zip(*left))
 
 
@@ -232,23 +246,53 @@ class SuffixTree:
         return total + np.bincount(np.searchsorted(off, odd, "right") - 1, self.within_other[LOWER_BYTES[raw[odd]]], len(off) - 1)
 
 
-def _summed(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, counts) of arrays of keys: summed over the arrays until there are _GATHER different keys."""
-    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for part in parts:
-        part = np.sort(part.view(np.uint64))
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        keys, n = np.concatenate([keys, part[first]]), np.concatenate([n, np.diff(first, append=len(part))])
+def _firsts(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+class Sums:
+    """Counts of keys, summed until there are _GATHER different ones."""
+
+    def __init__(self):
+        self.keys, self.n, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes an array of keys; (keys, counts) that have become too many to hold, by key."""
+        self.held.append(part.view(np.uint64))
+        self.size += len(part)
+        if self.size > 2 * _GATHER:
+            self._merge()
+            if len(self.keys) > _GATHER:
+                yield from self._out()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._merge()
+        yield from self._out()
+
+    def _merge(self) -> None:
+        part = np.sort(np.concatenate(self.held or [np.zeros(0, np.uint64)]))
+        self.held, self.size = [], 0
+        first = _firsts(part)
+        keys, n = np.concatenate([self.keys, part[first]]), np.concatenate([self.n, np.diff(first, append=len(part))])
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
-        if len(keys) > _GATHER:
-            for a in range(0, len(keys), _ROWS):
-                yield keys[a : a + _ROWS], n[a : a + _ROWS]
-            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for a in range(0, len(keys), _ROWS):
-        yield keys[a : a + _ROWS], n[a : a + _ROWS]
+        first = _firsts(keys)
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def _out(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, n = self.keys, self.n
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for a in range(0, len(keys), _ROWS):
+            yield keys[a : a + _ROWS], n[a : a + _ROWS]
+
+
+def _summed(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of arrays of keys, summed as far as they can be held."""
+    sums = Sums()
+    for part in parts:
+        yield from sums.add(part)
+    yield from sums.rest()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -385,62 +429,109 @@ def _shallow_states(root: DataFrame, kept: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _counted(docs: DataFrame, classes: np.ndarray, maps: tuple[np.ndarray, ...], low: int, high: int, least: float) -> DataFrame:
-    """(d, key, up, total, seen) of the contexts of low to high classes whose suffix of low - 1 classes is a state, met
-    `least` times. maps: bitmaps of the states of DEPTH classes, of all longer ones so far, and of the strings of
-    DEPTH + 1 and DEPTH + 2 classes met `least` times: no context that holds another one can be met so often. (Of the
-    latter, those are known whose middle DEPTH classes are a state; the others are let through.)"""
-    sent = docs.sparkSession.sparkContext.broadcast(maps)
-    names, kind = ["d", "key", "up", "sym", "n"], "d int, key long, up long, sym long, n long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shallow, deep, often, often2 = map(_bits, sent.value)
-        hashed: list[pa.RecordBatch] = []
+@dataclass
+class Strings:
+    """What is known of strings of `size` classes: a bitmap of those met often enough, so that no context that holds
+    another one is; but only of those whose last class but one ends a context of `d` classes that is in the bitmap
+    `counted` (None: of all)."""
+
+    size: int
+    often: np.ndarray
+    counted: np.ndarray | None = None
+    d: int = DEPTH
+
+    def possible(self, code: np.ndarray) -> np.ndarray:
+        """For each place, whether the string of `size` classes before it may be part of a context met often enough."""
+        out = _has(self.often, _places(context_keys(code, self.size)))
+        if self.counted is not None:
+            out[1:] |= ~_begins(code, self.counted, self.d)[:-1]
+        return out
 
-        def rows(d: np.ndarray, key: np.ndarray, up: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), *[pa.array(x.astype(np.int64)) for x in (key, up, sym, n)]], names)
 
-        def parts() -> Iterator[np.ndarray]:
-            for raw, off in _groups(batches):
-                seq, asked = sequence(raw, off, classes)
-                code = codes(seq)
-                at = np.flatnonzero(shallow[code] & asked)
-                oldest = code[at].astype(np.int64)  # the DEPTH + 1 leftmost classes of each context, in the end
-                key, out = shallow_keys(code[at], DEPTH), []
-                for d in range(DEPTH + 1, high + 1):
-                    up = key
-                    on, key = longer(seq, at, key, d)
-                    at = at[on]
-                    oldest = (oldest[on] if d == DEPTH + 1 else oldest[on] >> 6) | seq[at - d].astype(np.int64) << 6 * DEPTH
-                    keep = often[_places(oldest)]
-                    if d > DEPTH + 2:
-                        keep &= ~shallow[oldest & (CLASSES**DEPTH - 1)] | often2[_places(oldest << 6 | seq[at - d + DEPTH + 1])]
-                    at, key, up, oldest = at[keep], key[keep], up[on][keep], oldest[keep]
-                    if d < low:
-                        on = deep[_places(key)]
-                        at, key, oldest = at[on], key[on], oldest[on]
-                    elif d <= EXACT:
-                        out.append(((key & ((1 << 6 * EXACT) - 1)) << 6 | seq[at]).view(np.uint64) | np.uint64(d << 60))
-                    elif len(at):
-                        packed = (key & ~63) | seq[at]
-                        _, one, n = np.unique(packed, return_index=True, return_counts=True)
-                        hashed.append(rows(np.full(len(one), d), key[one], up[one], seq[at[one]], n))
-                yield np.concatenate(out) if out else np.zeros(0, np.uint64)
+def _context_rows(batches: Iterator[pa.RecordBatch], classes: np.ndarray, starts: np.ndarray, deep: np.ndarray, strings: Strings, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """(d, key, up, n, pairs) of the contexts of low to high classes in the texts whose suffix of low - 1 classes is a
+    state: one row a context for all that can be held, with its count and (count << 6 | symbol) for each symbol that
+    follows. up is null where the key itself tells it. The walk begins at the places whose context of low - 1 classes
+    (EXACT at most) is a state by the bitmap `starts`; `deep` is that of all states beyond DEPTH."""
+    begin = min(low - 1, EXACT)
+    sums, hashed, held = Sums(), [], 0
+    inside = (1 << 6 * EXACT) - 1
+
+    def rows(d: np.ndarray, key: np.ndarray, up: np.ndarray | None, first: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        pairs = pa.ListArray.from_arrays(pa.array(np.append(first, len(n)).astype(np.int32)), pa.array(n << 6 | sym))
+        up = pa.nulls(len(d), pa.int64()) if up is None else pa.array(up)
+        return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(key), up, pa.array(np.add.reduceat(n, first)), pairs], ["d", "key", "up", "n", "pairs"])
+
+    def exact_rows(got: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for key, n in got:
+            first = _firsts(key >> np.uint64(6))
+            d = (key[first] >> np.uint64(60)).astype(np.int64)
+            key = key.view(np.int64)
+            yield rows(d, key[first] >> 6 & inside | d << 6 * EXACT, None, first, key & 63, n)
+
+    def hashed_rows() -> Iterator[pa.RecordBatch]:
+        if hashed:
+            packed, n, d, up = (np.concatenate(x) for x in zip(*hashed))
+            order = np.argsort(packed, kind="stable")
+            first = _firsts(packed[order])
+            n, order = np.add.reduceat(n[order], first), order[first]
+            packed = packed[order]
+            first = _firsts(packed >> 6)
+            one = order[first]
+            yield rows(d[one], packed[first] & ~63, up[one], first, packed & 63, n)
+        hashed.clear()
+
+    for raw, off in _groups(batches):
+        seq, asked = sequence(raw, off, classes)
+        code = codes(seq)
+        possible = strings.possible(code)
+        at = np.flatnonzero(_begins(code, starts, begin) & asked)
+        key, out = context_keys(code, begin)[at] | begin << 6 * EXACT, []
+        for d in range(begin + 1, high + 1):
+            on = np.flatnonzero(possible[at - (d - strings.size)])
+            at, key = at[on], key[on]
+            up = key
+            on, key = longer(seq, at, key, d)
+            at, up = at[on], up[on]
+            if d < low:
+                on = np.flatnonzero(_has(deep, _places(key)))
+                at, key = at[on], key[on]
+            elif d <= EXACT:
+                out.append(((key & inside) << 6 | seq[at]).view(np.uint64) | np.uint64(d << 60))
+            elif len(at):
+                packed, one, n = np.unique(key & ~63 | seq[at], return_index=True, return_counts=True)
+                hashed.append((packed, n, np.full(len(one), d), up[one]))
+                held += len(one)
+        if out:
+            yield from exact_rows(sums.add(np.concatenate(out)))
+        if held > _GATHER // 2:
+            yield from hashed_rows()
+            held = 0
+    yield from exact_rows(sums.rest())
+    yield from hashed_rows()
+
+
+def _counted(docs: DataFrame, classes: np.ndarray, starts: np.ndarray, deep: np.ndarray, strings: Strings, low: int, high: int, least: float) -> DataFrame:
+    """(d, key, up, total, seen) of the contexts of low to high classes whose suffix of low - 1 classes is a state, met
+    `least` times. Tasks send a row a context, with the symbols in an array; these are looked into only where the
+    contexts' counts reach `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast((classes, starts, deep, strings))
 
-        for key, n in _summed(parts()):
-            d = (key >> np.uint64(60)).astype(np.int64)
-            ctx = ((key >> np.uint64(6)) & np.uint64((1 << 6 * EXACT) - 1)).astype(np.int64)
-            yield rows(d, ctx | d << 6 * EXACT, (ctx & ((np.int64(1) << 6 * (d - 1)) - 1)) | (d - 1) << 6 * EXACT, (key & np.uint64(63)).astype(np.int64), n)
-        yield from hashed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _context_rows(batches, *sent.value, low, high)
 
-    got = docs.select("text").mapInArrow(run, kind).repartition(F.col("key"))
-    return materialize(_seen(got.groupBy("d", "key", "up", "sym").agg(F.sum("n").alias("n")), "d", "key", "up").filter(F.col("total") >= least), f"counts-{low}")
+    got = docs.select("text").mapInArrow(run, "d int, key long, up long, n long, pairs array<long>").repartition(F.col("key"))
+    whole = got.groupBy("d", "key", "up").agg(F.sum("n").alias("total"), F.flatten(F.collect_list("pairs")).alias("pairs")).filter(F.col("total") >= least)
+    pairs = whole.select("d", "key", "up", F.explode("pairs").alias("x"))
+    seen = _seen(pairs.groupBy("d", "key", "up", F.col("x").bitwiseAND(63).alias("sym")).agg(F.sum(F.shiftright("x", 6)).alias("n")), "d", "key", "up")
+    own = F.expr(f"(key & (shiftleft(1L, 6 * (d - 1)) - 1)) | shiftleft(cast(d - 1 as long), {6 * EXACT})")
+    return materialize(seen.withColumn("up", F.coalesce("up", own)), f"counts-{low}")
 
 
 def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: DataFrame, first: DataFrame, strings: DataFrame, symbols: int) -> tuple[DataFrame, list[int]]:
     """State rows of all states outside the tree, and their depths."""
     least = max(MIN_COUNT, ROOT_SHARE * symbols**0.5)
-    often = _bitmap(strings.filter(F.col("n") >= least))
+    known = Strings(DEPTH + 1, _bitmap(strings.filter(F.col("n") >= least)))
     by_depth = _shallow_states(root, kept)
     outside, depths = by_depth[0].limit(0), []
     for d in range(1, DEPTH + 1):
@@ -449,13 +540,14 @@ def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: Da
         if not more.isEmpty():
             outside, depths = outside.unionByName(more), [*depths, d]
     above, (low, high), blocks = by_depth[DEPTH], (0, DEPTH), iter(PASSES)
-    shallow, deep, often2 = _bitmap(above, direct=True), np.zeros(BITS >> 3, np.uint8), np.full(BITS >> 3, 255, np.uint8)
+    starts, deep = _bitmap(above, direct=True), np.zeros(BITS >> 3, np.uint8)
     while True:
         low, high = next(blocks, (high + 1, 2 * high))
-        rows = _counted(docs, classes, (shallow, deep, often, often2), low, high, least)
-        if low == DEPTH + 1:
-            next_ = rows.filter(F.col("d") == low).select("key", F.explode("seen").alias("x")).filter(F.col("x.n") >= least)
-            often2 = _bitmap(next_.select(F.shiftleft(F.col("key").bitwiseAND((1 << 6 * low) - 1), 6).bitwiseOR(F.col("x.sym")).alias("key")))
+        rows = _counted(docs, classes, starts, deep, known, low, high, least)
+        if high < EXACT:
+            pairs = rows.filter(F.col("d") == high).select("key", F.explode("seen").alias("x")).filter(F.col("x.n") >= least)
+            often = _bitmap(pairs.select(F.shiftleft(F.col("key").bitwiseAND((1 << 6 * high) - 1), 6).bitwiseOR(F.col("x.sym")).alias("key")))
+            known = Strings(high + 1, often, starts, low - 1)
         for d in range(low, high + 1):
             suffix = above.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("all"))
             states = rows.filter(F.col("d") == d).join(suffix.hint("merge"), "up").filter(_gain() >= MIN_DIVERGENCE).drop("m", "all")
@@ -464,6 +556,7 @@ def _deep_states(docs: DataFrame, classes: np.ndarray, root: DataFrame, kept: Da
                 return outside, depths
             outside, depths = outside.unionByName(above), [*depths, d]
             deep = deep | _bitmap(above)
+        starts = deep
 
 
 def _split(outside: DataFrame, depths: list[int], hot: int) -> tuple[DeepStates, DataFrame]:
@@ -509,12 +602,12 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, deep, hs, cs = sent.value
-        bits, slots, words = _bits(deep.packed), Slots(deep.keys), Slots(hs)
+        slots, words = Slots(deep.keys), Slots(hs)
         table, log_c = tree.transitions(), np.append(np.log10(cs + 1.0), 0.0)
         inner = 1 + sum(map(len, tree.states[:-1]))
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            for a, b in text_groups(off, _GROUP // 2):
+            for a, b in text_groups(off, _GROUP):
                 part, places, m = raw[off[a] : off[b]], off[a : b + 1] - off[a], b - a
                 row, h = word_hashes(part, places)
                 row, h = np.append(row, np.arange(m)), np.append(h, np.full(m, END_WORD)).view(np.int64)
@@ -528,7 +621,7 @@ def score_documents(docs: DataFrame, learn: Column, states: int = STATES, common
                 code = codes(seq)
                 state = table[code]
                 score = tree.score_places(part, places, seq, np.flatnonzero(asked), state[asked])
-                more, far, key, sym = deep.add(slots, bits, seq, asked, code, (state >= inner) & asked, places)
+                more, far, key, sym = deep.add(slots, seq, asked, code, (state >= inner) & asked, places)
                 far_at = np.argsort(far, kind="stable")
                 ends = pa.array(np.searchsorted(far[far_at], np.arange(m + 1)).astype(np.int32))
                 far_keys, far_syms = (pa.ListArray.from_arrays(ends, pa.array(x[far_at])) for x in (key, sym))
