@@ -136,12 +136,21 @@ def _pairs(spikes: DataFrame, fs: float) -> DataFrame:
     return spikes.withColumns({"_next_h": F.lead("height").over(by_unit(key)), "_rate": F.when(nxt.isNotNull(), F.try_divide(F.lit(float(fs)), nxt - F.col("sample_idx")))})
 
 
+def _deviation(values: Column) -> Column:
+    """Population deviation of an array, added up value by value in Welford's form as in the queries' SQL, to the last bit:
+    rates are fractions of small numbers, and one may equal mean + 2 deviations. stddev_pop rounds otherwise."""
+    mean = lambda a, x: a["mean"] + (x - a["mean"]) / (a["n"] + 1.0)
+    more = lambda a, x: F.struct((a["n"] + 1.0).alias("n"), mean(a, x).alias("mean"), (a["m2"] + (x - mean(a, x)) * (x - a["mean"])).alias("m2"))
+    return F.aggregate(values, F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")]), more, lambda a: F.sqrt(F.try_divide(a["m2"], a["n"])))
+
+
 def _local_rate(s: DataFrame) -> DataFrame:
     """Mean and deviation of the rates from 5 pairs before to 4 after; a lone rate is its own mean, deviation 0."""
     key = unit_of(s)
     w = by_unit(key).rowsBetween(-5, 4)
     n = F.count("_rate").over(w)
-    return s.withColumns({"_fm": F.when(n < 2, F.col("_rate")).otherwise(F.avg("_rate").over(w)), "_fs": F.when(n < 2, 0.0).otherwise(F.stddev_pop("_rate").over(w))})
+    s = s.withColumns({"_fm": F.when(n < 2, F.col("_rate")).otherwise(F.avg("_rate").over(w)), "_rates": F.collect_list("_rate").over(w)})
+    return s.withColumn("_fs", F.when(F.size("_rates") < 2, 0.0).otherwise(_deviation(F.col("_rates")))).drop("_rates")
 
 
 def rule2_high_rate(spikes: DataFrame, fs: float) -> DataFrame:
